@@ -123,6 +123,13 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(U64), 5)
 
 
+def item_prefix(hashes: np.ndarray) -> np.ndarray:
+    """Like ``prefix_codes``, over items that have hashes already."""
+    out = np.zeros(len(hashes) + 1, dtype=U64)
+    np.cumsum(hashes * powers(_BASE, max(1, len(hashes)))[: len(hashes)], out=out[1:])
+    return out
+
+
 def word_hashes(chunk: Chunk, found: Words, lower: bool = False) -> np.ndarray:
     return span_hashes(prefix_codes(chunk.data, lower), found.starts, found.ends)
 
