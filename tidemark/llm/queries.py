@@ -4,19 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import neardup, passages, suffixes
+from tidemark.llm import bytebpe, gif, neardup, passages, sharding, suffixes
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=40)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("starts", "ends")
 
 
+def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_features(gif.texts_to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("starts", "ends")
 
