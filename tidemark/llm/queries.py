@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, gif, langid, neardup, passages, quality, sharding, suffixes
+from tidemark.llm import bytebpe, gif, langid, neardup, packing, passages, quality, sharding, suffixes
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=40)
 
 
+def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
