@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, gif, langid, neardup, packing, passages, quality, sharding, suffixes
+from tidemark.llm import bytebpe, gif, langid, neardup, packing, passages, quality, sharding, suffixes, warc
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("payload", "url")
+
+
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(spark.read.parquet(f"{sf_dir}/documents.parquet"), shards=40)
 
