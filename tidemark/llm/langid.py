@@ -183,11 +183,14 @@ class _Scorer(dict):
 
 
 def _predicted(model):
+    """Adds lang_pred and score to batches whose first column is the text, which goes."""
+
     def run(batches):
         scorer = _Scorer(model.value)
         for batch in batches:
-            found = [scorer.predict(text.as_py()) for text in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())], ["row_id", "held_out", "lang_pred", "score"])
+            found = [scorer.predict(text.as_py()) for text in batch.column(0)]
+            added = [pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], [*batch.schema.names[1:], "lang_pred", "score"])
 
     return run
 
@@ -196,8 +199,8 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, held_out, lang_pred, score for every row of ``docs``.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """id, held_out, lang_pred, score for every row of ``docs``; with ``carry`` all its columns come along.
 
     The model learns from rows that are not held out (crc32 of the id as text, modulo 3, is
     1) and have a text and a language; rows without an id are not held out. The prediction
@@ -206,9 +209,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     share, 1 / languages to 1. Repeated rows get equal predictions. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("row_id"), is_held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    learn = rows.where("not held_out and text is not null and lang is not null").select("lang", "text")
+    learn = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), is_held_out(F.col(id_col)).alias("held_out")).where("not held_out and text is not null and lang is not null").select("lang", "text")
     model = docs.sparkSession.sparkContext.broadcast(train(learn, scratch))
-    kind = dict(docs.dtypes)[id_col]
-    out = rows.select("row_id", "held_out", "text").mapInArrow(_predicted(model), f"row_id {kind}, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("row_id", id_col)
+    kept = docs.columns if carry else [id_col]
+    marks = [F.col(c).alias(f"c{k}") for k, c in enumerate(kept)]
+    rows = docs.select(F.col(text_col).alias("text"), *marks, is_held_out(F.col(id_col)).alias("held_out"))
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"c{k} {kinds[c]}" for k, c in enumerate(kept)), "held_out boolean, lang_pred string, score double"])
+    out = rows.mapInArrow(_predicted(model), schema)
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), "held_out", "lang_pred", "score")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
+from tidemark.llm import textcore as tc
 from tidemark.llm.shared import Scratch
 
 
@@ -32,16 +33,27 @@ def _spans(column: pa.Array, k: int, window: int) -> tuple[np.ndarray, np.ndarra
     return repeats.covered(flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.int64) + window)
 
 
-def _cut_words(window: int, with_text: bool):
+def _kept_text(data: bytes, lo: np.ndarray, hi: np.ndarray) -> str:
+    """A text without the words of the spans and the white space after each of them."""
+    starts = tc.words(tc.Chunk(0, 1, np.frombuffer(data, np.uint8), np.array([0, len(data)]))).starts
+    starts = np.append(starts, len(data))
+    out, at = [], 0
+    for a, b in zip(starts[lo].tolist(), starts[hi].tolist(), strict=True):
+        out.append(data[at:a])
+        at = b
+    return b"".join([*out, data[at:]]).decode()
+
+
+def _cut_words(window: int):
     def run(batches):
         for batch in batches:
             n, shas, kept, starts, ends = [], [], [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(batch.column(1)):
+                data = text.as_py().encode()
                 lo, hi = _spans(batch.column(2), k, window)
-                joined = b" ".join(kept_words(text.encode(), lo, hi))
                 n.append(int((hi - lo).sum()))
-                shas.append(hashlib.sha256(joined).hexdigest())
-                kept.append(joined.decode() if with_text else None)
+                shas.append(hashlib.sha256(b" ".join(kept_words(data, lo, hi))).hexdigest())
+                kept.append(_kept_text(data, lo, hi))
                 starts.append(lo)
                 ends.append(hi)
             yield pa.RecordBatch.from_arrays(
@@ -51,44 +63,57 @@ def _cut_words(window: int, with_text: bool):
     return run
 
 
-def _whole(with_text: bool):
-    def run(batches):
-        for batch in batches:
-            n, shas, kept = [], [], []
-            for text in batch.column(2).to_pylist():
-                parts = (text or "").encode().split()
-                joined = b" ".join(parts)
-                n.append(len(parts))
-                shas.append(hashlib.sha256(joined).hexdigest())
-                kept.append(joined.decode() if with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())], ["row_id", "uid", "n_words", "whole_sha256", "whole_text"])
+def _whole(batches):
+    for batch in batches:
+        n, shas = [], []
+        for text in batch.column(2):
+            parts = (text.as_py() or "").encode().split()
+            n.append(len(parts))
+            shas.append(hashlib.sha256(b" ".join(parts)).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(shas, pa.string())], ["row_id", "uid", "n_words", "whole_sha256"])
 
-    return run
+
+def _cuts(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """uid (hash of id and text), n_removed, kept_sha256, kept_text, starts, ends of the texts that lose words."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.select(_uid(id_col, text_col).alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    touched, spans = repeats.repeated_spans(rows.where("id is not null and text is not null"), repeats.word_items, window, True, scratch)
+    schema = "uid long, n_removed long, kept_sha256 string, kept_text string, starts array<int>, ends array<int>"
+    return touched.join(spans, "uid").select("uid", "text", "spans").mapInArrow(_cut_words(window), schema)
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def _uid(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
+def strip_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the passages that ``remove_repeated_passages`` reports, and without documents that lose every word.
+
+    Texts that lose nothing stay as they are; in others the words go with the white space
+    after them. All columns stay.
+    """
+    cut = _cuts(docs, window, id_col, text_col).select(F.col("uid").alias("_uid"), F.col("kept_text").alias("_kept"))
+    out = docs.withColumn("_uid", _uid(id_col, text_col)).join(cut, "_uid", "left")
+    return out.where(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]")).withColumn(text_col, F.coalesce("_kept", text_col)).select(docs.columns)
+
+
+def remove_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept_sha256, starts, ends for every row of ``docs``.
 
     Every word is removed that lies in a window of ``window`` words whose word sequence also
     starts in a text with a smaller id; windows are judged on the input. starts and ends are
-    the removed runs, in words. kept_sha256 is of the kept words, joined by one space; with
-    ``with_text`` they come as kept_text too. Null texts have no words. A row without an id
-    neither removes words of others nor loses any; rows that share an id never do so to each
-    other. Other columns are ignored.
+    the removed runs, in words; kept_sha256 is of the kept words, joined by one space. Null
+    texts have no words. A row without an id neither removes words of others nor loses any;
+    rows that share an id never do so to each other. Other columns are ignored.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).withColumn("uid", F.xxhash64("row_id", "text"))
-    ordered = rows.where("row_id is not null and text is not null").select("uid", F.col("row_id").alias("id"), "text")
-    touched, spans = repeats.repeated_spans(ordered, repeats.word_items, window, True, scratch)
-    cut = touched.join(spans, "uid").select("uid", "text", "spans").mapInArrow(_cut_words(window, with_text), "uid long, n_removed long, kept_sha256 string, kept_text string, starts array<int>, ends array<int>")
-    whole = rows.select("row_id", "uid", "text").mapInArrow(_whole(with_text), "row_id long, uid long, n_words long, whole_sha256 string, whole_text string")
-    out = whole.join(cut, "uid", "left").select(
+    cut = _cuts(docs, window, id_col, text_col).drop("kept_text")
+    rows = docs.select(F.col(id_col).cast("long").alias("row_id"), _uid(id_col, text_col).alias("uid"), F.col(text_col).alias("text"))
+    whole = rows.mapInArrow(_whole, "row_id long, uid long, n_words long, whole_sha256 string")
+    return whole.join(cut, "uid", "left").select(
         F.col("row_id").alias(id_col),
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"),
         F.coalesce("starts", F.array().cast("array<int>")).alias("starts"),
         F.coalesce("ends", F.array().cast("array<int>")).alias("ends"),
-        F.coalesce("kept_text", "whole_text").alias("kept_text"),
     )
-    return out if with_text else out.drop("kept_text")
