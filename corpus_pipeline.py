@@ -1,26 +1,64 @@
-"""Corpus cleaning from documents to packed sequences, stage by stage."""
+"""Corpus cleaning from documents to packed sequences, stage by stage.
+
+A stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and all but the
+last return the columns of documents. Rows without a doc_id pass the near-duplicate and
+substring stages unchanged; rows that share a doc_id are one document
+there.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import neardup
+from tidemark.llm import langid, neardup, packing, passages, quality
 from tidemark.llm.shared import Scratch
 
-ORACLE_SQL = None  # hashing, models and tokens are beyond SQL; the tests hold run() against brute force
+ORACLE_SQL = None  # models, registers and tokens are beyond SQL; the tests hold run() against brute force
+
+LEAST_LANGUAGE_SCORE = 0.3  # clear texts of a learned language score over 0.5
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    row = F.xxhash64(*docs.columns)  # equal rows have equal verdicts
+    rejected = quality.judge(docs.withColumn("doc_id", row)).where("not kept").select(F.col("doc_id").alias("_row"))
+    return docs.withColumn("_row", row).join(rejected, "_row", "left_anti").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose language cannot be told; one without a stated language gets the predicted one."""
+    found = langid.identify(docs, carry=True)
+    told = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: the document with the least id of each group stays."""
-    stays = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(docs.columns)
+    goes = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(goes, "doc_id", "left_anti").select(docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that an earlier document has go; a document left without words goes."""
+    left = passages.strip_repeated_passages(docs)
+    return left.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality-rules", quality_rules),
+    ("language-id", language_id),
     ("near-duplicates", one_of_each_group),
+    ("substring-dedup", substring_dedup),
+    ("packing", pack),
 ]
 
 
