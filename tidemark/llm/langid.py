@@ -199,8 +199,9 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
-    """id, held_out, lang_pred, score for every row of ``docs``; with ``carry`` all its columns come along.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False, prefix: str = "") -> DataFrame:
+    """id, held_out, lang_pred, score for every row of ``docs``; with ``carry`` all its columns come along,
+    and ``prefix`` keeps the added names apart from them.
 
     The model learns from rows that are not held out (crc32 of the id as text, modulo 3, is
     1) and have a text and a language; rows without an id are not held out. The prediction
@@ -217,4 +218,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"c{k} {kinds[c]}" for k, c in enumerate(kept)), "held_out boolean, lang_pred string, score double"])
     out = rows.mapInArrow(_predicted(model), schema)
-    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), "held_out", "lang_pred", "score")
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), *(F.col(c).alias(prefix + c) for c in ("held_out", "lang_pred", "score")))

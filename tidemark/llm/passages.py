@@ -92,9 +92,9 @@ def strip_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "do
     Texts that lose nothing stay as they are; in others the words go with the white space
     after them. All columns stay.
     """
-    cut = _cuts(docs, window, id_col, text_col).select(F.col("uid").alias("_uid"), F.col("kept_text").alias("_kept"))
-    out = docs.withColumn("_uid", _uid(id_col, text_col)).join(cut, "_uid", "left")
-    return out.where(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]")).withColumn(text_col, F.coalesce("_kept", text_col)).select(docs.columns)
+    cut = _cuts(docs, window, id_col, text_col).select(F.col("uid").alias("__uid"), F.col("kept_text").alias("__kept"))
+    out = docs.withColumn("__uid", _uid(id_col, text_col)).join(cut, "__uid", "left")
+    return out.where(F.col("__kept").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]")).withColumn(text_col, F.coalesce("__kept", text_col)).select(docs.columns)
 
 
 def remove_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
