@@ -25,15 +25,15 @@ LEAST_LANGUAGE_SCORE = 0.3  # clear texts of a learned language score over 0.5
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     row = F.xxhash64(*docs.columns)  # equal rows have equal verdicts
-    rejected = quality.judge(docs.withColumn("doc_id", row)).where("not kept").select(F.col("doc_id").alias("_row"))
-    return docs.withColumn("_row", row).join(rejected, "_row", "left_anti").select(docs.columns)
+    rejected = quality.judge(docs.withColumn("doc_id", row)).where("not kept").select(F.col("doc_id").alias("__row"))
+    return docs.withColumn("__row", row).join(rejected, "__row", "left_anti").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language cannot be told; one without a stated language gets the predicted one."""
-    found = langid.identify(docs, carry=True)
-    told = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = langid.identify(docs, carry=True, prefix="__")
+    told = found.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE))
+    return told.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
