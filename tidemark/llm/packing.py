@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SEQUENCE = 4096
 END_ID = 2
 DIMENSIONS, BITS = 3, 10
 HASHED = 64
-REMEMBERED = 700_000  # words and pieces whose ids a worker remembers
+REMEMBERED = 300_000  # words and pieces whose ids a worker remembers
 
 #: Characters that lower-casing and NFC treat one by one: of ASCII, Latin-1 and Latin Extended-A.
 _COMMON = re.compile("[!-~\u00a1-\u012f\u0132-\u017f]+")
@@ -39,6 +40,20 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
 
 
+class _Pieces(dict):
+    """Ids of pieces that the tokenizer's pattern has cut."""
+
+    def __init__(self, merge):
+        self.merge, self.visible = merge, _visible_bytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.visible)
+        data = array("H", [t.id for t in self.merge(shown)]).tobytes()
+        if len(self) < REMEMBERED:
+            self[piece] = data
+        return data
+
+
 class WordIds(dict):
     """Ids of words by their bytes, as the tokenizer gives them, as unsigned 16-bit integers.
 
@@ -55,24 +70,15 @@ class WordIds(dict):
         spec = json.loads(self.whole.to_str())
         self.cut = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.merge = self.whole.model.tokenize
-        self.visible = _visible_bytes()
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        data = self.pieces.get(piece)
-        if data is None:
-            data = np.array([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.visible))], np.uint16).tobytes()
-            if len(self.pieces) < REMEMBERED:
-                self.pieces[piece] = data
-        return data
+        self.pieces = _Pieces(self.whole.model.tokenize)
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if _COMMON.fullmatch(text) and not any(s in text for s in self.special):
-            data = b"".join(map(self._piece, self.cut(text.lower())))
+        if _COMMON.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
+            low = text.lower()
+            data = self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, self.cut(low)))
         else:
-            data = np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+            data = array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) < REMEMBERED and len(word) < 64:
             self[word] = data
         return data
