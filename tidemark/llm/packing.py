@@ -189,6 +189,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, id_col:
     before = parts.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = ranged.withColumn("within", within).join(before, "part").select("uid", (F.col("before") + F.col("within")).alias("first"))
-    placed = tokens.join(first.hint("merge"), "uid")  # positions grow with the corpus: never broadcast.select("row_id", "curve", "n", "first", "ids")
+    first = first.hint("merge")  # positions grow with the corpus, so they are never broadcast
+    placed = tokens.join(first, "uid").select("row_id", "curve", "n", "first", "ids")
     out = placed.mapInArrow(_pieces(sequence), f"row_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long")
     return out.withColumnRenamed("row_id", id_col)
