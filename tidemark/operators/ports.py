@@ -32,7 +32,7 @@ def grouped(bindings: DataFrame, sequence: str) -> DataFrame:
 
 def classified(ports: DataFrame) -> DataFrame:
     """Trim types, add categories by priority; ports go that have none, or whose name is a bare Q number."""
-    types = F.transform("types", F.trim)
+    types = F.transform("types", lambda t: F.trim(t))
     found = F.array_compact(F.array(*(F.when(F.arrays_overlap(F.col("types"), F.array(*map(F.lit, own))), F.lit(name)) for name, own in CATEGORIES.items())))
     named = ~F.coalesce(F.trim(F.col("name")).rlike(r"^Q\d+$"), F.lit(False))
     return ports.withColumn("types", types).withColumn("categories", found).where(named & (F.size("categories") > 0))
