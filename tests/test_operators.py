@@ -133,3 +133,41 @@ def test_incremental_runs_add_nothing_twice(spark, tmp_path):
     for _ in range(2):
         incremental.follow(spark, str(tmp_path / "in"), "k long", str(tmp_path / "out"), str(tmp_path / "cp"), "k", work).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+
+
+def test_resampled_lines(spark):
+    pts = lambda *p: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p))
+    df = spark.range(1).select(F.lit(1).alias("k1"), pts((0, 0), (3, 0), (3, 2)).alias("line")).unionByName(spark.range(1).select(F.lit(2).alias("k1"), pts((7, 7)).alias("line")))
+    out = sorted((r.k1, r.k, r.x, r.y) for r in lines.resampled(df, "k1", "line", 2.0).collect())
+    assert out == [(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (1, 2, 3.0, 1.0), (1, 3, 3.0, 2.0), (2, 0, 7.0, 7.0)]
+
+
+def test_tiles_of_a_box(spark):
+    from tidemark.operators import cover
+
+    box = spark.createDataFrame([(1, -10.0, -10.0, 10.0, 10.0)], "cell int, south double, west double, north double, east double")
+    assert sorted((r.x, r.y) for r in cover.tiles(box, 1).collect()) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_stamped_tables_and_retries(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    path = str(tmp_path / "kept")
+    for version in ("1", "1", "2"):
+        assert incremental.stamped(spark, path, version, make).count() == 3
+    assert len(made) == 2
+    tries = []
+
+    def fails():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError
+        return "done"
+
+    assert incremental.retried(fails, wait_s=0) == "done"
+    with pytest.raises(OSError):
+        incremental.retried(lambda: (_ for _ in ()).throw(OSError()), wait_s=0)

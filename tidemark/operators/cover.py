@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import lattice_distance, neighbours
-from tidemark.functions.geo import great_circle
+from tidemark.functions.geo import great_circle, tile_x, tile_y
 
 
 def disk(cells: DataFrame, k: int) -> DataFrame:
@@ -83,3 +83,10 @@ def knn(left: DataFrame, right: DataFrame, k: int, reach_m: float, cell_m: float
     close = asked.join(placed, ["gx", "gy"]).withColumn("d", F.sqrt(F.pow(F.col("lx") - F.col("rx"), 2) + F.pow(F.col("ly") - F.col("ry"), 2))).where(F.col("d") <= reach_m)
     order = Window.partitionBy("left_id").orderBy("d", "right_id")
     return close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("left_id", "right_id", "d")
+
+
+def tiles(cells: DataFrame, zoom: int) -> DataFrame:
+    """Each cell (cell, south, west, north, east) with all tiles (x, y) of a zoom that its box touches."""
+    xs = F.sequence(tile_x(F.col("west"), zoom), tile_x(F.col("east"), zoom))
+    ys = F.sequence(tile_y(F.col("north"), zoom), tile_y(F.col("south"), zoom))
+    return cells.withColumn("x", F.explode(xs)).withColumn("y", F.explode(ys)).select("cell", "x", "y")

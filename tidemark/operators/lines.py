@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -63,3 +63,20 @@ def feature(line: Column, properties: Column) -> Column:
     """A GeoJSON LineString feature, as text."""
     coordinates = F.transform(line, lambda p: F.array(p.x, p.y))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties")))
+
+
+def resampled(lines: DataFrame, key: str, line: str, spacing: float) -> DataFrame:
+    """key, k, x, y: points every ``spacing`` along each line from its start, and its end. Lines of one point give it; nulls give none.
+
+    Running lengths are a window over the vertices; each segment then makes its own points.
+    """
+    order = Window.partitionBy(key).orderBy("i")
+    v = lines.select(key, F.posexplode(line).alias("i", "p")).select(key, "i", "p.x", "p.y")
+    v = v.withColumns({"nx": F.lead("x").over(order), "ny": F.lead("y").over(order)}).withColumn("step", F.coalesce(F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2)), F.lit(0.0)))
+    v = v.withColumn("upto", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("upto") - F.col("step"))
+    first, last = F.ceil(F.col("from") / spacing), F.ceil(F.col("upto") / spacing) - 1
+    marks = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    share = (F.col("k") * spacing - F.col("from")) / F.col("step")
+    inner = v.where("step > 0").select("*", F.explode(marks).alias("k")).select(key, "k", (F.col("x") + share * (F.col("nx") - F.col("x"))).alias("x"), (F.col("y") + share * (F.col("ny") - F.col("y"))).alias("y"))
+    ends = v.where("nx is null").select(key, F.ceil(F.col("upto") / spacing).alias("k"), "x", "y")
+    return inner.unionByName(ends)

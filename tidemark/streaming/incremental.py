@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -39,3 +41,28 @@ def follow(spark: SparkSession, source: str, schema: str, target: str, checkpoin
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stamped(spark: SparkSession, path: str, version: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A kept table: made again, with its stamp, if it is absent or was made for another version."""
+    try:
+        kept = spark.read.parquet(path)
+        if kept.where(f"version <> '{version}'").isEmpty() and not kept.isEmpty():
+            return kept.drop("version")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    make().withColumn("version", F.lit(version)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).drop("version")
+
+
+def retried(call: Callable[[], object], tries: int = 3, wait_s: float = 1.0, errors: tuple[type[Exception], ...] = (OSError,)) -> object:
+    """The call's result; on these errors again after 1, 2, 4 ... times the wait, then the error."""
+    for k in range(tries):
+        try:
+            return call()
+        except errors:
+            if k + 1 == tries:
+                raise
+            time.sleep(wait_s * 2**k)
+    raise ValueError("tries must be positive")
