@@ -25,7 +25,6 @@ MOST_GRAMS = 20_000  # of one language and order
 MOST_LANGUAGES = 200  # those with most training texts
 LONGEST = 4
 FLUSH = 400_000
-REMEMBERED = 300_000  # unknown words whose scores a worker remembers
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ALPHA = 0.5
@@ -140,44 +139,36 @@ def train(rows: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_
     return Model(langs, items, logs.astype(np.float32))
 
 
-class _Scorer(dict):
-    """Row of scores for each word; those of unknown words are made by backoff and remembered."""
+class Scorer:
+    """Predicts with a model. Nothing is kept between texts, so memory is that of the model."""
 
     def __init__(self, model: Model):
-        super().__init__(model.items[0])
         self.model = model
-        self.rows = np.concatenate([model.logs, np.zeros((1024, model.logs.shape[1]), np.float32)])
-        self.used = len(model.logs)
-
-    def __missing__(self, word: str) -> int:
-        m = self.model
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        score = np.zeros(m.logs.shape[1], np.float32)
-        for n in range(LONGEST, 0, -1):
-            known = [at for g in grams(word, n) if (at := m.items[n].get(g)) is not None]
-            if known:
-                score = m.logs[known].mean(0)
-                break
-        self.rows[self.used] = score
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
+        self.word = model.items[0].get
 
-    def forget(self) -> None:
-        if self.used - len(self.model.logs) > REMEMBERED:
-            self.clear()
-            self.update(self.model.items[0])
-            self.used = len(self.model.logs)
+    def backoff(self, word: str) -> list[int]:
+        """Rows of an unknown word's n-grams of the longest order that has any."""
+        for n in range(LONGEST, 0, -1):
+            find = self.model.items[n].get
+            if known := [at for g in grams(word, n) if (at := find(g)) is not None]:
+                return known
+        return []
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and its share of the evidence per word (of equal ones the first by name)."""
         words = letters(text) if text else []
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        self.forget()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        sums = self.rows[at].mean(0, dtype=np.float64)
+        found = list(map(self.word, words))
+        rows = [at for at in found if at is not None]
+        weights = np.ones(len(rows))
+        if len(rows) < len(words):
+            unseen = [known for word, at in zip(words, found) if at is None and (known := self.backoff(word))]
+            sizes = np.array([len(known) for known in unseen])
+            weights = np.concatenate([weights, np.repeat(1 / sizes, sizes)]) if unseen else weights
+            for known in unseen:
+                rows += known
+        sums = (weights @ self.model.logs[rows] if rows else np.zeros(len(self.model.langs))) / len(words)
         best = int(sums.argmax())
         return self.model.langs[best], float(1 / np.exp(sums - sums[best]).sum())
 
@@ -186,7 +177,7 @@ def _predicted(model):
     """Adds lang_pred and score to batches whose first column is the text, which goes."""
 
     def run(batches):
-        scorer = _Scorer(model.value)
+        scorer = Scorer(model.value)
         for batch in batches:
             found = [scorer.predict(text.as_py()) for text in batch.column(0)]
             added = [pa.array([lang for lang, _ in found], pa.string()), pa.array([score for _, score in found], pa.float64())]
