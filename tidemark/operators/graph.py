@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import edge_vector, great_circle
+from tidemark.session import workers_can_import
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -77,6 +78,7 @@ def reachable(edges: DataFrame, start: int) -> DataFrame:
     The graph, two integers an edge, is searched breadth first in one task, a frontier at a
     time: that is bounded by the graph, not by what is asked of it.
     """
+    workers_can_import(edges.sparkSession)
     both = edges.select(F.lit(0).alias("g"), "source", "target").unionByName(edges.select(F.lit(0).alias("g"), F.col("target").alias("source"), F.col("source").alias("target")))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import workers_can_import
+
 POINTS = "array<struct<x:double,y:double>>"
 
 
@@ -55,6 +57,7 @@ def simplified(lines: DataFrame, key: str, line: str, tolerance: float) -> DataF
             shapes = [None if v is None else [{"x": x, "y": y} for x, y in (one([(p["x"], p["y"]) for p in v]) if len(v) > 2 else [(p["x"], p["y"]) for p in v])] for v in pdf[line]]
             yield pd.DataFrame({key: pdf[key], line: shapes})
 
+    workers_can_import(lines.sparkSession)
     kinds = dict(lines.dtypes)
     return lines.select(key, line).mapInPandas(run, f"{key} {kinds[key]}, {line} {POINTS}")
 

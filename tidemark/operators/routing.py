@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import workers_can_import
+
 _PATHS = "query_id long, month int, vessel string, reached boolean, cost double, path array<long>"
 
 
@@ -77,6 +79,7 @@ def routes(queries: DataFrame, costs: DataFrame) -> DataFrame:
             out.append((q.query_id, *key, ok, float(cost[b]) if ok else None, names[path[::-1]].tolist() if ok else None))
         return pd.DataFrame(out, columns=["query_id", "month", "vessel", "reached", "cost", "path"])
 
+    workers_can_import(queries.sparkSession)
     finite = costs.where(F.col("route_cost") < float("inf")).select("month", "vessel", "source", "target", "route_cost")
     return queries.groupBy("month", "vessel").cogroup(finite.groupBy("month", "vessel")).applyInPandas(search, _PATHS)
 
@@ -94,6 +97,7 @@ def costs_from(origins: DataFrame, costs: DataFrame) -> DataFrame:
                 parts.append(pd.DataFrame({"query_id": q.query_id, "month": key[0], "vessel": key[1], "node_id": names[seen], "cost": cost[seen]}))
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("query_id", "month", "vessel", "node_id", "cost")})
 
+    workers_can_import(origins.sparkSession)
     finite = costs.where(F.col("route_cost") < float("inf")).select("month", "vessel", "source", "target", "route_cost")
     return origins.groupBy("month", "vessel").cogroup(finite.groupBy("month", "vessel")).applyInPandas(search, "query_id long, month int, vessel string, node_id long, cost double")
 
