@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_PACKAGE_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from tidemark.session import workers_can_import
 
-
-def workers_can_import(spark: SparkSession) -> None:
-    """Put this package's parent on the Python path of the workers."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _PACKAGE_HOME not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_PACKAGE_HOME, *paths])
+_LOCAL: dict[str, str] = {}  # folders made where the setting is missing, as in tests
 
 
 def scratch_root(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        base = _LOCAL[app]
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
