@@ -95,6 +95,15 @@ def test_bands_reject_what_reads_unlike_its_language(documents, rng):
     assert not any(out[900 + k].kept for k in range(3)) and not any(out[900 + k].base_failed for k in range(3))
 
 
+def test_copies_of_one_text_do_not_narrow_the_bands(documents, rng):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicon = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    clean = [(k, " ".join(rng.choice(lexicon) for _ in range(rng.randrange(130, 250))), "aa", "s") for k in range(120)]
+    copied = clean[0][1]
+    out = {r.doc_id: r.kept for r in quality.judge(documents(clean + [(1000 + k, copied, "aa", "s") for k in range(400)])).collect()}
+    assert all(out.values())
+
+
 @pytest.mark.parametrize("most", [50, 500])
 def test_bounded_model(spark, rng, most):
     texts = spark.createDataFrame([(" ".join(words(rng, 60, 90)),) for _ in range(50)], "text string")

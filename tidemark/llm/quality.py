@@ -1,7 +1,7 @@
 """Quality rules: text statistics, and perplexity under a modified Kneser-Ney model.
 
 The model predicts each byte from the four before it (white space counts as a space). Spark
-counts the n-grams of all documents; continuation counts, discounts and context weights are
+counts the n-grams of all different texts; continuation counts, discounts and context weights are
 aggregations of those counts. The model itself is a few sorted arrays: packed n-grams, which
 are their own hashes, with log-probabilities, and packed contexts with backoff weights. Its
 size is bounded by ``MOST_NGRAMS`` for each order: beyond it, the rarest n-grams are left to
@@ -149,12 +149,12 @@ def kneser_ney(texts: DataFrame, scratch: Scratch, order: int = ORDER, most: int
 
 
 def _scores(model, order: int):
-    """Statistics and mean negative log-probability of (row_id, lang, text)."""
+    """Statistics and mean negative log-probability of (row_id, lang, hash, text)."""
 
     def run(batches):
         table = model.value
         for batch in batches:
-            ids, langs, texts = batch.column(0), batch.column(1), batch.column(2)
+            ids, langs, marks, texts = batch.columns
             for c in tc.chunks(texts):
                 w = tc.words(c)
                 hashes = tc.word_hashes(c, w)
@@ -178,8 +178,8 @@ def _scores(model, order: int):
                     repeats.append(repeated_words(hashes[w.first[k] : w.first[k + 1]]))
                 n = c.hi - c.lo
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(c.lo, n), langs.slice(c.lo, n), pa.array(np.diff(w.first)), pa.array(chars), pa.array(symbols), pa.array(lines, pa.int64()), pa.array(repeats, pa.int64()), pa.array(nats, from_pandas=True)],
-                    ["row_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nats"],
+                    [ids.slice(c.lo, n), langs.slice(c.lo, n), marks.slice(c.lo, n), pa.array(np.diff(w.first)), pa.array(chars), pa.array(symbols), pa.array(lines, pa.int64()), pa.array(repeats, pa.int64()), pa.array(nats, from_pandas=True)],
+                    ["row_id", "lang", "hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "nats"],
                 )
 
     return run
@@ -202,8 +202,9 @@ def repeated_words(hashes: np.ndarray, size: int = 3) -> int:
 
 
 def bands(scored: DataFrame, keys: list[str], below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """keys, texts, lower, upper: around the median log-perplexity of the texts that agree in ``keys``."""
-    bins = scored.where("nats is not null and not base_failed").groupBy(*keys, F.round(F.col("nats") / STEP).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    """keys, texts, lower, upper: around the median log-perplexity of the different texts that agree in ``keys``."""
+    once = scored.where("nats is not null and not base_failed").groupBy(*keys, "hash").agg(F.min("nats").alias("nats"))
+    bins = once.groupBy(*keys, F.round(F.col("nats") / STEP).cast("long").alias("bin")).agg(F.count("*").alias("n"))
     q = bins.groupBy(*keys).agg(F.percentile("bin", [0.25, 0.5, 0.75], F.col("n")).alias("q"), F.sum("n").alias("texts"))
     spread = F.greatest((F.col("q")[2] - F.col("q")[0]) * STEP / 1.349, F.lit(LEAST_SPREAD))
     middle = F.col("q")[1] * STEP
@@ -226,15 +227,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     base_failed: under 50 words, or over half of them in repeated 3-word windows. Of the
     others, those are kept whose log-perplexity (nats per byte) lies in the band of their
-    language and length; a null language is a language of its own. A text too short for an n-gram has
+    language and length; a null language is a language of its own. Bands and model count each
+    different text once, however many rows copy it. A text too short for an n-gram has
     no perplexity and fails by its words. Null texts have no words. Rows are judged one by
     one, so repeated rows and ids get equal verdicts. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(kneser_ney(rows.select("text"), scratch))
+    rows = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
+    different = rows.dropDuplicates(["hash"]).select("text")
+    model = docs.sparkSession.sparkContext.broadcast(kneser_ney(different, scratch))
     kind = dict(docs.dtypes)[id_col]
-    scored = rows.mapInArrow(_scores(model, ORDER), f"row_id {kind}, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nats double")
+    scored = rows.mapInArrow(_scores(model, ORDER), f"row_id {kind}, lang string, hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nats double")
     scored = scratch.keep(scored.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "scored")
     held = with_bands(scored, below, above)
     good = F.coalesce(F.col("nats").between(F.col("lower"), F.col("upper")), F.lit(True))
