@@ -67,3 +67,35 @@ def test_bounds(documents, rng):
     docs = documents(corpus(rng, 100))
     model = langid.train(docs.select("lang", "text"), Scratch(docs.sparkSession), most_words=2, most_grams=3)
     assert len(model.items[0]) <= 6 and all(len(i) <= 9 for i in model.items[1:])
+
+
+def invented(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 10))) for _ in range(n)]
+
+
+def test_a_rare_label_takes_no_others(documents, rng):
+    common, rare = invented(rng, 3000), invented(rng, 60)
+    rows = [(k, " ".join(rng.choice(common) for _ in range(100)), "aa", "s") for k in range(200)]
+    ids = [k for k in range(1000, 1100) if not held_out(k)][:1] + [k for k in range(1000, 1100) if held_out(k)][:3]
+    rows += [(k, " ".join(rng.sample(rare, 50)), "zz", "s") for k in ids]
+    truth = {r[0]: r[2] for r in rows}
+    assert all(r.lang_pred == truth[r.doc_id] for r in langid.identify(documents(rows)).collect())
+
+
+def test_more_than_200_labels(documents, rng):
+    rows = []
+    for label in range(230):
+        lexicon = invented(rng, 8)
+        rows += [(label * 10 + k, " ".join(rng.choices(lexicon, k=20)), f"l{label:03d}", "s") for k in range(6)]
+    truth, learned = {r[0]: r[2] for r in rows}, {r[2] for r in rows if not held_out(r[0])}
+    out = langid.identify(documents(rows)).collect()
+    assert len(learned) > 200 and all(r.lang_pred == truth[r.doc_id] for r in out if truth[r.doc_id] in learned)
+
+
+def test_a_kept_word_has_its_counts_in_all_languages(documents):
+    from tidemark.llm.shared import Scratch
+
+    docs = documents([(1, "mara " * 10, "aa"), (2, "dorf " * 10 + "mara " * 5, "bb")])
+    model = langid.train(docs.select("lang", "text"), Scratch(docs.sparkSession), most_words=1)
+    row = model.items[0]["mara"]
+    assert sorted(model.of[model.first[row] : model.first[row + 1]].tolist()) == [0, 1]

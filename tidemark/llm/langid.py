@@ -1,10 +1,11 @@
 """Language identification: known words first, shorter and shorter n-grams for the others.
 
 Spark counts the words of each language and, of the same words, their character n-grams.
-The model keeps the most frequent words and n-grams of each language up to documented bounds,
-so its size is bounded whatever the corpus; the counting covers every training text. A known
-word scores by its log frequency in each language; an unknown one by the mean over its known
-n-grams of the longest order that has any.
+Every language of the training texts is learned. The model keeps the most frequent words and
+n-grams of each language up to documented bounds; a kept one has its counts in all languages,
+and the counting covers every training text. A known word scores by its log frequency in each
+language, or by one floor for all languages where it was never seen; an unknown one by the mean
+over its known n-grams of the longest order that has any.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from tidemark.llm.shared import Scratch
 
 MOST_WORDS = 20_000  # of one language in the model
 MOST_GRAMS = 20_000  # of one language and order
-MOST_LANGUAGES = 200  # those with most training texts
 LONGEST = 4
 FLUSH = 400_000
 UNKNOWN = "und"
@@ -86,22 +86,27 @@ def _counted(batches):
 
 
 class Model(NamedTuple):
-    """Languages in order; words and n-grams by order, each to a row of log-probabilities by language."""
+    """Languages in order; words and n-grams by order, each to a row.
+
+    Row k has entries first[k] to first[k + 1]: the languages that have the item, and by how
+    much its log-probability lies above the floor of its order.
+    """
 
     langs: list[str]
     items: list[dict[str, int]]
-    logs: np.ndarray
+    first: np.ndarray
+    of: np.ndarray
+    gains: np.ndarray
 
 
 def train(rows: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
     """A model of (lang, text); both non-null."""
     counts = scratch.keep(rows.mapInArrow(_counted, "lang string, order int, item string, n long").groupBy("lang", "order", "item").agg(F.sum("n").alias("n")), "counts")
-    seen = counts.where("order = -1").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang").collect()
-    langs = sorted(r.lang for r in seen)
+    langs = sorted(r.lang for r in counts.where("order = -1").select("lang").collect())
     items: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
     if not langs:
-        return Model(langs, items, np.zeros((0, 0), np.float32))
-    counts = counts.where(F.col("order") >= 0).where(F.col("lang").isin(langs))
+        return Model(langs, items, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    counts = counts.where(F.col("order") >= 0)
     totals = {(r.lang, r.order): (r.total, r.kinds) for r in counts.groupBy("lang", "order").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).collect()}
     bins = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(1.02), F.floor(F.log(1.02, F.col("n").cast("double")))).cast("long"))
     limits = []
@@ -117,7 +122,8 @@ def train(rows: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_
         if least is not None:
             limits.append((lang, order, int(least)))
     spark = rows.sparkSession
-    kept = counts.join(F.broadcast(spark.createDataFrame(limits, "lang string, order int, least long")), ["lang", "order"]).where("n >= least").select("lang", "order", "item", "n").toArrow()
+    kept = counts.join(F.broadcast(spark.createDataFrame(limits, "lang string, order int, least long")), ["lang", "order"]).where("n >= least").select("order", "item").distinct()
+    kept = counts.join(kept, ["order", "item"]).select("lang", "order", "item", "n").toArrow()
     lang_at = {lang: k for k, lang in enumerate(langs)}
     places, langs_of, orders_of, n = [], [], [], kept.column("n").to_numpy()
     row = 0
@@ -129,14 +135,15 @@ def train(rows: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_
         places.append(at)
         langs_of.append(lang_at[lang])
         orders_of.append(order)
-    table = np.zeros((row, len(langs)))
-    np.add.at(table, (places, langs_of), n)
-    order_of_row = np.zeros(row, int)
-    order_of_row[places] = orders_of
+    places, langs_of, orders_of = (np.array(x, np.int64) for x in (places, langs_of, orders_of))
     total = np.array([[totals.get((lang, o), (0, 0))[0] for lang in langs] for o in range(LONGEST + 1)], float)
     kinds = np.array([[totals.get((lang, o), (0, 0))[1] for lang in langs] for o in range(LONGEST + 1)], float)
-    logs = np.log((table + _ALPHA) / (total + _ALPHA * (kinds + 1))[order_of_row])
-    return Model(langs, items, logs.astype(np.float32))
+    mass = total + _ALPHA * (kinds + 1)
+    gains = np.log((n + _ALPHA) / mass[orders_of, langs_of]) - np.log(_ALPHA / mass.max(axis=1))[orders_of]  # the floor: unseen in the largest
+    by_row = np.argsort(places, kind="stable")
+    first = np.zeros(row + 1, np.int64)
+    np.cumsum(np.bincount(places, minlength=row), out=first[1:])
+    return Model(langs, items, first, langs_of[by_row], gains[by_row])
 
 
 class Scorer:
@@ -154,6 +161,13 @@ class Scorer:
                 return known
         return []
 
+    def gained(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """By language, the weighted gains of the rows."""
+        lo = self.model.first[rows]
+        sizes = self.model.first[rows + 1] - lo
+        at = np.arange(sizes.sum()) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
+        return np.bincount(self.model.of[at], np.repeat(weights, sizes) * self.model.gains[at], len(self.model.langs))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """The best language and its share of the evidence per word (of equal ones the first by name)."""
         words = letters(text) if text else []
@@ -168,7 +182,7 @@ class Scorer:
             weights = np.concatenate([weights, np.repeat(1 / sizes, sizes)]) if unseen else weights
             for known in unseen:
                 rows += known
-        sums = (weights @ self.model.logs[rows] if rows else np.zeros(len(self.model.langs))) / len(words)
+        sums = self.gained(np.array(rows, np.int64), weights) / len(words)  # above the floor, which is the same for all
         best = int(sums.argmax())
         return self.model.langs[best], float(1 / np.exp(sums - sums[best]).sum())
 
