@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -61,12 +64,52 @@ def test_carried_columns(documents, rng, carry):
     assert out.columns == [*(docs.columns if carry else ["doc_id"]), "__held_out", "__lang_pred", "__score"]
 
 
-def test_bounds(documents, rng):
-    from tidemark.llm.shared import Scratch
-
-    docs = documents(corpus(rng, 100))
-    model = langid.train(docs.select("lang", "text"), Scratch(docs.sparkSession), most_words=2, most_grams=3)
-    assert len(model.items[0]) <= 6 and all(len(i) <= 9 for i in model.items[1:])
+def test_sample_is_shared_among_languages(spark):
+    rows = spark.range(20_000).selectExpr("case when id < 15000 then 'aa' when id < 19900 then 'bb' else concat('l', id % 10) end lang", "'t' text", "xxhash64(id) draw")
+    got = {r.lang: r["count"] for r in langid.sampled(rows, 2000).groupBy("lang").count().collect()}
+    assert all(got[f"l{k}"] == 10 for k in range(10)) and abs(got["aa"] - 950) < 120 and abs(got["bb"] - 950) < 120
+    assert langid.sampled(rows, 100_000).count() == 20_000
+    assert langid.sampled(rows.limit(0), 10).collect() == []
+
+
+def by_hand(rows, text):
+    """The scores of a text from counts in dictionaries."""
+    counts = {}
+    for lang, t in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            for order in range(langid.LONGEST + 1):
+                for item in [w] if not order else [f" {w} "[k : k + order] for k in range(len(w) + 3 - order)]:
+                    own = counts.setdefault(order, {}).setdefault(lang, Counter())
+                    own[item] += 1
+    langs = sorted({lang for lang, _ in rows})
+
+    def logs(order, item):
+        mass = [sum(counts[order].get(g, {}).values()) + 0.5 * (len(counts[order].get(g, {})) + 1) for g in langs]
+        return [math.log((counts[order][g][item] + 0.5) / m) if item in counts[order].get(g, {}) else math.log(0.5 / max(mass)) for g, m in zip(langs, mass)]
+
+    known = lambda order, item: any(item in c for c in counts[order].values())
+    sums, found = [0.0] * len(langs), re.findall(r"[^\W\d_]+", text.lower())
+    floor = lambda order: math.log(0.5 / max(sum(counts[order].get(g, {}).values()) + 0.5 * (len(counts[order].get(g, {})) + 1) for g in langs))
+    for w in found:
+        order, items = 0, [w]
+        if not known(0, w):
+            for order in range(langid.LONGEST, 0, -1):
+                items = [g for k in range(len(w) + 3 - order) if known(order, g := f" {w} "[k : k + order])]
+                if items:
+                    break
+        for item in items:
+            sums = [s + (v - floor(order)) / len(items) / len(found) for s, v in zip(sums, logs(order, item))]
+    best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+    return langs[best], 1 / sum(math.exp(s - sums[best]) for s in sums)
+
+
+def test_scores_as_by_hand(documents, rng, monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", 7)
+    rows = corpus(rng, 60) + [(500, "mara schnakdorf xqzw tolinveske Zoé", "bb", "s"), (501, "wirtklop lum ñ", None, None)]
+    learned = [(lang, t) for d, t, lang, _ in rows if lang and not held_out(d)]
+    for r in langid.identify(documents(rows)).collect():
+        lang, score = by_hand(learned, next(t for d, t, *_ in rows if d == r.doc_id))
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-9
 
 
 def invented(rng, n):
@@ -92,10 +135,10 @@ def test_more_than_200_labels(documents, rng):
     assert len(learned) > 200 and all(r.lang_pred == truth[r.doc_id] for r in out if truth[r.doc_id] in learned)
 
 
-def test_a_kept_word_has_its_counts_in_all_languages(documents):
+def test_a_word_has_its_counts_in_all_languages(documents):
     from tidemark.llm.shared import Scratch
 
     docs = documents([(1, "mara " * 10, "aa"), (2, "dorf " * 10 + "mara " * 5, "bb")])
-    model = langid.train(docs.select("lang", "text"), Scratch(docs.sparkSession), most_words=1)
+    model = langid.train(docs.select("lang", "text"), Scratch(docs.sparkSession))
     row = model.items[0]["mara"]
     assert sorted(model.of[model.first[row] : model.first[row + 1]].tolist()) == [0, 1]

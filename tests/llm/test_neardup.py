@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import collected, words
+from tests.llm.test_repeats import thue_morse
 from tidemark.llm import neardup
 from tidemark.llm import textcore as tc
+from tidemark.llm.shared import Scratch
 
 
 def shingles(text):
@@ -45,7 +47,7 @@ def near(rng, base, edits):
     return w
 
 
-def test_components_as_brute_force(documents, rng):
+def test_links_as_brute_force(documents, rng):
     rows, k = [], 0
     for _ in range(12):
         base = words(rng, rng.choice([8, 30, 120, 300]), 5000)
@@ -109,7 +111,50 @@ def test_estimate(rng, shared):
 
 
 def test_windows_of_words():
-    h = tc.mix(np.arange(100, dtype=np.uint64))
-    for size in (2, 5, 20):
-        w = tc.windows(np.concatenate([h, h]), size)
-        assert len(w) == 201 - size and (w[:50] == w[100:150])[: 101 - size].all() and len(np.unique(w)) == 100
+    h = np.arange(100, dtype=np.uint64)
+    names = tc.Names(tc.mix(np.concatenate([h, h])), tc.mix(np.concatenate([h, h]), 1))
+    for size in (1, 2, 5, 20):
+        for w in tc.windows(names, size):
+            assert len(w) == 201 - size and (w[:50] == w[100:150])[: 101 - size].all() and len(np.unique(w)) == 100
+
+
+def test_words_that_polynomial_hashes_confuse(documents):
+    x, y = thue_morse(10)
+    rows = [(1, " ".join([x] * 9)), (2, " ".join([y] * 9)), (3, " ".join([x, y] * 5)), (4, " ".join([y, x] * 5)), (5, x), (6, y), (7, x[:60]), (8, y[:60])]
+    assert collected(neardup.near_duplicates(documents(rows)), *COLUMNS) == brute(rows)
+
+
+def test_links_are_confirmed_on_words(rng):
+    a = words(rng, 104, 10**6)
+    for n in (89, 88):
+        x, y = (" ".join(w).encode() for w in (a, a[:n]))
+        assert neardup._exactly(x, y, 5, 85, 100) == (n == 89)
+    assert neardup._exactly(b"a b", b" a  b", 5, 85, 100) and not neardup._exactly(b"a b", b"b a", 5, 85, 100)
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_components_of_a_path_take_few_rounds(spark, turn):
+    n = 512
+    edges = spark.createDataFrame([(k, k + 1) for k in range(1, n)][::turn], "a long, b long")
+    scratch = Scratch(spark)
+    assert sorted(map(tuple, neardup.components(edges, scratch).collect())) == [(k, 1) for k in range(1, n + 1)]
+    assert scratch._n < 40
+
+
+def test_components_as_brute_force(spark, rng):
+    pairs = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)]
+    root = list(range(120))
+    for _ in range(120):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    found = neardup.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark))
+    linked = {k for a, b in pairs if a != b for k in (a, b)}
+    assert sorted(map(tuple, found.collect())) == sorted((k, root[k]) for k in linked)
+    assert neardup.components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).collect() == []
+
+
+def test_a_frequent_set_is_spread(documents, rng):
+    """A third of the rows are copies: the class is broadcast, the others are joined, and all rows are there once."""
+    rows = [(k, " ".join(words(rng, 30, 10**6))) for k in range(40)]
+    rows += [(100 + k, rows[7][1]) for k in range(20)]
+    assert collected(neardup.near_duplicates(documents(rows)), *COLUMNS) == brute(rows)

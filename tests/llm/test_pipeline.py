@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import words
@@ -69,3 +70,15 @@ def test_odd_rows(spark, documents, odd, rng):
         assert {k for k in range(200, 210)} <= {r.doc_id for r in out.collect()}
         assert stage(spark, docs.limit(0), SF).collect() == []
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
+def test_columns_with_names_used_inside(spark, documents, rng):
+    docs = documents([(200 + k, " ".join(words(rng, 80)), "en", "s") for k in range(12)])
+    names = "row row_0 doc mark kept found foundlang_pred foundscore __row __kept __lang_pred hash nats lang_pred kept_text uid_0 key a b".split()
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    want = sorted(map(tuple, docs.collect()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == want
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 12

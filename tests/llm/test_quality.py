@@ -4,9 +4,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from tests.llm.conftest import by_null, collected, words
+from tests.llm.test_repeats import thue_morse
 from tidemark.llm import quality
 from tidemark.llm import textcore as tc
 from tidemark.llm.shared import Scratch
@@ -104,9 +104,62 @@ def test_copies_of_one_text_do_not_narrow_the_bands(documents, rng):
     assert all(out.values())
 
 
-@pytest.mark.parametrize("most", [50, 500])
-def test_bounded_model(spark, rng, most):
-    texts = spark.createDataFrame([(" ".join(words(rng, 60, 90)),) for _ in range(50)], "text string")
-    model = quality.kneser_ney(texts, Scratch(spark), most=most)
-    assert all(len(grams) <= most for grams, *_ in model.orders)
-    assert np.isfinite(model.log_probabilities(np.arange(1000) + int.from_bytes(b"w1 w1", "big"))).all()
+def test_model_in_many_files(spark, rng, monkeypatch):
+    """Whatever a worker remembers of the files, the probabilities are those of the whole model, and sum to 1."""
+    texts = spark.createDataFrame([(" ".join(words(rng, 60, 900)),) for _ in range(80)], "text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        model = quality.kneser_ney(texts, Scratch(spark))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    files = model.orders[-1][0].files
+    assert len(files) > 2 and all(a[2] < b[1] for a, b in zip(files, files[1:]))
+    contexts = [b"w1 w", b" w10", b"w99 ", b"zzzz", b"w\x00\xff "]
+    keys = np.array([int.from_bytes(c + bytes([b]), "big") for c in contexts for b in range(256)])
+    want = model.log_probabilities(keys)
+    assert np.allclose(np.exp(want).reshape(len(contexts), 256).sum(axis=1), 1)
+    monkeypatch.setattr(quality, "REMEMBERED_BYTES", 1)
+    quality._READ.clear()
+    assert (model.log_probabilities(keys) == want).all() and len(quality._READ) == 1
+
+
+def test_verdicts_as_from_bands_by_hand(documents, rng):
+    """Bands recomputed from the scores: quartiles over different texts of a language and length, or of the language."""
+    rows = []
+    for k in range(260):
+        lang = ("aa", "bb", None)[k % 3]
+        w = words(rng, rng.choice([60, 80, 140, 200, 300]), 300 if lang == "aa" else 90)
+        if k % 29 == 0:
+            w = [f"{rng.getrandbits(60):x}" for _ in w]
+        rows.append((k, " ".join(w), lang, "s"))
+    rows += [(1000 + k, rows[4][1], rows[4][2], "s") for k in range(90)]
+    found = {r.doc_id: r for r in quality.judge(documents(rows)).collect()}
+    groups = defaultdict(dict)
+    for doc, text, lang, _ in rows:
+        if not found[doc].base_failed:
+            groups[lang][text] = groups[lang, int(math.log2(found[doc].n_words))][text] = found[doc].nats
+
+    def band(group):
+        q = np.percentile(np.round(np.array(list(group.values())) / quality.STEP), [25, 50, 75]) * quality.STEP
+        spread = max((q[2] - q[0]) / 1.349, quality.LEAST_SPREAD)
+        return q[1] - quality.BELOW * spread, q[1] + quality.ABOVE * spread
+
+    kept = {}
+    for doc, text, lang, _ in rows:
+        r = found[doc]
+        near = groups[lang, int(math.log2(max(r.n_words, 1)))]
+        lower, upper = band(near if len(near) >= quality.LEAST_TEXTS else groups[lang])
+        kept[doc] = not r.base_failed and lower <= r.nats <= upper
+    assert kept == {d: r.kept for d, r in found.items()}
+    assert not all(kept.values()) and sum(kept.values()) > 200
+
+
+def test_repeated_words_that_polynomial_hashes_confuse(documents):
+    x, y = thue_morse(10)
+    rows = [(1, " ".join([x, y, y, x, y, x, x, y])), (2, " ".join([x, x, y, y] * 3))]
+    assert collected(quality.judge(documents(rows)), *COLUMNS) == brute(rows)
+
+
+def test_no_language_is_not_an_empty_one(documents, rng):
+    rows = [(k, " ".join(words(rng, 80, 300)), None, "s") for k in range(40)] + [(100 + k, " ".join(f"{rng.getrandbits(60):x}" for _ in range(60)), "", "s") for k in range(40)]
+    assert all(r.kept for r in quality.judge(documents(rows)).collect())

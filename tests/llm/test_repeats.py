@@ -1,10 +1,12 @@
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import by_null, collected, words
-from tidemark.llm import passages, suffixes
+from tidemark.llm import passages, repeats, suffixes
+from tidemark.llm import textcore as tc
 
 
 def brute_bytes(rows, length):
@@ -96,3 +98,52 @@ def test_stripped_texts(documents, rng):
     assert got == {i: sha for i, (n, sha) in want.items() if n}
     untouched = {i: t for i, t in rows if want[i][1] == hashlib.sha256(b" ".join(t.encode().split())).hexdigest()}
     assert all(r.text == untouched[r.doc_id] for r in left.collect() if r.doc_id in untouched)
+
+
+def thue_morse(k, a="a", b="b"):
+    """Two different words whose polynomial hashes modulo a power of two agree for every odd base."""
+    x, y = a, b
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_polynomial_hashes_confuse(documents):
+    x, y = thue_morse(10)
+    rows = [(1, " ".join([x] * 60)), (2, " ".join([y] * 60)), (3, " ".join(thue_morse(10, "p", "q")[k % 2] for k in range(60)))]
+    rows += [(4, "".join(thue_morse(10))), (5, "".join(reversed(thue_morse(10))))]
+    assert collected(passages.remove_repeated_passages(documents(rows)), *WORDS) == brute_words(rows, 50)
+    assert collected(suffixes.remove_repeated_bytes(documents(rows)), *BYTES) == brute_bytes(rows, 200)
+
+
+def test_a_frequent_line_among_others(documents, rng):
+    """One long line in every text, and near copies: buckets with many extents, some in one part and some in several."""
+    line = " ".join(words(rng, 60))
+    base = words(rng, 150)
+    rows = [(k, " ".join(words(rng, 30)) + "\n" + line + "\n" + " ".join(words(rng, 30))) for k in range(30)]
+    for k in range(30):
+        w = list(base)
+        w[rng.randrange(150)] = f"e{k}"
+        rows.append((100 + k, " ".join(w)))
+    docs = documents(rows).repartition(5)
+    assert collected(suffixes.remove_repeated_bytes(docs), *BYTES) == brute_bytes(rows, 200)
+    assert collected(passages.remove_repeated_passages(docs), *WORDS) == brute_words(rows, 50)
+
+
+def test_long_texts_go_in_stretches(documents, rng, monkeypatch):
+    monkeypatch.setattr(tc, "CHUNK_BYTES", 300)
+    long = words(rng, 700)
+    rows = [(1, " ".join(long)), (2, " ".join(long[100:400] + words(rng, 50) + long[380:])), (3, " ".join(long[300:360]))]
+    parts = repeats.byte_parts(200, 64)
+    pieces = list(parts(pa.array([rows[0][1]])))
+    assert len(pieces) > 3 and sum(len(p.grams.a) - 136 for p in pieces) == len(rows[0][1]) - 199
+    seen = set()
+    for p in pieces:
+        runs = repeats.runs_of(p, 200, 64)
+        seen |= {s + p.base for lo, hi in zip(runs.lo.tolist(), runs.hi.tolist()) for s in range(lo, hi + 1)}
+    assert seen == set(range(len(rows[0][1]) - 199))
+
+
+def test_ids_of_another_type(spark):
+    docs = spark.createDataFrame([("x", "ab" * 150), ("y", "ab" * 150), (None, "c" * 50)], "doc_id string, text string")
+    assert collected(suffixes.remove_repeated_bytes(docs), "doc_id", "n_removed", "n_spans") == [("x", 300, 1), ("y", 300, 1), (None, 0, 0)]

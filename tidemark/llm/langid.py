@@ -1,17 +1,20 @@
 """Language identification: known words first, shorter and shorter n-grams for the others.
 
-Spark counts the words of each language and, of the same words, their character n-grams.
-Every language of the training texts is learned. The model keeps the most frequent words and
-n-grams of each language up to documented bounds; a kept one has its counts in all languages,
-and the counting covers every training text. A known word scores by its log frequency in each
-language, or by one floor for all languages where it was never seen; an unknown one by the mean
-over its known n-grams of the longest order that has any.
+The classifier is fitted on a sample of the labelled texts: ``MOST_TEXTS`` of them (expected),
+an equal share for each language, or all of a language that has fewer. Every language is
+learned. Spark counts the sample's words by language and, of the same words, their character
+n-grams; the model keeps all of these, so its size is bounded by the sample and by nothing
+else. A known word scores by its log frequency in each language, or by one floor for all
+languages where it was never seen; an unknown one by the mean over its known n-grams of the
+longest order that has any. Texts are scored whole, a slice of their words at a time.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -21,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Scratch
 
-MOST_WORDS = 20_000  # of one language in the model
-MOST_GRAMS = 20_000  # of one language and order
+MOST_TEXTS = 30_000  # labelled texts that the classifier is fitted on
+SLICE = 20_000  # words that are scored at once
 LONGEST = 4
 FLUSH = 400_000
 UNKNOWN = "und"
@@ -30,10 +33,10 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _ALPHA = 0.5
 
 
-def letters(text: str) -> list[str]:
+def letters(text: str) -> Iterator[str]:
     """Lower-cased runs of letters; none if no character is alphabetic."""
-    found = _LETTERS.findall(text.lower())
-    return found if any(any(c.isalpha() for c in w) for w in found) else []
+    if any(map(str.isalpha, text)):
+        yield from (m[0] for m in _LETTERS.finditer(text.lower()))
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -99,48 +102,42 @@ class Model(NamedTuple):
     gains: np.ndarray
 
 
-def train(rows: DataFrame, scratch: Scratch, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
-    """A model of (lang, text); both non-null."""
-    counts = scratch.keep(rows.mapInArrow(_counted, "lang string, order int, item string, n long").groupBy("lang", "order", "item").agg(F.sum("n").alias("n")), "counts")
-    langs = sorted(r.lang for r in counts.where("order = -1").select("lang").collect())
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """(lang, text) of about ``most`` rows of (lang, text, draw), equally many of each language as far as there are."""
+    left = sorted((r.n, r.lang) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    room, shares = most, []
+    for k, (n, lang) in enumerate(left):
+        fair = max(1.0, room / (len(left) - k))
+        shares.append((lang, min(1.0, fair / n)))
+        room -= min(n, fair)
+    share = rows.sparkSession.createDataFrame(shares, "lang string, share double")
+    drawn = F.shiftrightunsigned("draw", 11) * F.lit(2.0**-53)
+    return rows.join(F.broadcast(share), "lang").where(drawn < F.col("share")).select("lang", "text")
+
+
+def train(rows: DataFrame, scratch: Scratch) -> Model:
+    """A model of (lang, text); both non-null. It holds all words and n-grams of the rows."""
+    counts = scratch.keep(rows.mapInArrow(_counted, "lang string, order int, item string, n long").groupBy("lang", "order", "item").agg(F.sum("n").alias("n")), "counts").toArrow()
+    orders_of, n = counts.column("order").to_numpy(), counts.column("n").to_numpy()
+    langs = sorted(counts.filter(pa.array(orders_of == -1)).column("lang").to_pylist())
     items: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
     if not langs:
         return Model(langs, items, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    counts = counts.where(F.col("order") >= 0)
-    totals = {(r.lang, r.order): (r.total, r.kinds) for r in counts.groupBy("lang", "order").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).collect()}
-    bins = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(1.02), F.floor(F.log(1.02, F.col("n").cast("double")))).cast("long"))
-    limits = []
-    sizes: dict[tuple, list] = {}
-    for r in counts.groupBy("lang", "order", bins.alias("bin")).agg(F.count("*").alias("size")).collect():
-        sizes.setdefault((r.lang, r.order), []).append((r.bin, r.size))
-    for (lang, order), own in sizes.items():
-        room, least = (most_words if order == 0 else most_grams), None
-        for size_bin, size in sorted(own, reverse=True):
-            if size > room:
-                break
-            room, least = room - size, size_bin
-        if least is not None:
-            limits.append((lang, order, int(least)))
-    spark = rows.sparkSession
-    kept = counts.join(F.broadcast(spark.createDataFrame(limits, "lang string, order int, least long")), ["lang", "order"]).where("n >= least").select("order", "item").distinct()
-    kept = counts.join(kept, ["order", "item"]).select("lang", "order", "item", "n").toArrow()
+    counts = counts.filter(pa.array(orders_of >= 0))
+    n, orders_of = n[orders_of >= 0], orders_of[orders_of >= 0]
     lang_at = {lang: k for k, lang in enumerate(langs)}
-    places, langs_of, orders_of, n = [], [], [], kept.column("n").to_numpy()
-    row = 0
-    for lang, order, item in zip(kept.column("lang").to_pylist(), kept.column("order").to_pylist(), kept.column("item").to_pylist(), strict=True):
-        at = items[order].get(item)
-        if at is None:
-            at = items[order][item] = row
-            row += 1
-        places.append(at)
-        langs_of.append(lang_at[lang])
-        orders_of.append(order)
-    places, langs_of, orders_of = (np.array(x, np.int64) for x in (places, langs_of, orders_of))
-    total = np.array([[totals.get((lang, o), (0, 0))[0] for lang in langs] for o in range(LONGEST + 1)], float)
-    kinds = np.array([[totals.get((lang, o), (0, 0))[1] for lang in langs] for o in range(LONGEST + 1)], float)
+    langs_of = np.array([lang_at[lang] for lang in counts.column("lang").to_pylist()], np.int64)
+    places, row = np.zeros(len(n), np.int64), 0
+    for k, (order, item) in enumerate(zip(orders_of.tolist(), counts.column("item").to_pylist(), strict=True)):
+        at = items[order].setdefault(item, row)
+        row += at == row
+        places[k] = at
+    total, kinds = np.zeros((LONGEST + 1, len(langs))), np.zeros((LONGEST + 1, len(langs)))
+    np.add.at(total, (orders_of, langs_of), n)
+    np.add.at(kinds, (orders_of, langs_of), 1)
     mass = total + _ALPHA * (kinds + 1)
     gains = np.log((n + _ALPHA) / mass[orders_of, langs_of]) - np.log(_ALPHA / mass.max(axis=1))[orders_of]  # the floor: unseen in the largest
-    by_row = np.argsort(places, kind="stable")
+    by_row = np.lexsort((langs_of, places))
     first = np.zeros(row + 1, np.int64)
     np.cumsum(np.bincount(places, minlength=row), out=first[1:])
     return Model(langs, items, first, langs_of[by_row], gains[by_row])
@@ -168,11 +165,8 @@ class Scorer:
         at = np.arange(sizes.sum()) + np.repeat(lo - np.cumsum(sizes) + sizes, sizes)
         return np.bincount(self.model.of[at], np.repeat(weights, sizes) * self.model.gains[at], len(self.model.langs))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The best language and its share of the evidence per word (of equal ones the first by name)."""
-        words = letters(text) if text else []
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """By language, the sum of the words' gains."""
         found = list(map(self.word, words))
         rows = [at for at in found if at is not None]
         weights = np.ones(len(rows))
@@ -182,7 +176,17 @@ class Scorer:
             weights = np.concatenate([weights, np.repeat(1 / sizes, sizes)]) if unseen else weights
             for known in unseen:
                 rows += known
-        sums = self.gained(np.array(rows, np.int64), weights) / len(words)  # above the floor, which is the same for all
+        return self.gained(np.array(rows, np.int64), weights)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The best language and its share of the evidence per word (of equal ones the first by name)."""
+        words, n, sums = letters(text or ""), 0, np.zeros(len(self.model.langs))
+        while part := list(islice(words, SLICE)):
+            n += len(part)
+            sums += self.evidence(part)
+        if not n or not self.model.langs:
+            return UNKNOWN, 0.0
+        sums /= n  # above the floor, which is the same for all
         best = int(sums.argmax())
         return self.model.langs[best], float(1 / np.exp(sums - sums[best]).sum())
 
@@ -204,19 +208,20 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False, prefix: str = "") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False, prefix: str = "", most_texts: int = MOST_TEXTS) -> DataFrame:
     """id, held_out, lang_pred, score for every row of ``docs``; with ``carry`` all its columns come along,
     and ``prefix`` keeps the added names apart from them.
 
     The model learns from rows that are not held out (crc32 of the id as text, modulo 3, is
-    1) and have a text and a language; rows without an id are not held out. The prediction
-    uses the text alone. lang_pred is a learned language, or 'und' with score 0 for a null
+    1) and have a text and a language, or from a sample of about ``most_texts`` of them where
+    there are more; rows without an id are not held out. The prediction uses the text alone. lang_pred is a learned language, or 'und' with score 0 for a null
     text, one without a letter, or if nothing could be learned. score is the best language's
-    share, 1 / languages to 1. Repeated rows get equal predictions. Other columns are ignored.
+    share, 1 / languages to 1. Very long texts are scored in slices. Repeated rows get equal predictions. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    learn = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), is_held_out(F.col(id_col)).alias("held_out")).where("not held_out and text is not null and lang is not null").select("lang", "text")
-    model = docs.sparkSession.sparkContext.broadcast(train(learn, scratch))
+    learn = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), is_held_out(F.col(id_col)).alias("held_out"), F.xxhash64(id_col, text_col).alias("draw"))
+    learn = learn.where("not held_out and text is not null and lang is not null").select("lang", "text", "draw")
+    model = docs.sparkSession.sparkContext.broadcast(train(sampled(learn, most_texts), scratch))
     kept = docs.columns if carry else [id_col]
     marks = [F.col(c).alias(f"c{k}") for k, c in enumerate(kept)]
     rows = docs.select(F.col(text_col).alias("text"), *marks, is_held_out(F.col(id_col)).alias("held_out"))

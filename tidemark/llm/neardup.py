@@ -4,9 +4,10 @@ A document's shingle set is summarised by registers of exponentially spaced, tru
 minima. Sketches of a union are register-wise maxima, and equal registers are as likely
 as shared elements. Bands of registers propose pairs, a joint maximum-likelihood estimate
 of the similarity drops those far below the threshold, and the rest are verified on the
-full sets. Equal sets are one class before anything is compared; in a bucket of many
-classes each is first compared with one hub, and only classes that then remain in
-different components are compared with each other, in blocks that registers thin out.
+full sets, word for word. Equal sets (by the sums of two independent 64-bit lanes) are one
+class before anything is compared; in a bucket of many classes each is first compared with
+one hub, and only classes that then remain in different components are compared with each
+other, in blocks that registers thin out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcore as tc
-from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import Scratch, join_spread
 
 REGISTERS = 163  # prime, so that any step visits all of them
 BANDS, ROWS = 32, 5
@@ -93,14 +94,14 @@ def _sketches(size: int):
             ids = batch.column(0)
             for c in tc.chunks(batch.column(1)):
                 w = tc.words(c)
-                hashes = tc.word_hashes(c, w, lower=True)
+                names = tc.word_names(c, w, lower=True)
                 n, f1, f2, out = [], [], [], []
                 for k in range(c.hi - c.lo):
-                    s = tc.shingle_set(hashes[w.first[k] : w.first[k + 1]], size)
-                    n.append(len(s))
-                    f1.append(int(tc.mix(s, 11).sum(dtype=tc.U64).view(np.int64)))
-                    f2.append(int(tc.mix(s, 12).sum(dtype=tc.U64).view(np.int64)))
-                    out.append(registers(s).tobytes())
+                    s = tc.shingle_set(names.at(slice(w.first[k], w.first[k + 1])), size)
+                    n.append(len(s.a))
+                    f1.append(int(tc.mix(s.a, 11).sum(dtype=tc.U64).view(np.int64)))
+                    f2.append(int(tc.mix(s.b, 12).sum(dtype=tc.U64).view(np.int64)))
+                    out.append(registers(s.a).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(c.lo, c.hi - c.lo), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(out, pa.binary())],
                     ["id", "n_shingles", "f1", "f2", "sketch"],
@@ -119,7 +120,7 @@ def _bands(batches):
         ids = batch.column(0).to_numpy()
         for lo in range(0, len(ids), 2000):
             part = sketch[lo : lo + 2000]
-            keys = np.stack([tc.windows_of_columns(part[:, b * ROWS : (b + 1) * ROWS], b) for b in range(BANDS)], axis=1)
+            keys = np.stack([tc.row_hashes(part[:, b * ROWS : (b + 1) * ROWS], b) for b in range(BANDS)], axis=1)
             turns = np.tile(np.arange(BANDS, dtype=np.int32), len(part))
             yield pa.RecordBatch.from_arrays([pa.array(tc.signed(keys.ravel())), pa.array(turns), pa.array(np.repeat(ids[lo : lo + 2000], BANDS))], ["band", "turn", "node"])
 
@@ -138,12 +139,35 @@ def _plausible(least: float):
     return run
 
 
-def _reaches(h: np.ndarray, s: np.ndarray, numerator: int, denominator: int) -> bool:
-    """Whether two sorted sets reach the threshold."""
-    if not len(h) or not len(s):
+def _reaches(h: tc.Names, s: tc.Names, numerator: int, denominator: int) -> bool:
+    """Whether two sorted sets of names reach the threshold."""
+    if not len(h.a) or not len(s.a):
         return False
-    both = int((h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s).sum())
-    return denominator * both >= numerator * (len(h) + len(s) - both)
+    at = np.minimum(np.searchsorted(h.a, s.a), len(h.a) - 1)
+    both = int(((h.a[at] == s.a) & (h.b[at] == s.b)).sum())
+    return denominator * both >= numerator * (len(h.a) + len(s.a) - both)
+
+
+def _exactly(x: bytes, y: bytes, size: int, numerator: int, denominator: int) -> bool:
+    """Whether two lower-cased texts reach the threshold, by the words themselves.
+
+    Words get numbers, then strings of words do, by doubling: a string's number stands for
+    the numbers of the two shorter ones that cover it.
+    """
+    number: dict[bytes, int] = {}
+    texts = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int64) for t in (x, y)]
+    if any(len(t) < size for t in texts):
+        return np.array_equal(*texts)
+    span = 1
+    while span < size:
+        step = min(span, size - span)
+        pairs = [t[:-step] << 32 | t[step:] for t in texts]
+        flat = np.unique(np.concatenate(pairs), return_inverse=True)[1]
+        texts = [flat[: len(pairs[0])], flat[len(pairs[0]) :]]
+        span += step
+    sets = [np.unique(t) for t in texts]
+    both = len(np.intersect1d(*sets, assume_unique=True))
+    return denominator * both >= numerator * (len(sets[0]) + len(sets[1]) - both)
 
 
 def _across(size: int, least: float, numerator: int, denominator: int):
@@ -154,7 +178,7 @@ def _across(size: int, least: float, numerator: int, denominator: int):
     in the first band that it shares.
     """
 
-    def links(turn, node, comp, n, block, i, j, sketch, sets):
+    def links(turn, node, comp, n, block, i, j, sketch, sets, texts):
         root = {int(c): int(c) for c in np.unique(comp)}
 
         def find(c):
@@ -179,19 +203,21 @@ def _across(size: int, least: float, numerator: int, denominator: int):
             s = sketch[y]
             for z in y[at_least(least, (s < sketch[x]).sum(1), (s > sketch[x]).sum(1), REGISTERS, np.full(len(y), float(n[x])), n[y].astype(float))]:
                 p, q = find(int(comp[x])), find(int(comp[z]))
-                if p != q and _reaches(sets[x], sets[z], numerator, denominator):
+                if p != q and _reaches(sets[x], sets[z], numerator, denominator) and _exactly(texts[x], texts[z], size, numerator, denominator):
                     root[max(p, q)] = min(p, q)
                     yield int(node[x]), int(node[z])
 
     def done(key, rows):
         t = pa.Table.from_batches(rows).combine_chunks()
         node, comp, n, block = (t.column(c).to_numpy() for c in ("node", "comp", "n", "block"))
-        sets = []
+        sets, texts = [], []
         for c in tc.chunks(t.column("text")):
             w = tc.words(c)
-            hashes = tc.word_hashes(c, w, lower=True)
-            sets += [tc.shingle_set(hashes[w.first[k] : w.first[k + 1]], size) for k in range(c.hi - c.lo)]
-        found = list(links(int(t.column("turn")[0].as_py()), node, comp, n, block, key[1], key[2], _matrix(t.column("sketch").combine_chunks()), sets))
+            names = tc.word_names(c, w, lower=True)
+            sets += [tc.shingle_set(names.at(slice(w.first[k], w.first[k + 1])), size) for k in range(c.hi - c.lo)]
+            lowered = tc.lower_cased(c.data)
+            texts += [lowered[c.offsets[k] : c.offsets[k + 1]].tobytes() for k in range(c.hi - c.lo)]
+        found = list(links(int(t.column("turn")[0].as_py()), node, comp, n, block, key[1], key[2], _matrix(t.column("sketch").combine_chunks()), sets, texts))
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
@@ -222,18 +248,19 @@ def _verify(size: int, numerator: int, denominator: int):
             hub, salt, member, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
             for c in tc.chunks(batch.column(4)):
                 w = tc.words(c)
-                hashes = tc.word_hashes(c, w, lower=True)
+                names, lowered = tc.word_names(c, w, lower=True), tc.lower_cased(c.data)
                 a, b = [], []
                 for k in range(c.hi - c.lo):
                     r = c.lo + k
                     if (hub[r], salt[r]) != key:
                         key, hubs = (hub[r], salt[r]), []
-                    s = tc.shingle_set(hashes[w.first[k] : w.first[k + 1]], size)
+                    s = tc.shingle_set(names.at(slice(w.first[k], w.first[k + 1])), size)
+                    text = lowered[c.offsets[k] : c.offsets[k + 1]].tobytes()
                     if not member[r]:
-                        hubs.append(s)
+                        hubs.append((s, text))
                         continue
-                    for h in hubs:
-                        if _reaches(h, s, numerator, denominator):
+                    for h, said in hubs:
+                        if _reaches(h, s, numerator, denominator) and _exactly(said, text, size, numerator, denominator):
                             a.append(int(ids[r]))
                             b.append(int(hub[r]))
                             break
@@ -255,22 +282,29 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, numerator: int, deno
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label: the least node that can be reached; only nodes with an edge.
 
-    Each round maps every node to the least of its neighbours and itself and contracts the
-    edges, so paths shrink geometrically; rounds end when no edge is left between labels.
+    Alternating stars: a node's larger neighbours are hung on its least neighbour, then its
+    smaller ones are, until every component is a star around its least node. Rounds grow
+    with the logarithm of the nodes, on paths too, and edges never grow in number.
     """
-    edges = scratch.keep(edges.select("a", "b").where("a <> b"), "edges")
-    total = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = scratch.keep(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
-        if total is None:
-            total = step
-        else:
-            onward = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            total = scratch.keep(total.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "composed")
-        x, y = step.select(F.col("node").alias("a"), F.col("label").alias("la")), step.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        edges = scratch.keep(edges.join(x, "a").join(y, "b").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "contracted")
-    return total if total is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+    def state(df: DataFrame):
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
+
+    stars = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")  # larger a, smaller b
+    was = state(stars)
+    while was[0]:
+        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = scratch.keep(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        below = large.groupBy("a").agg(F.min("b").alias("m"))
+        hung = large.join(below, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        stars = scratch.keep(hung.unionByName(below.select("a", F.col("m").alias("b"))).distinct(), "small")
+        now = state(stars)
+        if now == was:
+            break
+        was = now
+    centres = stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(centres)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, numerator: int = 85, denominator: int = 100) -> DataFrame:
@@ -279,16 +313,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows are linked if ``denominator`` x intersection >= ``numerator`` x union of their sets
     of distinct ``size``-word shingles (ASCII letters lower-cased; fewer words: the whole
     sequence). component_id is the least id that links reach. Null, empty and blank texts
-    have no shingle and no link. Rows that share an id are one document to the links. A row
-    without an id is alone: component_id is null and it is kept. Other columns are ignored.
+    have no shingle and no link. Ids are numbers, and read as long integers. Rows that share an
+    id are one document to the links. A row without an id is alone: component_id is null and
+    it is kept. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signs = scratch.keep(texts.mapInArrow(_sketches(size), "id long, n_shingles long, f1 long, f2 long, sketch binary"), "signs")
     filled = signs.where("n_shingles > 0 and id is not null")
-    classes = filled.groupBy("f1", "f2").agg(F.min("id").alias("node"))
+    classes = scratch.keep(filled.groupBy("f1", "f2").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
     nodes = scratch.keep(
-        filled.join(classes.withColumnRenamed("node", "id"), ["f1", "f2", "id"], "left_semi").select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "f1", "sketch").dropDuplicates(["node", "f1"]).drop("f1"), "nodes"
+        filled.join(classes.select("f1", "f2", F.col("node").alias("id")), ["f1", "f2", "id"], "left_semi").select(F.col("id").alias("node"), F.col("n_shingles").alias("n"), "f1", "sketch").dropDuplicates(["node", "f1"]).drop("f1"), "nodes"
     )
     banded = nodes.select("node", "sketch").mapInArrow(_bands, "band long, turn int, node long")
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
@@ -320,9 +355,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = scratch.keep(left.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across(size, least, numerator, denominator), "a long, b long").distinct(), "more")
     if not more.isEmpty():
         labels = components(links.unionByName(more), scratch)
-    of_class = classes.join(labels, "node", "left").select("f1", "f2", F.coalesce("label", "node").alias("component"))
-    return signs.join(of_class, ["f1", "f2"], "left").select(
-        F.col("id").alias(id_col),
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"),
-    ).withColumn("component_id", F.when(F.col(id_col).isNotNull(), F.col("component_id"))).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    of_class = classes.join(labels, "node", "left").select("f1", "f2", "copies", F.coalesce("label", "node").alias("component"))
+    placed = join_spread(filled.select("id", "n_shingles", "f1", "f2"), of_class, ["f1", "f2"], "copies").select("id", "n_shingles", F.col("component").alias("component_id"))
+    alone = signs.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return placed.unionByName(alone).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_shingles", "component_id", kept.alias("kept"))

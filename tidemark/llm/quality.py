@@ -1,27 +1,31 @@
 """Quality rules: text statistics, and perplexity under a modified Kneser-Ney model.
 
 The model predicts each byte from the four before it (white space counts as a space). Spark
-counts the n-grams of all different texts; continuation counts, discounts and context weights are
-aggregations of those counts. The model itself is a few sorted arrays: packed n-grams, which
-are their own hashes, with log-probabilities, and packed contexts with backoff weights. Its
-size is bounded by ``MOST_NGRAMS`` for each order: beyond it, the rarest n-grams are left to
-backoff, while every count still enters the statistics.
+counts the n-grams of all different texts; continuation counts, discounts, context weights and
+probabilities are aggregations and joins of those counts. The model is stored as sorted hash
+arrays: packed n-grams, which are their own perfect hashes, with log-probabilities, and packed
+contexts with backoff weights, range by range in files of the shared folder. It holds every
+n-gram of the input. Neither the driver nor a broadcast carries it: a task asks for the
+n-grams of a few megabytes of text at a time, file by file, and remembers files up to a bound.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcore as tc
-from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import Scratch, join_spread
 
 ORDER = 5
-MOST_NGRAMS = 1_000_000
+REMEMBERED_BYTES = 192 << 20  # of the model's arrays in a worker
 LEAST_WORDS = 50
 STEP = 1e-3  # bands are found on log-perplexities in steps of this
 BELOW, ABOVE = 10.0, 6.0  # a band's ends, in robust standard deviations from the median
@@ -77,10 +81,44 @@ def _counts(order: int):
     return run
 
 
+class SortedArrays(NamedTuple):
+    """Sorted keys and their values in files, none overlapping: path, first and last key of each."""
+
+    files: list[tuple[str, int, int]]
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the sorted ``keys`` are there, and the values of those."""
+        found, values = np.zeros(len(keys), bool), np.zeros(len(keys))
+        for path, first, last in self.files:
+            lo, hi = np.searchsorted(keys, first), np.searchsorted(keys, last, side="right")
+            if lo < hi:
+                own, logs = _arrays(path)
+                at = np.minimum(np.searchsorted(own, keys[lo:hi]), len(own) - 1)
+                found[lo:hi] = own[at] == keys[lo:hi]
+                values[lo:hi] = logs[at]
+        return found, values
+
+
+_READ: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()  # a worker's arrays, the latest used last
+
+
+def _arrays(path: str) -> tuple[np.ndarray, np.ndarray]:
+    if path in _READ:
+        _READ.move_to_end(path)
+        return _READ[path]
+    store, where = fs.FileSystem.from_uri(path)
+    t = pq.read_table(where, filesystem=store, partitioning=None)
+    pair = t.column(0).to_numpy(), t.column(1).to_numpy()
+    _READ[path] = pair
+    while len(_READ) > 1 and sum(k.nbytes + v.nbytes for k, v in _READ.values()) > REMEMBERED_BYTES:
+        _READ.popitem(last=False)
+    return pair
+
+
 class Model(NamedTuple):
-    """For each order from 1: sorted n-grams, their log-probabilities, sorted contexts, their log backoff weights."""
+    """For each order from 1, n-grams with log-probabilities and contexts with log backoff weights."""
 
-    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    orders: list[tuple[SortedArrays, SortedArrays]]
     unknown: float
 
     def log_probabilities(self, keys: np.ndarray, order: int | None = None) -> np.ndarray:
@@ -88,76 +126,60 @@ class Model(NamedTuple):
         order = len(self.orders) if order is None else order
         if order == 0:
             return np.full(len(keys), self.unknown)
-        grams, logs, contexts, weights = self.orders[order - 1]
-        out = np.zeros(len(keys))
-        found = np.zeros(len(keys), bool)
-        if len(grams):
-            at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-            found = grams[at] == keys
-            out[found] = logs[at[found]]
+        kinds, where = np.unique(keys, return_inverse=True)
+        grams, contexts = self.orders[order - 1]
+        found, logs = grams.lookup(kinds)
         rest = np.flatnonzero(~found)
         if len(rest):
-            lower = self.log_probabilities(keys[rest] & ((1 << 8 * (order - 1)) - 1), order - 1)
-            if len(contexts):
-                ctx = keys[rest] >> 8
-                at = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1)
-                lower = lower + np.where(contexts[at] == ctx, weights[at], 0.0)
-            out[rest] = lower
-        return out
+            known, weights = contexts.lookup(kinds[rest] >> 8)  # shifted, they are sorted still
+            logs[rest] = np.where(known, weights, 0.0) + self.log_probabilities(kinds[rest] & ((1 << 8 * (order - 1)) - 1), order - 1)
+        return logs[where]
 
 
-def _sorted_columns(df: DataFrame) -> list[np.ndarray]:
-    t = df.toArrow()
-    cols = [t.column(k).to_numpy() for k in range(t.num_columns)]
-    order = np.argsort(cols[0], kind="stable")
-    return [c[order] for c in cols]
+def _stored(df: DataFrame, key: str, value: str, scratch: Scratch, name: str) -> tuple[DataFrame, SortedArrays]:
+    table = scratch.keep(df.select(key, value).repartitionByRange(key).sortWithinPartitions(key), name)
+    files = table.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
+    return table, SortedArrays(sorted(((r.path, r.first, r.last) for r in files), key=lambda f: f[1]))
 
 
-def kneser_ney(texts: DataFrame, scratch: Scratch, order: int = ORDER, most: int = MOST_NGRAMS) -> Model:
-    """Count the n-grams of a text column over all rows, and make the model of them."""
+def kneser_ney(texts: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
+    """Count the n-grams of a text column over all rows, and store the model of them."""
     counts = scratch.keep(texts.mapInArrow(_counts(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), f"grams{order}")
     tables: list[DataFrame] = [counts]
     for n in range(order - 1, 0, -1):  # continuation counts: in how many different n-grams one byte longer
         counts = scratch.keep(counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("key")).agg(F.count("*").alias("n")), f"grams{n}")
         tables.insert(0, counts)
-    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    unknown = float(np.log(1 / 256))
+    orders: list[tuple[SortedArrays, SortedArrays]] = []
+    lower: DataFrame | None = None
     for n, table in enumerate(tables, 1):
-        bins = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"))
-        sizes = dict(table.groupBy(bins.alias("bin")).agg(F.count("*").alias("size")).collect())
-        n1, n2, n3, n4 = (sizes.get(k, 0) for k in (1, 2, 3, 4))
+        n1, n2, n3, n4 = table.agg(*(F.count_if(F.col("n") == k) for k in (1, 2, 3, 4))).collect()[0]
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         d1, d2, d3 = (min(max(k - (k + 1) * y * b / a, 0.05), k * 0.95) if a else 0.5 * k for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
-        least, kept = 1, sum(sizes.values())
-        for size_bin in sorted(sizes):
-            if kept <= most:
-                break
-            kept -= sizes[size_bin]
-            least = size_bin + 1 if size_bin < 64 else 2 * size_bin
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         ctx = F.shiftrightunsigned("key", 8) if n > 1 else F.lit(0).cast("long")
         rows = table.select("key", "n", ctx.alias("ctx"), discount.alias("d"))
-        contexts = rows.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("given"), F.max("n").alias("top"))
-        grams, share = _sorted_columns(rows.where(F.col("n") >= least).join(contexts, "ctx").select("key", ((F.col("n") - F.col("d")) / F.col("total")).alias("share")))
-        of, weight = _sorted_columns(contexts.where(F.col("top") >= least).select("ctx", (F.col("given") / F.col("total")).alias("weight")))
-        logs = np.log(np.maximum(weight, 1e-12))
-        lower = Model(orders, unknown)
-        at = np.minimum(np.searchsorted(of, grams >> 8 if n > 1 else np.zeros_like(grams)), max(len(of) - 1, 0))
-        p = share + (weight[at] * np.exp(lower.log_probabilities(grams & ((1 << 8 * (n - 1)) - 1), n - 1)) if len(grams) else 0)
-        orders.append((grams, np.log(np.maximum(p, 1e-30)), of, logs))
-    return Model(orders, unknown)
-
-
-def _scores(model, order: int):
+        contexts = rows.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("given"))
+        contexts = contexts.select("ctx", "total", (F.col("given") / F.col("total")).alias("weight"))
+        shares = rows.join(contexts, "ctx").select("key", ((F.col("n") - F.col("d")) / F.col("total")).alias("share"), "weight")
+        if lower is None:
+            p = shares.select("key", F.col("share") + F.col("weight") / 256)
+        else:
+            below = lower.select(F.col("key").alias("tail"), F.exp("log_p").alias("p"))
+            p = shares.withColumn("tail", F.col("key").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(below, "tail").select("key", F.col("share") + F.col("weight") * F.col("p"))
+        lower, grams = _stored(p.toDF("key", "p").select("key", F.log("p").alias("log_p")), "key", "log_p", scratch, f"model{n}")
+        orders.append((grams, _stored(contexts.select("ctx", F.log("weight").alias("log_w")), "ctx", "log_w", scratch, f"contexts{n}")[1]))
+    return Model(orders, float(np.log(1 / 256)))
+
+
+def _scores(model: Model, order: int):
     """Statistics and mean negative log-probability of (row_id, lang, hash, text)."""
 
     def run(batches):
-        table = model.value
         for batch in batches:
             ids, langs, marks, texts = batch.columns
             for c in tc.chunks(texts):
                 w = tc.words(c)
-                hashes = tc.word_hashes(c, w)
+                names = tc.word_names(c, w)
                 ends = np.zeros(len(c.data) + 1, np.int64)
                 inside = ~tc.IS_SPACE[c.data]
                 np.cumsum(inside & ((c.data & 0xC0) != 0x80), out=ends[1:])
@@ -166,7 +188,7 @@ def _scores(model, order: int):
                 symbols = np.diff(ends[c.offsets])
                 keys, first = packed(c, order)
                 sums = np.zeros(len(keys) + 1)
-                np.cumsum(table.log_probabilities(keys), out=sums[1:])
+                np.cumsum(model.log_probabilities(keys), out=sums[1:])
                 grams = np.diff(first)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     nats = np.where(grams > 0, -np.diff(sums[first]) / grams, np.nan)
@@ -175,7 +197,7 @@ def _scores(model, order: int):
                     raw = c.data[c.offsets[k] : c.offsets[k + 1]].tobytes()
                     filled = [x for x in raw.split(b"\n") if x and not x.isspace()]
                     lines.append(len(filled) - len(set(filled)))
-                    repeats.append(repeated_words(hashes[w.first[k] : w.first[k + 1]]))
+                    repeats.append(repeated_words(names.at(slice(w.first[k], w.first[k + 1]))))
                 n = c.hi - c.lo
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(c.lo, n), langs.slice(c.lo, n), marks.slice(c.lo, n), pa.array(np.diff(w.first)), pa.array(chars), pa.array(symbols), pa.array(lines, pa.int64()), pa.array(repeats, pa.int64()), pa.array(nats, from_pandas=True)],
@@ -185,17 +207,21 @@ def _scores(model, order: int):
     return run
 
 
-def repeated_words(hashes: np.ndarray, size: int = 3) -> int:
+def repeated_words(names: tc.Names, size: int = 3) -> int:
     """Words that lie in ``size``-word windows found twice or more."""
-    grams = tc.windows(hashes, size)
-    if len(grams) < 2:
-        return 0
-    ordered = np.sort(grams)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    if not len(twice):
+    grams = tc.windows(names, size)
+    if len(grams.a) < 2:
         return 0
-    starts = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, grams), len(twice) - 1)] == grams)
-    covered = np.zeros(len(hashes), bool)
+    order = np.argsort(grams.a, kind="stable")
+    a, b = grams.at(order)
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():  # one lane agrees by chance
+        order = np.lexsort((grams.b, grams.a))
+        a, b = grams.at(order)
+        same = a[1:] == a[:-1]
+    same &= b[1:] == b[:-1]
+    starts = np.concatenate([order[1:][same], order[:-1][same]])
+    covered = np.zeros(len(names.a), bool)
     for j in range(size):
         covered[starts + j] = True
     return int(covered.sum())
@@ -218,8 +244,14 @@ def with_bands(scored: DataFrame, below: float, above: float) -> DataFrame:
     """
     scored = scored.withColumn("length", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
     near = bands(scored, ["lang", "length"], below, above).where(F.col("texts") >= LEAST_TEXTS).drop("texts").withColumnsRenamed({"lower": "near_lower", "upper": "near_upper"})
-    joined = scored.join(near, ["lang", "length"], "left").join(bands(scored, ["lang"], below, above), "lang", "left")
-    return joined.withColumns({c: F.coalesce(f"near_{c}", c) for c in ("lower", "upper")})
+    sizes = scored.groupBy("lang", "length").agg(F.count("*").alias("rows"))
+    table = sizes.join(near, ["lang", "length"], "left").join(bands(scored, ["lang"], below, above), "lang", "left")
+    return join_spread(scored, table.select("lang", "length", "rows", *(F.coalesce(f"near_{c}", c).alias(c) for c in ("lower", "upper"))), ["lang", "length"], "rows")
+
+
+def language_key(lang: Column) -> Column:
+    """A language as text that is never null; no language is another than the null one."""
+    return F.when(lang.isNull(), "").otherwise(F.concat(F.lit("="), lang.cast("string")))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE) -> DataFrame:
@@ -233,9 +265,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     one, so repeated rows and ids get equal verdicts. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("row_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("row_id"), language_key(F.col(lang_col)).alias("lang"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
     different = rows.dropDuplicates(["hash"]).select("text")
-    model = docs.sparkSession.sparkContext.broadcast(kneser_ney(different, scratch))
+    model = kneser_ney(different, scratch)
     kind = dict(docs.dtypes)[id_col]
     scored = rows.mapInArrow(_scores(model, ORDER), f"row_id {kind}, lang string, hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nats double")
     scored = scratch.keep(scored.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "scored")

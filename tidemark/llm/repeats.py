@@ -1,51 +1,76 @@
-"""Windows of a text that occur elsewhere, found exactly over all texts.
-
-Both repeat operators work on items (bytes or words) and windows of a fixed length. Every
-window owns one anchor: of the half-length grams inside it, the leftmost of those with the
-least hash. Equal windows own equal anchors, so it is enough to look at anchors, a few
-hundredths of all positions:
-
-* grams at anchors form buckets; a gram that occurs once cannot lie in a repeated window;
-* a bucket is refined by the hash of all that the anchor's windows cover (its context).
-  Occurrences that share a context repeat each other throughout;
-* where a bucket holds several contexts, one occurrence of each is resolved window by
-  window, which settles the ends of repeated passages.
-
-Occurrences of equal contexts within a chunk of texts are merged before any shuffle, so a
-group of copies or a common passage sends a row per chunk and not one per document. Within
-a bucket rows are streamed with constant state, whatever the size of the bucket.
+"""Windows of texts that occur elsewhere: what tasks do for the two repeat operators.
+
+Items are bytes or words. Every window owns one anchor: of the grams (a shorter length)
+inside it, the leftmost of those with the least name. Equal windows own equal anchors, so
+buckets of grams at anchors, a few hundredths of all positions, hold all that can repeat:
+
+* an occurrence that is alone in its bucket has no window that repeats;
+* occurrences with equal extents (all that their windows cover) repeat each other throughout;
+* others are open: one occurrence of each extent goes on to a finer round.
+
+Names have 128 bits, see ``textcore``. What a chunk of texts can tell by itself it does not
+ask of others: equal extents are merged, and extents of a gram that has several in one chunk
+go to buckets of their own extents, so neither a group of copies nor a very frequent gram
+sends more than a few rows of each chunk to one bucket. Buckets are streamed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcore as tc
-from tidemark.llm.shared import Scratch
 
-RESOLVED, OPEN = 1, 2
+RESOLVED, OPEN = 1, 2  # kinds of occurrences that come out of a round
+TWICE, MANY, MARK = 8, 16, 32  # flags of those that go into one
 
+ROWS = "key long, a long, b long, doc long, mark long, lo int, hi int, at int, kind int"
+FOUND = "doc long, mark long, lo int, hi int, at int, kind int"
+_NAMES = [c.split()[0] for c in ROWS.split(", ")]
+_KINDS = [pa.int64() if "long" in c else pa.int32() for c in ROWS.split(", ")]
 
-class Items(NamedTuple):
-    """Prefix codes of a chunk's items, and where each text's items begin."""
 
-    prefix: np.ndarray
+class Part(NamedTuple):
+    """Texts of a batch, or a stretch of one: rows lo to hi, their items' gram names, where texts begin, and items left out before."""
+
+    lo: int
+    hi: int
+    grams: tc.Names
     offsets: np.ndarray
+    base: int
+
+
+def byte_parts(window: int, gram: int) -> Callable[[pa.Array], Iterator[Part]]:
+    """Texts as bytes; very long ones in stretches that overlap by a window."""
 
+    def run(texts):
+        step = 2 * tc.CHUNK_BYTES
+        for c in tc.chunks(texts):
+            n = len(c.data)
+            if c.hi - c.lo > 1 or n <= step + window:
+                yield Part(c.lo, c.hi, tc.byte_windows(c.data, gram), c.offsets, 0)
+                continue
+            for x in range(0, n - window + 1, step):
+                data = c.data[x : x + step + window - 1]
+                yield Part(c.lo, c.hi, tc.byte_windows(data, gram), np.array([0, len(data)]), x)
+
+    return run
 
-def byte_items(chunk: tc.Chunk) -> Items:
-    return Items(tc.prefix_codes(chunk.data), chunk.offsets)
 
+def word_parts(gram: int) -> Callable[[pa.Array], Iterator[Part]]:
+    """Texts as words."""
 
-def word_items(chunk: tc.Chunk) -> Items:
-    w = tc.words(chunk)
-    return Items(tc.item_prefix(tc.word_hashes(chunk, w)), w.first)
+    def run(texts):
+        for c in tc.chunks(texts):
+            w = tc.words(c)
+            yield Part(c.lo, c.hi, tc.windows(tc.word_names(c, w), gram), w.first, 0)
+
+    return run
 
 
 def _sliding_minima(x: np.ndarray, width: int) -> np.ndarray:
@@ -59,92 +84,161 @@ def _sliding_minima(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class Anchors(NamedTuple):
-    """One row for each anchor: text, first and last window that own it, hash of the gram and of the context."""
+class Runs(NamedTuple):
+    """Windows lo to hi of a text that own the anchor at ``at``; positions in the part."""
 
     text: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
-    gram: np.ndarray
-    context: np.ndarray
+    at: np.ndarray
+
 
+def _between(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1 ... for n places each, end to end."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
-def anchors(items: Items, window: int) -> Anchors:
-    half = window // 2
-    n = len(items.prefix) - 1
+
+def runs_of(part: Part, window: int, gram: int, asked: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Runs:
+    """Runs of a part's windows, or of those that are asked for: (text, first, last) in the text."""
+    first, last = part.offsets[:-1], part.offsets[1:]
     none = np.zeros(0, np.int64)
-    if n < window:
-        return Anchors(none, none, none, none.view(tc.U64), none.view(tc.U64))
-    at = np.arange(n - half + 1)
-    grams = tc.span_hashes(items.prefix, at, at + half)
-    order = (grams & tc.U64(0xFFFFFFFF00000000)) | at.astype(tc.U64)
-    owner = (_sliding_minima(order, window - half + 1) & tc.U64(0xFFFFFFFF)).astype(np.int64)
-    first, last = items.offsets[:-1], items.offsets[1:]
-    n_windows = np.maximum(last - first - window + 1, 0)
-    text = np.repeat(np.arange(len(first)), n_windows)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows) + first[text]
-    own = owner[start]
+    if len(part.grams.a) < window - gram + 1:
+        return Runs(none, none, none, none)
+    if asked is None:
+        n = np.maximum(last - first - window + 1, 0)
+        text, start = np.repeat(np.arange(len(first)), n), _between(first, n)
+    else:
+        n = asked[2] - asked[1] + 1
+        text, start = np.repeat(asked[0], n), _between(asked[1] + first[asked[0]], n)
+    order = (part.grams.a & tc.U64(0xFFFFFFFF00000000)) | np.arange(len(part.grams.a)).astype(tc.U64)
+    own = (_sliding_minima(order, window - gram + 1)[start] & tc.U64(0xFFFFFFFF)).astype(np.int64)
     cut = np.ones(len(start), bool)
-    cut[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
+    cut[1:] = (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])
     heads = np.flatnonzero(cut)
     tails = np.append(heads[1:], len(start)) - 1 if len(heads) else heads
-    lo, hi, of = start[heads], start[tails], text[heads]
-    return Anchors(of, lo - first[of], hi - first[of], grams[own[heads]], tc.span_hashes(items.prefix, lo, hi + window))
+    return Runs(text[heads], start[heads], start[tails], own[heads])
 
 
-_FOUND = ["key", "context", "uid", "id", "lo", "hi", "kind"]
-_FOUND_SCHEMA = "key long, context long, uid long, id long, lo int, hi int, kind int"
+def _batch(columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(tc.signed(c) if c.dtype == np.uint64 else c, t, safe=False) for c, t in zip(columns, _KINDS, strict=True)], _NAMES)
 
 
-def _batch(key, context, uid, ids, lo, hi, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(tc.signed(key)), pa.array(tc.signed(context)), pa.array(uid), pa.array(ids), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(kind.astype(np.int32))], _FOUND
+def shipped(key: np.ndarray, names: tc.Names, doc: np.ndarray, mark: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, earlier: bool) -> pa.RecordBatch:
+    """Occurrences of a part, ready for ``settled``; what the part settles by itself comes out as RESOLVED."""
+    order = np.lexsort((doc, names.b, names.a))
+    a, b = names.at(order)
+    head = np.ones(len(order), bool)
+    head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    group, heads = np.cumsum(head) - 1, np.flatnonzero(head)
+    if earlier:
+        done = doc[order] > doc[order][heads][group]
+        goes, flags = ~done, np.zeros(len(order), np.int64)
+    else:
+        done = (np.bincount(group) > 1)[group] if len(order) else head
+        goes, flags = head, np.where(done, TWICE, 0)
+    kinds, times = np.unique(key[order][heads], return_counts=True)
+    several = kinds[times > 1]
+    many = np.isin(key[order], several)
+    flags = flags + np.where(many, MANY, 0)
+    bucket = np.where(many, tc.mix(a, 77), key[order])
+    s = order[done]
+    s = s[np.lexsort((lo[s], row[s]))]
+    open_ = np.ones(len(s), bool)
+    open_[1:] = (row[s][1:] != row[s][:-1]) | (lo[s][1:] != hi[s][:-1] + 1)
+    begin = np.flatnonzero(open_)
+    until = np.append(begin[1:], len(s)) - 1 if len(begin) else begin
+    zero = np.zeros(len(several), np.int64)
+    r, t = s[begin], order[goes]
+    nil = np.zeros(len(r), np.int64)
+    return _batch(
+        [
+            np.concatenate([tc.mix(mark[r].astype(np.int64).view(tc.U64) + lo[r].astype(tc.U64), 40), bucket[goes], several]),
+            np.concatenate([nil.view(tc.U64), a[goes], zero.view(tc.U64)]),
+            np.concatenate([nil.view(tc.U64), b[goes], zero.view(tc.U64)]),
+            np.concatenate([doc[r], doc[t], zero]),
+            np.concatenate([mark[r], mark[t], zero]),
+            np.concatenate([lo[r], lo[t], zero]),
+            np.concatenate([hi[s[until]], hi[t], zero]),
+            np.concatenate([nil, at[t], zero]),
+            np.concatenate([np.full(len(r), RESOLVED), flags[goes], np.full(len(several), MARK)]),
+        ]
     )
 
 
-def _spread(itemise: Callable[[tc.Chunk], Items], window: int, earlier: bool):
-    """Anchors of (uid, id, text); what a chunk settles by itself comes out as RESOLVED.
+def _asked(column: pa.Array, part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray]:
+    """(text, first, last) of the ranges of a part's texts, and the structs themselves."""
+    ranges = column.slice(part.lo, part.hi - part.lo)
+    flat = ranges.flatten()
+    return np.repeat(np.arange(part.hi - part.lo), np.asarray(ranges.value_lengths())), flat.field("lo").to_numpy().astype(np.int64), flat.field("hi").to_numpy().astype(np.int64), flat
+
+
+def run_rows(parts, window: int, gram: int, earlier: bool):
+    """Runs of (doc, mark, text), or of the ranges in a fourth column: bucketed by the gram at the anchor, told apart by their extents."""
+
+    def run(batches):
+        for batch in batches:
+            docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for part in parts(batch.column(2)):
+                runs = runs_of(part, window, gram, _asked(batch.column(3), part)[:3] if batch.num_columns > 3 else None)
+                if len(runs.text):
+                    names = tc.extent_names(part.grams, gram, runs.lo, runs.hi + window)
+                    row, shift = runs.text + part.lo, part.base - part.offsets[:-1][runs.text]
+                    yield shipped(part.grams.a[runs.at], names, docs[row], marks[row], row, runs.lo + shift, runs.hi + shift, runs.at + shift, earlier)
+
+    return run
+
+
+def piece_rows(parts, window: int, gram: int, size: int, earlier: bool):
+    """The ranges of (doc, mark, text, ranges) in pieces of ``size`` windows, counted from the anchor.
 
-    kind of an anchor: 0, or -1 if its context is known to occur twice.
+    All windows of a piece share its core; a piece is bucketed by the core's name and told
+    apart by its extent. With one window a piece, both are the window.
     """
 
     def run(batches):
         for batch in batches:
-            uids, ids = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy()
-            for c in tc.chunks(batch.column(2)):
-                a = anchors(itemise(c), window)
-                if not len(a.text):
+            docs, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for part in parts(batch.column(2)):
+                text, lo, hi, flat = _asked(batch.column(3), part)
+                at = flat.field("at").to_numpy().astype(np.int64) - part.base
+                reach = len(part.grams.a) - 1 + gram - window  # the last window of a stretch
+                lo, hi = np.maximum(lo - part.base, 0), np.minimum(hi - part.base, reach if part.base or part.hi - part.lo == 1 else hi)
+                some = hi >= lo
+                text, lo, hi, at = text[some], lo[some], hi[some], at[some]
+                if not len(lo):
                     continue
-                uid, doc = uids[c.lo : c.hi][a.text], ids[c.lo : c.hi][a.text]
-                order = np.lexsort((doc, a.context))
-                ctx = a.context[order]
-                head = np.ones(len(order), bool)
-                head[1:] = ctx[1:] != ctx[:-1]
-                group = np.cumsum(head) - 1
-                if earlier:
-                    settled = doc[order] > doc[order][np.flatnonzero(head)][group]
-                    ship, kind = ~settled, np.zeros(len(order), np.int32)
-                else:
-                    settled = (np.bincount(group) > 1)[group]
-                    ship, kind = head, np.where(settled, -1, 0)
-                s, t = order[settled], order[ship]
-                key = np.concatenate([tc.mix(uid[s].view(tc.U64), 40), a.gram[t]])
-                both = np.concatenate([s, t])
-                yield _batch(key, a.context[both], uid[both], doc[both], a.lo[both], a.hi[both], np.concatenate([np.full(len(s), RESOLVED), kind[ship]]))
+                near, far = (at - hi) // size, (at - lo) // size
+                n = far - near + 1
+                of, step = np.repeat(np.arange(len(lo)), n), _between(near, n)
+                text, lo, hi, at = text[of], lo[of], hi[of], at[of]
+                top = at - step * size
+                bottom = np.maximum(top - size + 1, at - (window - gram))
+                begin = part.offsets[:-1][text]
+                lo, hi = np.maximum(lo, bottom), np.minimum(hi, top)
+                core = tc.extent_names(part.grams, gram, top + begin, bottom + begin + window) if size > 1 else None
+                names = tc.extent_names(part.grams, gram, lo + begin, hi + begin + window)
+                key = tc.mix(core.a + step.astype(tc.U64), 50) if core else names.a
+                row = text + part.lo
+                yield shipped(key, names, docs[row], marks[row], row, lo + part.base, hi + part.base, at + part.base, earlier)
 
     return run
 
 
-def _refine(earlier: bool):
-    """Rows come sorted by (key, context, id): RESOLVED and OPEN occurrences.
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _settle(earlier: bool):
+    """Rows come sorted by (key, a, b, doc); RESOLVED and OPEN occurrences go out.
 
-    earlier: an occurrence is resolved by one in a text with a smaller id, else by any other.
-    State is one row for each bucket, besides those of the least id in its first context.
+    earlier: an occurrence is resolved by one in a document with a smaller id, else by any
+    other. State is one row for each bucket, besides those of the least id in its first extent.
     """
 
     def run(batches):
-        held: list[tuple] = []  # of the first context, until a second one shows
-        bucket = context = least = twin = None
+        held: list[tuple] = []  # of the first extent, until a second one shows
+        bucket = extent = least = twin = None
         many = False
         rest = None
         for batch in _with_end(batches):
@@ -163,26 +257,31 @@ def _refine(earlier: bool):
                 continue
             same = np.zeros(len(key) + 1, bool)
             same[1:-1] = key[1:] == key[:-1]
-            same[0] = bucket is not None and len(key) > 0 and key[0] == bucket
+            same[0] = bucket is not None and key[0] == bucket
             kind = t.column("kind").to_numpy()[:n]
-            # alone in its bucket: nothing to do
-            busy = np.flatnonzero((same[:n] | same[1 : n + 1]) | (kind != 0))
+            busy = np.flatnonzero((same[:n] | same[1 : n + 1]) | ((kind != 0) & (kind != MARK)))  # others are alone in their bucket
             out: list[tuple] = []
-            cols = [t.column(c).to_numpy()[busy].tolist() for c in _FOUND]
-            for k, ctx, uid, doc, lo, hi, what in zip(*cols, strict=True):
-                row = (uid, doc, lo, hi)
+            columns = [t.column(c).to_numpy()[busy].tolist() for c in _NAMES]
+            for k, a, b, doc, mark, lo, hi, at, what in zip(*columns, strict=True):
+                row = (doc, mark, lo, hi, at)
                 if what == RESOLVED:
                     out.append((*row, RESOLVED))
                     continue
                 if k != bucket:
-                    bucket, context, many, held, least, twin = k, None, False, [], None, None
-                if ctx != context:
-                    if context is not None and not many:
+                    bucket, extent, many, held, least, twin = k, None, False, [], None, None
+                if what & (MARK | MANY) and not many:
+                    many = True
+                    out += [(*r, OPEN) for r in held]
+                    held = []
+                if what & MARK:
+                    continue
+                if (a, b) != extent:
+                    if extent is not None and not many:
                         many = True
                         out += [(*r, OPEN) for r in held]
                         held = []
-                    context, least = ctx, doc
-                    twin = None if what == -1 else row  # -1: resolved where it was found
+                    extent, least = (a, b), doc
+                    twin = None if what & TWICE else row  # TWICE: resolved where it was found
                     if many:
                         out.append((*row, OPEN))
                     else:
@@ -198,46 +297,25 @@ def _refine(earlier: bool):
                     if twin is not None:
                         out.append((*twin, RESOLVED))
                         twin = None
-                    if what != -1:
+                    if not what & TWICE:
                         out.append((*row, RESOLVED))
             if bucket is not None and n and key[n - 1] != bucket:
-                bucket, context, many, held, least, twin = None, None, False, [], None, None
+                bucket, extent, many, held, least, twin = None, None, False, [], None, None
             rest = t.slice(n) if not final else None
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64() if j < 2 else pa.int32()) for j in range(5)], ["uid", "id", "lo", "hi", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64() if j < 2 else pa.int32()) for j in range(6)], ["doc", "mark", "lo", "hi", "at", "kind"])
 
     return run
 
 
-def _with_end(batches):
-    yield from batches
-    yield None
+def settled(rows: DataFrame, earlier: bool) -> DataFrame:
+    """One round: rows of ``shipped`` by bucket, sorted by extent; RESOLVED and OPEN occurrences."""
+    return rows.repartition("key").sortWithinPartitions("key", "a", "b", "doc").mapInArrow(_settle(earlier), FOUND)
 
 
-def _windows(itemise: Callable[[tc.Chunk], Items], window: int):
-    """Hash of each window in the ranges of (uid, id, text, ranges)."""
-
-    def run(batches):
-        for batch in batches:
-            uids, ids = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy()
-            ranges = batch.column(3)
-            for c in tc.chunks(batch.column(2)):
-                items = itemise(c)
-                part = ranges.slice(c.lo, c.hi - c.lo)
-                flat = part.flatten()
-                n = np.asarray(part.value_lengths())
-                text = np.repeat(np.arange(c.hi - c.lo), n)
-                lo, hi = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                length = hi - lo + 1
-                each = np.repeat(np.arange(len(lo)), length)
-                start = np.arange(len(each)) - np.repeat(np.cumsum(length) - length, length) + lo[each]
-                at = start + items.offsets[:-1][text[each]]
-                row = text[each] + c.lo
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tc.signed(tc.span_hashes(items.prefix, at, at + window))), pa.array(uids[row]), pa.array(ids[row]), pa.array(start.astype(np.int32))], ["hash", "uid", "id", "start"]
-                )
-
-    return run
+def ranges(kind: int, *columns: str) -> Column:
+    """The different occurrences of a kind in order, in an aggregation."""
+    return F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.struct(*columns))))
 
 
 def covered(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,24 +326,3 @@ def covered(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut[1:] = lo[1:] > hi[:-1]
     heads = np.flatnonzero(cut)
     return lo[heads], hi[np.append(heads[1:], len(lo)) - 1] if len(heads) else hi
-
-
-def repeated_spans(texts: DataFrame, itemise: Callable[[tc.Chunk], Items], window: int, earlier: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(texts that may have repeats, spans of windows that are repeated).
-
-    ``texts``: uid, id, text. The first result has uid and text, one row for each uid; the
-    second uid and spans, an array of structs (lo, hi): the windows that start at lo ... hi.
-    """
-    spread = texts.mapInArrow(_spread(itemise, window, earlier), _FOUND_SCHEMA)
-    refined = spread.repartition("key").sortWithinPartitions("key", "context", "id").mapInArrow(_refine(earlier), "uid long, id long, lo int, hi int, kind int")
-    found = scratch.keep(refined, "anchors")
-    ranges = found.groupBy("uid").agg(F.collect_list(F.when(F.col("kind") == OPEN, F.struct("lo", "hi"))).alias("open"))
-    touched = scratch.keep(texts.join(ranges, "uid").select("uid", "id", "text", "open").dropDuplicates(["uid"]), "texts")
-    each = scratch.keep(touched.where(F.size("open") > 0).select("uid", "id", "text", "open").mapInArrow(_windows(itemise, window), "hash long, uid long, id long, start int"), "windows")
-    if earlier:
-        least = each.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-        hits = each.join(least, "hash").where("id > least")
-    else:
-        hits = each.join(each.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1"), "hash")
-    spans = found.where(F.col("kind") == RESOLVED).select("uid", "lo", "hi").unionByName(hits.select("uid", F.col("start").alias("lo"), F.col("start").alias("hi")))
-    return touched.select("uid", "text"), spans.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.session import workers_can_import
 
@@ -22,6 +23,24 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(c for c in (name, *(f"{name}_{k}" for k in range(len(taken) + 1))) if c.lower() not in taken)
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Left join with a table that has ``keys`` once each and, in ``size``, how many of ``rows`` have them.
+
+    Keys with a thousandth of the rows or more, of which there are a thousand at most, are
+    broadcast, so their rows stay where they are; the others are shuffled. Keys are not null.
+    """
+    least = table.agg(F.greatest(F.lit(2), F.ceil(F.sum(size) / 1000)).alias("least")).collect()[0].least or 2
+    hot = F.broadcast(table.where(F.col(size) >= least).drop(size))
+    cold = table.where(F.col(size) < least).drop(size)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(cold, keys, "left"))
+
+
 class Scratch:
     """Tables of one run of an operator, below one folder.
 

@@ -1,11 +1,16 @@
-"""Array code for texts inside tasks: words, word hashes and windows of words.
+"""Array code for texts inside tasks: words, and 128-bit names of words and of longer strings.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D. Texts are handled in
 chunks of a few megabytes, so that temporaries stay small however large a batch is.
+
+A name is two 64-bit lanes that are mixed apart from each other, eight bytes at a time. The
+name of a longer string is made of the names of two shorter ones that cover it; each step
+scrambles, so no algebra of the text makes two names equal.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,9 +20,9 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 21
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_WINDOW_BASE = U64(0xD1342543DE82EF95)
+LONG_WORD = 128  # bytes; longer words are named one by one
+_ODD_A, _ODD_B = U64(0xD1342543DE82EF95), U64(0xA24BAED4963EE407)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
 
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -31,29 +36,6 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_CODES = mix(np.arange(256, dtype=U64), 77)
-_BYTE_CODES_LOWER = _BYTE_CODES.copy()
-_BYTE_CODES_LOWER[65:91] = _BYTE_CODES[97:123]
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64; kept up to the size of a chunk."""
-    if n > 2 * CHUNK_BYTES:
-        return _powers(base, n)
-    if base not in _POWERS:
-        _POWERS[base] = _powers(base, 2 * CHUNK_BYTES)
-    return _POWERS[base][:n]
-
-
 class Chunk(NamedTuple):
     """Rows lo to hi of a batch: their bytes end to end, and where each begins."""
 
@@ -63,6 +45,16 @@ class Chunk(NamedTuple):
     offsets: np.ndarray
 
 
+class Names(NamedTuple):
+    """Two lanes of 64 bits for each named string."""
+
+    a: np.ndarray
+    b: np.ndarray
+
+    def at(self, where) -> Names:
+        return Names(self.a[where], self.b[where])
+
+
 class Words(NamedTuple):
     """Words of a chunk: first byte, byte after the last, and each text's first word."""
 
@@ -108,63 +100,120 @@ def words(chunk: Chunk) -> Words:
     return Words(starts, ends, np.searchsorted(starts, offsets))
 
 
-def prefix_codes(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Prefix sums from which ``span_hashes`` takes the hash of any span in constant time."""
-    out = np.zeros(len(data) + 1, dtype=U64)
-    codes = (_BYTE_CODES_LOWER if lower else _BYTE_CODES)[data]
-    codes *= powers(_BASE, max(1, len(data)))[: len(data)]
-    np.cumsum(codes, out=out[1:])
-    return out
-
-
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), wherever they lie."""
-    back = powers(_BASE_INVERSE, len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(U64), 5)
-
-
-def item_prefix(hashes: np.ndarray) -> np.ndarray:
-    """Like ``prefix_codes``, over items that have hashes already."""
-    out = np.zeros(len(hashes) + 1, dtype=U64)
-    np.cumsum(hashes * powers(_BASE, max(1, len(hashes)))[: len(hashes)], out=out[1:])
-    return out
-
-
-def word_hashes(chunk: Chunk, found: Words, lower: bool = False) -> np.ndarray:
-    return span_hashes(prefix_codes(chunk.data, lower), found.starts, found.ends)
-
-
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of every ``size`` consecutive items; empty where there are fewer."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=U64)
-    if size <= 8:
-        out = hashes[:n].copy()
-        for j in range(1, size):
-            out *= _WINDOW_BASE
-            out += hashes[j : j + n]
-        return mix(out, 9)
-    prefix = np.zeros(len(hashes) + 1, dtype=U64)
-    np.cumsum(hashes * powers(_BASE, len(hashes)), out=prefix[1:])
-    return mix((prefix[size:] - prefix[:-size]) * powers(_BASE_INVERSE, len(prefix))[:n], size)
-
-
-def windows_of_columns(rows: np.ndarray, salt: int) -> np.ndarray:
+def joined(x: Names, y: Names) -> Names:
+    """Names of strings that begin with x and end with y; how far these overlap must be the same for all."""
+    return Names(mix(x.a ^ (y.a * _ODD_A)), mix((x.b * _ODD_B) ^ (y.b >> U64(29)) ^ (y.b << U64(35)), 1))
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as an integer; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def lower_cased(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case; other bytes as they are."""
+    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def word_names(chunk: Chunk, found: Words, lower: bool = False) -> Names:
+    data = lower_cased(chunk.data) if lower else chunk.data
+    eights, size = _eights(data), found.ends - found.starts
+    a, b = mix(size.astype(U64), 21), mix(size.astype(U64), 22)
+    long = np.flatnonzero(size > LONG_WORD)
+    at, left, which = found.starts, size, np.arange(len(size))
+    if len(long):
+        which = np.flatnonzero(size <= LONG_WORD)
+        at, left = at[which], left[which]
+    while len(which):
+        part = eights[at] & _KEEP[np.minimum(left, 8)]
+        a[which] = mix(a[which] ^ part, 23)
+        b[which] = mix((b[which] + part) * _ODD_B, 24)
+        more = left > 8
+        at, left, which = at[more] + 8, left[more] - 8, which[more]
+    for k in long.tolist():
+        digest = hashlib.blake2b(data[found.starts[k] : found.ends[k]].tobytes(), digest_size=16).digest()
+        a[k], b[k] = np.frombuffer(digest, dtype="<u8")
+    return Names(a, b)
+
+
+def windows(names: Names, size: int) -> Names:
+    """Names of every ``size`` consecutive items, by doubling; none where there are fewer items."""
+    if len(names.a) < size:
+        return Names(np.zeros(0, U64), np.zeros(0, U64))
+    span = 1
+    while span < size:
+        step = min(span, size - span)
+        names = joined(names.at(slice(0, len(names.a) - step)), names.at(slice(step, None)))
+        span += step
+    return names
+
+
+def byte_windows(data: np.ndarray, size: int) -> Names:
+    """Names of every ``size`` consecutive bytes: eight are their own name, longer ones are made by doubling."""
+    n = len(data)
+    if n < size:
+        return Names(np.zeros(0, U64), np.zeros(0, U64))
+    if size < 8:
+        raw = _eights(data)[: n - size + 1] & _KEEP[size]
+        return Names(mix(raw, 31), mix(raw, 32))
+    raw = _eights(data)[: n - 7].copy()
+    names, span = Names(mix(raw, 31), mix(raw, 32)), 8
+    while span < size:
+        step = min(span, size - span)
+        names = joined(names.at(slice(0, len(names.a) - step)), names.at(slice(step, None)))
+        span += step
+    return names
+
+
+def extent_names(parts: Names, size: int, lo: np.ndarray, end: np.ndarray) -> Names:
+    """Names of the extents [lo, end), no shorter than ``size``, from those of the windows of ``size`` items.
+
+    These are taken at lo, lo + size, lo + 2 size ... and at end - size.
+    """
+    a, b = mix((end - lo).astype(U64), 41), mix((end - lo).astype(U64), 42)
+    which, at = np.arange(len(lo)), lo
+    while len(which):
+        last = end[which] - size
+        part = parts.at(np.minimum(at, last))
+        named = joined(Names(a[which], b[which]), part)
+        a[which], b[which] = named
+        more = at < last
+        which, at = which[more], at[more] + size
+    return Names(a, b)
+
+
+def row_hashes(rows: np.ndarray, salt: int) -> np.ndarray:
     """One hash of all columns for each row."""
     out = rows[:, 0].copy()
     for j in range(1, rows.shape[1]):
-        out = mix(out * _WINDOW_BASE + rows[:, j])
+        out = mix(out * _ODD_A + rows[:, j])
     return mix(out, 1000 + salt)
 
 
-def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
+def distinct(names: Names) -> Names:
+    """Different names, sorted."""
+    order = np.argsort(names.a, kind="stable")
+    a, b = names.at(order)
+    if not len(a):
+        return names
+    tie = a[1:] == a[:-1]
+    if (tie & (b[1:] != b[:-1])).any():  # one lane agrees by chance
+        order = np.lexsort((names.b, names.a))
+        a, b = names.at(order)
+        tie = a[1:] == a[:-1]
+    keep = np.ones(len(a), bool)
+    keep[1:] = ~(tie & (b[1:] == b[:-1]))
+    return Names(a[keep], b[keep])
+
+
+def shingle_set(names: Names, size: int) -> Names:
     """Sorted distinct shingles of a text's words; fewer words than ``size`` make one shingle."""
-    if not len(hashes):
-        return hashes
-    if len(hashes) < size:
-        return mix(windows(hashes, len(hashes)), 100 + len(hashes))
-    return np.unique(windows(hashes, size))
+    n = len(names.a)
+    if n and n < size:
+        whole = windows(names, n)
+        return Names(mix(whole.a, 100 + n), mix(whole.b, 100 + n))
+    return distinct(windows(names, size))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
