@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, neardup, packing, passages, quality
-from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import Scratch, free_name
 
 ORACLE_SQL = None  # models, registers and tokens are beyond SQL; the tests hold run() against brute force
 
@@ -23,17 +23,21 @@ LEAST_LANGUAGE_SCORE = 0.3  # clear texts of a learned language score over 0.5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    row = F.xxhash64(*docs.columns)  # equal rows have equal verdicts
-    rejected = quality.judge(docs.withColumn("doc_id", row)).where("not kept").select(F.col("doc_id").alias("__row"))
-    return docs.withColumn("__row", row).join(rejected, "__row", "left_anti").select(docs.columns)
+    """Documents that the quality rules reject go. Rows are told apart by 128 bits of all their columns; equal rows have equal verdicts."""
+    row = free_name(docs, "row")
+    marked = docs.withColumn(row, F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit(1), *docs.columns).alias("b")))
+    rejected = quality.judge(marked, id_col=row).where("not kept").select(row)
+    return marked.join(rejected, row, "left_anti").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose language cannot be told; one without a stated language gets the predicted one."""
-    found = langid.identify(docs, carry=True, prefix="__")
-    told = found.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= LEAST_LANGUAGE_SCORE))
-    return told.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(docs.columns)
+    prefix = "found"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = langid.identify(docs, carry=True, prefix=prefix)
+    told = found.where((F.col(f"{prefix}lang_pred") != langid.UNKNOWN) & (F.col(f"{prefix}score") >= LEAST_LANGUAGE_SCORE))
+    return told.withColumn("lang", F.coalesce("lang", f"{prefix}lang_pred")).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
