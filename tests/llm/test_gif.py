@@ -112,8 +112,38 @@ def test_disposal_transparency_palettes_and_time(spark):
     assert {r.id for r in gif.decode_frames(media).collect()} == {1}
 
 
+def test_broken_files_give_the_frames_before(spark):
+    rng = np.random.default_rng(2)
+    full, white = np.full((8, 4), 1, np.uint8), [255] * 12
+    data = animation(image(full, 0, 0), image(full, 0, 0, local=white), image(full, 0, 0, interlaced=True))
+    whole = [f.canvas.tobytes() for f in gif.frames(data)]
+    for n in range(len(data)):
+        try:
+            got = [f.canvas.tobytes() for f in gif.frames(data[:n])]
+        except ValueError:
+            assert n < 13
+            continue
+        assert got == whole[: len(got)]
+    odd = [data[:n] for n in range(0, len(data), 3)]
+    for _ in range(400):
+        broken = bytearray(data)
+        for k in rng.integers(6, len(data), 3):
+            broken[k] = rng.integers(0, 256)
+        odd.append(bytes(broken))
+    odd += [b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0), data[:13] + b"\x21", data[:25] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08"]
+    out = gif.decode_frames(spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(odd)], "id long, media binary")).collect()
+    assert len(out) >= 3 and all(r.width * r.height <= gif.MOST_PIXELS for r in out)
+
+
+def test_media_are_stored(documents):
+    text = "x" * (3 * 4096 + 100)
+    (r,) = gif.stored_features(documents([(1, text)])).collect()
+    assert r.start_ms == [0, 100, 200, 300] and r.delay_ms == [100] * 4
+    assert sum(r.histogram) == r.payload_bytes and r.histogram[21] == len(text)
+
+
 def test_query(documents, odd):
-    out = gif.media_features(gif.texts_to_media(documents(odd))).collect()
+    out = gif.stored_features(documents(odd).coalesce(1)).collect()
     assert len(out) == len(odd)
     for r, (doc, text) in zip(out, odd, strict=True):
         data = (text or "").encode()

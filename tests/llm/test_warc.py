@@ -41,6 +41,18 @@ def test_as_brute_force(spark, rows, monkeypatch):
     ordered = sorted(out, key=lambda r: (r.range, r.place))
     keys = [(r.urlkey, r.captured, -1 if r.page_id is None else r.page_id) for r in ordered]
     assert keys == sorted(keys)
+    assert [r.position for r in ordered] == list(range(len(out)))
+
+
+def test_ranges_grow_with_the_index(spark, rows, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2000)
+    out = warc.archive(spark.createDataFrame([(*r, "f", 1, "d") for r in rows], SCHEMA).repartition(3)).collect()
+    assert len({r.range for r in out}) > 8
+    ordered = sorted(out, key=lambda r: r.position)
+    assert [r.position for r in ordered] == list(range(len(rows)))
+    keys = [(r.urlkey, r.captured, -1 if r.page_id is None else r.page_id) for r in ordered]
+    assert keys == sorted(keys)
 
 
 def test_empty_table(spark):

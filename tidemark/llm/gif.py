@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -16,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import workers_can_import
+from tidemark.llm.shared import Scratch, workers_can_import
 
 WIDTH = 64
 FRAME_ROWS = 64  # 4096 samples in a frame
 FULL = 4096  # codes of 12 bits
+MOST_PIXELS = 1 << 24  # of a canvas or an image; larger ones are not decoded
 
 
 class Frame(NamedTuple):
@@ -224,20 +226,31 @@ def _deinterlaced(samples: np.ndarray) -> np.ndarray:
     return out
 
 
+def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
+    """The colours of a palette that the flags announce, and where it ends; None if there is none, or not all of it."""
+    n = 3 * (2 << (flags & 7)) if flags & 0x80 else 0
+    part = data[at : at + n]
+    return (np.frombuffer(part, np.uint8).reshape(-1, 3) if n and len(part) == n else None), at + n
+
+
 def frames(data: bytes):
-    """Frames of a GIF, one after the other. ValueError: not a GIF; a broken end gives the frames before it."""
+    """Frames of a GIF, one after the other.
+
+    ValueError: not a GIF, or a canvas of more than ``MOST_PIXELS``. A broken end, an image
+    that large, or a code size beyond 8 bits gives the frames before it.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
-    at, table = 13, None
-    if flags & 0x80:
-        n = 2 << (flags & 7)
-        table = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(-1, 3)
-        at += 3 * n
+    if width * height > MOST_PIXELS:
+        raise ValueError("too large")
+    table, at = _palette(data, 13, flags)
     canvas = np.zeros((height, width, 3), np.uint8)
     delay, disposal, transparent = 0, 0, None
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
+            if at + 1 >= len(data):
+                return
             label = data[at + 1]
             body, at = _sub_blocks(data, at + 2)
             if label == 0xF9 and len(body) >= 4:
@@ -247,15 +260,13 @@ def frames(data: bytes):
             return
         left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
         at += 10
-        palette = table
-        if flags & 0x80:
-            n = 2 << (flags & 7)
-            palette = np.frombuffer(data[at : at + 3 * n], np.uint8).reshape(-1, 3)
-            at += 3 * n
-        minimum = data[at]
+        palette, at = _palette(data, at, flags) if flags & 0x80 else (table, at)
+        minimum = data[at] if at < len(data) else 0
+        if palette is None or not 1 <= minimum <= 8 or w * h > MOST_PIXELS:
+            return
         stream, at = _sub_blocks(data, at + 1)
         raw = lzw_decode(stream, minimum, w * h)
-        if len(raw) < w * h or palette is None:
+        if len(raw) < w * h:
             return
         samples = np.frombuffer(raw, np.uint8).reshape(h, w)
         if flags & 0x40:
@@ -299,7 +310,11 @@ def _frame_rows(batches):
 
 
 def decode_frames(media: DataFrame, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """A row for each frame of each GIF, composited and timed. Nulls and what is no GIF give none."""
+    """A row for each frame of each GIF, composited and timed.
+
+    Nulls, what is no GIF, and canvases of more than ``MOST_PIXELS`` give none; a GIF that
+    breaks off gives the frames before that.
+    """
     workers_can_import(media.sparkSession)
     return media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(_frame_rows, FRAME_SCHEMA)
 
@@ -323,17 +338,18 @@ def _features(batches):
         out = []
         for media in batch.column(2):
             data = media.as_py()
-            digest, tail, size, n, ms, gray = hashlib.sha256(), b"", 0, 0, 0, np.zeros(64, np.int64)
+            digest, tail, size, delays, gray = hashlib.sha256(), b"", 0, [], np.zeros(64, np.int64)
             for f in frames(data):
                 raw = f.samples.tobytes()
                 digest.update(raw)
-                tail, size, n, ms = raw[-64:], size + len(raw), n + 1, ms + 10 * f.delay
+                tail, size = raw[-64:], size + len(raw)
+                delays.append(10 * f.delay)
                 gray += np.array(histogram(f.canvas[: len(f.samples)]))
             grays = "-".join(str(int(v)) for v in gray[[0, 21, 42, 63]])
-            out.append((size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"frames={n};ms={ms};hist={grays}"))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["row_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            out.append((size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"frames={len(delays)};ms={sum(delays)};hist={grays}", [0, *accumulate(delays[:-1])] if delays else [], delays, gray.tolist()))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        cols = list(zip(*out, strict=True)) or [()] * 9
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["row_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "start_ms", "delay_ms", "histogram"])
 
 
 def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -347,7 +363,13 @@ def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Decode each GIF and describe what was read: payload digests, stored form, frames, time, histogram of grays."""
+    """Decode each GIF and describe what was read: payload digests, stored form, each frame's time, histogram of all frames."""
     kind = dict(media.dtypes)[id_col]
-    out = media.select(F.col(id_col).alias("row_id"), "n_bytes", "media").mapInArrow(_features, f"row_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    out = media.select(F.col(id_col).alias("row_id"), "n_bytes", "media").mapInArrow(_features, f"row_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, start_ms array<long>, delay_ms array<long>, histogram array<long>")
     return out.withColumnRenamed("row_id", id_col)
+
+
+def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``media_features`` of texts whose GIFs are first written to the shared folder, and read from there."""
+    media = Scratch(docs.sparkSession).keep(texts_to_media(docs, id_col, text_col), "media")
+    return media_features(media, id_col)

@@ -15,11 +15,16 @@ SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, coalesce(cc.comp, d.doc
 FROM documents d LEFT JOIN sizes z ON z.doc_id = d.doc_id LEFT JOIN classes k ON k.n = z.n AND k.f = z.f LEFT JOIN cc ON cc.id = k.doc_id
 """
 
-WARC = """
-WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-g AS (SELECT payload_digest, max(page_id) AS m FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
-SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN page_id < m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < m THEN m END AS refers_to
-FROM p LEFT JOIN g ON g.payload_digest = p.payload_digest AND payload_bytes >= 1000
+_URL = r"^(?:[a-z][a-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)(?::(\d*))?([^#]*)"
+
+WARC = rf"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest, trim(coalesce(url, '')) AS u, 1577836800 + page_id % 2147483648 AS captured FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS m FROM p WHERE payload_bytes >= 1000 GROUP BY 1),
+parts AS (SELECT page_id, captured, u, regexp_replace(lower(regexp_extract(u, '{_URL}', 1, 'i')), '^www\.', '') AS host, regexp_extract(u, '{_URL}', 2, 'i') AS port, lower(regexp_extract(u, '{_URL}', 3, 'i')) AS rest FROM p),
+keyed AS (SELECT page_id, captured, CASE WHEN u = '' THEN '-' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN port NOT IN ('', '80', '443') THEN ':' || port ELSE '' END || ')' || CASE WHEN rest = '' THEN '/' ELSE rest END END AS urlkey FROM parts)
+SELECT p.page_id, payload_bytes, p.payload_digest, CASE WHEN p.page_id < m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN p.page_id < m THEN m END AS refers_to,
+  urlkey, p.captured, row_number() OVER (ORDER BY urlkey, p.captured, p.page_id) - 1 AS position
+FROM p JOIN keyed USING (page_id) LEFT JOIN g ON g.payload_digest = p.payload_digest AND payload_bytes >= 1000
 """
 
 SUFFIXES = """

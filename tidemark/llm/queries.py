@@ -23,7 +23,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.archive(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "position")
 
 
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.media_features(gif.texts_to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return gif.stored_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,8 +49,8 @@ def byte_parts(window: int, gram: int) -> Callable[[pa.Array], Iterator[Part]]:
     """Texts as bytes; very long ones in stretches that overlap by a window."""
 
     def run(texts):
-        step = 2 * tc.CHUNK_BYTES
-        for c in tc.chunks(texts):
+        step = tc.CHUNK_BYTES
+        for c in tc.chunks(texts, tc.CHUNK_BYTES // 8):
             n = len(c.data)
             if c.hi - c.lo > 1 or n <= step + window:
                 yield Part(c.lo, c.hi, tc.byte_windows(c.data, gram), c.offsets, 0)

@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 21
+BLOCK = 1 << 14  # positions that are named at a time
 LONG_WORD = 128  # bytes; longer words are named one by one
 _ODD_A, _ODD_B = U64(0xD1342543DE82EF95), U64(0xA24BAED4963EE407)
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=U64)
@@ -31,9 +32,15 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (splitmix64's finaliser)."""
     x = x + U64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    y = x >> U64(30)
+    x ^= y
+    x *= U64(0xBF58476D1CE4E5B9)
+    np.right_shift(x, U64(27), out=y)
+    x ^= y
+    x *= U64(0x94D049BB133111EB)
+    np.right_shift(x, U64(31), out=y)
+    x ^= y
+    return x
 
 
 class Chunk(NamedTuple):
@@ -102,7 +109,12 @@ def words(chunk: Chunk) -> Words:
 
 def joined(x: Names, y: Names) -> Names:
     """Names of strings that begin with x and end with y; how far these overlap must be the same for all."""
-    return Names(mix(x.a ^ (y.a * _ODD_A)), mix((x.b * _ODD_B) ^ (y.b >> U64(29)) ^ (y.b << U64(35)), 1))
+    a = y.a * _ODD_A
+    a ^= x.a
+    b = x.b * _ODD_B
+    b ^= y.b >> U64(29)
+    b ^= y.b << U64(35)
+    return Names(mix(a), mix(b, 1))
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -149,16 +161,14 @@ def windows(names: Names, size: int) -> Names:
     return names
 
 
-def byte_windows(data: np.ndarray, size: int) -> Names:
-    """Names of every ``size`` consecutive bytes: eight are their own name, longer ones are made by doubling."""
+def _few_byte_windows(data: np.ndarray, size: int) -> Names:
     n = len(data)
-    if n < size:
-        return Names(np.zeros(0, U64), np.zeros(0, U64))
     if size < 8:
         raw = _eights(data)[: n - size + 1] & _KEEP[size]
         return Names(mix(raw, 31), mix(raw, 32))
     raw = _eights(data)[: n - 7].copy()
-    names, span = Names(mix(raw, 31), mix(raw, 32)), 8
+    a = mix(raw, 31)
+    names, span = Names(a, a * _ODD_B), 8
     while span < size:
         step = min(span, size - span)
         names = joined(names.at(slice(0, len(names.a) - step)), names.at(slice(step, None)))
@@ -166,6 +176,19 @@ def byte_windows(data: np.ndarray, size: int) -> Names:
     return names
 
 
+def byte_windows(data: np.ndarray, size: int) -> Names:
+    """Names of every ``size`` consecutive bytes: eight are their own name, longer ones are made by doubling.
+
+    Blocks of the data are named in turn, so that the names of all lengths stay in a core's cache.
+    """
+    n = max(0, len(data) - size + 1)
+    out = Names(np.empty(n, U64), np.empty(n, U64))
+    for lo in range(0, n, BLOCK):
+        block = _few_byte_windows(data[lo : lo + BLOCK + size - 1], size)
+        out.a[lo : lo + BLOCK], out.b[lo : lo + BLOCK] = block
+    return out
+
+
 def extent_names(parts: Names, size: int, lo: np.ndarray, end: np.ndarray) -> Names:
     """Names of the extents [lo, end), no shorter than ``size``, from those of the windows of ``size`` items.
 

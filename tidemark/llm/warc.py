@@ -2,8 +2,8 @@
 
 Tasks write archives of bounded size to the shared folder and index each as a run, sorted by
 URL key and time. Runs are dealt out by range, and each range merges its slices of all runs
-with a tournament tree of losers; ranges one after the other are the index of all captures.
-Archives are then read back along that index.
+with a tournament tree of losers; ranges one after the other are the index of all captures,
+in which every record has its position. Archives are then read back along that index.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import Scratch, join_spread
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 32 << 20
+RANGE_ROWS = 100_000  # of the index that one task merges, about
 EPOCH_2020 = 1_577_836_800
 
 _INDEX = "urlkey string, captured long, page_id long, record_type string, file string, offset long, length int"
@@ -178,13 +179,17 @@ def _merge(batches):
     yield from merged.to_batches(max_chunksize=10_000)
 
 
-def merge_index(runs: DataFrame) -> DataFrame:
-    """Index rows with range and place, in the order of which they are sorted by URL key, time and page.
+def merge_index(runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Index rows with range, place in it, and position among all captures, by URL key, time and page.
 
     ``runs``: rows of sorted runs, one run for each file. One URL's captures may be split
-    between ranges, so no URL is too frequent; a range must fit in a task.
+    between ranges, so no URL is too frequent; there are as many ranges as keep each small.
     """
-    return runs.repartitionByRange("urlkey", "captured", "page_id", "file", "offset").mapInArrow(_merge, f"{_INDEX}, range int, place long")
+    ranges = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ROWS))
+    merged = scratch.keep(runs.repartitionByRange(ranges, "urlkey", "captured", "page_id", "file", "offset").mapInArrow(_merge, f"{_INDEX}, range int, place long"), "index")
+    sizes = merged.groupBy("range").agg(F.count("*").alias("n"))  # a row for each range
+    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return merged.join(before, "range").withColumn("position", F.col("before") + F.col("place")).drop("before")
 
 
 def _read(root: str):
@@ -207,10 +212,10 @@ def _read(root: str):
                     size, digest, refers, html = len(payload), hashlib.sha1(payload).hexdigest(), None, payload
                     if digest != stated:
                         raise ValueError(f"{name}: payload of page {page} differs from its digest")
-                out.append((int(page) if page else None, size, digest, warc["warc-type"], refers, warc.get("warc-target-uri"), row["urlkey"], row["captured"], row["range"], row["place"], html))
-            cols = list(zip(*out, strict=True)) or [()] * 11
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "urlkey", "captured", "range", "place", "payload"])
+                out.append((int(page) if page else None, size, digest, warc["warc-type"], refers, warc.get("warc-target-uri"), row["urlkey"], row["captured"], row["range"], row["place"], row["position"], html))
+            cols = list(zip(*out, strict=True)) or [()] * 12
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "urlkey", "captured", "range", "place", "position", "payload"])
 
     return run
 
@@ -226,15 +231,15 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("digest"))
     large = rows.where(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "digest")
-    groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = large.join(groups, "digest").where("page_id < refers_to").distinct()
+    groups = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
+    revisits = join_spread(large, groups, ["digest"], "n").where("page_id < refers_to").distinct()
     decided = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     return decided.mapInArrow(_write(root), _INDEX)
 
 
 def read_archives(index: DataFrame, root: str) -> DataFrame:
     """The records that an index names, each archive read once; payload is null for revisits."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, urlkey string, captured long, range int, place long, payload binary"
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, urlkey string, captured long, range int, place long, position long, payload binary"
     return index.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_read(root), schema)
 
 
@@ -243,5 +248,4 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     scratch = Scratch(pages.sparkSession)
     root = f"{scratch.root}/archives"
     runs = scratch.keep(write_archives(pages, root, id_col, url_col, html_col), "runs")
-    index = scratch.keep(merge_index(runs), "index")
-    return read_archives(index, root)
+    return read_archives(merge_index(runs, scratch), root)
