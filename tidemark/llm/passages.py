@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
 from tidemark.llm import textcore as tc
-from tidemark.llm.shared import Scratch, free_name
+from tidemark.llm.shared import Scratch, free_name, join_spread
 
 
 def kept_words(text: bytes, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
@@ -100,8 +100,9 @@ def repeated_windows(texts: DataFrame, window: int, scratch: Scratch) -> tuple[D
     quarter, half = max(1, window // 4), max(1, window // 2)
     # level one: grams that two documents share
     grams = scratch.keep(texts.mapInArrow(_grams(window, quarter), "gram long, doc long, mark long, lo int, hi int"), "quarter")
-    shared = grams.groupBy("gram").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("gram")
-    alive = grams.join(shared, "gram").groupBy("doc", "mark").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("alive"))
+    shared = grams.groupBy("gram").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n")).where("least < most")
+    shared = scratch.keep(shared.select("gram", "n", F.lit(True).alias("shared")), "shared")
+    alive = join_spread(grams, shared, ["gram"], "n").where("shared").groupBy("doc", "mark").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("alive"))
     touched = scratch.keep(texts.join(alive, ["doc", "mark"]).select("doc", "mark", "text", "alive").dropDuplicates(["doc", "mark"]), "texts")
     # level two: grams twice as long, at the windows that are left
     parts = repeats.word_parts(half)

@@ -32,7 +32,7 @@ def free_name(df: DataFrame, name: str) -> str:
 def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Left join with a table that has ``keys`` once each and, in ``size``, how many of ``rows`` have them.
 
-    Keys with a thousandth of the rows or more, of which there are a thousand at most, are
+    Keys with a thousandth of all sizes or more, of which there are a thousand at most, are
     broadcast, so their rows stay where they are; the others are shuffled. Keys are not null.
     """
     least = table.agg(F.greatest(F.lit(2), F.ceil(F.sum(size) / 1000)).alias("least")).collect()[0].least or 2
