@@ -26,7 +26,7 @@ SPACING = 1.001  # b: registers are floors of logarithms to this base
 RATE = 20.0  # a: rate of the exponentials
 MARGIN = 0.15  # about five standard deviations of the estimate
 SALT_ROWS = 512  # rows that one copy of a hub's text serves
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000  # of one block of an open bucket
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 250_000  # of one block of an open bucket
 
 
 def minima(elements: np.ndarray, m: int = REGISTERS) -> np.ndarray:
