@@ -69,7 +69,7 @@ def test_speed_cases(spark):
     out = {r.id: r for r in sailing.sailing(e.crossJoin(sailing.vessels(spark, ["default"]))).collect()}
     inf = float("inf")
     assert (out[1].time_s, out[2].time_s, out[4].time_s) == (inf, inf, inf)
-    assert abs(out[3].speed_ms - 0.6 * 0.9) < 1e-9 and out[3].cost == pytest.approx(out[3].time_s * 1.5 * 100) and out[3].route_cost == pytest.approx(out[3].cost * 1000)
+    assert abs(out[3].speed_ms - 0.6 * 0.9) < 1e-9 and out[3].cost == pytest.approx(out[3].time_s * 100) and out[3].route_cost == pytest.approx(out[3].cost * 1000)
 
 
 def test_labels(spark):

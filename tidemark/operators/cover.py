@@ -33,31 +33,64 @@ def frontier(cells: DataFrame) -> DataFrame:
     return cells.select("node_id").join(n, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("n_neighbours")).where("n_neighbours < 6")
 
 
-def sight_of_land(sea: DataFrame, land: DataFrame, rings: int) -> DataFrame:
-    """node_id, the nearest land cell that is visible, and its distance.
+def sight_of_land(sea: DataFrame, land: DataFrame, rings: int = 13) -> DataFrame:
+    """node_id, the nearest land cell that is visible, and its distance to the millimetre (of equal ones the least id).
 
     Land (node_id, r, c, lat, lng, sight_m) is visible within its own sight distance. It is
     the land that is spread over the rings, up to as many as its sight reaches.
     """
     seen = disk(land.select(F.col("node_id").alias("land_id"), F.col("lat").alias("llat"), F.col("lng").alias("llng"), "sight_m", "r", "c"), rings).drop("r", "c").withColumnsRenamed({"nr": "r", "nc": "c"})
     pairs = sea.join(seen, ["r", "c"]).withColumn("d", great_circle(F.col("lat"), F.col("lng"), F.col("llat"), F.col("llng"))).where("d < sight_m")
-    best = pairs.groupBy("node_id").agg(F.min(F.struct("d", "land_id")).alias("best"))
+    best = pairs.groupBy("node_id").agg(F.min(F.struct(F.round("d", 3).alias("d"), "land_id")).alias("best"))
     return best.select("node_id", F.col("best.d").alias("distance_to_visible_land_m"), F.col("best.land_id").alias("visible_land_id"))
 
 
-def snapped(points: DataFrame, cells: DataFrame, most: int = 3) -> DataFrame:
-    """The graph cell nearest to each point (point_id, r, c, plat, plng): of the first ring with any, by squared degrees."""
-    around = disk(points, most).drop("r", "c").withColumnsRenamed({"nr": "r", "nc": "c"})
+def _in_rows(points: DataFrame, cells: DataFrame, most: int) -> DataFrame:
+    """For each point, the cells next to it on either side in each row of the lattice up to ``most`` rows away.
+
+    No other cell of a row is nearer, in rings or in degrees; a window over each row finds them.
+    """
+    rows = F.explode(F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.col("r") + d))
+    asked = points.select("point_id", "plat", "plng", F.col("r").alias("pr"), F.col("c").alias("pc"), rows.alias("r")).withColumn("x", F.col("plng"))
+    placed = cells.select("r", F.col("lng").alias("x"), F.struct("node_id", "r", "c", "lat", "lng").alias("cell"))
+    line = Window.partitionBy("r").orderBy("x", F.col("point_id").asc_nulls_first())
+    both = asked.unionByName(placed, allowMissingColumns=True)
+    before = F.last("cell", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("cell", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumn("near", F.array(before, after)).where("point_id is not null").select("point_id", "plat", "plng", "pr", "pc", F.explode("near").alias("cell")).where("cell is not null")
+    return near.select("point_id", "plat", "plng", "cell.*", lattice_distance(F.col("pr"), F.col("pc"), F.col("cell.r"), F.col("cell.c")).alias("distance")).where(F.col("distance") <= most)
+
+
+def snapped(points: DataFrame, cells: DataFrame, most: int = 50, near: int = 3) -> DataFrame:
+    """The graph cell nearest to each point (point_id, r, c, plat, plng): of the first ring with any, by squared degrees, then id.
+
+    Rings up to ``near`` are looked up cell by cell. Points without a cell there look at the
+    rows of the lattice up to ``most`` rings away; beyond that node_id and ring are null.
+    """
+    cells = cells.select("node_id", "r", "c", "lat", "lng")
     d2 = F.pow(F.col("lat") - F.col("plat"), 2) + F.pow(F.col("lng") - F.col("plng"), 2)
-    best = around.join(cells.select("node_id", "r", "c", "lat", "lng"), ["r", "c"]).groupBy("point_id").agg(F.min(F.struct("distance", d2.alias("d2"), "node_id")).alias("best"))
-    return points.select("point_id").join(best, "point_id", "left").select("point_id", F.col("best.node_id").alias("node_id"), F.col("best.distance").alias("ring"))
 
+    def best(candidates: DataFrame) -> DataFrame:
+        return candidates.groupBy("point_id").agg(F.min(F.struct("distance", d2.alias("d2"), "node_id")).alias("best"))
+
+    close = best(disk(points, min(near, most)).drop("r", "c").withColumnsRenamed({"nr": "r", "nc": "c"}).join(cells, ["r", "c"]))
+    if most > near:
+        close = close.unionByName(best(_in_rows(points.join(close, "point_id", "left_anti"), cells, most)))
+    return points.select("point_id").join(close, "point_id", "left").select("point_id", F.col("best.node_id").alias("node_id"), F.col("best.distance").alias("ring"))
 
-def cross_level_edges(cells: DataFrame, parent_of: Column, coarse: DataFrame) -> DataFrame:
-    """Edges from cells with a missing neighbour to the coarse cell that holds the missing place."""
+
+def cross_level_edges(cells: DataFrame, ancestors: list[tuple[Column, DataFrame]]) -> DataFrame:
+    """Edges from cells with a missing neighbour to the coarse cell that holds the missing place.
+
+    ``ancestors``: for the parent, the grandparent and so on, the coarse cell of a place (r, c)
+    and the cells (cell) that this level has. The first level that has the cell is taken.
+    """
     around = cells.select(F.col("node_id").alias("source"), F.explode(neighbours(F.col("r"), F.col("c"))).alias("n")).select("source", F.col("n.r").alias("r"), F.col("n.c").alias("c"))
-    missing = around.join(cells.select("r", "c"), ["r", "c"], "left_anti").withColumn("target", parent_of)
-    return missing.join(coarse.select(F.col("cell").alias("target")), "target").select("source", "target").distinct()
+    missing = around.join(cells.select("r", "c"), ["r", "c"], "left_anti")
+    for k, (cell, level) in enumerate(ancestors):
+        missing = missing.withColumn(f"cell{k}", cell).join(level.select(F.col("cell").alias(f"cell{k}"), F.lit(True).alias(f"there{k}")).distinct(), f"cell{k}", "left")
+    target = F.coalesce(*(F.when(F.col(f"there{k}"), F.col(f"cell{k}")) for k in range(len(ancestors))))
+    return missing.select("source", target.alias("target")).where("target is not null").distinct()
 
 
 def classified(cells: DataFrame, diameter: Column, buffer: Column, within_land: Column) -> DataFrame:
@@ -74,14 +107,14 @@ def classified(cells: DataFrame, diameter: Column, buffer: Column, within_land:
 
 
 def knn(left: DataFrame, right: DataFrame, k: int, reach_m: float, cell_m: float) -> DataFrame:
-    """(left_id, right_id, d) of the k nearest within reach: planar (x, y) points meet in cells as wide as the reach."""
+    """(left_id, right_id, d) of the k nearest within reach, to the millimetre, then by id: planar (x, y) points meet in cells as wide as the reach."""
     cell = lambda c: F.floor(F.col(c) / cell_m).cast("long")
     span = int(-(-reach_m // cell_m))
     spread = F.explode(F.array(*(F.struct((cell("lx") + i).alias("gx"), (cell("ly") + j).alias("gy")) for i in range(-span, span + 1) for j in range(-span, span + 1))))
     asked = left.withColumn("g", spread).select("left_id", "lx", "ly", "g.*")
     placed = right.withColumns({"gx": cell("rx"), "gy": cell("ry")})
     close = asked.join(placed, ["gx", "gy"]).withColumn("d", F.sqrt(F.pow(F.col("lx") - F.col("rx"), 2) + F.pow(F.col("ly") - F.col("ry"), 2))).where(F.col("d") <= reach_m)
-    order = Window.partitionBy("left_id").orderBy("d", "right_id")
+    order = Window.partitionBy("left_id").orderBy(F.round("d", 3), "right_id")
     return close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("left_id", "right_id", "d")
 
 

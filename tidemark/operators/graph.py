@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import edge_vector, great_circle
-from tidemark.session import workers_can_import
+from tidemark.operators import search
+from tidemark.session import Tables
 
 
 def canonical(edges: DataFrame) -> DataFrame:
-    """Undirected edges once, the smaller end first, without self-loops and nulls; of repeats the first by all columns."""
+    """Undirected edges once, the smaller end first, without self-loops and nulls; of repeats the least by all other columns."""
     s, t = F.least("source", "target"), F.greatest("source", "target")
     turned = F.col("source") > F.col("target")
     out = edges.where("source <> target").withColumns({c: F.when(turned, -F.col(c)).otherwise(F.col(c)) for c in ("dx", "dy") if c in edges.columns} | {"source": s, "target": t})
-    return out.dropDuplicates(["source", "target"])
+    rest = [c for c in edges.columns if c not in ("source", "target")]
+    if not rest:
+        return out.distinct()
+    return out.groupBy("source", "target").agg(F.min(F.struct(*rest)).alias("first")).select("source", "target", "first.*")
 
 
 def with_geometry(edges: DataFrame) -> DataFrame:
@@ -73,29 +75,8 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: int) -> DataFrame:
-    """node_id, hops over undirected edges from a node.
-
-    The graph, two integers an edge, is searched breadth first in one task, a frontier at a
-    time: that is bounded by the graph, not by what is asked of it.
-    """
-    workers_can_import(edges.sparkSession)
-    both = edges.select(F.lit(0).alias("g"), "source", "target").unionByName(edges.select(F.lit(0).alias("g"), F.col("target").alias("source"), F.col("source").alias("target")))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, ends = np.unique(pdf[["source", "target"]].to_numpy(), return_inverse=True)
-        ends = ends.reshape(-1, 2)
-        order = np.argsort(ends[:, 0], kind="stable")
-        to, first = ends[order, 1], np.searchsorted(ends[order, 0], np.arange(len(names) + 1))
-        hops = np.full(len(names), -1)
-        frontier = np.flatnonzero(names == start)
-        step = 0
-        while len(frontier):
-            hops[frontier] = step
-            n = first[frontier + 1] - first[frontier]
-            at = np.repeat(first[frontier] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            near = np.unique(to[at])
-            frontier, step = near[hops[near] < 0], step + 1
-        seen = hops >= 0
-        return pd.DataFrame({"node_id": names[seen], "hops": hops[seen]})
-
-    return both.groupBy("g").applyInPandas(search, "node_id long, hops long")
+    """node_id, hops over undirected edges from a node; that node alone if it has no edge."""
+    one = lambda a, b: edges.select(F.lit(0).alias("month"), F.lit("").alias("vessel"), F.col(a).alias("source"), F.col(b).alias("target"), F.lit(1.0).alias("weight"))
+    origin = edges.sparkSession.createDataFrame([(0, start, 0, "")], "query_id long, origin long, month int, vessel string")
+    found = search.least_costs(origin, one("source", "target").unionByName(one("target", "source")), Tables(edges.sparkSession))
+    return found.select("node_id", F.col("cost").cast("long").alias("hops"))

@@ -54,7 +54,7 @@ def within(ports: DataFrame, south: float, west: float, north: float, east: floa
 
 
 def nearest(probes: DataFrame, ports: DataFrame, n: int = 1, buffer: float = 0.1) -> DataFrame:
-    """The n ports nearest to each probe (probe_id, plat, plng), of those within ``buffer`` degrees.
+    """The n ports nearest to each probe (probe_id, plat, plng), to the millimetre, then by id, of those within ``buffer`` degrees.
 
     Ports and probes meet in cells as wide as the buffer, so this is an equi join on three by
     three cells and not a comparison of all with all.
@@ -65,7 +65,7 @@ def nearest(probes: DataFrame, ports: DataFrame, n: int = 1, buffer: float = 0.1
     placed = ports.withColumns({"y": cell(F.col("lat")), "x": cell(F.col("lng"))})
     close = asked.join(placed, ["y", "x"]).where((F.abs(F.col("lat") - F.col("plat")) <= buffer) & (F.abs(F.col("lng") - F.col("plng")) <= buffer))
     close = close.withColumn("distance_km", great_circle(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng"), TURF_RADIUS_KM))
-    order = Window.partitionBy("probe_id").orderBy("distance_km", "port_id")
+    order = Window.partitionBy("probe_id").orderBy(F.round("distance_km", 6), "port_id")
     return close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("y", "x")
 
 

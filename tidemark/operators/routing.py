@@ -1,105 +1,49 @@
-"""Batches of route queries: costs by Catalyst, searches grouped by month and vessel.
-
-All queries of one month and vessel share one copy of that graph's edges. A group holds the
-edges of one graph (20 MB for 850,000 edges) and its queries; groups run side by side.
-"""
+"""Batches of route queries: costs by Catalyst, searches in rounds over tiles of the graph."""
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import workers_can_import
-
-_PATHS = "query_id long, month int, vessel string, reached boolean, cost double, path array<long>"
+from tidemark.operators import search
+from tidemark.session import Tables
 
+_ON = ["query_id", "month", "vessel"]
 
-def shortest(first: np.ndarray, to: np.ndarray, weight: np.ndarray, start: int, goal: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Costs from a node and each node's predecessor; of equal costs the smaller predecessor."""
-    cost = np.full(len(first) - 1, np.inf)
-    previous = np.full(len(first) - 1, -1)
-    done = np.zeros(len(first) - 1, bool)
-    cost[start] = 0.0
-    heap = [(0.0, start)]
-    while heap:
-        c, node = heapq.heappop(heap)
-        if done[node]:
-            continue
-        done[node] = True
-        if node == goal:
-            break
-        a, b = first[node], first[node + 1]
-        for near, w in zip(to[a:b].tolist(), weight[a:b].tolist(), strict=True):
-            total = c + w
-            if total < cost[near] or (total == cost[near] and node < previous[near] and not done[near]):
-                cost[near] = total
-                previous[near] = node
-                heapq.heappush(heap, (total, near))
-    return cost, previous
 
+def _weights(costs: DataFrame) -> DataFrame:
+    return costs.select("month", "vessel", "source", "target", F.col("route_cost").alias("weight"))
 
-def _graph(edges: pd.DataFrame):
-    names, ends = np.unique(edges[["source", "target"]].to_numpy(), return_inverse=True)
-    ends = ends.reshape(-1, 2)
-    order = np.lexsort((ends[:, 1], ends[:, 0]))
-    ends, weight = ends[order], edges["route_cost"].to_numpy()[order]
-    return names, np.searchsorted(ends[:, 0], np.arange(len(names) + 1)), ends[:, 1], weight
 
-
-def _at(names: np.ndarray, node) -> int | None:
-    k = int(np.searchsorted(names, node))
-    return k if k < len(names) and names[k] == node else None
+def _known(nodes: DataFrame, costs: DataFrame, column: str) -> DataFrame:
+    """Queries whose node has an edge in its graph."""
+    ends = costs.select("month", "vessel", F.explode(F.array("source", "target")).alias(column)).distinct()
+    return nodes.join(ends, ["month", "vessel", column], "left_semi")
 
 
 def routes(queries: DataFrame, costs: DataFrame) -> DataFrame:
     """query_id, month, vessel, reached, cost, path for each row of ``queries``.
 
-    ``queries``: query_id, origin, goal, month, vessel. ``costs``: directed edges with
-    route_cost by month and vessel; infinite ones are no edges. A goal that cannot be
-    reached, or a node that the graph lacks, has reached false and no path.
+    ``queries``: query_id, origin, goal, month, vessel; of rows with one id, month and vessel
+    there is one. ``costs``: directed edges with route_cost by month and vessel; infinite ones
+    are no edges. A goal that cannot be reached, or a node that the graph lacks, has reached
+    false and no path. Of equally cheap ways that over smaller ids is taken, from the goal back.
     """
-
-    def search(key, asked: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        names, first, to, weight = _graph(edges)
-        for q in asked.itertuples():
-            a, b = _at(names, q.origin), _at(names, q.goal)
-            if a is None or b is None:
-                out.append((q.query_id, *key, False, None, None))
-                continue
-            cost, previous = shortest(first, to, weight, a, b)
-            path = [b]
-            while path[-1] != a and previous[path[-1]] >= 0:
-                path.append(int(previous[path[-1]]))
-            ok = bool(np.isfinite(cost[b]))
-            out.append((q.query_id, *key, ok, float(cost[b]) if ok else None, names[path[::-1]].tolist() if ok else None))
-        return pd.DataFrame(out, columns=["query_id", "month", "vessel", "reached", "cost", "path"])
-
-    workers_can_import(queries.sparkSession)
-    finite = costs.where(F.col("route_cost") < float("inf")).select("month", "vessel", "source", "target", "route_cost")
-    return queries.groupBy("month", "vessel").cogroup(finite.groupBy("month", "vessel")).applyInPandas(search, _PATHS)
+    tables = Tables(queries.sparkSession)
+    asked = tables.keep(_known(_known(queries.select(*_ON, "origin", "goal"), costs, "origin"), costs, "goal"), "asked")
+    edges = tables.keep(_weights(costs), "weights")
+    least = tables.keep(search.least_costs(asked, edges, tables), "least")
+    at_goal = least.withColumnRenamed("node_id", "goal")
+    paths = search.paths(asked, least, edges, tables)
+    found = asked.join(at_goal, [*_ON, "goal"]).join(paths, _ON).select(*_ON, "cost", "path")
+    return queries.select(*_ON).join(found, _ON, "left").select(*_ON, F.col("path").isNotNull().alias("reached"), "cost", "path")
 
 
 def costs_from(origins: DataFrame, costs: DataFrame) -> DataFrame:
-    """query_id, month, vessel, node_id, cost: all nodes within reach of each origin."""
-
-    def search(key, asked: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        names, first, to, weight = _graph(edges)
-        parts = []
-        for q in asked.itertuples():
-            if (a := _at(names, q.origin)) is not None:
-                cost, _ = shortest(first, to, weight, a, None)
-                seen = np.isfinite(cost)
-                parts.append(pd.DataFrame({"query_id": q.query_id, "month": key[0], "vessel": key[1], "node_id": names[seen], "cost": cost[seen]}))
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("query_id", "month", "vessel", "node_id", "cost")})
-
-    workers_can_import(origins.sparkSession)
-    finite = costs.where(F.col("route_cost") < float("inf")).select("month", "vessel", "source", "target", "route_cost")
-    return origins.groupBy("month", "vessel").cogroup(finite.groupBy("month", "vessel")).applyInPandas(search, "query_id long, month int, vessel string, node_id long, cost double")
+    """query_id, month, vessel, node_id, cost: all nodes within reach of each origin that the graph has."""
+    tables = Tables(origins.sparkSession)
+    asked = tables.keep(_known(origins.select(*_ON, "origin"), costs, "origin"), "asked")
+    return search.least_costs(asked, _weights(costs), tables)
 
 
 def legs(paths: DataFrame) -> DataFrame:
@@ -122,6 +66,14 @@ def seasonal(queries: DataFrame, months: list[int] | None = None) -> DataFrame:
 
 
 def with_return(queries: DataFrame) -> DataFrame:
-    """Each query and its way back, whose id is negative."""
+    """Each query and its way back, whose id is negative. Ids are positive."""
     back = queries.withColumns({"query_id": -F.col("query_id"), "origin": F.col("goal"), "goal": F.col("origin")})
     return queries.unionByName(back)
+
+
+def both_or_none(told: DataFrame) -> DataFrame:
+    """Results of ``with_return``: where one way fails, both do; then reached is false and the other columns are null."""
+    pair = Window.partitionBy(F.abs("query_id"), "month", "vessel")
+    out = told.withColumn("reached", F.min("reached").over(pair))
+    rest = [c for c in told.columns if c not in (*_ON, "reached")]
+    return out.select(*_ON, "reached", *(F.when(F.col("reached"), F.col(c)).alias(c) for c in rest))

@@ -34,8 +34,14 @@ def vessels(spark: SparkSession, names: list[str] | None = None, overrides: dict
     return spark.createDataFrame(rows, ["vessel", *PRESETS["default"]])
 
 
+def known(name: str, default: float | None = None) -> Column:
+    """A column whose NaN is null, or the default for both."""
+    value = F.when(~F.isnan(name), F.col(name))
+    return value if default is None else F.coalesce(value, F.lit(default))
+
+
 def mean_of(name: str) -> Column:
-    """Mean of both ends' values, where unknown is 0."""
+    """Mean of both ends' values, where null is 0."""
     return (F.coalesce(F.col(f"s_{name}"), F.lit(0.0)) + F.coalesce(F.col(f"t_{name}"), F.lit(0.0))) / 2
 
 
@@ -51,19 +57,22 @@ def efficiency(speed: Column, angle: Column) -> Column:
 def with_ends(edges: DataFrame, nodes: DataFrame, env: DataFrame, months: DataFrame) -> DataFrame:
     """Directed edges by month with both ends' conditions (s_, t_) and the target's statics.
 
-    Conditions that a month lacks are null; an edge stays. Joins are equi joins, so Spark
-    broadcasts small graphs and shuffles large ones.
+    Conditions that a month lacks are null; an edge stays. NaN is unknown, as null is: in
+    conditions and statics it becomes null, an unknown part of a direction is 0. Joins are
+    equi joins, so Spark broadcasts small graphs and shuffles large ones.
     """
-    here = lambda p: env.select(F.col("node_id").alias({"s": "source", "t": "target"}[p]), "month", *(F.col(c).alias(f"{p}_{c}") for c in ENV))
-    statics = nodes.select(F.col("node_id").alias("target"), "bathymetry", "daylight_ratio", "clear_land")
+    here = lambda p: env.select(F.col("node_id").alias({"s": "source", "t": "target"}[p]), "month", *(known(c).alias(f"{p}_{c}") for c in ENV))
+    statics = nodes.select(F.col("node_id").alias("target"), *(known(c).alias(c) for c in ("bathymetry", "daylight_ratio", "clear_land")))
+    edges = edges.withColumns({"length_m": known("length_m"), "dx": known("dx", 0.0), "dy": known("dy", 0.0)})
     return edges.join(statics, "target").crossJoin(F.broadcast(months)).join(here("s"), ["source", "month"], "left").join(here("t"), ["target", "month"], "left")
 
 
 def sailing(edges: DataFrame) -> DataFrame:
     """Add speed_ms, time_s, cost and route_cost to rows of ``with_ends`` crossed with vessels.
 
-    time is infinite where the length is unknown or the speed not positive. cost multiplies
-    by what is unsafe at the target: land out of sight, darkness, shallows. route_cost weighs
+    time is infinite where the length is unknown or the speed not
+    positive. cost multiplies by what is unsafe at the target: land out of sight, darkness,
+    shallows; unknown daylight is full daylight, unknown depth is none. route_cost weighs
     shallows once more, as routing does.
     """
     inf = float("inf")
@@ -80,7 +89,7 @@ def sailing(edges: DataFrame) -> DataFrame:
     out = out.withColumn("speed_ms", F.least(driven * waves + carried, cap))
     time = F.when((F.col("length_m") > 0) & (F.col("speed_ms") > 0), F.col("length_m") / F.when(F.col("speed_ms") > 0, F.col("speed_ms"))).otherwise(inf)
     unseen = F.coalesce(F.col("t_visibility_m"), F.lit(inf)) < F.coalesce(F.col("clear_land"), F.lit(inf))
-    dark = F.col("darknessPenaltyFactor") - F.coalesce(F.col("daylight_ratio"), F.lit(0.0)) * (F.col("darknessPenaltyFactor") - 1)
+    dark = F.col("darknessPenaltyFactor") - F.coalesce(F.col("daylight_ratio"), F.lit(1.0)) * (F.col("darknessPenaltyFactor") - 1)
     shallow = F.coalesce(F.col("bathymetry"), F.lit(0.0)) < F.col("vesselDraughtWithTolerance")
     out = out.withColumn("time_s", time)
     out = out.withColumn("cost", F.col("time_s") * F.when(unseen, F.col("invisibleLandPenalty")).otherwise(1.0) * dark * F.when(shallow, F.col("bathymetricPenalty")).otherwise(1.0))

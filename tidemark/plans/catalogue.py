@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cells, env, geo
 from tidemark.operators import climate, cover, graph, lines, ports, routing, sailing
+from tidemark.session import Tables
 from tidemark.sources.world import view, with_views
 from tidemark.streaming.incremental import pending
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+MONTHS = list(range(1, 13))
 
 
 def query(sql: str | None = None):
@@ -63,7 +65,7 @@ def _costs(months: str, names: str) -> str:
   spd AS (SELECT *, least(greatest(least(ws, max_wind)*ratio*ef, calm) * least(greatest(min_wave, 1-wave*sea), max_wave) + (cx*dx+cy*dy)/un, max_speed) AS v FROM eff),
   tim AS (SELECT *, CASE WHEN length_m > 0 AND v > 0 THEN length_m/v ELSE 'inf'::DOUBLE END AS time_s FROM spd),
   costed AS (SELECT *, time_s * CASE WHEN coalesce(visibility_m,'inf'::DOUBLE) < coalesce(clear_land,'inf'::DOUBLE) THEN land_pen ELSE 1 END
-    * (dark_pen - coalesce(daylight_ratio,0)*(dark_pen-1)) * CASE WHEN coalesce(bathymetry,0) < draught THEN bath_pen ELSE 1 END AS cost FROM tim),
+    * (dark_pen - coalesce(daylight_ratio,1)*(dark_pen-1)) * CASE WHEN coalesce(bathymetry,0) < draught THEN bath_pen ELSE 1 END AS cost FROM tim),
   costs AS (SELECT source, target, month, vessel, length_m, v, time_s, cost, cost * CASE WHEN coalesce(bathymetry,0) < draught THEN 1000 ELSE 1 END AS route_cost FROM costed)"""
 
 
@@ -336,20 +338,41 @@ def vessel_presets(spark, sf_dir):
     return sailing.vessels(spark).toDF(*names.split())
 
 
-@query(f"WITH {_costs('[1, 4, 7, 10]', _ALL)} SELECT source, target, month, vessel, round(v,6) AS speed_ms, round(time_s,3) AS time_s FROM costs")
+@query(f"WITH {_costs('range(1, 13)', _ALL)} SELECT source, target, month, vessel, round(v,6) AS speed_ms, round(time_s,3) AS time_s FROM costs")
 def sailing_time_matrix(spark, sf_dir):
-    out = world_costs(spark, sf_dir, [1, 4, 7, 10], list(sailing.PRESETS))
+    out = world_costs(spark, sf_dir, MONTHS, list(sailing.PRESETS))
     return out.select("source", "target", "month", "vessel", six("speed_ms").alias("speed_ms"), F.round("time_s", 3).alias("time_s"))
 
 
-@query(f"WITH {_costs('[1]', _ALL)} SELECT source, target, month, vessel, round(cost,2) AS cost, round(route_cost,1) AS route_cost FROM costs")
+@query(f"WITH {_costs('range(1, 13)', _ALL)} SELECT source, target, month, vessel, round(cost,2) AS cost, round(route_cost,-1) AS route_cost FROM costs")
 def sailing_cost_matrix(spark, sf_dir):
-    return world_costs(spark, sf_dir, [1], list(sailing.PRESETS)).select("source", "target", "month", "vessel", F.round("cost", 2).alias("cost"), F.round("route_cost", 1).alias("route_cost"))
+    return world_costs(spark, sf_dir, MONTHS, list(sailing.PRESETS)).select("source", "target", "month", "vessel", F.round("cost", 2).alias("cost"), F.round("route_cost", -1).alias("route_cost"))
+
+
+_HOLES = (
+    _costs("[1, 2]", "'default', 'galley'")
+    .replace("JOIN w_nodes n", "JOIN (SELECT node_id, CASE WHEN node_id % 3 <> 0 THEN bathymetry END AS bathymetry, CASE WHEN node_id % 4 > 1 THEN daylight_ratio END AS daylight_ratio, CASE WHEN node_id % 7 <> 0 THEN clear_land END AS clear_land FROM w_nodes) n")
+    .replace("LEFT JOIN w_env", "LEFT JOIN (SELECT * REPLACE (CASE WHEN node_id % 5 <> 0 THEN wind_x END AS wind_x, CASE WHEN node_id % 6 <> 0 THEN visibility_m END AS visibility_m) FROM w_env)")
+    .replace("FROM directed e", "FROM (SELECT * REPLACE (CASE WHEN source % 11 <> 0 THEN dx ELSE 0 END AS dx, CASE WHEN source % 13 <> 0 THEN length_m END AS length_m) FROM directed) e")
+)
+
+
+@query(f"WITH {_HOLES} SELECT source, target, month, vessel, round(v,6) AS speed_ms, round(time_s,3) AS time_s, round(cost,2) AS cost FROM costs")
+def sailing_unknown_values(spark, sf_dir):
+    """Nulls and NaN in edges, nodes and conditions."""
+    nan, key = float("nan"), F.col("node_id")
+    hole = lambda name, where: F.when(where, F.lit(nan)).otherwise(F.col(name))
+    nodes = view(spark, sf_dir, "w_nodes").withColumns({"bathymetry": hole("bathymetry", key % 3 == 0), "daylight_ratio": F.when(key % 4 == 0, F.lit(nan)).when(key % 4 > 1, F.col("daylight_ratio")), "clear_land": hole("clear_land", key % 7 == 0)})
+    conditions = view(spark, sf_dir, "w_env").withColumns({"wind_x": hole("wind_x", key % 5 == 0), "visibility_m": hole("visibility_m", key % 6 == 0)})
+    edges = graph.both_directions(world_edges(spark, sf_dir)).withColumns({"dx": F.when(F.col("source") % 11 == 0, F.when(F.col("source") % 2 == 0, F.lit(nan))).otherwise(F.col("dx")), "length_m": hole("length_m", F.col("source") % 13 == 0)})
+    ends = sailing.with_ends(edges, nodes, conditions, spark.createDataFrame([(1,), (2,)], "month int"))
+    out = sailing.sailing(ends.crossJoin(F.broadcast(sailing.vessels(spark, ["default", "galley"]))))
+    return out.select("source", "target", "month", "vessel", six("speed_ms").alias("speed_ms"), F.round("time_s", 3).alias("time_s"), F.round("cost", 2).alias("cost"))
 
 
 @query(f"WITH {_costs('range(1, 13)', _ALL)} SELECT month, vessel, count(*) AS n, round(avg(v),6) AS speed_ms, round(sum(length_m),3) AS length_m FROM costs GROUP BY ALL")
 def sailing_speed_summary(spark, sf_dir):
-    out = world_costs(spark, sf_dir, list(range(1, 13)), list(sailing.PRESETS))
+    out = world_costs(spark, sf_dir, MONTHS, list(sailing.PRESETS))
     return out.groupBy("month", "vessel").agg(F.count("*").alias("n"), six(F.avg("speed_ms")).alias("speed_ms"), F.round(F.sum("length_m"), 3).alias("length_m"))
 
 
@@ -373,34 +396,67 @@ def _told(paths: DataFrame, costs: DataFrame) -> DataFrame:
     return out.select("query_id", "month", "vessel", "reached", F.round("cost", 0).alias("cost"), "n_nodes", F.round("total_length_m", 3).alias("total_length_m"), F.round("total_time_s", 3).alias("total_time_s"), sailing.duration_label(F.col("total_time_s")).alias("duration"))
 
 
-@query()
+def _kept_costs(spark, sf_dir, months: list[int]) -> DataFrame:
+    """Costs of one vessel, worked out once for a search and for its results."""
+    costs = world_costs(spark, sf_dir, months, ["default"]).select("source", "target", "month", "vessel", "length_m", "time_s", "route_cost")
+    return Tables(spark).keep(costs, "costs")
+
+
+_DURATION = (
+    "CASE WHEN floor({s}/86400) >= 1 THEN CAST(floor({s}/86400) AS BIGINT) || CASE WHEN floor({s}/86400) > 1 THEN ' days ' ELSE ' day ' END || CAST(floor({s}/3600 - floor({s}/86400)*24 + 0.5) AS BIGINT) "
+    "|| CASE WHEN floor({s}/3600 - floor({s}/86400)*24 + 0.5) = 1 THEN ' hr' ELSE ' hrs' END ELSE printf('%.1f', round({s}/3600, 1)) || ' hrs' END"
+)
+
+
+def _route_sql(months: str, back: bool = False) -> str:
+    """ctes up to ``told``: the least costs from each origin, walked back from its goal over the smallest ids."""
+    asked = "SELECT 1::BIGINT AS query_id, 1::BIGINT AS origin, max(node_id) AS goal FROM w_nodes" + (" UNION ALL SELECT -1, max(node_id), 1 FROM w_nodes" if back else "")
+    return f"""{_costs(months, "'default'")}, asked AS ({asked}),
+  reach(query_id, month, node_id, cost) USING KEY (query_id, month, node_id) AS (SELECT query_id, month, origin, 0.0::DOUBLE FROM asked, months UNION (SELECT r.query_id, c.month, c.target, min(r.cost + c.route_cost) FROM reach r JOIN costs c ON c.month = r.month AND c.source = r.node_id
+    LEFT JOIN recurring.reach k ON k.query_id = r.query_id AND k.month = c.month AND k.node_id = c.target WHERE isfinite(c.route_cost) AND (k.node_id IS NULL OR r.cost + c.route_cost < k.cost) GROUP BY ALL)),
+  back AS (SELECT a.query_id, c.month, c.target AS node, min(c.source) AS previous FROM costs c JOIN reach a ON a.month = c.month AND a.node_id = c.source JOIN reach b ON b.query_id = a.query_id AND b.month = c.month AND b.node_id = c.target WHERE isfinite(c.route_cost) AND a.cost + c.route_cost = b.cost GROUP BY ALL),
+  walk(query_id, month, node, place) AS (SELECT q.query_id, month, goal, 0 FROM asked q, months UNION ALL SELECT w.query_id, w.month, p.previous, place + 1 FROM walk w JOIN back p ON p.query_id = w.query_id AND p.month = w.month AND p.node = w.node JOIN asked q ON q.query_id = w.query_id WHERE w.node <> q.origin),
+  legs AS (SELECT a.query_id, a.month, sum(c.length_m) AS length_m, sum(CASE WHEN isfinite(c.time_s) THEN c.time_s END) AS time_s, count(*) AS n FROM walk a JOIN walk b ON b.query_id = a.query_id AND b.month = a.month AND b.place = a.place + 1 JOIN costs c ON c.month = a.month AND c.source = b.node AND c.target = a.node GROUP BY ALL),
+  told AS (SELECT q.query_id, m.month, 'default' AS vessel, r.cost IS NOT NULL AS reached, round(r.cost, 0) AS cost, (coalesce(l.n, 0) + 1)::INT AS n_nodes, round(l.length_m, 3) AS total_length_m, round(l.time_s, 3) AS total_time_s, {_DURATION.format(s='l.time_s')} AS duration
+    FROM asked q CROSS JOIN months m LEFT JOIN reach r ON r.query_id = q.query_id AND r.month = m.month AND r.node_id = q.goal LEFT JOIN legs l ON l.query_id = q.query_id AND l.month = m.month)"""
+
+
+@query(f"WITH {_route_sql('[1]')} SELECT * FROM told")
 def route_single(spark, sf_dir):
-    costs = world_costs(spark, sf_dir, [1], ["default"])
+    costs = _kept_costs(spark, sf_dir, [1])
     return _told(routing.routes(_far(spark, sf_dir), costs), costs)
 
 
-@query()
+@query(f"WITH {_route_sql('[1]', back=True)} SELECT * FROM told")
 def route_return(spark, sf_dir):
-    costs = world_costs(spark, sf_dir, [1], ["default"])
-    return _told(routing.routes(routing.with_return(_far(spark, sf_dir)), costs), costs)
+    """Both ways, or neither."""
+    costs = _kept_costs(spark, sf_dir, [1])
+    return routing.both_or_none(_told(routing.routes(routing.with_return(_far(spark, sf_dir)), costs), costs))
 
 
-@query()
+@query(f"WITH {_route_sql('range(1, 13)')} SELECT * FROM told")
 def route_seasonal_sweep(spark, sf_dir):
-    costs = world_costs(spark, sf_dir, list(range(1, 13)), ["default"])
+    costs = _kept_costs(spark, sf_dir, MONTHS)
     return _told(routing.routes(routing.seasonal(_far(spark, sf_dir)), costs), costs)
 
 
+@query(f"WITH {_route_sql('[1]')} SELECT query_id, place::BIGINT AS place, node AS node_id FROM walk")
+def route_path(spark, sf_dir):
+    """The nodes of a route, counted from its goal."""
+    found = routing.routes(_far(spark, sf_dir), _kept_costs(spark, sf_dir, [1]))
+    return found.select("query_id", F.posexplode(F.reverse("path")).alias("place", "node_id")).select("query_id", F.col("place").cast("long").alias("place"), "node_id")
+
+
 @query()
 def route_lines(spark, sf_dir):
     """The sweep's paths as smoothed lines with bounds and GeoJSON."""
-    costs = world_costs(spark, sf_dir, [1], ["default"])
-    steps = routing.routes(_far(spark, sf_dir), costs).where("reached").select("query_id", F.posexplode("path").alias("k", "node_id"))
+    costs = _kept_costs(spark, sf_dir, MONTHS)
+    steps = routing.routes(routing.seasonal(_far(spark, sf_dir)), costs).where("reached").select("query_id", "month", F.posexplode("path").alias("k", "node_id"))
     nodes = view(spark, sf_dir, "w_nodes").select("node_id", "lng", "lat")
     line = F.transform(F.sort_array(F.collect_list(F.struct("k", "lng", "lat"))), lambda p: F.struct(p.lng.alias("x"), p.lat.alias("y")))
-    drawn = steps.join(nodes, "node_id").groupBy("query_id").agg(line.alias("line"))
-    drawn = lines.simplified(drawn, "query_id", "line", 0.01).withColumn("smooth", lines.smoothed(F.col("line")))
-    return drawn.select("query_id", F.size("line").alias("n_points"), F.size("smooth").alias("n_smooth"), *(six(c).alias(k) for k, c in lines.bounds(F.col("smooth")).items()), lines.feature(F.col("line"), F.struct("query_id")).alias("feature"))
+    drawn = steps.join(nodes, "node_id").groupBy(F.concat_ws("/", "query_id", "month").alias("route")).agg(line.alias("line"))
+    drawn = lines.simplified(drawn, "route", "line", 0.01).withColumn("smooth", lines.smoothed(F.col("line")))
+    return drawn.select("route", F.size("line").alias("n_points"), F.size("smooth").alias("n_smooth"), *(six(c).alias(k) for k, c in lines.bounds(F.col("smooth")).items()), lines.feature(F.col("line"), F.struct("route")).alias("feature"))
 
 
 @query(
@@ -442,12 +498,18 @@ def h3_bit_parent_children(spark, sf_dir):
     return one.select("cell", cells.resolution(F.col("id")).alias("level"), *(cells.to_hex(cells.parent(F.col("id"), k)).alias(f"parent{k}") for k in (5, 8)), cells.to_hex(cells.center_child(F.col("id"), 10)).alias("center10"))
 
 
-@query("SELECT DISTINCT n.source, (n.c // 7) * 1000 + n.r // 7 AS target FROM (SELECT node_id AS source, r + dr AS r, c + dc + CASE WHEN dr <> 0 AND r % 2 = 1 THEN 1 ELSE 0 END AS c FROM w_nodes CROSS JOIN (VALUES (0,-1),(0,1),(-1,-1),(-1,0),(1,-1),(1,0)) t(dr, dc)) n LEFT JOIN w_nodes x ON x.r = n.r AND x.c = n.c JOIN (SELECT DISTINCT (c // 7) * 1000 + r // 7 AS cell FROM w_land JOIN (SELECT node_id AS id, node_id % 50 AS c, node_id // 50 AS r FROM w_land) ON id = node_id) k ON k.cell = (n.c // 7) * 1000 + n.r // 7 WHERE x.node_id IS NULL AND n.r >= 0 AND n.c >= 0")
+@query(
+    "WITH near AS (SELECT source, r, c FROM (SELECT node_id AS source, r + dr AS r, c + dc + CASE WHEN dr <> 0 AND r % 2 = 1 THEN 1 ELSE 0 END AS c FROM w_nodes CROSS JOIN (VALUES (0,-1),(0,1),(-1,-1),(-1,0),(1,-1),(1,0)) t(dr, dc)) n ANTI JOIN w_nodes x ON x.r = n.r AND x.c = n.c WHERE n.r >= 0 AND n.c >= 0), "
+    "land AS (SELECT node_id % 50 AS c, node_id // 50 AS r FROM w_land), parents AS (SELECT DISTINCT (c // 3) * 1000 + r // 3 AS cell FROM land WHERE (c + r) % 4 = 0), grandparents AS (SELECT DISTINCT 1000000 + (c // 9) * 1000 + r // 9 AS cell FROM land) "
+    "SELECT DISTINCT source, coalesce(p.cell, g.cell) AS target FROM near LEFT JOIN parents p ON p.cell = (c // 3) * 1000 + r // 3 LEFT JOIN grandparents g ON g.cell = 1000000 + (c // 9) * 1000 + r // 9 WHERE coalesce(p.cell, g.cell) IS NOT NULL"
+)
 def cross_resolution_edges(spark, sf_dir):
-    coarse = F.floor(F.col("c") / 7) * 1000 + F.floor(F.col("r") / 7)
-    land = view(spark, sf_dir, "w_land").select((F.col("node_id") % 50).alias("c"), F.floor(F.col("node_id") / 50).alias("r")).select(coarse.alias("cell")).distinct()
-    parent_of = F.when((F.col("r") >= 0) & (F.col("c") >= 0), coarse)
-    return cover.cross_level_edges(view(spark, sf_dir, "w_nodes").select("node_id", "r", "c"), parent_of, land)
+    """To the parent's cell where there is one, else to the grandparent's."""
+    at = lambda size: F.floor(F.col("c") / size) * 1000 + F.floor(F.col("r") / size)
+    land = view(spark, sf_dir, "w_land").select((F.col("node_id") % 50).alias("c"), F.floor(F.col("node_id") / 50).alias("r"))
+    inside = (F.col("r") >= 0) & (F.col("c") >= 0)
+    levels = [(F.when(inside, at(3)), land.where("(c + r) % 4 = 0").select(at(3).alias("cell"))), (F.when(inside, at(9) + 1_000_000), land.select((at(9) + 1_000_000).alias("cell")))]
+    return cover.cross_level_edges(view(spark, sf_dir, "w_nodes").select("node_id", "r", "c"), levels)
 
 
 @query(
@@ -479,12 +541,12 @@ def horizon_visibility_land(spark, sf_dir):
 
 @query(
     f"WITH land AS (SELECT node_id AS land_id, lat AS lat2, lng AS lng2, node_id % 50 AS lc, node_id // 50 AS lr, (node_id % 50) - floor((node_id // 50)/2e0) AS lq, {_HORIZON.format(h='max_elevation_m')} + {_HORIZON.format(h='3.5')} AS sight FROM w_land), "
-    f"sea AS (SELECT node_id, lat AS lat1, lng AS lng1, r, c, c - floor(r/2e0) AS q FROM w_nodes), d AS (SELECT node_id, land_id, sight, {_LENGTH} AS d FROM sea JOIN land ON (abs(lq-q)+abs(lr-r)+abs(lq-q+lr-r))/2 <= 4) "
-    "SELECT node_id, round(min(d),3) AS distance_to_visible_land_m FROM d WHERE d < sight GROUP BY node_id"
+    f"sea AS (SELECT node_id, lat AS lat1, lng AS lng1, r, c, c - floor(r/2e0) AS q FROM w_nodes), d AS (SELECT node_id, land_id, sight, {_LENGTH} AS d FROM sea JOIN land ON (abs(lq-q)+abs(lr-r)+abs(lq-q+lr-r))/2 <= 13) "
+    "SELECT node_id, round(d,3) AS distance_to_visible_land_m, land_id AS visible_land_id FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY round(d,3), land_id) AS n FROM d WHERE d < sight) WHERE n = 1"
 )
 def line_of_sight(spark, sf_dir):
     land = view(spark, sf_dir, "w_land").withColumns({"r": F.floor(F.col("node_id") / 50), "c": F.col("node_id") % 50, "sight_m": geo.deck_visibility_m(F.col("max_elevation_m"))})
-    return cover.sight_of_land(view(spark, sf_dir, "w_nodes"), land, 4).select("node_id", F.round("distance_to_visible_land_m", 3).alias("distance_to_visible_land_m"))
+    return cover.sight_of_land(view(spark, sf_dir, "w_nodes"), land, 13)
 
 
 @query("SELECT l_orderkey, l_linenumber, red*256.0::DOUBLE + green + blue/256.0::DOUBLE - 32768 AS elevation_m FROM w_pixels")
@@ -526,9 +588,9 @@ def ports_group_types(spark, sf_dir):
     return _ports(spark, sf_dir).select("port_id", "name", F.array_join("types", ",").alias("types"))
 
 
-@query(f"SELECT port_id, string_agg(DISTINCT substr(k, 2), ',' ORDER BY substr(k, 2)) AS categories, CASE substr(min(k), 2) WHEN 'seaport' THEN 'green' WHEN 'settlement' THEN 'orange' WHEN 'naval' THEN '#003366' ELSE '#008080' END AS colour FROM (SELECT port_id, name, {_KNOWN} AS k FROM w_ports JOIN w_port_types USING (port_id)) WHERE k IS NOT NULL AND NOT regexp_matches(trim(name), '^Q\\d+$') GROUP BY port_id")
+@query(f"SELECT port_id, array_to_string(list_transform(list_sort(list_distinct(list(k))), lambda x: substr(x, 2)), ',') AS categories, CASE substr(min(k), 2) WHEN 'seaport' THEN 'green' WHEN 'settlement' THEN 'orange' WHEN 'naval' THEN '#003366' ELSE '#008080' END AS colour, CASE substr(min(k), 2) WHEN 'seaport' THEN 5 WHEN 'settlement' THEN 5 ELSE {ports.OTHER_RADIUS} END::INT AS radius FROM (SELECT port_id, name, {_KNOWN} AS k FROM w_ports JOIN w_port_types USING (port_id)) WHERE k IS NOT NULL AND NOT regexp_matches(trim(name), '^Q\\d+$') GROUP BY port_id")
 def ports_classify(spark, sf_dir):
-    return ports.styled(ports.classified(_ports(spark, sf_dir))).select("port_id", F.array_join(F.sort_array("categories"), ",").alias("categories"), "colour")
+    return ports.styled(ports.classified(_ports(spark, sf_dir))).select("port_id", F.array_join("categories", ",").alias("categories"), "colour", "radius")
 
 
 @query("SELECT port_id, country FROM w_ports WHERE lat BETWEEN 50 AND 53 AND lng BETWEEN -8 AND -4")
@@ -541,12 +603,12 @@ _TURF = _LENGTH.replace("6371007.180918475", "6371.0088")
 
 @query(
     f"WITH n AS (SELECT node_id AS probe_id, port_id, {_TURF} AS km FROM (SELECT node_id, lat AS lat1, lng AS lng1 FROM w_nodes) JOIN (SELECT port_id, lat AS lat2, lng AS lng2 FROM w_ports) ON abs(lat2-lat1) <= 0.1 AND abs(lng2-lng1) <= 0.1) "
-    "SELECT probe_id, round(km,6) AS distance_km, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY km, port_id) AS rank FROM n) WHERE rank <= 2"
+    "SELECT probe_id, port_id, round(km,6) AS distance_km, rank FROM (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY round(km,6), port_id) AS rank FROM n) WHERE rank <= 2"
 )
 def ports_nearest(spark, sf_dir):
     probes = view(spark, sf_dir, "w_nodes").select(F.col("node_id").alias("probe_id"), F.col("lat").alias("plat"), F.col("lng").alias("plng"))
     near = ports.nearest(probes, view(spark, sf_dir, "w_ports").select("port_id", "lat", "lng"), n=2)
-    return near.select("probe_id", six("distance_km").alias("distance_km"), F.col("rank").cast("long").alias("rank"))
+    return near.select("probe_id", "port_id", six("distance_km").alias("distance_km"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT y, x, count(*) AS n FROM (SELECT floor(lat*4)::BIGINT AS y, floor(lng*4)::BIGINT AS x FROM w_ports) GROUP BY ALL")
@@ -561,23 +623,23 @@ def ports_geojson(spark, sf_dir):
 
 @query(
     "WITH p AS (SELECT port_id, lat AS plat, lng AS plng, floor((lat-49.5)/0.05+0.5)::BIGINT AS r, floor((lng+11.0)/0.1+0.5)::BIGINT AS c FROM w_ports), q AS (SELECT *, c - floor(r/2e0) AS q FROM p), n AS (SELECT node_id, r AS nr, c AS nc, c - floor(r/2e0) AS nq, lat, lng FROM w_nodes), "
-    "m AS (SELECT port_id, node_id, (abs(nq-q)+abs(nr-r)+abs(nq-q+nr-r))/2 AS k, pow(lat-plat,2)+pow(lng-plng,2) AS d2 FROM q JOIN n ON nr BETWEEN r-3 AND r+3 AND nc BETWEEN c-4 AND c+4), f AS (SELECT *, row_number() OVER (PARTITION BY port_id ORDER BY k, d2, node_id) AS o FROM m WHERE k <= 3) "
-    "SELECT p.port_id AS point_id, f.k::BIGINT AS ring FROM p LEFT JOIN f ON f.port_id = p.port_id AND o = 1"
+    "m AS (SELECT port_id, node_id, (abs(nq-q)+abs(nr-r)+abs(nq-q+nr-r))/2 AS k, pow(lat-plat,2)+pow(lng-plng,2) AS d2 FROM q JOIN n ON nr BETWEEN r-50 AND r+50 AND nc BETWEEN c-51 AND c+51), f AS (SELECT *, row_number() OVER (PARTITION BY port_id ORDER BY k, d2, node_id) AS o FROM m WHERE k <= 50) "
+    "SELECT p.port_id AS point_id, f.node_id, f.k::BIGINT AS ring FROM p LEFT JOIN f ON f.port_id = p.port_id AND o = 1"
 )
 def snap_to_node(spark, sf_dir):
     index = climate.grid_index
     points = view(spark, sf_dir, "w_ports").select(F.col("port_id").alias("point_id"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), index(F.col("lat"), 49.5, 0.05).alias("r"), index(F.col("lng"), -11.0, 0.1).alias("c"))
-    return cover.snapped(points, view(spark, sf_dir, "w_nodes"), 3).select("point_id", "ring")
+    return cover.snapped(points, view(spark, sf_dir, "w_nodes"))
 
 
 @query(
     "WITH m AS (SELECT node_id, 6378137.0*radians(lng) AS x, 6378137.0*ln(tan(radians(lat)/2+pi()/4)) AS y FROM w_nodes), d AS (SELECT a.node_id AS left_id, b.node_id AS right_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS d FROM m a JOIN m b ON abs(a.x-b.x) <= 12000 AND abs(a.y-b.y) <= 12000 WHERE a.node_id % 4 = 0 AND b.node_id % 4 <> 0) "
-    "SELECT left_id, round(d,3) AS d FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY d, right_id) AS n FROM d WHERE d <= 12000) WHERE n <= 2"
+    "SELECT left_id, right_id, round(d,3) AS d FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(d,3), right_id) AS n FROM d WHERE d <= 12000) WHERE n <= 2"
 )
 def knn_stitch(spark, sf_dir):
     m = view(spark, sf_dir, "w_nodes").select("node_id", geo.mercator_x(F.col("lng")).alias("x"), geo.mercator_y(F.col("lat")).alias("y"))
     left = m.where("node_id % 4 = 0").toDF("left_id", "lx", "ly")
-    return cover.knn(left, m.where("node_id % 4 <> 0").toDF("right_id", "rx", "ry"), 2, 12_000.0, 12_000.0).select("left_id", F.round("d", 3).alias("d"))
+    return cover.knn(left, m.where("node_id % 4 <> 0").toDF("right_id", "rx", "ry"), 2, 12_000.0, 12_000.0).select("left_id", "right_id", F.round("d", 3).alias("d"))
 
 
 # --- text and lines ----------------------------------------------------------------------------------------------------

@@ -1,10 +1,12 @@
-"""What workers need of the driver's session."""
+"""What workers need of the driver's session, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _HOME = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -15,3 +17,37 @@ def workers_can_import(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([_HOME, *paths])
+
+
+_LOCAL: dict[str, str] = {}  # folders made where the setting is missing, as in tests
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset."""
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not base:
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        base = _LOCAL[app]
+    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+class Tables:
+    """Tables of one run of an operator, below one folder.
+
+    ``keep`` writes a DataFrame as Parquet and reads it back: lineage is cut, the work before
+    it runs once, and an executor lost later costs no recomputation. The folder belongs to
+    the run and may go once its result has been consumed.
+    """
+
+    def __init__(self, spark: SparkSession):
+        workers_can_import(spark)
+        self.spark = spark
+        self.root = shared_folder(spark)
+        self._n = 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._n += 1
+        path = f"{self.root}/{self._n:02d}-{name}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
