@@ -1,27 +1,14 @@
-"""Scratch tables in the folder that driver and executors share."""
+"""What the corpus operators share: scratch tables, free column names, joins of frequent keys."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import Tables as Scratch
 from tidemark.session import workers_can_import
 
-_LOCAL: dict[str, str] = {}  # folders made where the setting is missing, as in tests
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset."""
-    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
-    if not base:
-        if app not in _LOCAL:
-            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        base = _LOCAL[app]
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
+__all__ = ["Scratch", "free_name", "join_spread", "workers_can_import"]
 
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
@@ -39,24 +26,3 @@ def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], size: str) -
     hot = F.broadcast(table.where(F.col(size) >= least).drop(size))
     cold = table.where(F.col(size) < least).drop(size)
     return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(cold, keys, "left"))
-
-
-class Scratch:
-    """Tables of one run of an operator, below one folder.
-
-    ``keep`` writes a DataFrame as Parquet and reads it back: lineage is cut, the work
-    before it runs once, and an executor lost later costs no recomputation. The folder
-    belongs to the run and may go once its result has been consumed.
-    """
-
-    def __init__(self, spark: SparkSession):
-        workers_can_import(spark)
-        self.spark = spark
-        self.root = scratch_root(spark)
-        self._n = 0
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        self._n += 1
-        path = f"{self.root}/{self._n:02d}-{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
