@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcore as tc
@@ -26,7 +26,7 @@ SPACING = 1.001  # b: registers are floors of logarithms to this base
 RATE = 20.0  # a: rate of the exponentials
 MARGIN = 0.15  # about five standard deviations of the estimate
 SALT_ROWS = 512  # rows that one copy of a hub's text serves
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 250_000  # of one block of an open bucket
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 250_000  # of one block of an open bucket
 
 
 def minima(elements: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -339,14 +339,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.keep(verified(tried, texts, size, numerator, denominator), "links")
     labels = components(links, scratch)
 
-    placed = members.join(labels, "node", "left").join(nodes.select("node", "n").distinct(), "node").select("band", "turn", "node", "n", F.coalesce("label", "node").alias("comp"))
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    open_ = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("blocks")).where("lo <> hi").select("band", "blocks")
+    # a bucket's rows in its hub's component are not compared with each other, all others are with each and with them
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
+    placed = members.join(labels, "node", "left").join(of_hub, "hub", "left").join(nodes.select("node", "n").distinct(), "node")
+    placed = placed.select("band", "turn", "node", "n", F.coalesce("label", "node").alias("comp"), (F.coalesce("label", "node") == F.coalesce("hub_label", "hub")).alias("main"))
+
+    def blocks(which: Column) -> Column:
+        return F.greatest(F.ceil(F.count_if(which) / BLOCK_ROWS), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+    open_ = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks(~F.col("main")).alias("few"), blocks(F.col("main")).alias("many")).where("lo <> hi").select("band", "few", "many")
+    draw = F.xxhash64("node")
     left = (
         placed.drop("n")
         .join(open_, "band")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("block", F.when(F.col("main"), F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
         .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "turn", "node", "comp")
         .join(nodes, "node")
         .join(texts.withColumnRenamed("id", "node"), "node")

@@ -10,6 +10,7 @@ from tidemark.session import workers_can_import
 
 __all__ = ["Scratch", "free_name", "join_spread", "workers_can_import"]
 
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
