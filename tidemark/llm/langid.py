@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Scratch
 
-MOST_TEXTS = 20_000  # labelled texts that the classifier is fitted on
+MOST_TEXTS = 10_000  # labelled texts that the classifier is fitted on
 SLICE = 20_000  # words that are scored at once
 LONGEST = 4
 FLUSH = 400_000
