@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans import catalogue
+from tidemark.plans import build, catalogue
 from tidemark.sources.world import VIEWS, view, with_views
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +63,66 @@ def test_entry_and_registration(spark):
 
     assert e.entry(spark).count() == 12
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_build_can_be_taken_up_again(spark, tmp_path):
+    from tidemark.sources import files
+
+    path = str(tmp_path / "graph")
+    n = {t: rows().count() for t, _, rows in build.stages(spark, SF)}
+    assert build.build(spark, SF, path) == n
+    nodes, edges = spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+    nodes.limit(100).write.parquet(f"{path}2/nodes")
+    again = build.build(spark, SF, path + "2")
+    assert again["nodes"] == n["nodes"] - 100 and again["edges"] == n["edges"]
+    assert build.build(spark, SF, path) == {t: 0 for t in n}
+    (about,) = spark.read.json(f"{path}/metadata").collect()
+    assert (about.name, about.node_count, about.edge_count) == ("world", nodes.count(), 2 * edges.count())
+    assert about.bounds.west < about.bounds.east
+
+
+def test_graph_out_and_in_again(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import graph
+    from tidemark.sources import files
+
+    path = str(tmp_path / "graph")
+    nodes = view(spark, SF, "w_nodes").select(F.col("node_id").cast("string").alias("key"), F.create_map(F.lit("lat"), "lat", F.lit("lng"), "lng").alias("attributes"))
+    e = catalogue.world_edges(spark, SF)
+    edges = e.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.create_map(F.lit("length_m"), "length_m").alias("attributes"))
+    files.write_graph(nodes, edges, path)
+    got_nodes, got_edges = files.read_graph(spark, path)
+    assert {r.key: r.attributes for r in got_nodes.collect()} == {r.key: r.attributes for r in nodes.collect()}
+    assert {(r.source, r.target): r.attributes for r in got_edges.collect()} == {(r.source, r.target): r.attributes for r in edges.collect()}
+    files.write_adjacency(graph.adjacency(e, "length_m"), path + "/adjacency")
+    assert spark.read.json(path + "/adjacency").count() == e.select("source").distinct().count()
+    nodes.write.parquet(path + "/table")
+    files.to_csv(spark, f"{SF}/nation.parquet", path + "/csv")
+    assert spark.read.csv(path + "/csv", header=True).count() == 25
+
+
+def test_searches_in_many_tiles(spark, monkeypatch):
+    """Costs, hops and paths do not depend on how the graph is tiled, nor on lanes."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import graph, routing, search
+
+    costs = catalogue.world_costs(spark, SF, [1, 7], ["default"]).persist()
+    asked = catalogue.pairs(spark, SF, 30).withColumns({"month": F.explode(F.array(F.lit(1), F.lit(7))), "vessel": F.lit("default")})
+    want = {(r.query_id, r.month): (r.cost, r.path) for r in routing.routes(asked, costs).collect()}
+    hops = sorted(map(tuple, graph.reachable(view(spark, SF, "w_edges"), 1).collect()))
+    monkeypatch.setattr(search, "TILE_NODES", 37)
+    monkeypatch.setattr(search, "LANE_QUERIES", 2)
+    monkeypatch.setattr(search, "COMPACT", 2)
+    got = {(r.query_id, r.month): (r.cost, r.path) for r in routing.routes(asked, costs).collect()}
+    assert got.keys() == want.keys() and len(want) > 5
+    assert all(got[k][1] == p and (p is None or abs(got[k][0] - c) <= 1e-9 * c) for k, (c, p) in want.items())
+    assert sorted(map(tuple, graph.reachable(view(spark, SF, "w_edges"), 1).collect())) == hops
+
+
+def test_return_fails_as_a_whole(spark):
+    from tidemark.operators import routing
+
+    rows = spark.createDataFrame([(1, 1, "v", True, 5.0), (-1, 1, "v", False, None), (2, 1, "v", True, 3.0), (-2, 1, "v", True, 4.0)], "query_id long, month int, vessel string, reached boolean, cost double")
+    assert sorted(map(tuple, routing.both_or_none(rows).collect())) == [(-2, 1, "v", True, 4.0), (-1, 1, "v", False, None), (1, 1, "v", False, None), (2, 1, "v", True, 3.0)]

@@ -39,3 +39,9 @@ def pivoted(rows: DataFrame, keys: list[str], value: str, prefix: str) -> DataFr
     """One column for each month, 01 to 12; null where a month is missing."""
     wide = rows.groupBy(*keys).pivot("month", list(range(1, 13))).agg(F.first(value))
     return wide.select(*keys, *(F.col(str(m)).alias(f"{prefix}{m:02d}") for m in range(1, 13)))
+
+
+def by_month(samples: DataFrame, conditions: DataFrame, key: str) -> DataFrame:
+    """Each sample in all twelve months with the conditions (key, month, ...) there; null where a month has none."""
+    every = samples.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    return every.join(conditions, [key, "month"], "left")

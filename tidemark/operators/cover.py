@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cells import lattice_distance, neighbours
 from tidemark.functions.geo import great_circle, tile_x, tile_y
+from tidemark.session import Tables
 
 
 def disk(cells: DataFrame, k: int) -> DataFrame:
@@ -118,6 +119,21 @@ def knn(left: DataFrame, right: DataFrame, k: int, reach_m: float, cell_m: float
     return close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("left_id", "right_id", "d")
 
 
+def nearest_any(left: DataFrame, right: DataFrame, reach_m: float, widest_m: float = 5e7) -> DataFrame:
+    """(left_id, right_id, d) of the nearest, however far: what none is within reach of looks twice as far, in cells twice as wide.
+
+    No rows for an empty right side, or beyond ``widest_m``. Each look is written to the shared folder.
+    """
+    tables = Tables(left.sparkSession)
+    found = tables.keep(knn(left, right, 1, reach_m, reach_m), "near")
+    every = found
+    while reach_m < widest_m and not right.isEmpty() and not (left := tables.keep(left.join(found, "left_id", "left_anti"), "left")).isEmpty():
+        reach_m *= 2
+        found = tables.keep(knn(left, right, 1, reach_m, reach_m), "near")
+        every = every.unionByName(found)
+    return every
+
+
 def tiles(cells: DataFrame, zoom: int) -> DataFrame:
     """Each cell (cell, south, west, north, east) with all tiles (x, y) of a zoom that its box touches."""
     xs = F.sequence(tile_x(F.col("west"), zoom), tile_x(F.col("east"), zoom))

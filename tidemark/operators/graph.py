@@ -57,6 +57,16 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str | Column]) -> D
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def merged(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Tables of one schema as one; of rows with equal keys that of the later table, and within a table the largest."""
+    rest = [c for c in tables[0].columns if c not in keys]
+    rows = [t.withColumn("_turn", F.lit(k)) for k, t in enumerate(tables)]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.unionByName(r)
+    return both.groupBy(*keys).agg(F.max(F.struct("_turn", *rest)).alias("last")).select(*keys, *(f"last.{c}" for c in rest))
+
+
 def keep_existing(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Existing rows, and new ones whose key is new."""
     return existing.unionByName(new.join(existing.select(key), key, "left_anti"))

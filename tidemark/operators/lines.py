@@ -83,3 +83,15 @@ def resampled(lines: DataFrame, key: str, line: str, spacing: float) -> DataFram
     inner = v.where("step > 0").select("*", F.explode(marks).alias("k")).select(key, "k", (F.col("x") + share * (F.col("nx") - F.col("x"))).alias("x"), (F.col("y") + share * (F.col("ny") - F.col("y"))).alias("y"))
     ends = v.where("nx is null").select(key, F.ceil(F.col("upto") / spacing).alias("k"), "x", "y")
     return inner.unionByName(ends)
+
+
+def stepped(start: Column, stop: Column, step: Column) -> Column:
+    """start, start + step ... below ``stop``; empty if that is not above the start."""
+    n = F.ceil((stop - start) / step).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: start + k * step)).otherwise(F.array().cast("array<double>"))
+
+
+def rectangle(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """A closed ring around a box, from the south-west against the clock."""
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return F.array(corner(west, south), corner(east, south), corner(east, north), corner(west, north), corner(west, south))

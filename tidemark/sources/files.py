@@ -16,20 +16,44 @@ def read_geojson(spark: SparkSession, path: str, geometry: str, properties: str)
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.geometry", "f.properties")
 
 
+_ATTRIBUTES = "map<string, double>"
+_NODE = f"key string, attributes {_ATTRIBUTES}"
+_EDGE = f"source string, target string, attributes {_ATTRIBUTES}"
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph document; gzip is read as it is."""
-    number = "map<string, double>"
-    schema = f"nodes array<struct<key: string, attributes: {number}>>, edges array<struct<source: string, target: string, attributes: {number}>>"
-    doc = spark.read.schema(schema).json(path, multiLine=True)
+    """(nodes, edges) of a graph document, or of a folder that ``write_graph`` made; gzip is read as it is."""
+    if not path.endswith((".json", ".json.gz")):
+        return spark.read.schema(_NODE).json(f"{path}/nodes"), spark.read.schema(_EDGE).json(f"{path}/edges")
+    doc = spark.read.schema(f"nodes array<struct<{_NODE}>>, edges array<struct<{_EDGE}>>").json(path, multiLine=True)
     return doc.select(F.explode("nodes").alias("n")).select("n.*"), doc.select(F.explode("edges").alias("e")).select("e.*")
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and edges as gzipped JSON lines, one folder each: the form that scales."""
+    """Nodes (key, attributes) and edges (source, target, attributes) as gzipped JSON lines, one folder each: the form that scales."""
     nodes.write.mode("overwrite").json(f"{path}/nodes", compression="gzip")
     edges.write.mode("overwrite").json(f"{path}/edges", compression="gzip")
 
 
+def write_adjacency(neighbours: DataFrame, path: str) -> None:
+    """source and its map of neighbours, as gzipped JSON lines."""
+    neighbours.write.mode("overwrite").json(path, compression="gzip")
+
+
+def write_metadata(nodes: DataFrame, edges: DataFrame, path: str, name: str) -> None:
+    """One JSON line: name, bounds, node count, and twice the undirected edges, as both directions are sailed."""
+    box = F.struct(F.min("lng").alias("west"), F.min("lat").alias("south"), F.max("lng").alias("east"), F.max("lat").alias("north"))
+    about = nodes.agg(F.lit(name).alias("name"), box.alias("bounds"), F.count("*").alias("node_count"))
+    about.crossJoin(edges.agg((2 * F.count("*")).alias("edge_count"))).coalesce(1).write.mode("overwrite").json(path)
+
+
+def finest(layers: DataFrame) -> DataFrame:
+    """kind, level, layer: of the layers (layer) whose names end in a resolution, the finest of each kind."""
+    level = F.regexp_extract("layer", r"_r(\d+)$", 1).cast("long")
+    named = layers.select("layer", F.regexp_replace("layer", r"_r\d+$", "").alias("kind"), level.alias("level")).where("level is not null")
+    return named.groupBy("kind").agg(F.max("level").alias("level"), F.max_by("layer", "level").alias("layer"))
+
+
 def write_layer(layer: DataFrame, path: str) -> None:
     """Write the resolutions that a layer has, leaving others as they are."""
     layer.write.partitionBy("resolution").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

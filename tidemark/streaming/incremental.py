@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,21 +16,19 @@ def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def append_new(spark: SparkSession, items: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame]) -> int:
-    """Process the items that ``path`` lacks and append them; how many there were. Running it again adds nothing."""
+    """Process the items that ``path`` lacks and append them; how many there were, observed as they are written.
+
+    Running it again adds nothing.
+    """
     try:
         todo = pending(items, spark.read.parquet(path), key)
     except Exception as e:  # the first run has no table yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         todo = items
-    todo = todo.persist()
-    try:
-        n = todo.count()
-        if n:
-            work(todo).write.mode("append").parquet(path)
-        return n
-    finally:
-        todo.unpersist()
+    seen = Observation("added")
+    work(todo.observe(seen, F.count(F.lit(1)).alias("n"))).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def follow(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, work: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
@@ -47,7 +45,7 @@ def stamped(spark: SparkSession, path: str, version: str, make: Callable[[], Dat
     """A kept table: made again, with its stamp, if it is absent or was made for another version."""
     try:
         kept = spark.read.parquet(path)
-        if kept.where(f"version <> '{version}'").isEmpty() and not kept.isEmpty():
+        if kept.where(F.col("version") != F.lit(version)).isEmpty() and not kept.isEmpty():
             return kept.drop("version")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
