@@ -54,11 +54,9 @@ def _in_rows(points: DataFrame, cells: DataFrame, most: int) -> DataFrame:
     rows = F.explode(F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.col("r") + d))
     asked = points.select("point_id", "plat", "plng", F.col("r").alias("pr"), F.col("c").alias("pc"), rows.alias("r")).withColumn("x", F.col("plng"))
     placed = cells.select("r", F.col("lng").alias("x"), F.struct("node_id", "r", "c", "lat", "lng").alias("cell"))
-    line = Window.partitionBy("r").orderBy("x", F.col("point_id").asc_nulls_first())
+    upto = lambda x: F.last("cell", ignorenulls=True).over(Window.partitionBy("r").orderBy(x, F.col("point_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     both = asked.unionByName(placed, allowMissingColumns=True)
-    before = F.last("cell", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("cell", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumn("near", F.array(before, after)).where("point_id is not null").select("point_id", "plat", "plng", "pr", "pc", F.explode("near").alias("cell")).where("cell is not null")
+    near = both.withColumn("near", F.array(upto(F.col("x").asc()), upto(F.col("x").desc()))).where("point_id is not null").select("point_id", "plat", "plng", "pr", "pc", F.explode("near").alias("cell")).where("cell is not null")
     return near.select("point_id", "plat", "plng", "cell.*", lattice_distance(F.col("pr"), F.col("pc"), F.col("cell.r"), F.col("cell.c")).alias("distance")).where(F.col("distance") <= most)
 
 

@@ -15,9 +15,9 @@ def _weights(costs: DataFrame) -> DataFrame:
     return costs.select("month", "vessel", "source", "target", F.col("route_cost").alias("weight"))
 
 
-def _known(nodes: DataFrame, costs: DataFrame, column: str) -> DataFrame:
+def _known(nodes: DataFrame, edges: DataFrame, column: str) -> DataFrame:
     """Queries whose node has an edge in its graph."""
-    ends = costs.select("month", "vessel", F.explode(F.array("source", "target")).alias(column)).distinct()
+    ends = edges.select("month", "vessel", F.explode(F.array("source", "target")).alias(column)).distinct()
     return nodes.join(ends, ["month", "vessel", column], "left_semi")
 
 
@@ -30,8 +30,8 @@ def routes(queries: DataFrame, costs: DataFrame) -> DataFrame:
     false and no path. Of equally cheap ways that over smaller ids is taken, from the goal back.
     """
     tables = Tables(queries.sparkSession)
-    asked = tables.keep(_known(_known(queries.select(*_ON, "origin", "goal"), costs, "origin"), costs, "goal"), "asked")
     edges = tables.keep(_weights(costs), "weights")
+    asked = tables.keep(_known(_known(queries.select(*_ON, "origin", "goal"), edges, "origin"), edges, "goal"), "asked")
     least = tables.keep(search.least_costs(asked, edges, tables), "least")
     at_goal = least.withColumnRenamed("node_id", "goal")
     paths = search.paths(asked, least, edges, tables)
@@ -42,8 +42,9 @@ def routes(queries: DataFrame, costs: DataFrame) -> DataFrame:
 def costs_from(origins: DataFrame, costs: DataFrame) -> DataFrame:
     """query_id, month, vessel, node_id, cost: all nodes within reach of each origin that the graph has."""
     tables = Tables(origins.sparkSession)
-    asked = tables.keep(_known(origins.select(*_ON, "origin"), costs, "origin"), "asked")
-    return search.least_costs(asked, _weights(costs), tables)
+    edges = tables.keep(_weights(costs), "weights")
+    asked = tables.keep(_known(origins.select(*_ON, "origin"), edges, "origin"), "asked")
+    return search.least_costs(asked, edges, tables)
 
 
 def legs(paths: DataFrame) -> DataFrame:
