@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tidemark.plans import build, catalogue
+from tidemark.plans import build, catalogue, shapes
 from tidemark.sources.world import VIEWS, view, with_views
 
 SF = "/root/testdata/sf0.001"

@@ -49,6 +49,11 @@ def children(cell: Column, level: int) -> Column:
     return F.when(resolution(cell) == level - 1, F.transform(F.sequence(F.lit(0), F.lit(6)), lambda d: base.bitwiseOR(F.shiftleft(d.cast("long"), shift))))
 
 
+def mean_edge_m(level: Column) -> Column:
+    """The mean edge length of a resolution's hexagons; null for none of 0 to 15."""
+    return F.get(F.array(*map(F.lit, MEAN_EDGE_M)), level)
+
+
 def neighbours(row: Column, column: Column) -> Column:
     """The six (r, c) around a place of the odd-row lattice."""
     odd = F.pmod(row, F.lit(2))

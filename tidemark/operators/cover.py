@@ -117,6 +117,13 @@ def knn(left: DataFrame, right: DataFrame, k: int, reach_m: float, cell_m: float
     return close.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("left_id", "right_id", "d")
 
 
+def stitched(one: DataFrame, other: DataFrame, k: int, reach_m: float) -> DataFrame:
+    """(source, target), the smaller first, between two levels of planar points (node_id, x, y): each point's k nearest of the other level within reach, from both sides."""
+    left, right = (t.select("node_id", "x", "y") for t in (one, other))
+    found = [knn(a.toDF("left_id", "lx", "ly"), b.toDF("right_id", "rx", "ry"), k, reach_m, reach_m) for a, b in ((left, right), (right, left))]
+    return found[0].unionByName(found[1]).select(F.least("left_id", "right_id").alias("source"), F.greatest("left_id", "right_id").alias("target")).distinct()
+
+
 def nearest_any(left: DataFrame, right: DataFrame, reach_m: float, widest_m: float = 5e7) -> DataFrame:
     """(left_id, right_id, d) of the nearest, however far: what none is within reach of looks twice as far, in cells twice as wide.
 

@@ -28,6 +28,13 @@ def with_geometry(edges: DataFrame) -> DataFrame:
     return edges.dropna(subset=["lat1", "lng1", "lat2", "lng2"]).withColumns({"length_m": great_circle(*ends), "dx": dx, "dy": dy})
 
 
+def with_endpoints(edges: DataFrame, line: str) -> DataFrame:
+    """lat1, lng1, lat2, lng2 from the first and last vertex of a line of (x, y); all null where it has fewer than two."""
+    whole = F.size(line) >= 2
+    first, last = (F.when(whole, F.try_element_at(F.col(line), F.lit(k))) for k in (1, -1))
+    return edges.withColumns({"lat1": first["y"], "lng1": first["x"], "lat2": last["y"], "lng2": last["x"]})
+
+
 def both_directions(edges: DataFrame) -> DataFrame:
     """Add the reverse of each edge that has none, with its vector turned."""
     back = edges.withColumns({"source": F.col("target"), "target": F.col("source"), "dx": -F.col("dx"), "dy": -F.col("dy")})

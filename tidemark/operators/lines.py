@@ -22,6 +22,14 @@ def smoothed(line: Column, passes: int = 3) -> Column:
     return line
 
 
+def from_wkt(wkt: Column) -> Column:
+    """The points of ``LINESTRING (x y, x y)``; null for other texts, and where a vertex is no pair of numbers."""
+    inner = F.regexp_extract(wkt, r"(?i)^\s*LINESTRING\s*\(([^()]*)\)\s*$", 1)
+    number = lambda p, k: F.get(F.split(F.trim(p), r"\s+"), F.lit(k)).try_cast("double")
+    points = F.transform(F.split(inner, ","), lambda p: F.struct(number(p, 0).alias("x"), number(p, 1).alias("y")))
+    return F.when(F.forall(points, lambda p: p.x.isNotNull() & p.y.isNotNull()), points)
+
+
 def bounds(line: Column) -> dict[str, Column]:
     xs, ys = F.transform(line, lambda p: p.x), F.transform(line, lambda p: p.y)
     return {"west": F.array_min(xs), "south": F.array_min(ys), "east": F.array_max(xs), "north": F.array_max(ys)}

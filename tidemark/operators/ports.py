@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ CATEGORIES: dict[str, list[str]] = {
     "industrial": ["shipyard", "marine oil terminal", "oil depot", "fuel depot", "liquefied natural gas terminal", "floating regasification terminal", "liquefaction terminal", "regasification terminal"],
     "marina": ["marina", "berth", "bathing site", "overnight stay harbour"],
 }
+# Map style. Fixed values.
 COLOURS = {"historical": "red", "settlement": "orange", "seaport": "green", "naval": "#003366", "industrial": "#666666", "marina": "#008080"}
 OTHER_COLOUR = "#004080"
 RADII = {"historical": 7, "settlement": 5, "seaport": 5}
@@ -69,6 +72,14 @@ def nearest(probes: DataFrame, ports: DataFrame, n: int = 1, buffer: float = 0.1
     return close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).drop("y", "x")
 
 
+def clustered(ports: DataFrame, zoom: int, pixels: int = 40) -> DataFrame:
+    """x, y, n: ports by squares of so many screen pixels at a zoom."""
+    size = 256.0 * 2.0**zoom / pixels
+    lat = F.radians("lat")
+    x, y = (F.col("lng") + 180.0) / 360.0, (1.0 - F.ln(F.tan(lat) + 1 / F.cos(lat)) / math.pi) / 2.0
+    return ports.groupBy(F.floor(x * size).alias("x"), F.floor(y * size).alias("y")).agg(F.count("*").alias("n"))
+
+
 def features(ports: DataFrame) -> DataFrame:
     """A GeoJSON feature for each port, as text."""
     point = F.struct(F.lit("Point").alias("type"), F.array("lng", "lat").alias("coordinates"))

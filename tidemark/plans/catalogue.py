@@ -258,7 +258,11 @@ def daylight_interp(spark, sf_dir):
     return climate.interpolated(points, table, "ratio").select("node_id", "month", six("ratio").alias("ratio"))
 
 
-@query()
+@query(
+    "WITH days AS (SELECT d, month(DATE '2001-01-01' + (d - 1)::INT)::INT AS month, 2*pi()*(d-1)/365 AS g FROM (SELECT unnest(range(1, 366)) AS d)), "
+    "sun AS (SELECT month, 0.006918-0.399912*cos(g)+0.070257*sin(g)-0.006758*cos(2*g)+0.000907*sin(2*g)-0.002697*cos(3*g)+0.00148*sin(3*g) AS decl FROM days), lats AS (SELECT unnest(range(-90, 91)) AS latitude) "
+    "SELECT latitude, month, round(avg(acos(least(1.0, greatest(-1.0, cos(radians(90.833))/(cos(radians(latitude))*cos(decl))-tan(radians(latitude))*tan(decl))))/pi()), 6) AS daylight_ratio FROM lats CROSS JOIN sun GROUP BY ALL"
+)
 def daylight_table(spark, sf_dir):
     """Mean share of daylight for each latitude and month."""
     days = spark.range(1, 366).select(F.col("id").alias("day"), F.month(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("id") - 1).cast("int"))).alias("month"))
@@ -616,7 +620,10 @@ def ports_clusters(spark, sf_dir):
     return view(spark, sf_dir, "w_ports").groupBy(F.floor(F.col("lat") * 4).alias("y"), F.floor(F.col("lng") * 4).alias("x")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """SELECT port_id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || any_value(lng) || ',' || any_value(lat) || ']},"properties":{"name":"' || any_value(name) || '","country":"' || any_value(country) || '","categories":["' """
+    f"""|| array_to_string(list_transform(list_sort(list_distinct(list(k))), lambda x: substr(x, 2)), '","') || '"]}}}}' AS feature FROM (SELECT port_id, name, country, lat, lng, {_KNOWN} AS k FROM w_ports JOIN w_port_types USING (port_id)) WHERE k IS NOT NULL AND NOT regexp_matches(trim(name), '^Q\\d+$') GROUP BY port_id"""
+)
 def ports_geojson(spark, sf_dir):
     return ports.features(ports.classified(_ports(spark, sf_dir)))
 
