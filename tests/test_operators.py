@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import cells, env, geo
-from tidemark.operators import graph, lines, ports, routing, sailing
+from tidemark.operators import cover, graph, lines, ports, routing, sailing
 from tidemark.sources import files
 from tidemark.streaming import incremental
 
@@ -171,3 +171,22 @@ def test_stamped_tables_and_retries(spark, tmp_path):
     assert incremental.retried(fails, wait_s=0) == "done"
     with pytest.raises(OSError):
         incremental.retried(lambda: (_ for _ in ()).throw(OSError()), wait_s=0)
+
+
+def test_lines_from_text_and_their_ends(spark):
+    texts = ["LINESTRING (1 2, 3 4, 5 6)", "linestring(1 2,3 4)", "LINESTRING (1 2)", "LINESTRING EMPTY", "LINESTRING (1 2, x 4)", "POINT (1 2)", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, wkt string").withColumn("line", lines.from_wkt(F.col("wkt")))
+    rows = {r.k: (r.lng1, r.lat1, r.lng2, r.lat2) for r in graph.with_endpoints(df, "line").collect()}
+    assert rows == {0: (1, 2, 5, 6), 1: (1, 2, 3, 4)} | dict.fromkeys(range(2, 8), (None,) * 4)
+
+
+def test_mean_edges_of_known_resolutions_only(spark):
+    df = spark.createDataFrame([(0,), (15,), (16,), (-1,), (None,)], "r int")
+    assert [r[0] for r in df.select(cells.mean_edge_m(F.col("r"))).collect()] == [cells.MEAN_EDGE_M[0], cells.MEAN_EDGE_M[15], None, None, None]
+
+
+def test_stitches_of_empty_levels(spark):
+    one = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 0.0)], "node_id long, x double, y double")
+    other = spark.createDataFrame([(3, 1.0, 0.0), (4, 500.0, 0.0)], "node_id long, x double, y double")
+    assert cover.stitched(one, other.limit(0), 2, 100.0).collect() == []
+    assert sorted(map(tuple, cover.stitched(one, other, 1, 100.0).collect())) == [(1, 3), (2, 3)]

@@ -98,13 +98,13 @@ def edge_lines_without_endpoints(spark, sf_dir):
 
 
 @query(
-    f"WITH {_route_sql('range(1, 13)')} SELECT a.month, max(a.place) OVER (PARTITION BY a.month)::BIGINT - a.place AS position, b.node AS source, a.node AS target, round(c.length_m, 3) AS length_m, round(c.time_s, 3) AS time_s "
+    f"WITH {_route_sql('[1]')} SELECT a.month, max(a.place) OVER (PARTITION BY a.month)::BIGINT - a.place AS position, b.node AS source, a.node AS target, round(c.length_m, 3) AS length_m, round(c.time_s, 3) AS time_s "
     "FROM walk a JOIN walk b ON b.query_id = a.query_id AND b.month = a.month AND b.place = a.place + 1 JOIN costs c ON c.month = a.month AND c.source = b.node AND c.target = a.node"
 )
 def route_legs(spark, sf_dir):
-    """Each month's route leg by leg."""
-    costs = _kept_costs(spark, sf_dir, list(range(1, 13)))
-    rows = routing.legs(routing.routes(routing.seasonal(_far(spark, sf_dir)), costs)).join(costs, ["month", "vessel", "source", "target"])
+    """A route leg by leg."""
+    costs = _kept_costs(spark, sf_dir, [1])
+    rows = routing.legs(routing.routes(_far(spark, sf_dir), costs)).join(costs, ["month", "vessel", "source", "target"])
     return rows.select("month", F.col("position").cast("long").alias("position"), "source", "target", F.round("length_m", 3).alias("length_m"), F.round("time_s", 3).alias("time_s"))
 
 
