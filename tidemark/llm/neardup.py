@@ -25,7 +25,7 @@ BANDS, ROWS = 32, 5
 SPACING = 1.001  # b: registers are floors of logarithms to this base
 RATE = 20.0  # a: rate of the exponentials
 MARGIN = 0.15  # about five standard deviations of the estimate
-SALT_ROWS = 512  # rows that one copy of a hub's text serves
+SALT_ROWS = 128  # rows that one copy of a hub's text serves: a copy more per 128 rows, and no task with more of one hub
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 250_000  # of one block of an open bucket
 
 
