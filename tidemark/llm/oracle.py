@@ -47,4 +47,15 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FRO
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_near_duplicates": NEAR_DUPLICATES, "op4_warc_archives": WARC, "op8_suffix_dedup": SUFFIXES, "op10_substring_dedup": PASSAGES}
+_CONTROLS = r"<\\*(?:\|im_start\|>|\|im_sep\|>|\|im_end\|>|s>|/s>|\|endoftext\|>)|\[\\*(?:INST\]|/INST\])"
+
+CHAT = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|><|im_sep|><|im_end|>') + length(role) + length(text) + len(regexp_extract_all(role || chr(10) || text, '{_CONTROLS}')))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+QUERIES = {"op11_chat_masks": CHAT, "op1_near_duplicates": NEAR_DUPLICATES, "op4_warc_archives": WARC, "op8_suffix_dedup": SUFFIXES, "op10_substring_dedup": PASSAGES}

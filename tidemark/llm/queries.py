@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, gif, langid, neardup, oracle, packing, passages, quality, sharding, suffixes, warc
+from tidemark.llm import bytebpe, chat, gif, langid, neardup, oracle, packing, passages, quality, sharding, suffixes, warc
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("starts", "ends")
 
 
+def op11_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_control_strings(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.format_and_read_back(turns, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
