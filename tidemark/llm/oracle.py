@@ -58,4 +58,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
-QUERIES = {"op11_chat_masks": CHAT, "op1_near_duplicates": NEAR_DUPLICATES, "op4_warc_archives": WARC, "op8_suffix_dedup": SUFFIXES, "op10_substring_dedup": PASSAGES}
+_TERMS = r"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS.format(text="text")} AS ts FROM documents),
+size AS (SELECT doc_id, r, len(ts)::BIGINT AS n FROM d WHERE len(ts) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) GROUP BY 1, 2),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+asked AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(ts) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS.format(text="text")} AS ts FROM benchmark)) GROUP BY 1, 2, 3),
+score AS (SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weight USING (term) JOIN tf USING (term) JOIN size USING (r), total GROUP BY 1, 2, 3, 4)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0) WHERE rank <= 10
+"""
+
+QUERIES = {"op12_lexical_search": LEXICAL, "op11_chat_masks": CHAT, "op1_near_duplicates": NEAR_DUPLICATES, "op4_warc_archives": WARC, "op8_suffix_dedup": SUFFIXES, "op10_substring_dedup": PASSAGES}
