@@ -105,13 +105,15 @@ class Segment:
     def __init__(self, ids, lengths, kinds, first, place, tf, stats: Stats):
         self.ids, self.place = ids, place
         self.at = {int(t): k for k, t in enumerate(kinds)}
-        self.first = first
         which = np.repeat(np.arange(len(kinds)), np.diff(first))
         m = _m(lengths, stats)[place]
         self.value = stats.weights[kinds][which] * (SCALE * tf // (K1_SCALE * tf + 8 * m))
+        n = -(-len(ids) // BLOCK)
+        self.cuts = np.zeros((len(kinds), n + 1), np.int64)  # where each term's postings of a block begin
+        np.add.at(self.cuts, (which, place // BLOCK + 1), 1)
+        self.cuts = np.cumsum(self.cuts, axis=1) + np.asarray(first)[:-1, None]
         self.levels: list[np.ndarray] = []  # from the blocks up to the root: terms by ranges
         self.least: list[np.ndarray] = []  # least id of each range
-        n = -(-len(ids) // BLOCK)
         leaf = np.zeros((len(kinds), n), np.int64)
         np.maximum.at(leaf, (which, place // BLOCK), self.value)
         low = np.minimum.reduceat(ids, np.arange(0, len(ids), BLOCK))
@@ -154,10 +156,10 @@ class Segment:
                 continue
             begin, end = at * BLOCK, min((at + 1) * BLOCK, len(self.ids))
             scores = np.zeros(end - begin, np.int64)
-            for row, n in zip(rows.tolist(), times.tolist(), strict=True):
-                lo, hi = self.first[row], self.first[row + 1]
-                x, y = lo + np.searchsorted(self.place[lo:hi], [begin, end])
-                scores[self.place[x:y] - begin] += n * self.value[x:y]
+            lo = self.cuts[rows, at]
+            size = self.cuts[rows, at + 1] - lo
+            own = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
+            np.add.at(scores, self.place[own] - begin, np.repeat(times, size) * self.value[own])
             for j in np.flatnonzero(scores >= worst[0]).tolist():
                 found = (int(scores[j]), -int(self.ids[begin + j]))
                 if len(best) < k:
