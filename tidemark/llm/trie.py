@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import Scratch, join_spread
 
-LOCAL_TURNS = 10_000  # a bucket with more is split by another round
+LOCAL_TURNS = 1000  # a bucket with more is split by another round
 PIECE = 1 << 16  # characters of a class's ids that are joined before they are shuffled
 SHARED_TURNS, FAMILY = 6, 100  # a rebuilt conversation begins with fewer turns than that, of its family's first
 
