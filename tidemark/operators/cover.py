@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import hexgrid
 from tidemark.functions.cells import lattice_distance, neighbours
 from tidemark.functions.geo import great_circle, tile_x, tile_y
 from tidemark.session import Tables
@@ -26,6 +27,13 @@ def neighbour_pairs(cells: DataFrame) -> DataFrame:
     return around.join(cells.select(F.col("node_id").alias("target"), "r", "c"), ["r", "c"]).where("source < target").select("source", "target")
 
 
+def adjacent(cells: DataFrame, col: str) -> DataFrame:
+    """(source, target), the smaller first, of adjacent cell ids."""
+    own = cells.select(F.col(col).alias("source")).distinct()
+    around = own.withColumn("target", F.explode(hexgrid.neighbours(F.col("source")))).where("source < target")
+    return around.join(own.select(F.col("source").alias("target")), "target", "left_semi").select("source", "target")
+
+
 def frontier(cells: DataFrame) -> DataFrame:
     """Cells with fewer than six neighbours, and how many."""
     pairs = neighbour_pairs(cells)

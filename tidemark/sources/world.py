@@ -77,9 +77,9 @@ def with_views(body: str) -> str:
 
     visit(body)
     ctes = ", ".join(f"{n} AS ({_NAMED.sub(r'\1', VIEWS[n])})" for n in order)
-    recursive = "RECURSIVE " if "USING KEY" in body else ""
     rest = body.strip()
+    recursive = "RECURSIVE " if "USING KEY" in body or rest.upper().startswith("WITH RECURSIVE ") else ""
     if rest.upper().startswith("WITH "):
-        rest = rest[5:]
+        rest = rest[5:].removeprefix("RECURSIVE ")
         return f"WITH {recursive}{ctes + ', ' if ctes else ''}{rest}"
     return f"WITH {ctes} {rest}" if ctes else rest
