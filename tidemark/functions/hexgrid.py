@@ -253,8 +253,11 @@ def _hopped(z: Column) -> Column:
     return _let(F.array_max(over), move)
 
 
-def _on_face(cell: Column, dx: Column, dy: Column) -> Column:
-    """Where a cell's centre lies, moved by (dx, dy) of its level's lattice, as (x, y, face)."""
+def _on_face(cell: Column, dx: Column, dy: Column, lead: Column | None = None) -> Column:
+    """Where a cell's centre lies, moved by (dx, dy) of its level's lattice, as (x, y, face).
+
+    ``lead``: the digit towards which a pentagon's own place is moved.
+    """
 
     def start(c: Column) -> Column:
         def flat(p: Column) -> Column:
@@ -268,7 +271,7 @@ def _on_face(cell: Column, dx: Column, dy: Column) -> Column:
     def settle(c: Column, z: Column) -> Column:
         home = [ico.plane(b.i, b.j) for b in ico.BASE_CELLS]
         plain = F.struct((z["x"] + _at([h.real for h in home], c["base"])).alias("x"), (z["y"] + _at([h.imag for h in home], c["base"])).alias("y"), _at([b.face for b in ico.BASE_CELLS], c["base"]).alias("face"))
-        at = c["base"] * 7 + F.when(_at(_PENTAGON, c["base"]), _lead(c["cell"], c["res"])).otherwise(0)
+        at = c["base"] * 7 + F.when(_at(_PENTAGON, c["base"]), _lead(c["cell"], c["res"]) if lead is None else lead).otherwise(0)
         sector = _spun(z, _at([s.turn if s else 0 for s in _SECTOR], at), _at([s.corner.real if s else 0.0 for s in _SECTOR], at), _at([s.corner.imag if s else 0.0 for s in _SECTOR], at), _at([s.face if s else 0 for s in _SECTOR], at))
         return _let(F.when(_at([s is not None for s in _SECTOR], at), sector).otherwise(plain), _hopped)
 
@@ -298,5 +301,17 @@ def boundary(cell: Column) -> Column:
     Where a cell lies over an edge of the icosahedron its sides bend there; the bends are not among the corners.
     """
     reach = 1 / math.sqrt(3)
-    corners = F.transform(_table(list(range(6))), lambda t: _let(_on_face(cell, _at([reach * math.cos(math.pi / 6 + k * math.pi / 3) for k in range(6)], t), _at([reach * math.sin(math.pi / 6 + k * math.pi / 3) for k in range(6)], t)), _position))
-    return F.when(cell.isNotNull(), corners)
+    x, y = ([reach * f(math.pi / 6 + k * math.pi / 3) for k in range(6)] for f in (math.cos, math.sin))
+    toward = [4, 6, 2, 3, 0, 4]  # the digit on whose side of a pentagon a corner lies; none where its gap is
+
+    def corner(k: Column, lead: Column | None = None) -> Column:
+        return _let(_let(_on_face(cell, _at(x, k), _at(y, k), lead), _hopped), _position)
+
+    whole = F.transform(_table(list(range(6))), lambda k: corner(k))
+    five = F.transform(_table([k for k in range(6) if toward[k]]), lambda k: corner(k, _at(toward, k)))
+    return F.when(cells.is_pentagon(cell), five).when(cell.isNotNull(), whole)
+
+
+def around(cell: Column) -> Column:
+    """The neighbours of a cell in order, counterclockwise; corner k of the boundary lies between the k-th and the next."""
+    return F.array_compact(F.transform(_table(list(range(6))), lambda t: neighbour(cell, t)))

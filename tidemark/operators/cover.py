@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import hexgrid
-from tidemark.functions.cells import lattice_distance, neighbours
+from tidemark.functions.cells import is_pentagon, lattice_distance, neighbours
 from tidemark.functions.geo import great_circle, tile_x, tile_y
+from tidemark.operators.components import connected
 from tidemark.session import Tables
 
 
@@ -113,6 +114,28 @@ def classified(cells: DataFrame, diameter: Column, buffer: Column, within_land:
     return out.withColumn("refined", (~F.col("sea_only") & ~F.col("land_only")) | F.col("littoral"))
 
 
+def frontier_parts(table: DataFrame, col: str) -> DataFrame:
+    """(cell, n_neighbours, part): cell ids with fewer neighbours in the table than on the globe, and the smallest cell of the frontier each is connected with."""
+    own = table.select(F.col(col).alias("cell")).distinct()
+    pairs = Tables(table.sparkSession).keep(adjacent(own, "cell"), "adjacent")
+    n = pairs.select(F.explode(F.array("source", "target")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    open_ = own.join(n, "cell", "left").select("cell", F.coalesce("n", F.lit(0)).alias("n_neighbours")).where(F.col("n_neighbours") < F.when(is_pentagon(F.col("cell")), 5).otherwise(6))
+    edge = open_.select(F.col("cell").alias("source"))
+    along = pairs.join(edge, "source", "left_semi").join(edge.withColumnRenamed("source", "target"), "target", "left_semi")
+    return open_.join(connected(open_.select(F.col("cell").alias("node")), along).withColumnRenamed("node", "cell"), "cell")
+
+
+def joined_parts(points: DataFrame, reach_m: float) -> DataFrame:
+    """(part_a, part_b, source, target, d): for each two parts of planar points (node_id, part, x, y) within reach the two nearest points, to the millimetre, then by id."""
+    cell = lambda c: F.floor(F.col(c) / reach_m).cast("long")
+    placed = points.select(F.col("node_id").alias("target"), F.col("part").alias("part_b"), F.col("x").alias("tx"), F.col("y").alias("ty")).withColumns({"gx": cell("tx"), "gy": cell("ty")})
+    spread = F.explode(F.array(*(F.struct((cell("x") + i).alias("gx"), (cell("y") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    asked = points.select(F.col("node_id").alias("source"), F.col("part").alias("part_a"), "x", "y").withColumn("g", spread).select("source", "part_a", "x", "y", "g.*")
+    near = asked.join(placed, ["gx", "gy"]).where("part_a < part_b").withColumn("d", F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty"))).where(F.col("d") <= reach_m)
+    best = near.groupBy("part_a", "part_b").agg(F.min(F.struct(F.round("d", 3).alias("d"), "source", "target")).alias("b"))
+    return best.select("part_a", "part_b", "b.source", "b.target", "b.d")
+
+
 def knn(left: DataFrame, right: DataFrame, k: int, reach_m: float, cell_m: float) -> DataFrame:
     """(left_id, right_id, d) of the k nearest within reach, to the millimetre, then by id: planar (x, y) points meet in cells as wide as the reach."""
     cell = lambda c: F.floor(F.col(c) / cell_m).cast("long")

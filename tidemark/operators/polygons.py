@@ -117,7 +117,9 @@ def _corners(rings: DataFrame) -> DataFrame:
 
 
 def meeting(one: DataFrame, other: DataFrame, side: float) -> DataFrame:
-    """(a_id, b_id, within) of polygons of two sets that share a point; ``within``: the first lies in the second and does not touch its edge.
+    """(a_id, b_id, touch, within) of polygons of two sets that share a point.
+
+    ``touch``: their edges do; ``within``: the first lies in the second and does not touch its edge.
 
     Polygons meet if their edges do, or if a ring's corner lies inside the other. Rings and
     their tiles are written once and read for each of the three.
@@ -130,7 +132,7 @@ def meeting(one: DataFrame, other: DataFrame, side: float) -> DataFrame:
     a_in_b = _inside(_corners(rings[0]), dealt[1], side).select(F.col("point_id.poly_id").alias("a_id"), F.col("poly_id").alias("b_id")).distinct().withColumn("a_in_b", yes)
     b_in_a = _inside(_corners(rings[1]), dealt[0], side).select(F.col("point_id.poly_id").alias("b_id"), F.col("poly_id").alias("a_id")).distinct().withColumn("b_in_a", yes)
     every = touch.join(a_in_b, ["a_id", "b_id"], "full").join(b_in_a, ["a_id", "b_id"], "full")
-    return every.select("a_id", "b_id", (F.col("touch").isNull() & F.col("a_in_b").isNotNull() & F.col("b_in_a").isNull()).alias("within"))
+    return every.select("a_id", "b_id", F.col("touch").isNotNull().alias("touch"), (F.col("touch").isNull() & F.col("a_in_b").isNotNull() & F.col("b_in_a").isNull()).alias("within"))
 
 
 def cell_rings(table: DataFrame, col: str = "cell") -> DataFrame:

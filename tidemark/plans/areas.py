@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import cells, geo
-from tidemark.operators import polygons
+from tidemark.functions import cells, geo, geometry, hexgrid
+from tidemark.operators import components, cover, polygons
 from tidemark.plans.catalogue import query
-from tidemark.plans.grid import _CORNER, _GREAT, _NODES, LEVEL, _lattice, _named, _placed, _plane, world_cells
+from tidemark.plans.grid import _CORNER, _GREAT, _NODES, _STEP, LEVEL, _lattice, _named, _placed, _plane, world_cells
 from tidemark.sources.world import view
 
 SIDE = 0.25  # degrees of a tile
@@ -121,3 +121,76 @@ def tiles_with_middle_inside(spark, sf_dir):
     middles = parts.select(F.struct("poly_id", "c", "r").alias("point_id"), ((F.col("c") + 0.5) * 0.1).alias("x"), ((F.col("r") + 0.5) * 0.1).alias("y"))
     found = polygons.inside(middles, rings, SIDE).where("point_id.poly_id = poly_id")
     return found.select("poly_id", "point_id.c", "point_id.r")
+
+
+@query(f"WITH {_POLYGONS} SELECT poly_id, ring, k, x, y FROM vertices UNION ALL SELECT poly_id, ring, CASE WHEN ring = 1 THEN 4 ELSE 8 END, x, y FROM vertices WHERE k = 0")
+def polygon_texts(spark, sf_dir):
+    """Polygons as text, with their holes, read back to rings; each ring's points are numbered, and it ends where it began."""
+    number = lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))
+    closed = F.concat("points", F.slice("points", 1, 1))
+    ring = F.concat(F.lit("("), F.array_join(F.transform(closed, number), ", "), F.lit(")"))
+    text = world_rings(spark, sf_dir).groupBy("poly_id").agg(F.concat(F.lit("POLYGON ("), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ring", ring.alias("t")))), lambda r: r["t"]), ", "), F.lit(")")).alias("text"))
+    rings = text.select("poly_id", F.explode(geometry.from_wkt(F.col("text"))).alias("r"))
+    points = rings.select("poly_id", "r.ring", F.posexplode("r.points").alias("n", "p"))
+    return points.select("poly_id", "ring", F.when(F.col("ring") == 1, F.when(F.col("n") == 4, 4).otherwise(2 * F.col("n"))).otherwise(F.col("n")).cast("long").alias("k"), "p.x", "p.y")
+
+
+_ACROSS = "SELECT -node_id AS id, lng - 1.3e-1 AS x1, lat + 1.37e-2 AS y1, lng + 1.7e-1 AS x2, lat + 1.73e-2 AS y2 FROM w_land UNION ALL SELECT source * 1000000 + target, lng1, lat1, lng2, lat2 FROM w_edges"
+
+
+@query(
+    f"WITH l AS ({_ACROSS}), t AS (SELECT a.id, ((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1))/((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1)) AS t, ((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1))/((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1)) AS u "
+    "FROM l a JOIN l b ON a.id <> b.id AND (a.x2-a.x1)*(b.y2-b.y1) <> (a.y2-a.y1)*(b.x2-b.x1)), c AS (SELECT DISTINCT id, round(t, 12) AS t FROM t WHERE u BETWEEN 0 AND 1 AND round(t, 12) > 0 AND round(t, 12) < 1), "
+    "e AS (SELECT id, 0e0 AS t FROM l UNION ALL SELECT id, 1e0 FROM l UNION ALL SELECT * FROM c), p AS (SELECT id, t, lead(t) OVER (PARTITION BY id ORDER BY t) AS n, row_number() OVER (PARTITION BY id ORDER BY t) - 1 AS piece FROM e) "
+    "SELECT id, piece, round(x1 + t*(x2-x1), 6) AS x1, round(y1 + t*(y2-y1), 6) AS y1, round(x1 + n*(x2-x1), 6) AS x2, round(y1 + n*(y2-y1), 6) AS y2 FROM p JOIN l USING (id) WHERE n IS NOT NULL"
+)
+def lines_cut_at_crossings(spark, sf_dir):
+    """Edges, and a line across each land cell, cut wherever they cross each other."""
+    lines = spark.sql(_ACROSS.replace("w_land", "{w_land}").replace("w_edges", "{w_edges}"), w_land=view(spark, sf_dir, "w_land"), w_edges=view(spark, sf_dir, "w_edges")).withColumn("k", F.lit(0))
+    cut = polygons.split_at_crossings(lines, 0.1)
+    return cut.select("id", F.col("piece").cast("long").alias("piece"), *(F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+_PARENT = f"((id & {~(15 << 52)}) | {4 << 52} | {(1 << 33) - 1})"
+_COMPONENTS = "cc(n, c) USING KEY (n) AS (SELECT n, n FROM dots UNION (SELECT l.b, min(cc.c) FROM cc JOIN links l ON l.a = cc.n JOIN recurring.cc r ON r.n = l.b WHERE cc.c < r.c GROUP BY l.b))"
+
+
+@query(
+    f"WITH RECURSIVE {_OWN}, {_HEXES}, {_STEP.replace('around AS (SELECT', 'around AS (SELECT a AS sa, b AS sb,')}, {_named('around', 'other')}, grouped AS (SELECT id, {_PARENT} AS grp FROM own), "
+    "pairs AS (SELECT cell, list_position([10, 11, 1, -10, -11, -1], sa * 10 + sb) AS t, other.id AS other FROM around JOIN other USING (k)), "
+    "turned AS (SELECT cell, t, other, lead(other) OVER w AS after, first_value(other) OVER w AS first_, lag(other) OVER w AS before, last_value(other) OVER (PARTITION BY cell ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_ FROM pairs WINDOW w AS (PARTITION BY cell ORDER BY t)), "
+    "outer_ AS (SELECT g.grp, g.grp || ':' || list_sort([cell, coalesce(before, last_), other])::VARCHAR AS since, g.grp || ':' || list_sort([cell, other, coalesce(after, first_)])::VARCHAR AS upto FROM turned JOIN grouped g ON g.id = cell LEFT JOIN grouped h ON h.id = other AND h.grp = g.grp WHERE h.id IS NULL), "
+    f"dots AS (SELECT since AS n FROM outer_), links AS (SELECT since AS a, upto AS b FROM outer_ UNION ALL SELECT upto, since FROM outer_), {_COMPONENTS}, "
+    "sizes AS (SELECT grp, c, count(*) AS n FROM outer_ JOIN cc ON cc.n = since GROUP BY grp, c), areas AS (SELECT grp, sum(hx1 * hy2 - hx2 * hy1) / 2 AS area FROM hexes JOIN grouped ON id = cell GROUP BY grp) "
+    "SELECT printf('%x', grp) AS grp, count(*) AS n_rings, sum(n)::BIGINT AS n_sides, max(n)::BIGINT AS longest, round(any_value(area), 8) AS area FROM sizes JOIN areas USING (grp) GROUP BY grp"
+)
+def cell_outlines(spark, sf_dir):
+    """The outlines of each union of the world's cells that have a parent of level 4 in common."""
+    table = world_cells(spark, sf_dir).withColumn("grp", cells.parent(F.col("cell"), 4))
+    rings = components.outlines(table, "grp", "cell").withColumn("n", F.size("points").cast("long"))
+    found = rings.groupBy("grp").agg(F.count("*").alias("n_rings"), F.sum("n").alias("n_sides"), F.max("n").alias("longest"), F.round(F.sum(polygons.area(F.col("points"))), 8).alias("area"))
+    return found.withColumn("grp", cells.to_hex(F.col("grp")))
+
+
+_FRONTIER = f"""{_OWN}, {_STEP}, {_named('around', 'other')}, pairs AS (SELECT cell, other.id AS other FROM around JOIN other USING (k) JOIN own o ON o.id = other.id),
+  counted AS (SELECT own.id AS n, count(pairs.cell) AS n_neighbours FROM own LEFT JOIN pairs ON cell = id GROUP BY own.id), dots AS (SELECT * FROM counted WHERE n_neighbours < 6),
+  links AS (SELECT cell AS a, other AS b FROM pairs SEMI JOIN dots x ON x.n = cell SEMI JOIN dots y ON y.n = other), {_COMPONENTS}"""
+
+
+@query(f"WITH RECURSIVE {_FRONTIER} SELECT printf('%x', n) AS cell, n_neighbours, printf('%x', c) AS part FROM dots JOIN cc USING (n)")
+def frontier_parts(spark, sf_dir):
+    """The cells of the world that lack a neighbour, and the connected parts these make."""
+    found = cover.frontier_parts(world_cells(spark, sf_dir), "cell")
+    return found.select(cells.to_hex(F.col("cell")).alias("cell"), "n_neighbours", cells.to_hex(F.col("part")).alias("part"))
+
+
+@query(
+    f"WITH RECURSIVE {_FRONTIER}, {_placed(f'SELECT id AS k, f, {_plane("i", "j", str(LEVEL))} FROM own', 'centre')}, m AS (SELECT n, c, 6378137.0*radians(lng) AS x, 6378137.0*ln(tan(radians(lat)/2+pi()/4)) AS y FROM dots JOIN cc USING (n) JOIN centre ON centre.k = n), "
+    "d AS (SELECT a.c AS pa, b.c AS pb, a.n AS source, b.n AS target, round(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)), 3) AS d FROM m a JOIN m b ON a.c < b.c WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 40000) "
+    "SELECT printf('%x', pa) AS part_a, printf('%x', pb) AS part_b, printf('%x', source) AS source, printf('%x', target) AS target, round(d, 2) AS d FROM d QUALIFY row_number() OVER (PARTITION BY pa, pb ORDER BY d, source, target) = 1"
+)
+def frontier_joins(spark, sf_dir):
+    """The nearest two cells of each two parts of the frontier that lie within 40 km."""
+    parts = cover.frontier_parts(world_cells(spark, sf_dir), "cell").withColumn("at", hexgrid.center(F.col("cell")))
+    found = cover.joined_parts(parts.select(F.col("cell").alias("node_id"), "part", geo.mercator_x(F.col("at.lng")).alias("x"), geo.mercator_y(F.col("at.lat")).alias("y")), 40_000.0)
+    return found.select(*(cells.to_hex(F.col(c)).alias(c) for c in ("part_a", "part_b", "source", "target")), F.round("d", 2).alias("d"))
