@@ -142,3 +142,14 @@ def test_a_word_has_its_counts_in_all_languages(documents):
     model = langid.train(docs.select("lang", "text"), Scratch(docs.sparkSession))
     row = model.items[0]["mara"]
     assert sorted(model.of[model.first[row] : model.first[row + 1]].tolist()) == [0, 1]
+
+
+def test_sample_has_a_row_of_each_language_and_keeps_its_bounds(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(12_000).select((F.col("id") % 4000).cast("string").alias("lang"), F.lit("text").alias("text"), F.xxhash64("id").alias("draw"))
+    assert langid.sampled(rows, 2000).groupBy("lang").count().where("count = 1").count() == 4000
+    few = rows.withColumn("lang", (F.col("draw") % 2 == 0).cast("string"))
+    assert 900 <= langid.sampled(few, 1000).count() <= 1100
+    long = few.withColumn("text", F.repeat(F.lit("x"), 1000))
+    assert 180 <= langid.sampled(long, 1000, 200_000).count() <= 220

@@ -71,3 +71,19 @@ def test_neighbours_share_a_sequence(documents):
 
 def test_empty_table(documents):
     assert packing.pack(documents([]), PATH).collect() == []
+
+
+def test_other_normalizers_take_the_whole_tokenizer(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from tidemark.llm import packing
+
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    spec["normalizer"] = {"type": "Sequence", "normalizers": [*spec["normalizer"]["normalizers"], {"type": "Replace", "pattern": {"String": "a"}, "content": "b"}, {"type": "StripAccents"}]}
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(spec))
+    ids = packing.WordIds(str(path))
+    assert not ids.plain and ids.encode("Banana café") == b"".join(ids[w.encode()] for w in ("bbnbnb", "cbfe"))
+    assert packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).plain

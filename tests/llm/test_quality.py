@@ -163,3 +163,30 @@ def test_repeated_words_that_polynomial_hashes_confuse(documents):
 def test_no_language_is_not_an_empty_one(documents, rng):
     rows = [(k, " ".join(words(rng, 80, 300)), None, "s") for k in range(40)] + [(100 + k, " ".join(f"{rng.getrandbits(60):x}" for _ in range(60)), "", "s") for k in range(40)]
     assert all(r.kept for r in quality.judge(documents(rows)).collect())
+
+
+def test_a_large_model_is_read_once_for_many_chunks(spark, rng, monkeypatch):
+    """With a memory of one file each file is opened once for a group of chunks, however many these are; scores stay the same."""
+    import pyarrow as pa
+
+    from tidemark.llm import textcore as tc
+
+    texts = [" ".join(words(rng, 60, 900)) for _ in range(60)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        model = quality.kneser_ney(spark.createDataFrame([(t,) for t in texts], "text string"), Scratch(spark))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    monkeypatch.setattr(tc, "CHUNK_BYTES", 300)
+    chunks = tc.chunks
+    monkeypatch.setattr(tc, "chunks", lambda t: chunks(t, 300))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 20)), pa.array(["="] * 20), pa.array([1] * 20), pa.array(texts[k : k + 20])], ["a", "b", "c", "d"]) for k in (0, 20, 40)]
+    scores = lambda: [x for b in quality._scores(model, quality.ORDER)(iter(batches)) for x in b.column("nats").to_pylist()]
+    want = scores()
+    reads, files = [], sum(len(a.files) for pair in model.orders for a in pair)
+    read = quality.pq.read_table
+    monkeypatch.setattr(quality.pq, "read_table", lambda *a, **k: reads.append(a[0]) or read(*a, **k))
+    monkeypatch.setattr(quality, "REMEMBERED_BYTES", 1)
+    quality._READ.clear()
+    assert np.allclose(scores(), want, rtol=1e-12)
+    assert len(reads) <= files and len(reads) == len(set(reads))

@@ -40,3 +40,11 @@ def test_odd_rows(documents, odd):
 def test_no_python_on_the_way(documents):
     plan = sharding.interleave(documents([(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_no_source_is_another_than_odd_ones(spark, documents):
+    rows = [(k, f"t{k}", "en", s) for k, s in enumerate([None, "\x00", "", "="] * 30)]
+    got = {r.doc_id: r.source for r in sharding.interleave(documents(rows), shards=4).collect()}
+    assert got == {k: s for k, _, _, s in rows}
+    shards = sharding.interleave(documents(rows), shards=4).groupBy("shard", "source").count().collect()
+    assert all(7 <= r["count"] <= 8 for r in shards)

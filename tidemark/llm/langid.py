@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import Scratch
 
 MOST_TEXTS = 10_000  # labelled texts that the classifier is fitted on
+MOST_BYTES = 64 << 20  # of their texts
 SLICE = 20_000  # words that are scored at once
 LONGEST = 4
 FLUSH = 400_000
@@ -102,17 +103,24 @@ class Model(NamedTuple):
     gains: np.ndarray
 
 
-def sampled(rows: DataFrame, most: int) -> DataFrame:
-    """(lang, text) of about ``most`` rows of (lang, text, draw), equally many of each language as far as there are."""
-    left = sorted((r.n, r.lang) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
-    room, shares = most, []
-    for k, (n, lang) in enumerate(left):
-        fair = max(1.0, room / (len(left) - k))
-        shares.append((lang, min(1.0, fair / n)))
-        room -= min(n, fair)
-    share = rows.sparkSession.createDataFrame(shares, "lang string, share double")
+def sampled(rows: DataFrame, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(lang, text) of about ``most`` rows of (lang, text, draw) and about ``most_bytes`` of text, equally much of each language as far as there is.
+
+    One row of each language, that with the least draw, is taken for certain, so where there
+    are more languages than ``most`` the sample has a row of each. Rows with equal draws go together.
+    """
+    have = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("draw").alias("first")).collect()
+    share = {r.lang: 1.0 for r in have}
+    for bound, size in ((most, "n"), (most_bytes, "bytes")):
+        room = bound
+        for k, r in enumerate(sorted(have, key=lambda r: (r[size], r.lang))):
+            fair = max(0.0, room / (len(have) - k))
+            certain = 1 if size == "n" else 0
+            share[r.lang] = min(share[r.lang], max(0.0, fair - certain) / max(1, r[size] - certain))
+            room -= min(r[size], fair)
+    table = rows.sparkSession.createDataFrame([(r.lang, share[r.lang], r.first) for r in have], "lang string, share double, first long")
     drawn = F.shiftrightunsigned("draw", 11) * F.lit(2.0**-53)
-    return rows.join(F.broadcast(share), "lang").where(drawn < F.col("share")).select("lang", "text")
+    return rows.join(F.broadcast(table), "lang").where((drawn < F.col("share")) | (F.col("draw") == F.col("first"))).select("lang", "text")
 
 
 def train(rows: DataFrame, scratch: Scratch) -> Model:
@@ -213,8 +221,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     and ``prefix`` keeps the added names apart from them.
 
     The model learns from rows that are not held out (crc32 of the id as text, modulo 3, is
-    1) and have a text and a language, or from a sample of about ``most_texts`` of them where
-    there are more; rows without an id are not held out. The prediction uses the text alone. lang_pred is a learned language, or 'und' with score 0 for a null
+    1) and have a text and a language, or from a sample of about ``most_texts`` of them, and of
+    MOST_BYTES, where there are more; each language has at least one text in it; rows without an id are not held out. The prediction uses the text alone. lang_pred is a learned language, or 'und' with score 0 for a null
     text, one without a letter, or if nothing could be learned. score is the best language's
     share, 1 / languages to 1. Very long texts are scored in slices. Repeated rows get equal predictions. Other columns are ignored.
     """

@@ -58,8 +58,8 @@ class WordIds(dict):
     """Ids of words by their bytes, as the tokenizer gives them, as unsigned 16-bit integers.
 
     The tokenizer drops white space, so words are encoded one by one and remembered. Words
-    of common characters go piece by piece to the tokenizer's own merges; others go to the
-    whole tokenizer.
+    of common characters go piece by piece to the tokenizer's own merges; others, and all of
+    a tokenizer that does more than lower-case and compose, go to the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -70,11 +70,13 @@ class WordIds(dict):
         spec = json.loads(self.whole.to_str())
         self.cut = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")).findall
         self.special = [t["content"] for t in spec["added_tokens"]]
+        steps = spec["normalizer"] or {"type": "none"}
+        self.plain = {n["type"] for n in steps.get("normalizers", [steps])} <= {"NFC", "Lowercase", "Replace"} and any(n["type"] == "Lowercase" for n in steps.get("normalizers", [steps]))
         self.pieces = _Pieces(self.whole.model.tokenize)
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if _COMMON.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
+        if self.plain and _COMMON.fullmatch(text) and not ("<" in text and any(s in text for s in self.special)):
             low = text.lower()
             data = self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, self.cut(low)))
         else:

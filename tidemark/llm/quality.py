@@ -6,7 +6,8 @@ probabilities are aggregations and joins of those counts. The model is stored as
 arrays: packed n-grams, which are their own perfect hashes, with log-probabilities, and packed
 contexts with backoff weights, range by range in files of the shared folder. It holds every
 n-gram of the input. Neither the driver nor a broadcast carries it: a task asks for the
-n-grams of a few megabytes of text at a time, file by file, and remembers files up to a bound.
+n-grams of some text at a time, file by file. Files are remembered up to a bound; where the
+model is larger, more text is asked for together, so that a file is read once for each 48 MB.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from tidemark.llm.shared import Scratch, join_spread
 
 ORDER = 5
 REMEMBERED_BYTES = 192 << 20  # of the model's arrays in a worker
+GROUP_BYTES = 48 << 20  # of text that a worker scores together if the model is larger than that
 LEAST_WORDS = 50
 STEP = 1e-3  # bands are found on log-perplexities in steps of this
 BELOW, ABOVE = 10.0, 6.0  # a band's ends, in robust standard deviations from the median
@@ -82,9 +84,10 @@ def _counts(order: int):
 
 
 class SortedArrays(NamedTuple):
-    """Sorted keys and their values in files, none overlapping: path, first and last key of each."""
+    """Sorted keys and their values in files, none overlapping: path, first and last key of each, and how many entries all have."""
 
     files: list[tuple[str, int, int]]
+    entries: int
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the sorted ``keys`` are there, and the values of those."""
@@ -121,6 +124,10 @@ class Model(NamedTuple):
     orders: list[tuple[SortedArrays, SortedArrays]]
     unknown: float
 
+    @property
+    def nbytes(self) -> int:
+        return 16 * sum(arrays.entries for pair in self.orders for arrays in pair)
+
     def log_probabilities(self, keys: np.ndarray, order: int | None = None) -> np.ndarray:
         """Natural logarithms for packed n-grams of the given order."""
         order = len(self.orders) if order is None else order
@@ -138,8 +145,8 @@ class Model(NamedTuple):
 
 def _stored(df: DataFrame, key: str, value: str, scratch: Scratch, name: str) -> tuple[DataFrame, SortedArrays]:
     table = scratch.keep(df.select(key, value).repartitionByRange(key).sortWithinPartitions(key), name)
-    files = table.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
-    return table, SortedArrays(sorted(((r.path, r.first, r.last) for r in files), key=lambda f: f[1]))
+    files = table.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n")).collect()
+    return table, SortedArrays(sorted(((r.path, r.first, r.last) for r in files), key=lambda f: f[1]), sum(r.n for r in files))
 
 
 def kneser_ney(texts: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
@@ -171,13 +178,41 @@ def kneser_ney(texts: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
     return Model(orders, float(np.log(1 / 256)))
 
 
+def _groups(batches, most: int):
+    """Batches with a share of their chunks, together ``most`` bytes of text or one chunk more: lists of (batch, chunk)."""
+    held, size = [], 0
+    for batch in batches:
+        for c in tc.chunks(batch.column(3)):
+            held.append((batch, c))
+            size += len(c.data)
+            if size >= most:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _looked_up(group, model: Model, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a group's texts, sorted, and their log-probabilities: each file of the model is opened once for all of them."""
+    kinds = np.zeros(0, np.int64)
+    for _, c in group:
+        kinds = np.union1d(kinds, packed(c, order)[0])
+    return kinds, model.log_probabilities(kinds, order)
+
+
 def _scores(model: Model, order: int):
-    """Statistics and mean negative log-probability of (row_id, lang, hash, text)."""
+    """Statistics and mean negative log-probability of (row_id, lang, hash, text).
+
+    A model that fits a worker's memory is asked chunk by chunk. A larger one is asked once
+    for a group of chunks, as every group walks all of its files.
+    """
+    most = GROUP_BYTES if model.nbytes > REMEMBERED_BYTES else 0
 
     def run(batches):
-        for batch in batches:
-            ids, langs, marks, texts = batch.columns
-            for c in tc.chunks(texts):
+        for group in _groups(batches, most):
+            kinds, logs = _looked_up(group, model, order) if most else (None, None)
+            for batch, c in group:
+                ids, langs, marks, _ = batch.columns
                 w = tc.words(c)
                 names = tc.word_names(c, w)
                 ends = np.zeros(len(c.data) + 1, np.int64)
@@ -188,7 +223,7 @@ def _scores(model: Model, order: int):
                 symbols = np.diff(ends[c.offsets])
                 keys, first = packed(c, order)
                 sums = np.zeros(len(keys) + 1)
-                np.cumsum(model.log_probabilities(keys), out=sums[1:])
+                np.cumsum(model.log_probabilities(keys) if kinds is None else logs[np.searchsorted(kinds, keys)], out=sums[1:])
                 grams = np.diff(first)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     nats = np.where(grams > 0, -np.diff(sums[first]) / grams, np.nan)

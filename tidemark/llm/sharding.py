@@ -22,10 +22,11 @@ def text_size(text: Column, overhead: int = 16) -> Column:
 
 
 def _numbered(rows: DataFrame, group: list[str], bucket: str, order: list[str], to: str) -> DataFrame:
-    """Position of each row within its group, from 1, by bucket and then by ``order``."""
+    """Position of each row within its group, from 1, by bucket and then by ``order``. Without a group there are BUCKETS counts at most, which are broadcast."""
     counts = rows.groupBy(*group, bucket).agg(F.count("*").alias("in_bucket"))
     upto = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0))).drop("in_bucket")
+    before = before if group else F.broadcast(before)
     within = Window.partitionBy(*group, bucket).orderBy(*order)
     return rows.withColumn("within", F.row_number().over(within)).join(before, [*group, bucket]).withColumn(to, F.col("before") + F.col("within")).drop("before", "within")
 
@@ -42,7 +43,7 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 42, id_col: str =
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("row_id"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("\x00")).alias("src"),
+        F.when(F.col(source_col).isNull(), "").otherwise(F.concat(F.lit("="), F.col(source_col).cast("string"))).alias("src"),  # no source is another than the null one
         text_size(F.col(text_col)).alias("size"),
         F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")).alias("crc"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"),
@@ -50,10 +51,9 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 42, id_col: str =
     ranked = _numbered(rows, ["src"], "bucket", ["draw", "row_id", "crc"], "rank")
     totals = rows.groupBy("src").agg(F.count("*").alias("total"))
     placed = scratch.keep(ranked.join(totals, "src").withColumn("share", (F.col("rank") - F.lit(0.5)) / F.col("total")).withColumn("bucket", F.floor(F.col("share") * BUCKETS).cast("int")).drop("rank", "total"), "ranked")
-    placed = placed.withColumn("every", F.lit(1))
-    order = _numbered(placed, ["every"], "bucket", ["share", "src", "draw", "row_id"], "place").join(placed.groupBy("every").agg(F.count("*").alias("n")), "every").withColumn("place", F.col("place") - 1)
+    order = _numbered(placed, [], "bucket", ["share", "src", "draw", "row_id"], "place").crossJoin(F.broadcast(placed.agg(F.count("*").alias("n")))).withColumn("place", F.col("place") - 1)
     return (
         order.withColumn("shard", F.expr(f"((place + 1) * {shards} - 1) div n").cast("int"))
         .withColumn("slot", F.col("place") - F.expr(f"(shard * n) div {shards}"))
-        .select(F.col("row_id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.when(F.col("src") != "\x00", F.col("src")).alias(source_col))
+        .select(F.col("row_id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.when(F.col("src") != "", F.expr("substring(src, 2)")).alias(source_col))
     )
