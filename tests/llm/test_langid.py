@@ -150,6 +150,6 @@ def test_sample_has_a_row_of_each_language_and_keeps_its_bounds(spark):
     rows = spark.range(12_000).select((F.col("id") % 4000).cast("string").alias("lang"), F.lit("text").alias("text"), F.xxhash64("id").alias("draw"))
     assert langid.sampled(rows, 2000).groupBy("lang").count().where("count = 1").count() == 4000
     few = rows.withColumn("lang", (F.col("draw") % 2 == 0).cast("string"))
-    assert 900 <= langid.sampled(few, 1000).count() <= 1100
+    assert 850 <= langid.sampled(few, 1000).count() <= 1150  # five standard deviations
     long = few.withColumn("text", F.repeat(F.lit("x"), 1000))
-    assert 180 <= langid.sampled(long, 1000, 200_000).count() <= 220
+    assert 130 <= langid.sampled(long, 1000, 200_000).count() <= 270
