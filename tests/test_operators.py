@@ -160,17 +160,6 @@ def test_stamped_tables_and_retries(spark, tmp_path):
     for version in ("1", "1", "2"):
         assert incremental.stamped(spark, path, version, make).count() == 3
     assert len(made) == 2
-    tries = []
-
-    def fails():
-        tries.append(1)
-        if len(tries) < 3:
-            raise OSError
-        return "done"
-
-    assert incremental.retried(fails, wait_s=0) == "done"
-    with pytest.raises(OSError):
-        incremental.retried(lambda: (_ for _ in ()).throw(OSError()), wait_s=0)
 
 
 def test_lines_from_text_and_their_ends(spark):

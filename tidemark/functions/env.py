@@ -12,12 +12,6 @@ from tidemark.functions.geo import clamp, norm
 ABSOLUTE_ZERO_C = 273.15
 
 
-def clean(x: Column, default: float | None = None) -> Column:
-    """NaN and infinities become null, or the default, as nulls do."""
-    good = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-    return good if default is None else F.coalesce(good, F.lit(default))
-
-
 def celsius(kelvin: Column) -> Column:
     return kelvin - ABSOLUTE_ZERO_C
 

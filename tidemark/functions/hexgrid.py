@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,8 +28,13 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+@cache
+def _literal(values: tuple) -> str:
+    return "array(" + ", ".join(f"{v!r}D" if isinstance(v, float) else str(v) for v in values) + ")"
+
+
 def _table(values: list) -> Column:
-    return F.array(*(F.lit(v) for v in values))
+    return F.expr(_literal(tuple(values)))
 
 
 def _at(values: list, index: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import hexgrid
 from tidemark.functions.cells import is_pentagon, lattice_distance, neighbours
 from tidemark.functions.geo import great_circle, tile_x, tile_y
+from tidemark.operators import polygons
 from tidemark.operators.components import connected
 from tidemark.session import Tables
 
@@ -87,6 +88,19 @@ def snapped(points: DataFrame, cells: DataFrame, most: int = 50, near: int = 3)
     return points.select("point_id").join(close, "point_id", "left").select("point_id", F.col("best.node_id").alias("node_id"), F.col("best.distance").alias("ring"))
 
 
+def snapped_to_cells(points: DataFrame, table: DataFrame, level: int, most: int = 3) -> DataFrame:
+    """(point_id, cell, ring): the cell (cell) of a table nearest to each point (point_id, lat, lng): of the first ring around the point's own cell with any, by squared degrees, then id.
+
+    Points without a cell up to ``most`` rings away get nulls. A point asks for 3 most (most + 1) + 1 cells.
+    """
+    asked = points.withColumn("own", hexgrid.cell_at(F.col("lat"), F.col("lng"), level))
+    near = asked.where("own is not null").select("point_id", "lat", "lng", F.posexplode(hexgrid.rings(F.col("own"), most)).alias("ring", "cells")).select("point_id", "lat", "lng", "ring", F.explode("cells").alias("cell"))
+    hits = near.join(table.select("cell").distinct(), "cell").withColumn("at", hexgrid.center(F.col("cell")))
+    d2 = F.pow(F.col("at.lat") - F.col("lat"), 2) + F.pow(F.col("at.lng") - F.col("lng"), 2)
+    best = hits.groupBy("point_id").agg(F.min(F.struct("ring", d2.alias("d2"), "cell")).alias("best"))
+    return points.select("point_id").join(best, "point_id", "left").select("point_id", "best.cell", "best.ring")
+
+
 def cross_level_edges(cells: DataFrame, ancestors: list[tuple[Column, DataFrame]]) -> DataFrame:
     """Edges from cells with a missing neighbour to the coarse cell that holds the missing place.
 
@@ -155,19 +169,14 @@ def stitched(one: DataFrame, other: DataFrame, k: int, reach_m: float) -> DataFr
     return found[0].unionByName(found[1]).select(F.least("left_id", "right_id").alias("source"), F.greatest("left_id", "right_id").alias("target")).distinct()
 
 
-def nearest_any(left: DataFrame, right: DataFrame, reach_m: float, widest_m: float = 5e7) -> DataFrame:
-    """(left_id, right_id, d) of the nearest, however far: what none is within reach of looks twice as far, in cells twice as wide.
+def nearest_any(left: DataFrame, right: DataFrame, side_m: float) -> DataFrame:
+    """(left_id, right_id, d) of the nearest, however far: to the millimetre, then by id. No rows for an empty right side.
 
-    No rows for an empty right side, or beyond ``widest_m``. Each look is written to the shared folder.
+    Branch and bound over a pyramid of tiles, the smallest ``side_m`` wide, see ``polygons``.
     """
-    tables = Tables(left.sparkSession)
-    found = tables.keep(knn(left, right, 1, reach_m, reach_m), "near")
-    every = found
-    while reach_m < widest_m and not right.isEmpty() and not (left := tables.keep(left.join(found, "left_id", "left_anti"), "left")).isEmpty():
-        reach_m *= 2
-        found = tables.keep(knn(left, right, 1, reach_m, reach_m), "near")
-        every = every.unionByName(found)
-    return every
+    dots = right.select(F.col("right_id").alias("id"), F.col("rx").alias("x1"), F.col("ry").alias("y1"), F.col("rx").alias("x2"), F.col("ry").alias("y2"))
+    near = polygons.nearest_segment(left.select(F.col("left_id").alias("point_id"), F.col("lx").alias("x"), F.col("ly").alias("y")), polygons.pyramid(dots, side_m), decimals=3)
+    return near.select(F.col("point_id").alias("left_id"), F.col("id").alias("right_id"), "d")
 
 
 def tiles(cells: DataFrame, zoom: int) -> DataFrame:

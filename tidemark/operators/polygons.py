@@ -11,7 +11,9 @@ others. On which side a point falls that lies on a polygon's very edge is not de
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import cells, hexgrid
@@ -163,44 +165,70 @@ def _to_box(u: Column, v: Column, c: Column, r: Column, size: Column | float) ->
     return F.hypot(gap(u, lo_u), gap(v, lo_v)), F.hypot(far(u, lo_u), far(v, lo_v))
 
 
-def nearest_segment(points: DataFrame, sides: DataFrame, side: float) -> DataFrame:
-    """(point_id, d, x, y): for each point (point_id, x, y) the nearest place on any segment (x1, y1, x2, y2), in the plane; of equal ones the least (x, y).
+class Pyramid(NamedTuple):
+    """Segments dealt to tiles, the tiles that hold any, and how many of these there are at each level of tiles twice as wide."""
+
+    side: float
+    dealt: DataFrame
+    tiles: DataFrame
+    counts: list[int]
+    top: list[Row]
+
+    def level(self, k: int) -> DataFrame:
+        return self.tiles.select(_wider("c", k).alias("c"), _wider("r", k).alias("r")).distinct() if k else self.tiles
+
+
+def _wider(c: str, k: int) -> Column:
+    return F.floor(F.col(c) / (1 << k))
+
+
+def pyramid(sides: DataFrame, side: float) -> Pyramid:
+    """The pyramid over segments (x1, y1, x2, y2), written once; its top level has TOP_TILES tiles or fewer, or tiles as wide as all."""
+    tables = Tables(sides.sparkSession)
+    dealt = tables.keep(tiled(sides, side).drop("crosses"), "dealt")
+    tiles = tables.keep(dealt.select("c", "r").distinct(), "tiles")
+    span = tiles.agg(F.max(F.greatest(F.abs("c"), F.abs("r"))).alias("span")).collect()[0].span or 0
+    most = span.bit_length() + 1
+    every = tiles.select(F.explode(F.sequence(F.lit(0), F.lit(most))).alias("k"), "c", "r").select("k", F.floor(F.col("c") / F.pow(F.lit(2.0), F.col("k"))).alias("c"), F.floor(F.col("r") / F.pow(F.lit(2.0), F.col("k"))).alias("r"))
+    counts = [r.n for r in every.distinct().groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect()]
+    height = next((k for k, n in enumerate(counts) if n <= TOP_TILES), most)
+    found = Pyramid(side, dealt, tiles, counts[: height + 1], [])
+    return found._replace(top=found.level(height).collect()) if counts else found
+
+
+def nearest_segment(points: DataFrame, sides: Pyramid, decimals: int | None = None) -> DataFrame:
+    """(point_id, d, x, y, id): for each point (point_id, x, y) the nearest place on any segment, in the plane, and the segment's id if segments have one.
+
+    Distances are compared exactly, or to ``decimals``; of equal ones the least id, then the least (x, y) is taken.
 
     Branch and bound down a pyramid of the tiles that hold segments. Every tile holds a place
     of a segment, so its farthest corner bounds the distance; tiles that begin beyond the best
     bound are left, the others are opened. A point compares itself with the segments of the few
     tiles that remain. Without segments there are no rows.
     """
-    tables = Tables(points.sparkSession)
-    dealt = tables.keep(tiled(sides, side).drop("crosses"), "dealt")
-    level = tables.keep(dealt.select("c", "r").distinct(), "tiles0")
-    levels, counts = [level], [level.count()]
-    while counts[-1] > TOP_TILES:
-        half = lambda c: F.floor(F.col(c) / 2)
-        level = tables.keep(levels[-1].select(half("c").alias("c"), half("r").alias("r")).distinct(), f"tiles{len(levels)}")
-        if (n := level.count()) == counts[-1]:
-            break
-        levels.append(level)
-        counts.append(n)
-    top = [F.struct(F.lit(x.c).alias("c"), F.lit(x.r).alias("r")) for x in levels[-1].limit(TOP_TILES * 64).collect()]
+    side, dealt = sides.side, sides.dealt
+    top = [F.struct(F.lit(x.c).alias("c"), F.lit(x.r).alias("r")) for x in sides.top]
     if not top:
-        return points.select("point_id", *(F.lit(0.0).alias(c) for c in ("d", "x", "y"))).limit(0)
+        return points.select("point_id", *(F.lit(0.0).alias(c) for c in ("d", "x", "y")), F.lit(0).cast("long").alias("id")).limit(0)
     place = points.select("point_id", _u(F.col("x"), side).alias("u"), _u(F.col("y"), side).alias("v"))
     tiles = place.withColumn("t", F.explode(F.array(*top))).select("point_id", "u", "v", "t.c", "t.r")
-    for k in range(len(levels) - 1, -1, -1):
+    for k in range(len(sides.counts) - 1, -1, -1):
         least, most = _to_box(F.col("u"), F.col("v"), F.col("c"), F.col("r"), float(1 << k))
         bounded = tiles.groupBy("point_id", "u", "v").agg(F.min(most).alias("bound"), F.collect_list(F.struct(least.alias("least"), "c", "r")).alias("tiles"))
         open_ = F.filter("tiles", lambda t: t["least"] <= F.col("bound") + 1e-6)
         tiles = bounded.select("point_id", "u", "v", F.explode(open_).alias("t")).select("point_id", "u", "v", "t.c", "t.r")
         if k:
-            finer = levels[k - 1].select(F.col("c").alias("fc"), F.col("r").alias("fr"), F.floor(F.col("c") / 2).alias("c"), F.floor(F.col("r") / 2).alias("r"))
-            finer = F.broadcast(finer) if counts[k - 1] <= MOST_BROADCAST else finer
+            finer = sides.level(k - 1).select(F.col("c").alias("fc"), F.col("r").alias("fr"), _wider("c", 1).alias("c"), _wider("r", 1).alias("r"))
+            finer = F.broadcast(finer) if sides.counts[k - 1] <= MOST_BROADCAST else finer
             tiles = tiles.join(finer, ["c", "r"]).select("point_id", "u", "v", F.col("fc").alias("c"), F.col("fr").alias("r"))
     du, dv = F.col("u2") - F.col("u1"), F.col("v2") - F.col("v1")
-    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("u") - F.col("u1")) * du + (F.col("v") - F.col("v1")) * dv) / (du * du + dv * dv)))
+    along = ((F.col("u") - F.col("u1")) * du + (F.col("v") - F.col("v1")) * dv) / F.nullif(du * du + dv * dv, F.lit(0.0))
+    share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(along, F.lit(0.0))))
     near = tiles.join(dealt, ["c", "r"]).withColumn("share", share).withColumns({"nu": F.col("u1") + F.col("share") * du, "nv": F.col("v1") + F.col("share") * dv})
-    best = near.groupBy("point_id").agg(F.min(F.struct(F.hypot(F.col("nu") - F.col("u"), F.col("nv") - F.col("v")).alias("d"), "nu", "nv")).alias("b"))
-    return best.select("point_id", (F.col("b.d") * side).alias("d"), (F.col("b.nu") * side - OFF).alias("x"), (F.col("b.nv") * side - OFF).alias("y"))
+    far = F.hypot(F.col("nu") - F.col("u"), F.col("nv") - F.col("v")) * side
+    which = F.col("id") if "id" in dealt.columns else F.lit(None).cast("long")
+    best = near.groupBy("point_id").agg(F.min(F.struct((far if decimals is None else F.round(far, decimals)).alias("d"), which.alias("id"), "nu", "nv")).alias("b"))
+    return best.select("point_id", "b.d", (F.col("b.nu") * side - OFF).alias("x"), (F.col("b.nv") * side - OFF).alias("y"), "b.id")
 
 
 def _half_plane(points: Column, kept: Column | float, axis: str, above: bool) -> Column:

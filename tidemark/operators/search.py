@@ -85,12 +85,13 @@ def least_costs(starts: DataFrame, edges: DataFrame, tables: Tables, tile: Calla
     """query_id, month, vessel, node_id, cost: the least cost of every node that a query's origin reaches.
 
     ``starts``: query_id, origin, month, vessel. ``edges``: month, vessel, source, target,
-    weight; weights are positive, and an infinite one is no edge. An origin that the graph
-    does not have reaches itself alone, at no cost.
+    weight; an infinite weight is no edge, and one that is not positive is an error. An origin
+    that the graph does not have reaches itself alone, at no cost.
     """
     workers_can_import(starts.sparkSession)
     keys = [*GRAPH, "tile", "lane"]
-    finite = edges.where(F.col("weight") < float("inf")).select(*GRAPH, "source", "target", "weight")
+    positive = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
+    finite = edges.where(F.col("weight") < float("inf")).select(*GRAPH, "source", "target", positive.alias("weight"))
     finite = tables.keep(finite.withColumns({"tile": tile(F.col("source")), "target_tile": tile(F.col("target"))}), "edges")
     starts = tables.keep(starts.select("query_id", "origin", *GRAPH), "starts")
     most = starts.groupBy(*GRAPH).count().agg(F.max("count")).collect()[0][0] or 1
@@ -150,7 +151,7 @@ def paths(asked: DataFrame, costs: DataFrame, edges: DataFrame, tables: Tables,
     own = [*GRAPH, "query_id"]
     ends = edges.where(F.col("weight") < float("inf")).select(*GRAPH, "source", "target", "weight")
     before = costs.select(*own, F.col("node_id").alias("source"), F.col("cost").alias("before"))
-    step = before.join(ends, [*GRAPH, "source"]).join(costs.select(*own, F.col("node_id").alias("target"), "cost"), [*own, "target"]).where(F.col("before") + F.col("weight") == F.col("cost"))
+    step = before.join(ends, [*GRAPH, "source"]).join(costs.select(*own, F.col("node_id").alias("target"), "cost"), [*own, "target"]).where((F.col("before") + F.col("weight") == F.col("cost")) & (F.col("before") < F.col("cost")))
     back = step.groupBy(*own, F.col("target").alias("node_id")).agg(F.min("source").alias("previous"))
     back = tables.keep(back.withColumns({"tile": tile(F.col("node_id")), "previous_tile": tile(F.col("previous"))}), "back")
     goals = asked.select("query_id", *GRAPH, F.col("goal").alias("node_id")).join(costs.select(*own, "node_id"), [*own, "node_id"], "left_semi")

@@ -12,7 +12,7 @@ from tidemark.operators import cover, polygons
 from tidemark.plans.areas import _CROSSED, _MEET, _POLYGONS, _SHARE, SIDE, world_rings
 from tidemark.plans.catalogue import query
 from tidemark.plans.grid import _CORNER, _GREAT, _lattice, _named, _placed, _plane
-from tidemark.session import shared_folder
+from tidemark.session import Tables, shared_folder
 from tidemark.sources.world import view
 
 
@@ -24,28 +24,29 @@ class Rules(NamedTuple):
     land_strip_m: float = 10_000.0
 
 
-def _distances(points: DataFrame, coast: DataFrame, side: float) -> DataFrame:
+def _distances(points: DataFrame, coast: polygons.Pyramid) -> DataFrame:
     """(point_id, dist_m): great circles to the places on the coast that are nearest in the plane."""
-    near = polygons.nearest_segment(points, coast, side).withColumnsRenamed({"x": "nx", "y": "ny"})
+    near = polygons.nearest_segment(points, coast).withColumnsRenamed({"x": "nx", "y": "ny"})
     return points.join(near, "point_id").select("point_id", geo.great_circle(F.col("y"), F.col("x"), F.col("ny"), F.col("nx")).alias("dist_m"))
 
 
-def judged(table: DataFrame, land: DataFrame, level: int, rules: Rules, side: float = SIDE) -> DataFrame:
+def judged(table: DataFrame, land: DataFrame, coast: polygons.Pyramid, level: int, rules: Rules) -> DataFrame:
     """The cells (cell) of a level with dist_m, intersects, closest_m, what ``cover.classified`` makes of them, and whether they are refined.
 
     ``closest_m`` is known up to the land level: 0 where a coast runs through the cell, else
     the least distance of its corners if land meets it.
     """
-    coast = polygons.segments(land)
-    met = polygons.meeting(polygons.cell_rings(table), land, side)
-    land_of = met.groupBy(F.col("a_id").alias("cell")).agg(F.max("touch").alias("touch"), F.max("within").alias("within"))
+    tables = Tables(table.sparkSession)
+    table = tables.keep(table, "cells")
+    met = polygons.meeting(polygons.cell_rings(table), land, coast.side)
+    land_of = tables.keep(met.groupBy(F.col("a_id").alias("cell")).agg(F.max("touch").alias("touch"), F.max("within").alias("within")), "land")
     centres = table.select("cell", hexgrid.center(F.col("cell")).alias("at")).select(F.col("cell").alias("point_id"), F.col("at.lng").alias("x"), F.col("at.lat").alias("y"))
-    out = table.join(land_of, "cell", "left").join(_distances(centres, coast, side).withColumnRenamed("point_id", "cell"), "cell", "left")
+    out = table.join(land_of, "cell", "left").join(_distances(centres, coast).withColumnRenamed("point_id", "cell"), "cell", "left")
     out = out.withColumns({"intersects": F.col("touch").isNotNull(), "touch": F.coalesce("touch", F.lit(False)), "within": F.coalesce("within", F.lit(False))})
     if level <= rules.land_level:
         inner = land_of.where("not touch").select("cell", F.posexplode(hexgrid.boundary(F.col("cell"))).alias("k", "p"))
         corners = inner.select(F.struct("cell", "k").alias("point_id"), F.col("p.lng").alias("x"), F.col("p.lat").alias("y"))
-        nearest = _distances(corners, coast, side).groupBy(F.col("point_id.cell").alias("cell")).agg(F.min("dist_m").alias("corner_m"))
+        nearest = _distances(corners, coast).groupBy(F.col("point_id.cell").alias("cell")).agg(F.min("dist_m").alias("corner_m"))
         out = out.join(nearest, "cell", "left").withColumn("closest_m", F.when(F.col("touch"), 0.0).otherwise(F.col("corner_m"))).drop("corner_m")
     else:
         out = out.withColumn("closest_m", F.lit(None).cast("double"))
@@ -73,12 +74,13 @@ def cover_sea(spark: SparkSession, first: DataFrame, level: int, land: DataFrame
     after the last layer that is whole. It ends when nothing is left to refine.
     """
     layers: dict[int, DataFrame] = {}
-    table = first.select("cell").distinct()
+    table, coast = first.select("cell").distinct(), None
     while level <= rules.last:
         where = f"{path}/hexes_r{level}"
         layer = _kept(spark, where)
         if layer is None:
-            judged(table, land, level, rules, side).write.mode("overwrite").parquet(where)
+            coast = coast or polygons.pyramid(polygons.segments(land), side)
+            judged(table, land, coast, level, rules).write.mode("overwrite").parquet(where)
             layer = spark.read.parquet(where)
         layers[level] = layer
         table = layer.where("refined").select(F.explode(cells.children(F.col("cell"), level + 1)).alias("cell")) if level < rules.last else table.limit(0)

@@ -97,7 +97,7 @@ def coast_distance(spark, sf_dir):
     """How far each node is from the nearest place on any coast."""
     nodes = view(spark, sf_dir, "w_nodes").select("node_id", "lat", "lng")
     coast = polygons.segments(world_rings(spark, sf_dir).where("poly_id >= 0"))
-    near = polygons.nearest_segment(nodes.select(F.col("node_id").alias("point_id"), F.col("lng").alias("x"), F.col("lat").alias("y")), coast, SIDE)
+    near = polygons.nearest_segment(nodes.select(F.col("node_id").alias("point_id"), F.col("lng").alias("x"), F.col("lat").alias("y")), polygons.pyramid(coast, SIDE))
     at = nodes.join(near, nodes.node_id == near.point_id)
     return at.select("node_id", F.round(geo.great_circle(F.col("lat"), F.col("lng"), F.col("y"), F.col("x")), 2).alias("dist_m"))
 

@@ -40,9 +40,18 @@ def build(spark: SparkSession, sf_dir: str, path: str, name: str = "world") -> d
     return added
 
 
-@query("SELECT * FROM (VALUES ('wind', 'Wind', 'wind_x,wind_y'), ('currents', 'Currents', 'current_x,current_y'), ('sea', 'Sea', 'swell_height,wave_height'), ('weather', 'Weather', 'visibility_m')) t(dataset, label, variables)")
+@query(
+    "SELECT dataset, upper(dataset[1]) || dataset[2:] AS label, variables, n FROM (SELECT 'wind' AS dataset, 'wind_x,wind_y' AS variables, count(wind_x) + count(wind_y) AS n FROM w_env UNION ALL SELECT 'currents', 'current_x,current_y', count(current_x) + count(current_y) FROM w_env "
+    "UNION ALL SELECT 'sea', 'swell_height,wave_height', count(swell_height) + count(wave_height) FROM w_env UNION ALL SELECT 'weather', 'visibility_m', count(visibility_m) FROM w_env)"
+)
 def dataset_registry(spark, sf_dir):
-    return registry(spark, DATASETS)
+    """The datasets with their labels, and how many values of their variables there are."""
+    names = [v for k, vs in DATASETS.items() if k != "dem" for v in vs]
+    counts = view(spark, sf_dir, "w_env").agg(*(F.count(v).alias(v) for v in names))
+    have = counts.select(F.explode(F.create_map(*(x for v in names for x in (F.lit(v), F.col(v))))).alias("variable", "n"))
+    known = registry(spark, DATASETS)
+    asked = known.select("dataset", F.explode(F.split("variables", ",")).alias("variable")).join(have, "variable").groupBy("dataset").agg(F.sum("n").alias("n"))
+    return known.join(asked, "dataset").select("dataset", "label", "variables", "n")
 
 
 @query(

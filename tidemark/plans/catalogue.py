@@ -153,10 +153,12 @@ def keyset_page_composite(spark, sf_dir):
     return view(spark, sf_dir, "w_edges").where(page).orderBy("source", "target").limit(100).select("source", "target")
 
 
-@query()
+@query("SELECT source, target, 1 + ('0x' || substr(md5('8:' || source || '-' || target), 1, 4))::BIGINT % 12 AS month FROM w_edges ORDER BY md5('7:' || source || '-' || target), source, target LIMIT 3")
 def sample_edges(spark, sf_dir):
-    """Three edges and a month at random, seeded: a sampling operator."""
-    return view(spark, sf_dir, "w_edges").orderBy(F.rand(7), "source", "target").limit(3).select("source", "target", (F.floor(F.rand(8) * 12) + 1).alias("month"))
+    """Three edges and a month at random, seeded: a sampling operator. The draw is a hash of seed and key, so it does not depend on partitions."""
+    draw = lambda seed: F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws("-", "source", "target")))
+    month = 1 + F.conv(F.substring(draw(8), 1, 4), 16, 10).cast("long") % 12
+    return view(spark, sf_dir, "w_edges").orderBy(draw(7), "source", "target").limit(3).select("source", "target", month.alias("month"))
 
 
 # --- attributes --------------------------------------------------------------------------------------------------------
@@ -260,13 +262,13 @@ def daylight_interp(spark, sf_dir):
 
 @query(
     "WITH days AS (SELECT d, month(DATE '2001-01-01' + (d - 1)::INT)::INT AS month, 2*pi()*(d-1)/365 AS g FROM (SELECT unnest(range(1, 366)) AS d)), "
-    "sun AS (SELECT month, 0.006918-0.399912*cos(g)+0.070257*sin(g)-0.006758*cos(2*g)+0.000907*sin(2*g)-0.002697*cos(3*g)+0.00148*sin(3*g) AS decl FROM days), lats AS (SELECT unnest(range(-90, 91)) AS latitude) "
+    "sun AS (SELECT month, 0.006918-0.399912*cos(g)+0.070257*sin(g)-0.006758*cos(2*g)+0.000907*sin(2*g)-0.002697*cos(3*g)+0.00148*sin(3*g) AS decl FROM days), lats AS (SELECT DISTINCT round(lat)::BIGINT AS latitude FROM w_nodes) "
     "SELECT latitude, month, round(avg(acos(least(1.0, greatest(-1.0, cos(radians(90.833))/(cos(radians(latitude))*cos(decl))-tan(radians(latitude))*tan(decl))))/pi()), 6) AS daylight_ratio FROM lats CROSS JOIN sun GROUP BY ALL"
 )
 def daylight_table(spark, sf_dir):
-    """Mean share of daylight for each latitude and month."""
+    """Mean share of daylight for each month and each whole degree of latitude at which there are nodes."""
     days = spark.range(1, 366).select(F.col("id").alias("day"), F.month(F.date_add(F.lit("2001-01-01").cast("date"), (F.col("id") - 1).cast("int"))).alias("month"))
-    lats = spark.range(-90, 91).select(F.col("id").alias("latitude"))
+    lats = view(spark, sf_dir, "w_nodes").select(F.round("lat").cast("long").alias("latitude")).distinct()
     ratio = env.daylight_ratio(F.col("latitude").cast("double"), F.col("day"))
     return lats.crossJoin(F.broadcast(days)).groupBy("latitude", "month").agg(F.round(F.avg(ratio), 6).alias("daylight_ratio"))
 
@@ -333,13 +335,17 @@ def coastal_weight_edges(spark, sf_dir):
 
 # --- sailing and routes ------------------------------------------------------------------------------------------------
 
+_SPEED = list(sailing.PRESETS["default"])[1]
 _ALL = "'default', 'cog', 'caravel', 'galley'"
 
 
-@query(f"WITH {_VESSELS} SELECT * FROM vessels")
+@query(f"WITH {_VESSELS} SELECT port_id, v.* REPLACE (max_speed + CASE WHEN vessel = 'cog' THEN 1 ELSE 0 END AS max_speed) FROM w_ports JOIN vessels v ON vessel = CASE port_id % 4 WHEN 0 THEN 'default' WHEN 1 THEN 'cog' WHEN 2 THEN 'caravel' ELSE 'galley' END")
 def vessel_presets(spark, sf_dir):
+    """The parameters of each port's vessel: defaults, the preset's own, and for cogs a knot that is given over both."""
     names = "vessel ratio max_speed max_wind calm draught bath_pen land_pen dark_pen min_wind min_wind_eff min_eff max_eff peak reach no_min no_max wave min_wave max_wave"
-    return sailing.vessels(spark).toDF(*names.split())
+    fleet = sailing.vessels(spark, overrides={"cog": {_SPEED: (sailing.PRESETS["default"] | sailing.PRESETS["cog"])[_SPEED] + 1}}).toDF(*names.split())
+    own = F.element_at(F.array(*map(F.lit, ("default", "cog", "caravel", "galley"))), (F.col("port_id") % 4 + 1).cast("int"))
+    return view(spark, sf_dir, "w_ports").select("port_id", own.alias("vessel")).join(F.broadcast(fleet), "vessel")
 
 
 @query(f"WITH {_costs('range(1, 13)', _ALL)} SELECT source, target, month, vessel, round(v,6) AS speed_ms, round(time_s,3) AS time_s FROM costs")
@@ -496,12 +502,6 @@ def frontier_cells(spark, sf_dir):
     return cover.frontier(view(spark, sf_dir, "w_nodes"))
 
 
-@query("SELECT * FROM (VALUES ('8928308280fffff', 9, '85283083fffffff', '8828308281fffff', '8a28308280c7fff'), ('85283083fffffff', 5, '85283083fffffff', NULL, NULL)) t(cell, level, parent5, parent8, center10) WHERE cell = '8928308280fffff'")
-def h3_bit_parent_children(spark, sf_dir):
-    one = spark.createDataFrame([("8928308280fffff",)], "cell string").withColumn("id", cells.from_hex(F.col("cell")))
-    return one.select("cell", cells.resolution(F.col("id")).alias("level"), *(cells.to_hex(cells.parent(F.col("id"), k)).alias(f"parent{k}") for k in (5, 8)), cells.to_hex(cells.center_child(F.col("id"), 10)).alias("center10"))
-
-
 @query(
     "WITH near AS (SELECT source, r, c FROM (SELECT node_id AS source, r + dr AS r, c + dc + CASE WHEN dr <> 0 AND r % 2 = 1 THEN 1 ELSE 0 END AS c FROM w_nodes CROSS JOIN (VALUES (0,-1),(0,1),(-1,-1),(-1,0),(1,-1),(1,0)) t(dr, dc)) n ANTI JOIN w_nodes x ON x.r = n.r AND x.c = n.c WHERE n.r >= 0 AND n.c >= 0), "
     "land AS (SELECT node_id % 50 AS c, node_id // 50 AS r FROM w_land), parents AS (SELECT DISTINCT (c // 3) * 1000 + r // 3 AS cell FROM land WHERE (c + r) % 4 = 0), grandparents AS (SELECT DISTINCT 1000000 + (c // 9) * 1000 + r // 9 AS cell FROM land) "

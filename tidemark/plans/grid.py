@@ -129,3 +129,49 @@ def cell_boundaries(spark, sf_dir):
     around = world_cells(spark, sf_dir).withColumn("b", hexgrid.boundary(F.col("cell")))
     out = around.select(cells.to_hex(F.col("cell")).alias("cell"), F.size("b").cast("long").alias("n_corners"), F.explode("b").alias("p"))
     return out.select("cell", "n_corners", six("p.lat").alias("lat"), six("p.lng").alias("lng"))
+
+
+def _bits(level: int) -> str:
+    return f"(id & {~(15 << 52)} | {level << 52} | {(1 << 3 * (15 - level)) - 1})"
+
+
+@query(
+    f"WITH RECURSIVE {_lattice('SELECT node_id AS k, 9 AS res, lat, lng FROM w_nodes')}, {_named('spot', 'named')} "
+    f"SELECT k AS node_id, printf('%x', id) AS cell, 9 AS level, printf('%x', {_bits(5)}) AS parent5, printf('%x', {_bits(8)}) AS parent8, printf('%x', (id & {~(15 << 52)} & {~(7 << 15)}) | {10 << 52}) AS center10 FROM named"
+)
+def h3_bit_parent_children(spark, sf_dir):
+    """The cell of each node, its parents, and its child in the middle."""
+    own = view(spark, sf_dir, "w_nodes").select("node_id", hexgrid.cell_at(F.col("lat"), F.col("lng"), 9).alias("id"))
+    return own.select("node_id", cells.to_hex(F.col("id")).alias("cell"), cells.resolution(F.col("id")).alias("level"), *(cells.to_hex(cells.parent(F.col("id"), k)).alias(f"parent{k}") for k in (5, 8)), cells.to_hex(cells.center_child(F.col("id"), 10)).alias("center10"))
+
+
+_PIXELS = "SELECT {key} AS k, l.lat + (p.l_orderkey % 41 - 20) * 37e-4 + 1.1e-4 AS lat, l.lng + (p.l_orderkey % 37 - 18) * 61e-4 - 1.3e-4 AS lng, red, green, blue FROM {pixels} p JOIN {land} l ON l.node_id = p.cell"
+_DUCK_PIXELS = _PIXELS.format(key="row_number() OVER ()", pixels="w_pixels", land="w_land")
+
+
+@query(
+    f"WITH RECURSIVE pixels AS ({_DUCK_PIXELS}), {_lattice('SELECT k, 7 AS res, lat, lng FROM pixels')}, {_named('spot', 'named')} "
+    "SELECT printf('%x', id) AS cell, count(*) AS pixels, max(red*256.0::DOUBLE + green + blue/256.0::DOUBLE - 32768) AS max_elevation_m FROM named JOIN pixels USING (k) WHERE blue <> 0 GROUP BY id"
+)
+def cell_elevation(spark, sf_dir):
+    """The highest pixel inside each cell of level 7: a pixel belongs to the cell that holds its place, whatever tile it came with."""
+    pixels = spark.sql(_PIXELS.format(key="0", pixels="{pixels}", land="{land}"), pixels=view(spark, sf_dir, "w_pixels"), land=view(spark, sf_dir, "w_land")).where("blue <> 0")
+    at = pixels.withColumn("cell", hexgrid.cell_at(F.col("lat"), F.col("lng"), 7))
+    found = at.groupBy("cell").agg(F.count("*").alias("pixels"), F.max(geo.terrarium_m(F.col("red"), F.col("green"), F.col("blue"))).alias("max_elevation_m"))
+    return found.withColumn("cell", cells.to_hex(F.col("cell")))
+
+
+_PORTS = f"WITH RECURSIVE {_lattice(f'SELECT node_id * 2 AS k, {LEVEL} AS res, lat, lng FROM w_nodes UNION ALL SELECT port_id * 2 + 1, {LEVEL}, lat, lng FROM w_ports')}, {_named('spot', 'named')}, own AS (SELECT id, min(f) AS f, min(i) AS i, min(j) AS j FROM named JOIN spot USING (k) WHERE k % 2 = 0 GROUP BY id)"
+_NEAR = f"around AS (SELECT s.k * 100 + row_number() OVER (PARTITION BY s.k) AS k, {LEVEL} AS res, s.f, s.i + a AS i, s.j + b AS j, distance FROM spot s CROSS JOIN {_OFFSETS} WHERE s.k % 2 = 1)"
+
+
+@query(
+    f"{_PORTS}, {_NEAR}, {_named('around', 'other')}, {_placed(f'SELECT id AS k, f, {_plane("i", "j", str(LEVEL))} FROM own', 'centre')}, "
+    "hit AS (SELECT (around.k // 100 - 1) // 2 AS port_id, other.id, distance, pow(c.lat - p.lat, 2) + pow(c.lng - p.lng, 2) AS d2 FROM around JOIN other USING (k) JOIN own o ON o.id = other.id JOIN centre c ON c.k = other.id JOIN w_ports p ON p.port_id = (around.k // 100 - 1) // 2), "
+    "best AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY port_id ORDER BY distance, d2, id) = 1) SELECT p.port_id, printf('%x', id) AS cell, distance::INT AS ring FROM w_ports p LEFT JOIN best USING (port_id)"
+)
+def snap_to_cell(spark, sf_dir):
+    """The cell of the world nearest to each port: of the first ring with any, up to three, by squared degrees."""
+    points = view(spark, sf_dir, "w_ports").select(F.col("port_id").alias("point_id"), "lat", "lng")
+    found = cover.snapped_to_cells(points, world_cells(spark, sf_dir), LEVEL, 3)
+    return found.select(F.col("point_id").alias("port_id"), cells.to_hex(F.col("cell")).alias("cell"), "ring")

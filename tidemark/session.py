@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,11 @@ _LOCAL: dict[str, str] = {}  # folders made where the setting is missing, as in
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir; where that is unset a local one for a session on one machine, else an error."""
     base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         base = _LOCAL[app]

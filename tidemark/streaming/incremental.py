@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -52,15 +51,3 @@ def stamped(spark: SparkSession, path: str, version: str, make: Callable[[], Dat
             raise
     make().withColumn("version", F.lit(version)).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path).drop("version")
-
-
-def retried(call: Callable[[], object], tries: int = 3, wait_s: float = 1.0, errors: tuple[type[Exception], ...] = (OSError,)) -> object:
-    """The call's result; on these errors again after 1, 2, 4 ... times the wait, then the error."""
-    for k in range(tries):
-        try:
-            return call()
-        except errors:
-            if k + 1 == tries:
-                raise
-            time.sleep(wait_s * 2**k)
-    raise ValueError("tries must be positive")
