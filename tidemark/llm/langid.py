@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Scratch
+from tidemark.llm.shared import Scratch, tidied
 
 MOST_TEXTS = 10_000  # labelled texts that the classifier is fitted on
 MOST_BYTES = 64 << 20  # of their texts
@@ -125,7 +125,7 @@ def sampled(rows: DataFrame, most: int, most_bytes: int = MOST_BYTES) -> DataFra
 
 def train(rows: DataFrame, scratch: Scratch) -> Model:
     """A model of (lang, text); both non-null. It holds all words and n-grams of the rows."""
-    counts = scratch.keep(rows.mapInArrow(_counted, "lang string, order int, item string, n long").groupBy("lang", "order", "item").agg(F.sum("n").alias("n")), "counts").toArrow()
+    counts = scratch.keep(rows.mapInArrow(tidied(_counted), "lang string, order int, item string, n long").groupBy("lang", "order", "item").agg(F.sum("n").alias("n")), "counts").toArrow()
     orders_of, n = counts.column("order").to_numpy(), counts.column("n").to_numpy()
     langs = sorted(counts.filter(pa.array(orders_of == -1)).column("lang").to_pylist())
     items: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
@@ -235,5 +235,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(text_col).alias("text"), *marks, is_held_out(F.col(id_col)).alias("held_out"))
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"c{k} {kinds[c]}" for k, c in enumerate(kept)), "held_out boolean, lang_pred string, score double"])
-    out = rows.mapInArrow(_predicted(model), schema)
+    out = rows.mapInArrow(tidied(_predicted(model)), schema)
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), *(F.col(c).alias(prefix + c) for c in ("held_out", "lang_pred", "score")))

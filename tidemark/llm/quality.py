@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textcore as tc
-from tidemark.llm.shared import Scratch, join_spread
+from tidemark.llm.shared import Scratch, join_spread, tidied
 
 ORDER = 5
 REMEMBERED_BYTES = 192 << 20  # of the model's arrays in a worker
@@ -151,7 +151,7 @@ def _stored(df: DataFrame, key: str, value: str, scratch: Scratch, name: str) ->
 
 def kneser_ney(texts: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
     """Count the n-grams of a text column over all rows, and store the model of them."""
-    counts = scratch.keep(texts.mapInArrow(_counts(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), f"grams{order}")
+    counts = scratch.keep(texts.mapInArrow(tidied(_counts(order)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), f"grams{order}")
     tables: list[DataFrame] = [counts]
     for n in range(order - 1, 0, -1):  # continuation counts: in how many different n-grams one byte longer
         counts = scratch.keep(counts.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("key")).agg(F.count("*").alias("n")), f"grams{n}")
@@ -304,7 +304,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     different = rows.dropDuplicates(["hash"]).select("text")
     model = kneser_ney(different, scratch)
     kind = dict(docs.dtypes)[id_col]
-    scored = rows.mapInArrow(_scores(model, ORDER), f"row_id {kind}, lang string, hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nats double")
+    scored = rows.mapInArrow(tidied(_scores(model, ORDER)), f"row_id {kind}, lang string, hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, nats double")
     scored = scratch.keep(scored.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "scored")
     held = with_bands(scored, below, above)
     good = F.coalesce(F.col("nats").between(F.col("lower"), F.col("upper")), F.lit(True))

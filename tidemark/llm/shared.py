@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import Tables as Scratch
 from tidemark.session import workers_can_import
 
-__all__ = ["Scratch", "free_name", "join_spread", "workers_can_import"]
+__all__ = ["Scratch", "free_name", "join_spread", "tidied", "workers_can_import"]
+
+
+def tidied(run):
+    """A task's function whose worker gives memory that is free back to the machine when the task ends; Spark uses workers again, for other operators as well."""
+
+    def runs(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return runs
 
 
 def free_name(df: DataFrame, name: str) -> str:
