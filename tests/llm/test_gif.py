@@ -142,15 +142,34 @@ def test_media_are_stored(documents):
     assert sum(r.histogram) == r.payload_bytes and r.histogram[21] == len(text)
 
 
+def feature_by_hand(payload):
+    """Frames of 64 x 64 gray samples; black is transparent over a cleared canvas, so black again."""
+    images = [payload[k : k + 4096] for k in range(0, len(payload), 4096)]
+    gray = [sum(v >> 6 == level for v in payload) for level in range(4)]
+    return f"frames={len(images)};ms={100 * len(images)};hist=" + "-".join(map(str, gray))
+
+
 def test_query(documents, odd):
     out = gif.stored_features(documents(odd).coalesce(1)).collect()
-    assert len(out) == len(odd)
-    for r, (doc, text) in zip(out, odd, strict=True):
+    want = []
+    for doc, text in odd:
         data = (text or "").encode()
         payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
-        assert (r.doc_id, r.n_bytes, r.payload_bytes) == (doc, len(data), len(payload))
-        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:])
-    by_text = {}
-    for r, (_, text) in zip(out, odd, strict=True):
-        assert by_text.setdefault(text or "", (r.media_sha256, r.media_bytes, r.feature)) == (r.media_sha256, r.media_bytes, r.feature)
+        (media,) = gif.encode_many([payload])
+        want.append((doc, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_by_hand(payload)))
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:8]) for r in out)
     assert gif.media_features(gif.texts_to_media(documents([]))).collect() == []
+
+
+def test_stored_frames(spark, documents):
+    """The table of frames: times, transparency and disposal in use, histograms of what is composited."""
+    text = "a\0" * 3000
+    media = gif.texts_to_media(documents([(5, text)]))
+    raw = media.collect()[0].media
+    assert raw.count(b"\x21\xf9\x04\x09") == 2  # cleared to the background, black transparent
+    out = sorted(gif.timed_frames(media).collect(), key=lambda r: r.frame)
+    assert [(r.doc_id, r.frame, r.start_ms, r.delay_ms, r.n_samples) for r in out] == [(5, 0, 0, 100, 4096), (5, 1, 100, 100, 1920)]
+    assert [(r.histogram[0], r.histogram[21]) for r in out] == [(2048, 2048), (1920 - 952, 952)]
+    none = spark.createDataFrame([(1, 0, bytearray(b"GIF89a" + bytes(7)))], "doc_id long, n_bytes long, media binary")
+    (r,) = gif.media_features(none).collect()
+    assert (r.feature, r.payload_bytes, r.start_ms) == ("frames=0;ms=0;hist=0-0-0-0", 0, [])

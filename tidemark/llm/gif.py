@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -196,7 +195,8 @@ def _blocks(data: bytes) -> bytes:
 
 def encode_many(payloads: list[bytes], delay: int = 10) -> list[bytes]:
     """GIFs whose frames of 64 x 64 (the last may be lower) hold the bytes of a payload, a positive
-    multiple of 64, as 8-bit samples in a palette of grays."""
+    multiple of 64, as 8-bit samples in a palette of grays. Black is transparent and each frame is
+    cleared to the background before the next, so what is composited is the frame alone."""
     step = WIDTH * FRAME_ROWS
     images = [p[k : k + step] for p in payloads for k in range(0, len(p), step)]
     streams = iter(lzw_encode_many(images))
@@ -205,7 +205,7 @@ def encode_many(payloads: list[bytes], delay: int = 10) -> list[bytes]:
     for p in payloads:
         out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(len(p) // WIDTH, FRAME_ROWS), 0xF7, 0, 0), gray]
         for k in range(0, len(p), step):
-            out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, min(len(p) - k, step) // WIDTH, 0)]
+            out += [b"\x21\xf9\x04", struct.pack("<BHB", 2 << 2 | 1, delay, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, min(len(p) - k, step) // WIDTH, 0)]
             out += [b"\x08", _blocks(next(streams))]
         made.append(b"".join([*out, b"\x3b"]))
     return made
@@ -333,23 +333,28 @@ def _store(batches):
             lo += len(n)
 
 
-def _features(batches):
+_TIMED = "uid long, n_bytes long, media_bytes long, media_sha256 string, frame int, start_ms long, delay_ms long, n_samples long, payload_sha256 string, tail_crc32 long, histogram array<long>"
+_TIMED_KINDS = [pa.string() if f.endswith("string") else pa.list_(pa.int64()) if "array" in f else pa.int32() if f.endswith(" int") else pa.int64() for f in _TIMED.split(", ")]
+
+
+def _timed(batches):
+    """A row for each frame of (row_id, uid, n_bytes, media); the last frame's also has the digest of all samples. A GIF without a frame gives a row without one."""
+    names = ["row_id", *(f.split()[0] for f in _TIMED.split(", "))]
     for batch in batches:
-        out = []
-        for media in batch.column(2):
-            data = media.as_py()
-            digest, tail, size, delays, gray = hashlib.sha256(), b"", 0, [], np.zeros(64, np.int64)
-            for f in frames(data):
+        for k in range(batch.num_rows):
+            row_id, uid, n_bytes, data = batch.column(0).slice(k, 1), *(batch.column(c)[k].as_py() for c in (1, 2, 3))
+            digest, tail, start, rows = hashlib.sha256(), b"", 0, []
+            about = (uid, n_bytes, len(data), hashlib.sha256(data).hexdigest())
+            for n, f in enumerate(frames(data)):
                 raw = f.samples.tobytes()
                 digest.update(raw)
-                tail, size = raw[-64:], size + len(raw)
-                delays.append(10 * f.delay)
-                gray += np.array(histogram(f.canvas[: len(f.samples)]))
-            grays = "-".join(str(int(v)) for v in gray[[0, 21, 42, 63]])
-            out.append((size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), f"frames={len(delays)};ms={sum(delays)};hist={grays}", [0, *accumulate(delays[:-1])] if delays else [], delays, gray.tolist()))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        cols = list(zip(*out, strict=True)) or [()] * 9
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["row_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "start_ms", "delay_ms", "histogram"])
+                tail = raw[-64:]
+                rows.append([*about, n, start, 10 * f.delay, len(raw), None, None, histogram(f.canvas[: len(f.samples)])])
+                start += 10 * f.delay
+            rows = rows or [[*about, None, None, None, 0, None, None, [0] * 64]]
+            rows[-1][8:10] = digest.hexdigest(), zlib.crc32(tail)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TIMED_KINDS, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([row_id] * len(rows)), *columns], names)
 
 
 def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,14 +367,32 @@ def texts_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).mapInArrow(_store, f"row_id {kind}, n_bytes long, media binary").withColumnRenamed("row_id", id_col)
 
 
-def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Decode each GIF and describe what was read: payload digests, stored form, each frame's time, histogram of all frames."""
+def timed_frames(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A row for each frame of each GIF of (id, n_bytes, media): uid, the media's size and digest, frame, start_ms, delay_ms, n_samples, and a histogram of the composited canvas."""
     kind = dict(media.dtypes)[id_col]
-    out = media.select(F.col(id_col).alias("row_id"), "n_bytes", "media").mapInArrow(_features, f"row_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, start_ms array<long>, delay_ms array<long>, histogram array<long>")
-    return out.withColumnRenamed("row_id", id_col)
+    rows = media.select(F.col(id_col).alias("row_id"), F.monotonically_increasing_id().alias("uid"), "n_bytes", "media")
+    return rows.mapInArrow(_timed, f"row_id {kind}, {_TIMED}").withColumnRenamed("row_id", id_col)
+
+
+def frame_features(timed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Describe each media by its frames: payload digests, stored form, each frame's time, histogram of all frames. Frames of a media are summed in Spark."""
+    bins = F.array(*(F.sum(F.get("histogram", F.lit(k))) for k in range(64)))
+    by_media = timed.groupBy("uid").agg(
+        F.first(id_col).alias(id_col), F.first("n_bytes").alias("n_bytes"), F.sum("n_samples").alias("payload_bytes"), F.max("payload_sha256").alias("payload_sha256"), F.max("tail_crc32").alias("tail_crc32"),
+        F.first("media_bytes").alias("media_bytes"), F.first("media_sha256").alias("media_sha256"), F.sort_array(F.collect_list(F.when(F.col("frame").isNotNull(), F.struct("frame", "start_ms", "delay_ms")))).alias("times"), bins.alias("histogram"),
+    )
+    total = F.aggregate("times", F.lit(0).cast("long"), lambda s, t: s + t["delay_ms"])
+    grays = F.concat_ws("-", *(F.get("histogram", F.lit(k)).cast("string") for k in (0, 21, 42, 63)))
+    feature = F.concat(F.lit("frames="), F.size("times").cast("string"), F.lit(";ms="), total.cast("string"), F.lit(";hist="), grays)
+    return by_media.select(id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.col("times.start_ms").alias("start_ms"), F.col("times.delay_ms").alias("delay_ms"), "histogram")
+
+
+def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``frame_features`` of GIFs whose frames are first written to the shared folder as a table, and read from there. Rows come in no order."""
+    return frame_features(Scratch(media.sparkSession).keep(timed_frames(media, id_col), "frames"), id_col)
 
 
 def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``media_features`` of texts whose GIFs are first written to the shared folder, and read from there."""
+    """``media_features`` of texts whose GIFs are themselves first written to the shared folder."""
     media = Scratch(docs.sparkSession).keep(texts_to_media(docs, id_col, text_col), "media")
     return media_features(media, id_col)
