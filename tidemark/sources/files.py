@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def read_geojson(spark: SparkSession, path: str, geometry: str, properties: str) -> DataFrame:
-    """Features of a collection: geometry and properties with the given DDL schemas."""
+def read_geojson(spark: SparkSession, path: str, geometry: str, properties: str, whole_file: bool = True) -> DataFrame:
+    """Features of collections: geometry and properties with the given DDL schemas. A collection is a file, or else a line."""
     schema = f"features array<struct<geometry: {geometry}, properties: {properties}>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.geometry", "f.properties")
+    return spark.read.schema(schema).json(path, multiLine=whole_file).select(F.explode("features").alias("f")).select("f.geometry", "f.properties")
 
 
 _ATTRIBUTES = "map<string, double>"
-_NODE = f"key string, attributes {_ATTRIBUTES}"
-_EDGE = f"source string, target string, attributes {_ATTRIBUTES}"
 
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a graph document, or of a folder that ``write_graph`` made; gzip is read as it is."""
+def read_graph(spark: SparkSession, path: str, node_attributes: str = _ATTRIBUTES, edge_attributes: str = _ATTRIBUTES) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph document, or of a folder that ``write_graph`` made; gzip is read as it is.
+
+    Attributes are numbers by name unless their types are given, as of nodes with conditions by
+    month: ``struct<lat: double, lng: double, env: map<string, struct<wind_x: double>>>``.
+    """
+    node, edge = f"key string, attributes {node_attributes}", f"source string, target string, attributes {edge_attributes}"
     if not path.endswith((".json", ".json.gz")):
-        return spark.read.schema(_NODE).json(f"{path}/nodes"), spark.read.schema(_EDGE).json(f"{path}/edges")
-    doc = spark.read.schema(f"nodes array<struct<{_NODE}>>, edges array<struct<{_EDGE}>>").json(path, multiLine=True)
+        return spark.read.schema(node).json(f"{path}/nodes"), spark.read.schema(edge).json(f"{path}/edges")
+    doc = spark.read.schema(f"nodes array<struct<{node}>>, edges array<struct<{edge}>>").json(path, multiLine=True)
     return doc.select(F.explode("nodes").alias("n")).select("n.*"), doc.select(F.explode("edges").alias("e")).select("e.*")
 
 
@@ -54,6 +57,20 @@ def finest(layers: DataFrame) -> DataFrame:
     return named.groupBy("kind").agg(F.max("level").alias("level"), F.max_by("layer", "level").alias("layer"))
 
 
+def write_geojson(features: DataFrame, group: str, feature: str, path: str) -> None:
+    """Features (text) as one FeatureCollection for each group: a folder of documents, each a line of its own."""
+    collection = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.sort_array(F.collect_list(feature)), ","), F.lit("]}"))
+    features.groupBy(group).agg(collection.alias("value")).select("value").write.mode("overwrite").text(path)
+
+
+def layer_at(spark: SparkSession, path: str, resolution: int | None = None) -> DataFrame:
+    """The layer of the asked resolution of what ``write_layer`` wrote, else the finest."""
+    table = spark.read.parquet(path)
+    if resolution is None:
+        resolution = table.agg(F.max("resolution").alias("r")).collect()[0].r
+    return table.where(F.col("resolution") == resolution)
+
+
 def write_layer(layer: DataFrame, path: str) -> None:
     """Write the resolutions that a layer has, leaving others as they are."""
     layer.write.partitionBy("resolution").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
