@@ -95,5 +95,6 @@ def reachable(edges: DataFrame, start: int) -> DataFrame:
     """node_id, hops over undirected edges from a node; that node alone if it has no edge."""
     one = lambda a, b: edges.select(F.lit(0).alias("month"), F.lit("").alias("vessel"), F.col(a).alias("source"), F.col(b).alias("target"), F.lit(1.0).alias("weight"))
     origin = edges.sparkSession.createDataFrame([(0, start, 0, "")], "query_id long, origin long, month int, vessel string")
-    found = search.least_costs(origin, one("source", "target").unionByName(one("target", "source")), Tables(edges.sparkSession))
+    tables = Tables(edges.sparkSession)
+    found = search.least_costs(origin, search.prepared(one("source", "target").unionByName(one("target", "source")), tables), tables)
     return found.select("node_id", F.col("cost").cast("long").alias("hops"))

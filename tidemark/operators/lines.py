@@ -76,6 +76,20 @@ def feature(line: Column, properties: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), coordinates.alias("coordinates")).alias("geometry"), properties.alias("properties")))
 
 
+def route_collections(ways: DataFrame, properties: Column) -> DataFrame:
+    """(route, document): a GeoJSON FeatureCollection, as text, of each route's ways (route, origin, destination, direction, line).
+
+    The outward way comes first; each way gives the line between the cells' centres and then
+    its smoothed curve. Lines that are null give no feature. ``properties`` are the document's own.
+    """
+    shape = lambda line: F.struct(F.lit("LineString").alias("type"), F.transform(line, lambda p: F.array(p.x, p.y)).alias("coordinates"))
+    one = lambda kind, line: F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), "origin", "destination", "direction").alias("properties"), shape(line).alias("geometry"))
+    both = F.array(one("h3 hex centres", F.col("line")), one("spline curve", smoothed(F.col("line"))))
+    held = ways.where("line is not null").groupBy("route").agg(F.sort_array(F.collect_list(F.struct((F.col("direction") != "outward").alias("back"), both.alias("features")))).alias("ways"))
+    features = F.flatten(F.transform("ways", lambda w: w["features"]))
+    return held.select("route", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features"), properties.alias("properties"))).alias("document"))
+
+
 def resampled(lines: DataFrame, key: str, line: str, spacing: float) -> DataFrame:
     """key, k, x, y: points every ``spacing`` along each line from its start, and its end. Lines of one point give it; nulls give none.
 

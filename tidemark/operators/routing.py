@@ -30,7 +30,7 @@ def routes(queries: DataFrame, costs: DataFrame) -> DataFrame:
     false and no path. Of equally cheap ways that over smaller ids is taken, from the goal back.
     """
     tables = Tables(queries.sparkSession)
-    edges = tables.keep(_weights(costs), "weights")
+    edges = search.prepared(_weights(costs), tables)
     asked = tables.keep(_known(_known(queries.select(*_ON, "origin", "goal"), edges, "origin"), edges, "goal"), "asked")
     least = tables.keep(search.least_costs(asked, edges, tables), "least")
     at_goal = least.withColumnRenamed("node_id", "goal")
@@ -42,7 +42,7 @@ def routes(queries: DataFrame, costs: DataFrame) -> DataFrame:
 def costs_from(origins: DataFrame, costs: DataFrame) -> DataFrame:
     """query_id, month, vessel, node_id, cost: all nodes within reach of each origin that the graph has."""
     tables = Tables(origins.sparkSession)
-    edges = tables.keep(_weights(costs), "weights")
+    edges = search.prepared(_weights(costs), tables)
     asked = tables.keep(_known(origins.select(*_ON, "origin"), edges, "origin"), "asked")
     return search.least_costs(asked, edges, tables)
 

@@ -81,18 +81,24 @@ def _relax(key, rows: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")})
 
 
+def prepared(edges: DataFrame, tables: Tables, tile: Callable[[Column], Column] = by_id) -> DataFrame:
+    """Edges (month, vessel, source, target, weight) with the tiles of both ends, written once for all that follows.
+
+    An infinite weight is no edge, and one that is not positive is an error.
+    """
+    positive = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
+    finite = edges.where(F.col("weight") < float("inf")).select(*GRAPH, "source", "target", positive.alias("weight"))
+    return tables.keep(finite.withColumns({"tile": tile(F.col("source")), "target_tile": tile(F.col("target"))}), "edges")
+
+
 def least_costs(starts: DataFrame, edges: DataFrame, tables: Tables, tile: Callable[[Column], Column] = by_id) -> DataFrame:
     """query_id, month, vessel, node_id, cost: the least cost of every node that a query's origin reaches.
 
-    ``starts``: query_id, origin, month, vessel. ``edges``: month, vessel, source, target,
-    weight; an infinite weight is no edge, and one that is not positive is an error. An origin
-    that the graph does not have reaches itself alone, at no cost.
+    ``starts``: query_id, origin, month, vessel. ``edges``: of ``prepared``, with the same
+    tiles. An origin that the graph does not have reaches itself alone, at no cost.
     """
     workers_can_import(starts.sparkSession)
     keys = [*GRAPH, "tile", "lane"]
-    positive = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
-    finite = edges.where(F.col("weight") < float("inf")).select(*GRAPH, "source", "target", positive.alias("weight"))
-    finite = tables.keep(finite.withColumns({"tile": tile(F.col("source")), "target_tile": tile(F.col("target"))}), "edges")
     starts = tables.keep(starts.select("query_id", "origin", *GRAPH), "starts")
     most = starts.groupBy(*GRAPH).count().agg(F.max("count")).collect()[0][0] or 1
     lane = F.pmod(F.xxhash64("query_id"), F.lit(-(-most // LANE_QUERIES))).cast("int")
@@ -113,7 +119,7 @@ def least_costs(starts: DataFrame, edges: DataFrame, tables: Tables, tile: Calla
         rows = news.withColumn("fresh", F.lit(True))
         if (so_far := known()) is not None:
             rows = rows.unionByName(so_far.join(active, keys, "left_semi").withColumn("fresh", F.lit(False)))
-        graph = finite.join(active.select(*(F.col(c).alias(c) for c in keys)), [*GRAPH, "tile"])
+        graph = edges.join(active.select(*(F.col(c).alias(c) for c in keys)), [*GRAPH, "tile"])
         step = tables.keep(rows.groupBy(*keys).cogroup(graph.groupBy(*keys)).applyInPandas(_relax, _FOUND), "round")
         found.append(step.where("inside").drop("inside"))
         news = step.where("not inside").groupBy(*least).agg(F.min("cost").alias("cost"))
@@ -143,13 +149,13 @@ def _walk(key, asked: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
 def paths(asked: DataFrame, costs: DataFrame, edges: DataFrame, tables: Tables, tile: Callable[[Column], Column] = by_id) -> DataFrame:
     """query_id, month, vessel, path: the nodes from origin to goal, for goals that are reached.
 
-    ``asked``: query_id, goal, month, vessel. ``costs``: those of ``least_costs``. Before each
+    ``asked``: query_id, goal, month, vessel. ``costs``: those of ``least_costs`` over the same ``edges``. Before each
     node comes the neighbour that accounts for its cost, of several the one with the smallest
     id. Paths are walked from the goal, a tile in each round.
     """
     workers_can_import(asked.sparkSession)
     own = [*GRAPH, "query_id"]
-    ends = edges.where(F.col("weight") < float("inf")).select(*GRAPH, "source", "target", "weight")
+    ends = edges.select(*GRAPH, "source", "target", "weight")
     before = costs.select(*own, F.col("node_id").alias("source"), F.col("cost").alias("before"))
     step = before.join(ends, [*GRAPH, "source"]).join(costs.select(*own, F.col("node_id").alias("target"), "cost"), [*own, "target"]).where((F.col("before") + F.col("weight") == F.col("cost")) & (F.col("before") < F.col("cost")))
     back = step.groupBy(*own, F.col("target").alias("node_id")).agg(F.min("source").alias("previous"))

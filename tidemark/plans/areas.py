@@ -184,13 +184,18 @@ def frontier_parts(spark, sf_dir):
     return found.select(cells.to_hex(F.col("cell")).alias("cell"), "n_neighbours", cells.to_hex(F.col("part")).alias("part"))
 
 
+_STRIPS = "(c // 12) % 2 = 0"  # strips of twelve columns, some 80 km apart
+_STRIP_FRONTIER = _FRONTIER.replace(_NODES, f"{_NODES} WHERE {_STRIPS}")
+
+
 @query(
-    f"WITH RECURSIVE {_FRONTIER}, {_placed(f'SELECT id AS k, f, {_plane("i", "j", str(LEVEL))} FROM own', 'centre')}, m AS (SELECT n, c, 6378137.0*radians(lng) AS x, 6378137.0*ln(tan(radians(lat)/2+pi()/4)) AS y FROM dots JOIN cc USING (n) JOIN centre ON centre.k = n), "
-    "d AS (SELECT a.c AS pa, b.c AS pb, a.n AS source, b.n AS target, round(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)), 3) AS d FROM m a JOIN m b ON a.c < b.c WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 40000) "
+    f"WITH RECURSIVE {_STRIP_FRONTIER}, {_placed(f'SELECT id AS k, f, {_plane("i", "j", str(LEVEL))} FROM own', 'centre')}, m AS (SELECT n, c, 6378137.0*radians(lng) AS x, 6378137.0*ln(tan(radians(lat)/2+pi()/4)) AS y FROM dots JOIN cc USING (n) JOIN centre ON centre.k = n), "
+    "d AS (SELECT a.c AS pa, b.c AS pb, a.n AS source, b.n AS target, round(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)), 3) AS d FROM m a JOIN m b ON a.c < b.c WHERE sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) <= 250000) "
     "SELECT printf('%x', pa) AS part_a, printf('%x', pb) AS part_b, printf('%x', source) AS source, printf('%x', target) AS target, round(d, 2) AS d FROM d QUALIFY row_number() OVER (PARTITION BY pa, pb ORDER BY d, source, target) = 1"
 )
 def frontier_joins(spark, sf_dir):
-    """The nearest two cells of each two parts of the frontier that lie within 40 km."""
-    parts = cover.frontier_parts(world_cells(spark, sf_dir), "cell").withColumn("at", hexgrid.center(F.col("cell")))
-    found = cover.joined_parts(parts.select(F.col("cell").alias("node_id"), "part", geo.mercator_x(F.col("at.lng")).alias("x"), geo.mercator_y(F.col("at.lat")).alias("y")), 40_000.0)
+    """The nearest two cells of each two parts of the frontier that lie within 250 km of the map."""
+    strips = view(spark, sf_dir, "w_nodes").where(F.floor(F.col("c") / 12) % 2 == 0).select(hexgrid.cell_at(F.col("lat"), F.col("lng"), LEVEL).alias("cell"))
+    parts = cover.frontier_parts(strips, "cell").withColumn("at", hexgrid.center(F.col("cell")))
+    found = cover.joined_parts(parts.select(F.col("cell").alias("node_id"), "part", geo.mercator_x(F.col("at.lng")).alias("x"), geo.mercator_y(F.col("at.lat")).alias("y")), 250_000.0)
     return found.select(*(cells.to_hex(F.col(c)).alias(c) for c in ("part_a", "part_b", "source", "target")), F.round("d", 2).alias("d"))

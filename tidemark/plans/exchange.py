@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import cells, env, hexgrid
-from tidemark.operators import cover, graph
-from tidemark.plans.catalogue import _LENGTH, _penalty, query, six, world_edges
+from tidemark.operators import cover, graph, lines, routing, sailing
+from tidemark.plans.catalogue import _LENGTH, _SPEED, _far, _kept_costs, _penalty, _route_sql, query, six, world_edges
 from tidemark.plans.grid import _GREAT, _NODES, _STEP, LEVEL, _lattice, _named, _placed, _plane
 from tidemark.session import shared_folder
 from tidemark.sources import files
@@ -114,6 +114,80 @@ def stamped_table(spark, sf_dir):
     return table
 
 
+_WAYS = "SELECT q.query_id, count(*) AS n, any_value(origin) AS origin, any_value(goal) AS goal FROM walk w JOIN asked q USING (query_id) GROUP BY q.query_id"
+
+
+@query(
+    f"WITH {_route_sql('[1]', back=True)}, ways AS ({_WAYS}), kinds AS (SELECT * FROM (VALUES (0, 'h3 hex centres'), (1, 'spline curve')) k(k, kind)) "
+    "SELECT abs(query_id) AS route, (k + CASE WHEN query_id < 0 THEN 2 ELSE 0 END)::INT AS place, kind, origin, goal AS destination, CASE WHEN query_id < 0 THEN 'return' ELSE 'outward' END AS direction, "
+    "CASE WHEN k = 1 AND n > 2 THEN 8 * n ELSE n END AS n_points, a.lng AS first_lng, b.lat AS last_lat, (SELECT count(*) FROM w_nodes) AS node_count, "
+    f"{float(sailing.PRESETS['default'][_SPEED])!r}::DOUBLE AS max_speed FROM ways CROSS JOIN kinds JOIN w_nodes a ON a.node_id = origin JOIN w_nodes b ON b.node_id = goal"
+)
+def route_documents(spark, sf_dir):
+    """A return route as a document: both ways' lines and curves in order, with the graph's metadata and the vessel's parameters; read back feature by feature."""
+    costs, asked = _kept_costs(spark, sf_dir, [1]), routing.with_return(_far(spark, sf_dir))
+    nodes = view(spark, sf_dir, "w_nodes").select("node_id", "lng", "lat")
+    steps = routing.routes(asked, costs).where("reached").select("query_id", F.posexplode("path").alias("k", "node_id")).join(nodes, "node_id")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("k", "lng", "lat"))), lambda p: F.struct(p["lng"].alias("x"), p["lat"].alias("y")))
+    ways = asked.join(steps.groupBy("query_id").agg(line.alias("line")), "query_id").select(F.abs("query_id").alias("route"), "origin", F.col("goal").alias("destination"), F.when(F.col("query_id") < 0, "return").otherwise("outward").alias("direction"), "line")
+    vessel = F.struct(*(F.lit(float(v)).alias(k) for k, v in sailing.PRESETS["default"].items()))
+    about = F.struct(F.struct(F.lit("world").alias("name"), F.lit(nodes.count()).alias("node_count")).alias("metadata"), vessel.alias("vesselParameters"))
+    path = shared_folder(spark)
+    lines.route_collections(ways, about).select(F.col("document").alias("value")).write.text(path)
+    shape = "type: string, properties: struct<type: string, origin: bigint, destination: bigint, direction: string>, geometry: struct<type: string, coordinates: array<array<double>>>"
+    read = spark.read.schema(f"features array<struct<{shape}>>, properties struct<metadata: struct<node_count: bigint>, vesselParameters: map<string, double>>").json(path)
+    each = read.select("properties", F.posexplode("features").alias("place", "f"))
+    points = F.col("f.geometry.coordinates")
+    return each.select(
+        F.least("f.properties.origin", "f.properties.destination").alias("route"), "place", F.col("f.properties.type").alias("kind"), "f.properties.origin", "f.properties.destination", "f.properties.direction", F.size(points).cast("long").alias("n_points"),
+        points[0][0].alias("first_lng"), F.element_at(points, -1)[1].alias("last_lat"), "properties.metadata.node_count", F.col("properties.vesselParameters")[_SPEED].alias("max_speed"),
+    )
+
+
+_BENT = "SELECT node_id AS id, k, lng + k * 11e-3 AS x, lat + ((node_id * (k + 7) * (k + 3)) % 89) * 31e-5 + k * k * k * 7e-8 AS y FROM {nodes} CROSS JOIN {ks}"
+_DUCK_BENT = f"pts AS ({_BENT.format(nodes='w_nodes', ks='(SELECT unnest(range(0, 12)) AS k)')})"
+
+
+def _bent(spark, sf_dir) -> DataFrame:
+    """A line of twelve points at each node."""
+    rows = spark.sql(_BENT.format(nodes="{nodes}", ks="{ks}"), nodes=view(spark, sf_dir, "w_nodes"), ks=spark.range(12).select(F.col("id").alias("k")))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("k", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return rows.groupBy("id").agg(line.alias("line"))
+
+
+_FAR = "sqrt(pow(p.x-a.x-{t}*(b.x-a.x),2)+pow(p.y-a.y-{t}*(b.y-a.y),2))".format(t="least(1.0, greatest(0.0, ((p.x-a.x)*(b.x-a.x)+(p.y-a.y)*(b.y-a.y))/(pow(b.x-a.x,2)+pow(b.y-a.y,2))))")
+
+
+@query(
+    f"WITH RECURSIVE {_DUCK_BENT}, spans(id, a, b) AS (SELECT DISTINCT id, 0::BIGINT, 11::BIGINT FROM pts UNION ALL SELECT id, unnest([a, k]), unnest([k, b]) FROM (SELECT s.id, s.a, s.b, arg_max(p.k, {_FAR}) AS k, max({_FAR}) AS d "
+    "FROM spans s JOIN pts p ON p.id = s.id AND p.k > s.a AND p.k < s.b JOIN pts a ON a.id = s.id AND a.k = s.a JOIN pts b ON b.id = s.id AND b.k = s.b GROUP BY s.id, s.a, s.b) WHERE d > 4e-3), "
+    "kept AS (SELECT id, a AS k FROM spans UNION SELECT id, b FROM spans) SELECT id, k, x, y FROM kept JOIN pts USING (id, k)"
+)
+def lines_simplified(spark, sf_dir):
+    """The points that are left of lines of twelve, and which of the twelve they were."""
+    whole = _bent(spark, sf_dir)
+    left = lines.simplified(whole, "id", "line", 0.004).select("id", F.explode("line").alias("p"))
+    numbered = whole.select("id", F.posexplode("line").alias("k", "p"))
+    return numbered.join(left, ["id", "p"]).select("id", F.col("k").cast("long").alias("k"), "p.x", "p.y")
+
+
+def _cut(name: str, of: str) -> str:
+    """cte of one pass of corner cutting over (id, k, x, y)."""
+    ahead = f"n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, max(k) OVER (PARTITION BY id) AS last FROM {of} WINDOW w AS (PARTITION BY id ORDER BY k))"
+    return (
+        f"{name} AS (WITH {ahead} SELECT id, 2 * k + 1 AS k, 75e-2*x+25e-2*nx AS x, 75e-2*y+25e-2*ny AS y FROM n WHERE nx IS NOT NULL UNION ALL SELECT id, 2 * k + 2, 25e-2*x+75e-2*nx, 25e-2*y+75e-2*ny FROM n WHERE nx IS NOT NULL "
+        "UNION ALL SELECT id, CASE WHEN k = 0 THEN 0 ELSE 2 * k + 1 END, x, y FROM n WHERE k IN (0, last))"
+    )
+
+
+@query(f"WITH {_DUCK_BENT}, {_cut('one', 'pts')}, {_cut('two', 'one')}, {_cut('three', 'two')} SELECT id, count(*) AS n_points, round(min(x), 6) AS west, round(min(y), 6) AS south, round(max(x), 6) AS east, round(max(y), 6) AS north, round(sum(x * y), 3) AS moment FROM three GROUP BY id")
+def lines_smoothed(spark, sf_dir):
+    """Lines of twelve points after three passes of corner cutting: their bounds, and a sum over all points."""
+    smooth = _bent(spark, sf_dir).select("id", lines.smoothed(F.col("line")).alias("line"))
+    moment = F.aggregate("line", F.lit(0.0), lambda s, p: s + p["x"] * p["y"])
+    return smooth.select("id", F.size("line").cast("long").alias("n_points"), *(six(c).alias(k) for k, c in lines.bounds(F.col("line")).items()), F.round(moment, 3).alias("moment"))
+
+
 # --- a graph from positions --------------------------------------------------------------------------------------------
 
 
