@@ -26,6 +26,8 @@ def test_visibility_limits(spark):
     x = lambda v: F.lit(v).cast("double")
     r = one(spark, clear=env.visibility_m(x(0.0), x(0.0), x(0.0)), humid=env.visibility_m(x(99_999.0), x(0.0), x(0.0)), cloud=env.visibility_m(x(5.0), x(0.0), x(None)), wet=env.visibility_m(x(None), x(-1.0), x(1.0)))
     assert (r.clear, r.humid, r.cloud) == (20_000.0, 10.0, None) and abs(r.wet - 5000 / 1.01) < 1e-9
+    odd = one(spark, nan=env.visibility_m(x(float("nan")), x(0.0), x(0.0)), inf=env.visibility_m(x(0.0), x(0.0), x(float("inf"))), rain=env.visibility_m(x(0.0), x(float("inf")), x(0.0)))
+    assert tuple(odd) == (20_000.0, None, 20_000.0)
 
 
 def test_daylight(spark):
@@ -179,3 +181,28 @@ def test_stitches_of_empty_levels(spark):
     other = spark.createDataFrame([(3, 1.0, 0.0), (4, 500.0, 0.0)], "node_id long, x double, y double")
     assert cover.stitched(one, other.limit(0), 2, 100.0).collect() == []
     assert sorted(map(tuple, cover.stitched(one, other, 1, 100.0).collect())) == [(1, 3), (2, 3)]
+
+
+def test_weights_that_are_not_positive_are_refused(spark):
+    from tidemark.operators import routing
+
+    costs = spark.createDataFrame([(1, "v", 1, 2, 1.0), (1, "v", 2, 3, 0.0), (1, "v", 3, 2, 0.0)], "month int, vessel string, source long, target long, route_cost double")
+    asked = spark.createDataFrame([(1, 1, 3, 1, "v")], "query_id long, origin long, goal long, month int, vessel string")
+    with pytest.raises(Exception, match="weights must be positive"):
+        routing.routes(asked, costs).collect()
+
+
+def test_a_nearest_point_of_a_set_far_away(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 9e6, -4e6)], "left_id long, lx double, ly double")
+    right = spark.createDataFrame([(10, 3.0, 4.0), (11, -3.0, 4.0), (12, 100.0, 0.0)], "right_id long, rx double, ry double")
+    assert sorted(map(tuple, cover.nearest_any(left, right, 50.0).collect())) == [(1, 10, 5.0), (2, 12, round(((9e6 - 100) ** 2 + 16e12) ** 0.5, 3))]
+    assert cover.nearest_any(left, right.limit(0), 50.0).collect() == []
+
+
+def test_snapping_to_cells(spark):
+    from tidemark.functions import hexgrid
+
+    table = spark.createDataFrame([(50.0, -5.0), (51.0, -5.0)], "lat double, lng double").select(hexgrid.cell_at(F.col("lat"), F.col("lng"), 6).alias("cell"))
+    points = spark.createDataFrame([(1, 50.0, -5.0), (2, 50.1, -5.0), (3, 55.0, 0.0), (4, None, 0.0)], "point_id long, lat double, lng double")
+    found = {r.point_id: (r.cell is None, r.ring) for r in cover.snapped_to_cells(points, table, 6, 3).collect()}
+    assert found[1] == (False, 0) and found[2][0] is False and found[2][1] in (1, 2) and found[3] == found[4] == (True, None)

@@ -12,6 +12,12 @@ from tidemark.functions.geo import clamp, norm
 ABSOLUTE_ZERO_C = 273.15
 
 
+def clean(x: Column, default: float | None = None) -> Column:
+    """NaN and infinities become null, or the default, as nulls do."""
+    good = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return good if default is None else F.coalesce(good, F.lit(default))
+
+
 def celsius(kelvin: Column) -> Column:
     return kelvin - ABSOLUTE_ZERO_C
 
@@ -24,8 +30,9 @@ def visibility_m(depression: Column, precipitation: Column, low_cloud: Column) -
     """Least of three hyperbolas, between 10 m and 50 km.
 
     A depression or precipitation that is null or not positive counts as 0; unknown cloud
-    makes the result unknown.
+    makes the result unknown. NaN and infinities are unknown.
     """
+    depression, precipitation, low_cloud = clean(depression), clean(precipitation), clean(low_cloud)
     humid = 10_000.0 / (F.when(depression > 0, depression).otherwise(0.0) + 0.5)
     rain = 5_000.0 / (F.when(precipitation > 0, precipitation).otherwise(0.0) + 0.01)
     cloud = 5_000.0 / (low_cloud + 0.01)
