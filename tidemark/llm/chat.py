@@ -14,6 +14,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -90,8 +91,9 @@ class ChatTokenizer:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first and the last character, exclusive, of each."""
         done = self.inner.encode(text, add_special_tokens=False)
-        offsets = np.array(done.offsets, np.int64).reshape(-1, 2)
-        return np.array(done.ids, np.int32), offsets[:, 0], offsets[:, 1]
+        ids = done.ids
+        offsets = np.fromiter(chain.from_iterable(done.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
+        return np.array(ids, np.int32), offsets[:, 0], offsets[:, 1]
 
 
 def mask_of(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -199,8 +201,8 @@ class _Digest:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
 
-    def take(self, ids: list[int], mask: list[bool], tokenizer: ChatTokenizer, template: Template, escape: Escape) -> None:
-        pieces = list(map(tokenizer.bytes.__getitem__, ids))
+    def take(self, ids: np.ndarray, mask: np.ndarray, tokenizer: ChatTokenizer, template: Template, escape: Escape) -> None:
+        pieces = list(map(tokenizer.bytes.__getitem__, ids.tolist()))
         text = b"".join(pieces).decode()
         self.chars += len(text)
         for turn in text.split(template.opens)[1:]:
@@ -210,7 +212,7 @@ class _Digest:
                 raise ValueError("a turn without its end")
             self.turns.update(f"{escape.unescape(role)}\n{escape.unescape(body)}\n".encode())
             self.n_turns += 1
-        marks = np.diff(np.array([False, *mask, False], np.int8))
+        marks = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
         for lo, hi in zip(np.flatnonzero(marks == 1).tolist(), np.flatnonzero(marks == -1).tolist(), strict=True):
             learned = escape.unescape(b"".join(pieces[lo:hi]).decode())
             self.loss.update(learned.encode())
@@ -225,12 +227,17 @@ def _read(path: str, template: Template, schema: pa.Schema):
         tokenizer, escape = _tokenizer(path, template), Escape(template)
         rows, conv, digest = [], None, None
         for batch in batches:
-            for c, ids, mask in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            ids, masks = batch.column(1), batch.column(2)
+            first, of_mask = ids.offsets.to_numpy(), masks.offsets.to_numpy()
+            every_id, every_mask = ids.values.to_numpy(zero_copy_only=False), masks.values.to_numpy(zero_copy_only=False)
+            if not np.array_equal(np.diff(first), np.diff(of_mask)):
+                raise ValueError("a mask that is not of its tokens")
+            for c, lo, hi, at in zip(batch.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), of_mask[:-1].tolist(), strict=True):
                 if digest is None or c != conv:
                     if digest is not None:
                         rows.append((conv, *digest.row()))
                     conv, digest = c, _Digest()
-                digest.take(ids, mask, tokenizer, template, escape)
+                digest.take(every_id[lo:hi], every_mask[at : at + hi - lo], tokenizer, template, escape)
             if len(rows) > 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                 rows = []
