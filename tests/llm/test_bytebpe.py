@@ -54,3 +54,19 @@ def test_bounded_memory(monkeypatch, cap):
     small = bytebpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
     text = "unbelievable words, unbelievable Wörter " * 20
     assert list(array("I", small.encode(text))) == THEIRS.encode_ordinary(text) and len(small._units) <= cap
+
+
+def test_characters_that_the_library_classes_otherwise():
+    """Newer Unicode versions have letters that the library takes for other characters; pieces are cut as it cuts them."""
+    import random
+
+    odd, stand = bytebpe.class_differences()
+    rng, some = random.Random(4), sorted(stand)
+    texts = ["\U00032667a\x0b\x04", "\U0003e450'm"]
+    texts += ["".join(rng.choice([chr(rng.choice(some or [97])), "a", "'m", " ", "\n", "1", "é", " ", "!"]) for _ in range(12)) for _ in range(3000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x80), rng.randrange(0x3000), rng.randrange(0xE000, 0x110000)])) for _ in range(10)) for _ in range(3000)]
+    for text in texts:
+        data = MINE.encode(text)
+        assert list(array("I", data)) == THEIRS.encode_ordinary(text)
+        assert MINE.decode(data) == text.encode()
+    assert (odd is None) == (not stand)

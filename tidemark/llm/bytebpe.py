@@ -13,10 +13,12 @@ import base64
 import hashlib
 import re
 from array import array
+from functools import cache
 
 import ahocorasick
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+#: A character of each class that stands for one which the regular expressions put into another class than the library does.
+_STAND_INS = {r"\p{L}": "\u01c2", r"\p{N}": "\u00b2", r"\s": "\u2003", "": "\u2603"}
+
+
+@cache
+def class_differences() -> tuple[re.Pattern | None, dict[int, str]]:
+    """Characters of another class (letter, number, space) for ``regex`` than for the tiktoken library, as their Unicode versions differ, and what stands for each.
+
+    The library is asked for all characters at once: with a class as its pattern, it gives the bytes of those that match.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    bytes_ = {bytes([b]): b for b in range(256)}
+    stand: dict[int, str] = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        theirs = set(bytes(tiktoken.Encoding("class", pat_str=name, mergeable_ranks=bytes_, special_tokens={}).encode_ordinary(every)).decode())
+        ours = set(regex.findall(name, every))
+        stand |= {ord(c): _STAND_INS[name] for c in theirs - ours}
+        for c in ours - theirs:
+            stand.setdefault(ord(c), _STAND_INS[""])
+    return (re.compile("[" + "".join(map(re.escape, map(chr, stand))) + "]") if stand else None), stand
+
+
 class _Units(dict):
     """Ids of units by their text, after ``lead``; made when first asked for, remembered up to a bound."""
 
@@ -50,7 +74,7 @@ class ByteBpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.pieces = regex.compile(pattern).findall
+        self.pieces, self.matches = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.tokens = [b""] * (max(ranks.values()) + 1)
         self.automaton = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -61,6 +85,7 @@ class ByteBpe:
         self._shorter: dict[int, int | None] = {}
         self._together: dict[tuple[int, int], bool] = {}
         self._units, self._spaced = _Units(self._unit), _Units(self._unit, " ")
+        self.odd, self.stand = class_differences()
 
     def merge_plainly(self, piece: bytes, below: int = _NEVER) -> list[bytes]:
         """Repeatedly merge the leftmost pair of least rank, as merges are defined."""
@@ -161,6 +186,8 @@ class ByteBpe:
         A single space, or a line end, between other characters always parts pieces (the
         space goes with what follows), so most texts are looked up word by word.
         """
+        if self.odd is not None and not text.isascii() and self.odd.search(text):
+            return self._encode_odd(text)
         units, spaced = self._units.__getitem__, self._spaced.__getitem__
         if _ODD_SPACE.search(text):
             first, *rest = _SAFE_SPACE.split(text)
@@ -174,6 +201,13 @@ class ByteBpe:
             out += map(spaced, rest)
         return b"".join(out)
 
+    def _encode_odd(self, text: str) -> bytes:
+        """A text with characters that the library puts into another class: it is cut as one in which others stand for these."""
+        ids: list[int] = []
+        for m in self.matches(text.translate(self.stand)):
+            ids += self.encode_piece(text[m.start() : m.end()].encode())
+        return array("I", ids).tobytes()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))
 
