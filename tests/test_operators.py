@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import cells, env, geo
-from tidemark.operators import cover, graph, lines, ports, routing, sailing
+from tidemark.operators import climate, cover, graph, lines, ports, routing, sailing
 from tidemark.sources import files
 from tidemark.streaming import incremental
 
@@ -206,3 +206,14 @@ def test_snapping_to_cells(spark):
     points = spark.createDataFrame([(1, 50.0, -5.0), (2, 50.1, -5.0), (3, 55.0, 0.0), (4, None, 0.0)], "point_id long, lat double, lng double")
     found = {r.point_id: (r.cell is None, r.ring) for r in cover.snapped_to_cells(points, table, 6, 3).collect()}
     assert found[1] == (False, 0) and found[2][0] is False and found[2][1] in (1, 2) and found[3] == found[4] == (True, None)
+
+
+def test_helper_columns_take_free_names(spark):
+    """A user's own columns of the names that operators use inside come through."""
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (2, 7, "c")], "k int, n int, turn string")
+    assert sorted(map(tuple, graph.first_wins(rows, ["k"], ["n"]).collect())) == [(1, 5, "a"), (2, 7, "c")]
+    assert sorted(map(tuple, graph.merged([rows.where("n < 7"), rows.where("n = 7").withColumn("k", F.lit(1))], ["k"]).collect())) == [(1, 7, "c")]
+    points = spark.createDataFrame([(1.5, 1, "lo", "a")], "lat double, month int, lo string, at_lo string")
+    table = spark.createDataFrame([(1, 1, 2.0), (2, 1, 4.0)], "ilat long, month int, ratio double")
+    (r,) = climate.interpolated(points, table, "ratio").collect()
+    assert (r.lo, r.at_lo, r.ratio) == ("lo", "a", 3.0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.names import free_name
+
 
 def monthly_means(obs: DataFrame, cell: str, ts: str, variables: list[str]) -> DataFrame:
     """cell, month and the mean of each variable over all years; nulls and NaN do not count."""
@@ -28,11 +30,12 @@ def nearest_samples(points: DataFrame, raster: DataFrame, origin: tuple[float, f
 
 def interpolated(points: DataFrame, table: DataFrame, value: str) -> DataFrame:
     """Value of (ilat, month) interpolated between whole latitudes; 0.5 where the table has none."""
-    low = table.select(F.col("ilat").alias("_lo"), "month", F.col(value).alias("_a"))
-    high = table.select((F.col("ilat") - 1).alias("_lo"), "month", F.col(value).alias("_b"))
-    share = F.col("lat") - F.col("_lo")
-    joined = points.withColumn("_lo", F.floor("lat").cast("long")).join(low, ["_lo", "month"], "left").join(high, ["_lo", "month"], "left")
-    return joined.withColumn(value, F.coalesce(F.when(share == 0, F.col("_a")).otherwise(F.col("_a") + share * (F.col("_b") - F.col("_a"))), F.lit(0.5))).drop("_lo", "_a", "_b")
+    lo, a, b = (free_name(points, n) for n in ("lo", "at_lo", "at_hi"))
+    low = table.select(F.col("ilat").alias(lo), "month", F.col(value).alias(a))
+    high = table.select((F.col("ilat") - 1).alias(lo), "month", F.col(value).alias(b))
+    share = F.col("lat") - F.col(lo)
+    joined = points.withColumn(lo, F.floor("lat").cast("long")).join(low, [lo, "month"], "left").join(high, [lo, "month"], "left")
+    return joined.withColumn(value, F.coalesce(F.when(share == 0, F.col(a)).otherwise(F.col(a) + share * (F.col(b) - F.col(a))), F.lit(0.5))).drop(lo, a, b)
 
 
 def pivoted(rows: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import edge_vector, great_circle
+from tidemark.functions.names import free_name
 from tidemark.operators import search
 from tidemark.session import Tables
 
@@ -61,17 +62,19 @@ def last_wins(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """Of rows with equal keys the first in a stated order."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    n = free_name(rows, "n")
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def merged(tables: list[DataFrame], keys: list[str]) -> DataFrame:
     """Tables of one schema as one; of rows with equal keys that of the later table, and within a table the largest."""
     rest = [c for c in tables[0].columns if c not in keys]
-    rows = [t.withColumn("_turn", F.lit(k)) for k, t in enumerate(tables)]
+    turn = free_name(tables[0], "turn")
+    rows = [t.withColumn(turn, F.lit(k)) for k, t in enumerate(tables)]
     both = rows[0]
     for r in rows[1:]:
         both = both.unionByName(r)
-    return both.groupBy(*keys).agg(F.max(F.struct("_turn", *rest)).alias("last")).select(*keys, *(f"last.{c}" for c in rest))
+    return both.groupBy(*keys).agg(F.max(F.struct(turn, *rest)).alias("last")).select(*keys, *(f"last.{c}" for c in rest))
 
 
 def keep_existing(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:

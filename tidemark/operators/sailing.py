@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import clamp, norm
+from tidemark.functions.names import free_name
 
 #: Vessel presets; a preset inherits what it leaves out from "default". Fixed values.
 PRESETS: dict[str, dict[str, float]] = {
@@ -67,33 +68,44 @@ def with_ends(edges: DataFrame, nodes: DataFrame, env: DataFrame, months: DataFr
     return edges.join(statics, "target").crossJoin(F.broadcast(months)).join(here("s"), ["source", "month"], "left").join(here("t"), ["target", "month"], "left")
 
 
-def sailing(edges: DataFrame) -> DataFrame:
-    """Add speed_ms, time_s, cost and route_cost to rows of ``with_ends`` crossed with vessels.
+def sailing(edges: DataFrame, vessels: DataFrame | None = None) -> DataFrame:
+    """Add speed_ms, time_s, cost and route_cost to rows of ``with_ends``, crossed with vessels here or before.
 
-    time is infinite where the length is unknown or the speed not
-    positive. cost multiplies by what is unsafe at the target: land out of sight, darkness,
-    shallows; unknown daylight is full daylight, unknown depth is none. route_cost weighs
-    shallows once more, as routing does.
+    What is the same for all vessels (wind, its angle, waves, current along the edge) is worked
+    out before rows are crossed with ``vessels``, a few rows of ``vessels``. time is infinite
+    where the length is unknown or the speed not positive. cost multiplies by what is unsafe
+    at the target: land out of sight, darkness, shallows; unknown daylight is full daylight,
+    unknown depth is none. route_cost weighs shallows once more, as routing does.
     """
     inf = float("inf")
+    names = {n: free_name(edges, n) for n in ("along_x", "along_y", "wind", "angle", "sea", "carried", "unseen", "light")}
+    of = lambda n: F.col(names[n])
     size = norm(F.col("dx"), F.col("dy"))
-    ux, uy = (F.coalesce(F.col(c) / F.nullif(size, F.lit(0.0)), F.lit(0.0)) for c in ("dx", "dy"))
     wx, wy = mean_of("wind_x"), mean_of("wind_y")
-    out = edges.withColumns({"_ux": ux, "_uy": uy, "_wx": wx, "_wy": wy}).withColumn("_ws", norm(F.col("_wx"), F.col("_wy")))
-    cosine = F.coalesce((F.col("_ux") * F.col("_wx") + F.col("_uy") * F.col("_wy")) / F.nullif(F.col("_ws"), F.lit(0.0)), F.lit(0.0))
-    out = out.withColumn("_angle", F.degrees(F.acos(clamp(cosine, -1.0, 1.0))))
-    driven = F.greatest(F.least(F.col("_ws"), F.col("maxPossibleWindSpeed")) * F.col("windSpeedToVesselSpeedRatio") * efficiency(F.col("_ws"), F.col("_angle")), F.col("calmWaterMinVesselSpeed"))
-    waves = F.least(F.greatest(F.col("minWavePenalty"), 1 - F.col("waveImpactFactor") * (mean_of("swell_height") + mean_of("wave_height"))), F.col("maxWavePenalty"))
-    carried = mean_of("current_x") * F.col("_ux") + mean_of("current_y") * F.col("_uy")
+    out = edges.withColumns({names[k]: F.coalesce(F.col(c) / F.nullif(size, F.lit(0.0)), F.lit(0.0)) for k, c in (("along_x", "dx"), ("along_y", "dy"))})
+    out = out.withColumn(names["wind"], norm(wx, wy))
+    cosine = F.coalesce((of("along_x") * wx + of("along_y") * wy) / F.nullif(of("wind"), F.lit(0.0)), F.lit(0.0))
+    out = out.withColumns(
+        {
+            names["angle"]: F.degrees(F.acos(clamp(cosine, -1.0, 1.0))),
+            names["sea"]: mean_of("swell_height") + mean_of("wave_height"),
+            names["carried"]: mean_of("current_x") * of("along_x") + mean_of("current_y") * of("along_y"),
+            names["unseen"]: F.coalesce(F.col("t_visibility_m"), F.lit(inf)) < F.coalesce(F.col("clear_land"), F.lit(inf)),
+            names["light"]: F.coalesce(F.col("daylight_ratio"), F.lit(1.0)),
+        }
+    )
+    if vessels is not None:
+        out = out.crossJoin(F.broadcast(vessels))
+    driven = F.greatest(F.least(of("wind"), F.col("maxPossibleWindSpeed")) * F.col("windSpeedToVesselSpeedRatio") * efficiency(of("wind"), of("angle")), F.col("calmWaterMinVesselSpeed"))
+    waves = F.least(F.greatest(F.col("minWavePenalty"), 1 - F.col("waveImpactFactor") * of("sea")), F.col("maxWavePenalty"))
     cap = F.coalesce(F.nullif(F.col("maxVesselSpeed"), F.lit(0.0)), F.lit(inf))
-    out = out.withColumn("speed_ms", F.least(driven * waves + carried, cap))
+    out = out.withColumn("speed_ms", F.least(driven * waves + of("carried"), cap))
     time = F.when((F.col("length_m") > 0) & (F.col("speed_ms") > 0), F.col("length_m") / F.when(F.col("speed_ms") > 0, F.col("speed_ms"))).otherwise(inf)
-    unseen = F.coalesce(F.col("t_visibility_m"), F.lit(inf)) < F.coalesce(F.col("clear_land"), F.lit(inf))
-    dark = F.col("darknessPenaltyFactor") - F.coalesce(F.col("daylight_ratio"), F.lit(1.0)) * (F.col("darknessPenaltyFactor") - 1)
+    dark = F.col("darknessPenaltyFactor") - of("light") * (F.col("darknessPenaltyFactor") - 1)
     shallow = F.coalesce(F.col("bathymetry"), F.lit(0.0)) < F.col("vesselDraughtWithTolerance")
     out = out.withColumn("time_s", time)
-    out = out.withColumn("cost", F.col("time_s") * F.when(unseen, F.col("invisibleLandPenalty")).otherwise(1.0) * dark * F.when(shallow, F.col("bathymetricPenalty")).otherwise(1.0))
-    return out.withColumn("route_cost", F.col("cost") * F.when(shallow, SHALLOW_FACTOR).otherwise(1.0)).drop("_ux", "_uy", "_wx", "_wy", "_ws", "_angle")
+    out = out.withColumn("cost", F.col("time_s") * F.when(of("unseen"), F.col("invisibleLandPenalty")).otherwise(1.0) * dark * F.when(shallow, F.col("bathymetricPenalty")).otherwise(1.0))
+    return out.withColumn("route_cost", F.col("cost") * F.when(shallow, SHALLOW_FACTOR).otherwise(1.0)).drop(*names.values())
 
 
 def duration_label(seconds: Column) -> Column:

@@ -81,7 +81,7 @@ def world_costs(spark: SparkSession, sf_dir: str, months: list[int], names: list
     nodes, conditions = view(spark, sf_dir, "w_nodes"), view(spark, sf_dir, "w_env")
     wanted = spark.createDataFrame([(m,) for m in months], "month int")
     ends = sailing.with_ends(graph.both_directions(world_edges(spark, sf_dir)), nodes, conditions, wanted)
-    return sailing.sailing(ends.crossJoin(F.broadcast(sailing.vessels(spark, names))))
+    return sailing.sailing(ends, sailing.vessels(spark, names))
 
 
 def pairs(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
