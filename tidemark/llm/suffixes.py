@@ -1,16 +1,14 @@
-"""Removal of long repeated byte strings, by buckets of suffixes that are refined.
-
-Buckets are those of bucket-pointer refinement, kept as names: the name of eight bytes is
-their own, and that of twice as many is made of the names at an offset and at the later one,
-so each doubling uses the names of the one before. A round puts suffixes into buckets by the
-name of a first stretch (a q-gram of 64 bytes, then the common core of a few windows, then
-the window) and tells apart what a bucket holds by the names at later offsets, up to the end
-of what its windows cover. Suffixes alone in their bucket drop out, those that agree
-throughout are settled, and only the rest is refined, until no bucket is open.
-
-Only suffixes at anchors are sorted (see ``repeats``), one in seventy: names of all suffixes
-would be some thirty times the input in each round. Names are content, not ranks, so that no
-round needs a sort of all buckets.
+"""Removal of long repeated byte strings, by buckets of suffixes that are told apart round by round.
+
+Suffixes at anchors (see ``repeats``), one in seventy, are put into buckets by the name of the
+64 bytes there. A bucket's suffixes are told apart by a name of all that their windows cover,
+made from the names at later offsets; those alone drop out, those that agree throughout are
+settled, and the rest goes on in pieces of a few windows, then window by window.
+
+This is bucket refinement by names, not by bucket pointers: a name is a hash of the text, and
+no suffix is given the number of its bucket to be sorted by in a later round. Numbers would
+have to be carried back to the order of the text and be shuffled again in every round; the
+README has the figures for which they were left out.
 """
 
 from __future__ import annotations
