@@ -63,6 +63,7 @@ def _in_rows(points: DataFrame, cells: DataFrame, most: int) -> DataFrame:
     """
     rows = F.explode(F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.col("r") + d))
     asked = points.select("point_id", "plat", "plng", F.col("r").alias("pr"), F.col("c").alias("pc"), rows.alias("r")).withColumn("x", F.col("plng"))
+    asked = asked.join(cells.select("r").distinct(), "r", "left_semi")  # rows without cells are not asked
     placed = cells.select("r", F.col("lng").alias("x"), F.struct("node_id", "r", "c", "lat", "lng").alias("cell"))
     upto = lambda x: F.last("cell", ignorenulls=True).over(Window.partitionBy("r").orderBy(x, F.col("point_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     both = asked.unionByName(placed, allowMissingColumns=True)
