@@ -217,3 +217,33 @@ def test_helper_columns_take_free_names(spark):
     table = spark.createDataFrame([(1, 1, 2.0), (2, 1, 4.0)], "ilat long, month int, ratio double")
     (r,) = climate.interpolated(points, table, "ratio").collect()
     assert (r.lo, r.at_lo, r.ratio) == ("lo", "a", 3.0)
+
+
+def test_geometries_of_a_geopackage(spark, tmp_path):
+    """Blobs with a GeoPackage header are read to rings; broken ones are counted as invalid."""
+    import sqlite3
+    import struct
+
+    from tidemark.functions import geometry
+
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 3.0), (0.0, 0.0)]
+    body = b"\x01" + struct.pack("<III", 3, 1, 4) + b"".join(struct.pack("<dd", *p) for p in square)
+    header = b"GP\x00\x01" + struct.pack("<i", 4326)
+    with sqlite3.connect(tmp_path / "g.gpkg") as db:
+        db.execute("CREATE TABLE gpkg_contents (table_name TEXT)")
+        for name in ("hexes_r10", "hexes_r9"):
+            db.execute("INSERT INTO gpkg_contents VALUES (?)", (name,))
+            db.execute(f"CREATE TABLE {name} (h3_id TEXT, geom BLOB)")
+            db.execute(f"INSERT INTO {name} VALUES ('a', ?), ('b', ?)", (header + body, header + body[:-4]))
+    spark.dataSource.register(files.GeoPackage)
+    rows = spark.read.format("geopackage").option("path", str(tmp_path / "g.gpkg")).load().withColumn("rings", geometry.from_wkb(F.col("geometry")))
+    assert rows.agg(F.count_if(~geometry.valid(F.col("rings"))).alias("bad")).collect()[0].bad == 2
+    (r,) = rows.where("layer = 'hexes_r9' and rings is not null").collect()
+    assert [(p.x, p.y) for p in r.rings[0].points] == square
+    assert [r.layer for r in files.catalogue(rows.select("layer"), "hexes").orderBy("place").collect()] == ["hexes_r9", "hexes_r10"]
+
+
+def test_datasets_merged_with_nulls(spark):
+    a = spark.createDataFrame([(1, 1, 2.0, 5.0), (1, 2, None, 6.0)], "k int, turn int, x double, y double")
+    b = spark.createDataFrame([(1, 1, None, 9.0), (2, 1, 3.0, 8.0)], "k int, turn int, y double, z double")
+    assert sorted(map(tuple, climate.merged_datasets([a, b], ["k", "turn"]).select("k", "turn", "x", "y", "z").collect()), key=repr) == [(1, 1, 2.0, 5.0, 9.0), (1, 2, None, 6.0, None), (2, 1, None, 3.0, 8.0)]

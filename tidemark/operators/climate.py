@@ -48,3 +48,21 @@ def by_month(samples: DataFrame, conditions: DataFrame, key: str) -> DataFrame:
     """Each sample in all twelve months with the conditions (key, month, ...) there; null where a month has none."""
     every = samples.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
     return every.join(conditions, [key, "month"], "left")
+
+
+def merged_datasets(datasets: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Datasets as one: rows with equal keys are one row, which has the variables of all; where several have a variable, the last that knows it.
+
+    Rows of one dataset with equal keys count as one, with the largest values. Keys are not null.
+    """
+    names = list(dict.fromkeys(c for d in datasets for c in d.columns if c not in keys))
+    turn = "turn"
+    while turn in (*keys, *names):
+        turn += "_"
+    kinds = {c: d.schema[c].dataType for d in datasets for c in d.columns}
+    every = None
+    for k, d in enumerate(datasets):
+        rows = d.select(*keys, F.lit(k).alias(turn), *(F.col(c) if c in d.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names))
+        every = rows if every is None else every.unionByName(rows)
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(turn, c)))[c].alias(c)
+    return every.groupBy(*keys).agg(*(last(c) for c in names))

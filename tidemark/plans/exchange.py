@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import cells, env, hexgrid
-from tidemark.operators import cover, graph, lines, routing, sailing
+from tidemark.operators import climate, cover, graph, lines, routing, sailing
 from tidemark.plans.catalogue import _LENGTH, _SPEED, _far, _kept_costs, _penalty, _route_sql, query, six, world_edges
 from tidemark.plans.grid import _GREAT, _NODES, _STEP, LEVEL, _lattice, _named, _placed, _plane
 from tidemark.session import shared_folder
@@ -114,6 +114,37 @@ def stamped_table(spark, sf_dir):
     return table
 
 
+_NAMES = "SELECT CASE node_id % 3 WHEN 0 THEN 'hexes' WHEN 1 THEN 'edges' ELSE 'land_hexes' END || CASE WHEN node_id % 7 = 0 THEN '' ELSE '_r' || node_id % 13 END AS layer FROM {nodes}"
+
+
+@query(
+    f"SELECT layer, kind, level, row_number() OVER (PARTITION BY kind ORDER BY level NULLS FIRST, layer)::INT AS place FROM (SELECT DISTINCT layer, regexp_replace(layer, '_r[0-9]+$', '') AS kind, TRY_CAST(regexp_extract(layer, '_r([0-9]+)$', 1) AS BIGINT) AS level "
+    f"FROM ({_NAMES.format(nodes='w_nodes')}) WHERE starts_with(layer, 'hexes') OR starts_with(layer, 'land'))"
+)
+def layer_catalogue(spark, sf_dir):
+    """The layers of two prefixes, those of a kind in order of their resolution as a number."""
+    names = spark.sql(_NAMES.format(nodes="{nodes}"), nodes=view(spark, sf_dir, "w_nodes"))
+    return files.catalogue(names, "hexes").unionByName(files.catalogue(names, "land"))
+
+
+@query(
+    "WITH a AS (SELECT node_id, month, wind_x, visibility_m FROM w_env WHERE month <= 7), b AS (SELECT node_id, month, current_x, visibility_m FROM w_env WHERE month >= 6 AND node_id % 4 <> 0) "
+    "SELECT node_id, month, round(wind_x, 6) AS wind_x, round(current_x, 6) AS current_x, round(coalesce(b.visibility_m, a.visibility_m), 6) AS visibility_m FROM a FULL JOIN b USING (node_id, month)"
+)
+def datasets_merged(spark, sf_dir):
+    """Two datasets of different variables and months as one; a variable of both is the later one's where it has it."""
+    e = view(spark, sf_dir, "w_env").select("node_id", "month", *(six(c).alias(c) for c in ("wind_x", "current_x", "visibility_m")))
+    return climate.merged_datasets([e.where("month <= 7").drop("current_x"), e.where("month >= 6 and node_id % 4 <> 0").drop("wind_x")], ["node_id", "month"])
+
+
+@query("SELECT source, target, lat1 AS x1, lng1 AS y1, lat2 AS x2, lng2 AS y2 FROM w_edges")
+def coordinates_swapped(spark, sf_dir):
+    """Edges as lines of latitude and longitude in place of longitude and latitude."""
+    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    line = lines.swapped(F.array(p("lng1", "lat1"), p("lng2", "lat2")))
+    return view(spark, sf_dir, "w_edges").select("source", "target", *(line[k][a].alias(f"{a}{k + 1}") for k in (0, 1) for a in "xy"))
+
+
 _WAYS = "SELECT q.query_id, count(*) AS n, any_value(origin) AS origin, any_value(goal) AS goal FROM walk w JOIN asked q USING (query_id) GROUP BY q.query_id"
 
 

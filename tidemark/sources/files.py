@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sqlite3
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -50,6 +50,14 @@ def write_metadata(nodes: DataFrame, edges: DataFrame, path: str, name: str) ->
     about.crossJoin(edges.agg((2 * F.count("*")).alias("edge_count"))).coalesce(1).write.mode("overwrite").json(path)
 
 
+def catalogue(layers: DataFrame, prefix: str = "") -> DataFrame:
+    """layer, kind, level, place: the layers (layer) whose names begin with a prefix, in order of kind and then of the number that ends them, so r10 comes after r9; layers without a number come first."""
+    level = F.nullif(F.regexp_extract("layer", r"_r(\d+)$", 1), F.lit("")).cast("long")
+    named = layers.where(F.col("layer").startswith(prefix)).select("layer", F.regexp_replace("layer", r"_r\d+$", "").alias("kind"), level.alias("level")).distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("level").asc_nulls_first(), "layer"))
+    return named.withColumn("place", place)
+
+
 def finest(layers: DataFrame) -> DataFrame:
     """kind, level, layer: of the layers (layer) whose names end in a resolution, the finest of each kind."""
     level = F.regexp_extract("layer", r"_r(\d+)$", 1).cast("long")
@@ -106,7 +114,7 @@ class _LayerReader(DataSourceReader):
 
 
 class GeoPackage(DataSource):
-    """Layers of a GeoPackage file that executors can open, a partition each: layer, attributes, geometry (its blob).
+    """Layers of a GeoPackage file that executors can open, a partition each: layer, attributes, geometry (its blob, which ``geometry.from_wkb`` reads).
 
     Options: path, and prefix of the layers wanted.
     """
