@@ -268,8 +268,8 @@ def read_back(formatted: DataFrame, tokenizer_path: str, template: Template = Te
 
 
 def format_and_read_back(turns: DataFrame, tokenizer_path: str, template: Template = Template()) -> DataFrame:
-    """Write the formatted conversations as a table, then read them back; see the two functions."""
-    kept = Scratch(turns.sparkSession).keep(format_chats(turns, tokenizer_path, template), "formatted")
+    """Write the ids and masks of the formatted conversations as a table, then read them back; see the two functions."""
+    kept = Scratch(turns.sparkSession).keep(format_chats(turns, tokenizer_path, template).drop("text"), "formatted")
     return read_back(kept, tokenizer_path, template)
 
 
