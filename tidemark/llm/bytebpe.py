@@ -39,21 +39,23 @@ _STAND_INS = {r"\p{L}": "\u01c2", r"\p{N}": "\u00b2", r"\s": "\u2003", "": "\u26
 
 
 @cache
-def class_differences() -> tuple[re.Pattern | None, dict[int, str]]:
-    """Characters of another class (letter, number, space) for ``regex`` than for the tiktoken library, as their Unicode versions differ, and what stands for each.
+def class_differences() -> tuple[frozenset[str], dict[int, str], bool]:
+    """Characters of another class (letter, number, space) for ``regex`` than for the tiktoken library, as their Unicode versions differ, what stands for each, and whether a space is among them.
 
     The library is asked for all characters at once: with a class as its pattern, it gives the bytes of those that match.
     """
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     bytes_ = {bytes([b]): b for b in range(256)}
     stand: dict[int, str] = {}
+    spaces = False
     for name in (r"\p{L}", r"\p{N}", r"\s"):
         theirs = set(bytes(tiktoken.Encoding("class", pat_str=name, mergeable_ranks=bytes_, special_tokens={}).encode_ordinary(every)).decode())
         ours = set(regex.findall(name, every))
+        spaces |= name == r"\s" and ours != theirs
         stand |= {ord(c): _STAND_INS[name] for c in theirs - ours}
         for c in ours - theirs:
             stand.setdefault(ord(c), _STAND_INS[""])
-    return (re.compile("[" + "".join(map(re.escape, map(chr, stand))) + "]") if stand else None), stand
+    return frozenset(map(chr, stand)), stand, spaces
 
 
 class _Units(dict):
@@ -85,7 +87,7 @@ class ByteBpe:
         self._shorter: dict[int, int | None] = {}
         self._together: dict[tuple[int, int], bool] = {}
         self._units, self._spaced = _Units(self._unit), _Units(self._unit, " ")
-        self.odd, self.stand = class_differences()
+        self.odd, self.stand, self.odd_spaces = class_differences()
 
     def merge_plainly(self, piece: bytes, below: int = _NEVER) -> list[bytes]:
         """Repeatedly merge the leftmost pair of least rank, as merges are defined."""
@@ -175,6 +177,8 @@ class ByteBpe:
             token = shorter
 
     def _unit(self, unit: str) -> bytes:
+        if not self.odd.isdisjoint(unit):
+            return self._encode_odd(unit)
         ids: list[int] = []
         for piece in self.pieces(unit):
             ids += self.encode_piece(piece.encode())
@@ -186,7 +190,7 @@ class ByteBpe:
         A single space, or a line end, between other characters always parts pieces (the
         space goes with what follows), so most texts are looked up word by word.
         """
-        if self.odd is not None and not text.isascii() and self.odd.search(text):
+        if self.odd_spaces and not self.odd.isdisjoint(text):  # else units are parted rightly, and each looks for itself
             return self._encode_odd(text)
         units, spaced = self._units.__getitem__, self._spaced.__getitem__
         if _ODD_SPACE.search(text):
