@@ -457,7 +457,28 @@ def route_path(spark, sf_dir):
     return found.select("query_id", F.posexplode(F.reverse("path")).alias("place", "node_id")).select("query_id", F.col("place").cast("long").alias("place"), "node_id")
 
 
-@query()
+_OFF_LINE = "sqrt(pow(p.x-a.x-{t}*(b.x-a.x),2)+pow(p.y-a.y-{t}*(b.y-a.y),2))".format(t="(CASE WHEN a.x = b.x AND a.y = b.y THEN 0e0 ELSE least(1.0, greatest(0.0, ((p.x-a.x)*(b.x-a.x)+(p.y-a.y)*(b.y-a.y))/((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)))) END)")
+
+
+def corner_cut(name: str, of: str) -> str:
+    """cte of one pass of corner cutting over lines (id, k, x, y) of three points or more."""
+    ahead = f"n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, max(k) OVER (PARTITION BY id) AS last FROM {of} WINDOW w AS (PARTITION BY id ORDER BY k))"
+    return (
+        f"{name} AS (WITH {ahead} SELECT id, 2 * k + 1 AS k, 75e-2*x+25e-2*nx AS x, 75e-2*y+25e-2*ny AS y FROM n WHERE nx IS NOT NULL AND last > 1 UNION ALL SELECT id, 2 * k + 2, 25e-2*x+75e-2*nx, 25e-2*y+75e-2*ny FROM n WHERE nx IS NOT NULL AND last > 1 "
+        "UNION ALL SELECT id, CASE WHEN k = 0 OR last < 2 THEN k ELSE 2 * k + 1 END, x, y FROM n WHERE k IN (0, last))"
+    )
+
+
+@query(
+    f"WITH RECURSIVE {_route_sql('range(1, 13)')}, pts AS (SELECT query_id || '/' || month AS id, max(place) OVER (PARTITION BY query_id, month) - place AS k, lng AS x, lat AS y FROM walk JOIN w_nodes ON node_id = node), "
+    f"spans(id, a, b) AS (SELECT id, 0::BIGINT, max(k)::BIGINT FROM pts GROUP BY id UNION ALL SELECT id, unnest([a, k]), unnest([k, b]) FROM (SELECT s.id, s.a, s.b, arg_max(p.k, ROW({_OFF_LINE}, -p.k))::BIGINT AS k, max({_OFF_LINE}) AS d "
+    "FROM spans s JOIN pts p ON p.id = s.id AND p.k > s.a AND p.k < s.b JOIN pts a ON a.id = s.id AND a.k = s.a JOIN pts b ON b.id = s.id AND b.k = s.b GROUP BY s.id, s.a, s.b) WHERE d > 1e-2), "
+    "left_ AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS k, x, y FROM (SELECT id, a AS k FROM spans UNION SELECT id, b FROM spans) JOIN pts USING (id, k)), "
+    f"{corner_cut('one', 'left_')}, {corner_cut('two', 'one')}, {corner_cut('three', 'two')}, "
+    "boxes AS (SELECT id, count(*)::INT AS n_smooth, round(min(x), 6) AS west, round(min(y), 6) AS south, round(max(x), 6) AS east, round(max(y), 6) AS north FROM three GROUP BY id) "
+    "SELECT id AS route, count(*)::INT AS n_points, any_value(n_smooth) AS n_smooth, any_value(west) AS west, any_value(south) AS south, any_value(east) AS east, any_value(north) AS north, "
+    """'{"type":"Feature","geometry":{"type":"LineString","coordinates":[' || string_agg('[' || x || ',' || y || ']', ',' ORDER BY k) || ']},"properties":{"route":"' || id || '"}}' AS feature FROM left_ JOIN boxes USING (id) GROUP BY id"""
+)
 def route_lines(spark, sf_dir):
     """The sweep's paths as smoothed lines with bounds and GeoJSON."""
     costs = _kept_costs(spark, sf_dir, MONTHS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import cells, env, hexgrid
 from tidemark.operators import climate, cover, graph, lines, routing, sailing
-from tidemark.plans.catalogue import _LENGTH, _SPEED, _far, _kept_costs, _penalty, _route_sql, query, six, world_edges
+from tidemark.plans.catalogue import _LENGTH, _SPEED, _far, _kept_costs, _penalty, _route_sql, corner_cut, query, six, world_edges
 from tidemark.plans.grid import _GREAT, _NODES, _STEP, LEVEL, _lattice, _named, _placed, _plane
 from tidemark.session import shared_folder
 from tidemark.sources import files
@@ -202,16 +202,7 @@ def lines_simplified(spark, sf_dir):
     return numbered.join(left, ["id", "p"]).select("id", F.col("k").cast("long").alias("k"), "p.x", "p.y")
 
 
-def _cut(name: str, of: str) -> str:
-    """cte of one pass of corner cutting over (id, k, x, y)."""
-    ahead = f"n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, max(k) OVER (PARTITION BY id) AS last FROM {of} WINDOW w AS (PARTITION BY id ORDER BY k))"
-    return (
-        f"{name} AS (WITH {ahead} SELECT id, 2 * k + 1 AS k, 75e-2*x+25e-2*nx AS x, 75e-2*y+25e-2*ny AS y FROM n WHERE nx IS NOT NULL UNION ALL SELECT id, 2 * k + 2, 25e-2*x+75e-2*nx, 25e-2*y+75e-2*ny FROM n WHERE nx IS NOT NULL "
-        "UNION ALL SELECT id, CASE WHEN k = 0 THEN 0 ELSE 2 * k + 1 END, x, y FROM n WHERE k IN (0, last))"
-    )
-
-
-@query(f"WITH {_DUCK_BENT}, {_cut('one', 'pts')}, {_cut('two', 'one')}, {_cut('three', 'two')} SELECT id, count(*) AS n_points, round(min(x), 6) AS west, round(min(y), 6) AS south, round(max(x), 6) AS east, round(max(y), 6) AS north, round(sum(x * y), 3) AS moment FROM three GROUP BY id")
+@query(f"WITH {_DUCK_BENT}, {corner_cut('one', 'pts')}, {corner_cut('two', 'one')}, {corner_cut('three', 'two')} SELECT id, count(*) AS n_points, round(min(x), 6) AS west, round(min(y), 6) AS south, round(max(x), 6) AS east, round(max(y), 6) AS north, round(sum(x * y), 3) AS moment FROM three GROUP BY id")
 def lines_smoothed(spark, sf_dir):
     """Lines of twelve points after three passes of corner cutting: their bounds, and a sum over all points."""
     smooth = _bent(spark, sf_dir).select("id", lines.smoothed(F.col("line")).alias("line"))
