@@ -12,6 +12,8 @@ from tidemark.operators import polygons
 from tidemark.operators.components import connected
 from tidemark.session import Tables
 
+_SPREAD = 96  # tasks for what is dear for each row, however few bytes the rows have
+
 
 def disk(cells: DataFrame, k: int) -> DataFrame:
     """Each cell (node_id, r, c) with all places (nr, nc) up to k steps away and their distance; ring k alone has distance k.
@@ -92,14 +94,23 @@ def snapped(points: DataFrame, cells: DataFrame, most: int = 50, near: int = 3)
 def snapped_to_cells(points: DataFrame, table: DataFrame, level: int, most: int = 3) -> DataFrame:
     """(point_id, cell, ring): the cell (cell) of a table nearest to each point (point_id, lat, lng): of the first ring around the point's own cell with any, by squared degrees, then id.
 
-    Points without a cell up to ``most`` rings away get nulls. A point asks for 3 most (most + 1) + 1 cells.
+    Points without a cell up to ``most`` rings away get nulls. The first ring with any is the
+    same for all points of a cell, so rings are made once for each cell that holds points and is
+    not in the table itself, 3 most (most + 1) + 1 cells each; a point then meets one ring.
     """
-    asked = points.withColumn("own", hexgrid.cell_at(F.col("lat"), F.col("lng"), level))
-    near = asked.where("own is not null").select("point_id", "lat", "lng", F.posexplode(hexgrid.rings(F.col("own"), most)).alias("ring", "cells")).select("point_id", "lat", "lng", "ring", F.explode("cells").alias("cell"))
-    hits = near.join(table.select("cell").distinct(), "cell").withColumn("at", hexgrid.center(F.col("cell")))
-    d2 = F.pow(F.col("at.lat") - F.col("lat"), 2) + F.pow(F.col("at.lng") - F.col("lng"), 2)
-    best = hits.groupBy("point_id").agg(F.min(F.struct("ring", d2.alias("d2"), "cell")).alias("best"))
-    return points.select("point_id").join(best, "point_id", "left").select("point_id", "best.cell", "best.ring")
+    tables = Tables(points.sparkSession)
+    asked = tables.keep(points.repartition(_SPREAD).select("point_id", "lat", "lng", hexgrid.cell_at(F.col("lat"), F.col("lng"), level).alias("own")), "asked")
+    have = tables.keep(table.select("cell").where("cell is not null").distinct(), "cells")
+    own = tables.keep(asked.where("own is not null").select("own").distinct().repartition(_SPREAD, "own"), "own")
+    there = own.join(have.select(F.col("cell").alias("own")), "own", "left_semi").select("own", F.lit(0).alias("ring"), F.col("own").alias("cell"))
+    away = own.join(have.select(F.col("cell").alias("own")), "own", "left_anti").repartition(_SPREAD, "own").select("own", F.posexplode(hexgrid.rings(F.col("own"), most)).alias("ring", "cells"))
+    hits = away.select("own", "ring", F.explode("cells").alias("cell")).join(have, "cell")
+    first = hits.groupBy("own").agg(F.min("ring").alias("ring"))
+    near = hits.join(first, ["own", "ring"]).select("own", "ring", "cell").unionByName(there).withColumn("at", hexgrid.center(F.col("cell")))
+    near = tables.keep(near.select("own", "ring", "cell", F.col("at.lat").alias("clat"), F.col("at.lng").alias("clng")), "near")
+    d2 = F.pow(F.col("clat") - F.col("lat"), 2) + F.pow(F.col("clng") - F.col("lng"), 2)
+    best = asked.join(near, "own").groupBy("point_id").agg(F.min(F.struct("ring", d2.alias("d2"), "cell")).alias("best"))
+    return asked.select("point_id").join(best, "point_id", "left").select("point_id", "best.cell", "best.ring")
 
 
 def cross_level_edges(cells: DataFrame, ancestors: list[tuple[Column, DataFrame]]) -> DataFrame:
