@@ -49,11 +49,19 @@ def frontier(cells: DataFrame) -> DataFrame:
 def sight_of_land(sea: DataFrame, land: DataFrame, rings: int = 13) -> DataFrame:
     """node_id, the nearest land cell that is visible, and its distance to the millimetre (of equal ones the least id).
 
-    Land (node_id, r, c, lat, lng, sight_m) is visible within its own sight distance. It is
-    the land that is spread over the rings, up to as many as its sight reaches.
+    Land (node_id, r, c, lat, lng, sight_m) is visible within its own sight distance. Sea and
+    land meet in blocks of the lattice that are rings + 1 wide: land goes to the blocks that its
+    rings touch, at most nine, and a cell of the sea is in one. A block has a bounded number of
+    places, so the join is never a broadcast of what the land was spread to.
     """
-    seen = disk(land.select(F.col("node_id").alias("land_id"), F.col("lat").alias("llat"), F.col("lng").alias("llng"), "sight_m", "r", "c"), rings).drop("r", "c").withColumnsRenamed({"nr": "r", "nc": "c"})
-    pairs = sea.join(seen, ["r", "c"]).withColumn("d", great_circle(F.col("lat"), F.col("lng"), F.col("llat"), F.col("llng"))).where("d < sight_m")
+    side = rings + 1
+    block = lambda c: F.floor(c / side).cast("long")
+    touched = lambda c, more: F.explode(F.sequence(block(F.col(c) - rings - more), block(F.col(c) + rings + more)))
+    seen = land.select(F.col("node_id").alias("land_id"), F.col("lat").alias("llat"), F.col("lng").alias("llng"), "sight_m", F.col("r").alias("lr"), F.col("c").alias("lc"))
+    seen = seen.withColumn("block_r", touched("lr", 0)).withColumn("block_c", touched("lc", 1)).hint("merge")
+    placed = sea.select("node_id", "lat", "lng", "r", "c", block(F.col("r")).alias("block_r"), block(F.col("c")).alias("block_c"))
+    near = placed.join(seen, ["block_r", "block_c"]).where(lattice_distance(F.col("lr"), F.col("lc"), F.col("r"), F.col("c")) <= rings)
+    pairs = near.withColumn("d", great_circle(F.col("lat"), F.col("lng"), F.col("llat"), F.col("llng"))).where("d < sight_m")
     best = pairs.groupBy("node_id").agg(F.min(F.struct(F.round("d", 3).alias("d"), "land_id")).alias("best"))
     return best.select("node_id", F.col("best.d").alias("distance_to_visible_land_m"), F.col("best.land_id").alias("visible_land_id"))
 
