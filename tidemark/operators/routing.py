@@ -32,8 +32,8 @@ def routes(queries: DataFrame, costs: DataFrame) -> DataFrame:
     tables = Tables(queries.sparkSession)
     edges = search.prepared(_weights(costs), tables)
     asked = tables.keep(_known(_known(queries.select(*_ON, "origin", "goal"), edges, "origin"), edges, "goal"), "asked")
-    least = tables.keep(search.least_costs(asked, edges, tables), "least")
-    at_goal = least.withColumnRenamed("node_id", "goal")
+    least = search.by_tile(search.least_costs(asked, edges, tables), tables)
+    at_goal = least.drop("tile").withColumnRenamed("node_id", "goal")
     paths = search.paths(asked, least, edges, tables)
     found = asked.join(at_goal, [*_ON, "goal"]).join(paths, _ON).select(*_ON, "cost", "path")
     return queries.select(*_ON).join(found, _ON, "left").select(*_ON, F.col("path").isNotNull().alias("reached"), "cost", "path")
