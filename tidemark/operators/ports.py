@@ -60,12 +60,13 @@ def nearest(probes: DataFrame, ports: DataFrame, n: int = 1, buffer: float = 0.1
     """The n ports nearest to each probe (probe_id, plat, plng), to the millimetre, then by id, of those within ``buffer`` degrees.
 
     Ports and probes meet in cells as wide as the buffer, so this is an equi join on three by
-    three cells and not a comparison of all with all.
+    three cells and not a comparison of all with all; neither side is broadcast.
     """
     cell = lambda c: F.floor(c / buffer).cast("long")
     near = F.explode(F.array(*(F.struct((cell(F.col("plat")) + i).alias("y"), (cell(F.col("plng")) + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     asked = probes.withColumn("cell", near).select("*", "cell.*").drop("cell")
-    placed = ports.withColumns({"y": cell(F.col("lat")), "x": cell(F.col("lng"))})
+    placed = ports.withColumns({"y": cell(F.col("lat")), "x": cell(F.col("lng"))}).hint("merge")
+    asked = asked.join(placed.select("y", "x").distinct(), ["y", "x"], "left_semi")  # cells without ports are not asked
     close = asked.join(placed, ["y", "x"]).where((F.abs(F.col("lat") - F.col("plat")) <= buffer) & (F.abs(F.col("lng") - F.col("plng")) <= buffer))
     close = close.withColumn("distance_km", great_circle(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng"), TURF_RADIUS_KM))
     order = Window.partitionBy("probe_id").orderBy(F.round("distance_km", 6), "port_id")
