@@ -66,26 +66,34 @@ def sight_of_land(sea: DataFrame, land: DataFrame, rings: int = 13) -> DataFrame
     return best.select("node_id", F.col("best.d").alias("distance_to_visible_land_m"), F.col("best.land_id").alias("visible_land_id"))
 
 
-def _in_rows(points: DataFrame, cells: DataFrame, most: int) -> DataFrame:
-    """For each point, the cells next to it on either side in each row of the lattice up to ``most`` rows away.
+def _in_rows(places: DataFrame, cells: DataFrame, most: int) -> DataFrame:
+    """For each place (pr, pc) of the lattice the cells of the first ring with any that may be nearest to a point there: pr, pc, distance and the cell.
 
-    No other cell of a row is nearer, in rings or in degrees; a window over each row finds them.
+    Each row of the lattice up to ``most`` rows away has its two last cells up to the place and its two
+    first ones after it, by degrees: no other cell of the row is nearer to a point of the place, which lies
+    a step away at most. Places are as many as the lattice has, however many points they hold.
     """
-    rows = F.explode(F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.col("r") + d))
-    asked = points.select("point_id", "plat", "plng", F.col("r").alias("pr"), F.col("c").alias("pc"), rows.alias("r")).withColumn("x", F.col("plng"))
+    rows = F.explode(F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda d: F.col("pr") + d))
+    middle = lambda r, c: F.col(c) + F.pmod(F.col(r), F.lit(2)) / 2
+    asked = places.select("pr", "pc", rows.alias("r")).withColumn("x", middle("pr", "pc"))
     asked = asked.join(cells.select("r").distinct(), "r", "left_semi")  # rows without cells are not asked
-    placed = cells.select("r", F.col("lng").alias("x"), F.struct("node_id", "r", "c", "lat", "lng").alias("cell"))
-    upto = lambda x: F.last("cell", ignorenulls=True).over(Window.partitionBy("r").orderBy(x, F.col("point_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    both = asked.unionByName(placed, allowMissingColumns=True)
-    near = both.withColumn("near", F.array(upto(F.col("x").asc()), upto(F.col("x").desc()))).where("point_id is not null").select("point_id", "plat", "plng", "pr", "pc", F.explode("near").alias("cell")).where("cell is not null")
-    return near.select("point_id", "plat", "plng", "cell.*", lattice_distance(F.col("pr"), F.col("pc"), F.col("cell.r"), F.col("cell.c")).alias("distance")).where(F.col("distance") <= most)
+    placed = cells.select("r", middle("r", "c").alias("x"), F.struct("node_id", "c", "lat", "lng").alias("cell"))
+    by = Window.partitionBy("r")
+    known = placed.withColumns({"two": F.array_compact(F.array(F.lag("cell").over(by.orderBy("x")), F.col("cell"))), "after": F.array_compact(F.array("cell", F.lead("cell").over(by.orderBy("x"))))})
+    both = asked.unionByName(known.drop("cell"), allowMissingColumns=True)
+    upto = lambda c, x: F.last(c, ignorenulls=True).over(by.orderBy(x, F.col("pc").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    near = both.withColumns({"a": upto("two", F.col("x").asc()), "b": upto("after", F.col("x").desc())}).where("pc is not null")
+    each = near.select("pr", "pc", "r", F.explode(F.array_distinct(F.concat(*(F.coalesce(k, F.array().cast(known.schema["two"].dataType)) for k in ("a", "b"))))).alias("cell")).select("pr", "pc", "r", "cell.*")
+    ring = each.withColumn("distance", lattice_distance(F.col("pr"), F.col("pc"), F.col("r"), F.col("c"))).where(F.col("distance") <= most)
+    return ring.withColumn("first", F.min("distance").over(Window.partitionBy("pr", "pc"))).where("distance = first").drop("first")
 
 
 def snapped(points: DataFrame, cells: DataFrame, most: int = 50, near: int = 3) -> DataFrame:
     """The graph cell nearest to each point (point_id, r, c, plat, plng): of the first ring with any, by squared degrees, then id.
 
-    Rings up to ``near`` are looked up cell by cell. Points without a cell there look at the
-    rows of the lattice up to ``most`` rings away; beyond that node_id and ring are null.
+    Rings up to ``near`` are looked up cell by cell. Places of points without a cell there look at the
+    rows of the lattice up to ``most`` rings away; beyond that node_id and ring are null. Points lie within
+    a step of their place in longitude.
     """
     cells = cells.select("node_id", "r", "c", "lat", "lng")
     d2 = F.pow(F.col("lat") - F.col("plat"), 2) + F.pow(F.col("lng") - F.col("plng"), 2)
@@ -95,7 +103,8 @@ def snapped(points: DataFrame, cells: DataFrame, most: int = 50, near: int = 3)
 
     close = best(disk(points, min(near, most)).drop("r", "c").withColumnsRenamed({"nr": "r", "nc": "c"}).join(cells, ["r", "c"]))
     if most > near:
-        close = close.unionByName(best(_in_rows(points.join(close, "point_id", "left_anti"), cells, most)))
+        far = points.join(close, "point_id", "left_anti").withColumnsRenamed({"r": "pr", "c": "pc"})
+        close = close.unionByName(best(far.join(_in_rows(far.select("pr", "pc").distinct(), cells, most), ["pr", "pc"])))
     return points.select("point_id").join(close, "point_id", "left").select("point_id", F.col("best.node_id").alias("node_id"), F.col("best.distance").alias("ring"))
 
 
