@@ -95,7 +95,7 @@ def snapped(points: DataFrame, cells: DataFrame, most: int = 50, near: int = 3)
     rows of the lattice up to ``most`` rings away; beyond that node_id and ring are null. Points lie within
     a step of their place in longitude.
     """
-    cells = cells.select("node_id", "r", "c", "lat", "lng")
+    cells, points = cells.select("node_id", "r", "c", "lat", "lng"), points.repartition(_SPREAD)
     d2 = F.pow(F.col("lat") - F.col("plat"), 2) + F.pow(F.col("lng") - F.col("plng"), 2)
 
     def best(candidates: DataFrame) -> DataFrame:
