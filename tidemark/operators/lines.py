@@ -13,12 +13,16 @@ POINTS = "array<struct<x:double,y:double>>"
 
 def smoothed(line: Column, passes: int = 3) -> Column:
     """Corner cutting: every segment gives its quarter points, both ends stay; under three points nothing changes."""
-    for _ in range(passes):
-        ahead = F.slice(line, 2, F.size(line) - 1)
+
+    def once(points: Column) -> Column:
+        ahead = F.slice(points, 2, F.size(points) - 1)
         cut = F.flatten(
-            F.zip_with(F.slice(line, 1, F.size(line) - 1), ahead, lambda p, q: F.array(*(F.struct((a * p.x + (1 - a) * q.x).alias("x"), (a * p.y + (1 - a) * q.y).alias("y")) for a in (0.75, 0.25))))
+            F.zip_with(F.slice(points, 1, F.size(points) - 1), ahead, lambda p, q: F.array(*(F.struct((a * p.x + (1 - a) * q.x).alias("x"), (a * p.y + (1 - a) * q.y).alias("y")) for a in (0.75, 0.25))))
         )
-        line = F.when(F.size(line) < 3, line).otherwise(F.concat(F.slice(line, 1, 1), cut, F.slice(line, -1, 1)))
+        return F.when(F.size(points) < 3, points).otherwise(F.concat(F.slice(points, 1, 1), cut, F.slice(points, -1, 1)))
+
+    for _ in range(passes):
+        line = F.get(F.transform(F.array(line), once), F.lit(0))  # a pass looks at its line many times, which is worked out once
     return line
 
 
