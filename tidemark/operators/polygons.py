@@ -280,8 +280,12 @@ def cut_by_tiles(rings: DataFrame, side: float) -> DataFrame:
 
 
 def split_at_crossings(lines: DataFrame, side: float) -> DataFrame:
-    """(id, k, piece, x1, y1, x2, y2): segments (id, k, x1, y1, x2, y2) cut wherever one of another line crosses them; pieces go along the segment."""
-    pairs = crossings(lines, lines, side).where("a_id <> b_id")
+    """(id, k, piece, x1, y1, x2, y2): segments (id, k, x1, y1, x2, y2) cut wherever one of another line crosses them; pieces go along the segment.
+
+    A pair that meets in two tiles gives the same place twice, which the set of a segment's places takes once.
+    """
+    dealt = tiled(lines, side)
+    pairs = _touching(dealt, dealt, ["id", "k"]).where("a_id <> b_id")
     a, b, c, d = (F.col(f"a{i}") for i in range(1, 5))
     e, f, g, h = (F.col(f"b{i}") for i in range(1, 5))
     turn = (c - a) * (h - f) - (d - b) * (g - e)
