@@ -203,30 +203,42 @@ def nearest_segment(points: DataFrame, sides: Pyramid, decimals: int | None = No
 
     Branch and bound down a pyramid of the tiles that hold segments. Every tile holds a place
     of a segment, so its farthest corner bounds the distance; tiles that begin beyond the best
-    bound are left, the others are opened. A point compares itself with the segments of the few
-    tiles that remain. Without segments there are no rows.
+    bound are left, the others are opened. The tiles that hold points are asked, in tiles as wide
+    as those of each level, and all points of one share its answer; then a point compares itself
+    with the segments of the few tiles that remain. Without segments there are no rows.
     """
     side, dealt = sides.side, sides.dealt
     top = [F.struct(F.lit(x.c).alias("c"), F.lit(x.r).alias("r")) for x in sides.top]
     if not top:
         return points.select("point_id", *(F.lit(0.0).alias(c) for c in ("d", "x", "y")), F.lit(0).cast("long").alias("id")).limit(0)
-    place = points.select("point_id", _u(F.col("x"), side).alias("u"), _u(F.col("y"), side).alias("v"))
-    tiles = place.withColumn("t", F.explode(F.array(*top))).select("point_id", "u", "v", "t.c", "t.r")
-    for k in range(len(sides.counts) - 1, -1, -1):
-        least, most = _to_box(F.col("u"), F.col("v"), F.col("c"), F.col("r"), float(1 << k))
-        bounded = tiles.groupBy("point_id", "u", "v").agg(F.min(most).alias("bound"), F.collect_list(F.struct(least.alias("least"), "c", "r")).alias("tiles"))
-        open_ = F.filter("tiles", lambda t: t["least"] <= F.col("bound") + 1e-6)
-        tiles = bounded.select("point_id", "u", "v", F.explode(open_).alias("t")).select("point_id", "u", "v", "t.c", "t.r")
+    place = points.select("point_id", _u(F.col("x"), side).alias("u"), _u(F.col("y"), side).alias("v")).withColumns({"pc": F.floor("u"), "pr": F.floor("v")})
+    homes = Tables(points.sparkSession).keep(place.where("u is not null and v is not null").select("pc", "pr").distinct(), "homes")
+    wide = lambda k: homes.select(_wider("pc", k).alias("pc"), _wider("pr", k).alias("pr")).distinct() if k else homes
+    height = len(sides.counts) - 1
+    tiles = wide(height).withColumn("t", F.explode(F.array(*top))).select("pc", "pr", "t.c", "t.r")
+    for k in range(height, -1, -1):
+        gap = [F.greatest(F.abs(F.col(p) - F.col(t)) - 1, F.lit(0)) for p, t in (("pc", "c"), ("pr", "r"))]
+        reach = [F.abs(F.col(p) - F.col(t)) + 1 for p, t in (("pc", "c"), ("pr", "r"))]
+        square = lambda x: x[0] * x[0] + x[1] * x[1]
+        bounded = tiles.groupBy("pc", "pr").agg(F.min(square(reach)).alias("bound"), F.collect_list(F.struct(square(gap).alias("least"), "c", "r")).alias("tiles"))
+        held = bounded.select("pc", "pr", F.filter("tiles", lambda t: t["least"] <= F.col("bound")).alias("tiles"))
         if k:
             finer = sides.level(k - 1).select(F.col("c").alias("fc"), F.col("r").alias("fr"), _wider("c", 1).alias("c"), _wider("r", 1).alias("r"))
             finer = F.broadcast(finer) if sides.counts[k - 1] <= MOST_BROADCAST else finer
-            tiles = tiles.join(finer, ["c", "r"]).select("point_id", "u", "v", F.col("fc").alias("c"), F.col("fr").alias("r"))
+            parts = wide(k - 1).select(F.col("pc").alias("qc"), F.col("pr").alias("qr"), _wider("pc", 1).alias("pc"), _wider("pr", 1).alias("pr"))
+            opened = held.select("pc", "pr", F.explode("tiles").alias("t")).select("pc", "pr", "t.c", "t.r").join(finer, ["c", "r"])
+            tiles = opened.join(parts, ["pc", "pr"]).select(F.col("qc").alias("pc"), F.col("qr").alias("pr"), F.col("fc").alias("c"), F.col("fr").alias("r"))
+    box = lambda t: _to_box(F.col("u"), F.col("v"), t["c"], t["r"], 1.0)
+    asked = place.join(held, ["pc", "pr"]).select("point_id", "u", "v", F.transform("tiles", lambda t: F.struct(box(t)[0].alias("least"), box(t)[1].alias("most"), t["c"].alias("c"), t["r"].alias("r"))).alias("tiles"))
+    asked = asked.withColumn("bound", F.array_min(F.transform("tiles", lambda t: t["most"])) + 1e-6)
+    tiles = asked.select("point_id", "u", "v", "bound", F.explode(F.filter("tiles", lambda t: t["least"] <= F.col("bound"))).alias("t")).select("point_id", "u", "v", "bound", "t.c", "t.r")
     du, dv = F.col("u2") - F.col("u1"), F.col("v2") - F.col("v1")
     along = ((F.col("u") - F.col("u1")) * du + (F.col("v") - F.col("v1")) * dv) / F.nullif(du * du + dv * dv, F.lit(0.0))
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(along, F.lit(0.0))))
-    near = tiles.join(dealt, ["c", "r"]).withColumn("share", share).withColumns({"nu": F.col("u1") + F.col("share") * du, "nv": F.col("v1") + F.col("share") * dv})
+    near = tiles.repartition(96, "c", "r").join(dealt, ["c", "r"]).withColumn("share", share).withColumns({"nu": F.col("u1") + F.col("share") * du, "nv": F.col("v1") + F.col("share") * dv})
     far = F.hypot(F.col("nu") - F.col("u"), F.col("nv") - F.col("v")) * side
     which = F.col("id") if "id" in dealt.columns else F.lit(None).cast("long")
+    near = near.where(far <= (F.col("bound") + 1e-6) * side)
     best = near.groupBy("point_id").agg(F.min(F.struct((far if decimals is None else F.round(far, decimals)).alias("d"), which.alias("id"), "nu", "nv")).alias("b"))
     return best.select("point_id", "b.d", (F.col("b.nu") * side - OFF).alias("x"), (F.col("b.nv") * side - OFF).alias("y"), "b.id")
 
