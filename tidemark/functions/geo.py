@@ -37,10 +37,14 @@ def planar_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return norm(lat2 - lat1, lng2 - lng1) * 111_000
 
 
+def _turned(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lng2) - F.radians(lng1)
+    return F.degrees(F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d)))
+
+
 def bearing(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Initial bearing in degrees, 0 to 360."""
-    a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lng2) - F.radians(lng1)
-    return F.pmod(F.degrees(F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d))), F.lit(360.0))
+    return F.pmod(_turned(lat1, lng1, lat2, lng2), F.lit(360.0))
 
 
 def vector_from(direction: Column) -> tuple[Column, Column]:
@@ -50,8 +54,11 @@ def vector_from(direction: Column) -> tuple[Column, Column]:
 
 
 def edge_vector(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> tuple[Column, Column]:
-    """The graph's edge vectors: the bearing taken as a direction to come from, so they point backwards."""
-    return vector_from(bearing(lat1, lng1, lat2, lng2))
+    """The graph's edge vectors: the bearing taken as a direction to come from, so they point backwards.
+
+    Two turns are added first: all bearings then have the same last digit, so that an engine's last bits do not matter.
+    """
+    return vector_from(F.pmod(_turned(lat1, lng1, lat2, lng2) + 720, F.lit(360.0)))
 
 
 def horizon_m(height: Column) -> Column:
