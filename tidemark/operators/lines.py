@@ -43,18 +43,18 @@ def swapped(line: Column) -> Column:
     return F.transform(line, lambda p: F.struct(p.y.alias("x"), p.x.alias("y")))
 
 
-def simplified(lines: DataFrame, key: str, line: str, tolerance: float) -> DataFrame:
-    """Douglas-Peucker, a line at a time: points stay that lie further than ``tolerance`` from what replaces them."""
+def kept(line: Column, tolerance: float) -> Column:
+    """Douglas-Peucker, a line at a time: places of the points that lie further than ``tolerance`` from what replaces them, in order; both ends stay."""
 
-    def one(points: list) -> list:
-        keep, spans = {0, len(points) - 1}, [(0, len(points) - 1)]
+    def one(xs: list, ys: list) -> list:
+        keep, spans = {0, len(xs) - 1}, [(0, len(xs) - 1)]
         while spans:
             a, b = spans.pop()
-            (x0, y0), (x1, y1) = points[a], points[b]
-            dx, dy = x1 - x0, y1 - y0
+            x0, y0 = xs[a], ys[a]
+            dx, dy = xs[b] - x0, ys[b] - y0
             far, at = tolerance, -1
             for k in range(a + 1, b):
-                px, py = points[k][0] - x0, points[k][1] - y0
+                px, py = xs[k] - x0, ys[k] - y0
                 t = min(1.0, max(0.0, (px * dx + py * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
                 d = ((px - t * dx) ** 2 + (py - t * dy) ** 2) ** 0.5
                 if d > far:
@@ -62,16 +62,18 @@ def simplified(lines: DataFrame, key: str, line: str, tolerance: float) -> DataF
             if at >= 0:
                 keep.add(at)
                 spans += [(a, at), (at, b)]
-        return [points[k] for k in sorted(keep)]
+        return sorted(keep)
+
+    def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else one(x.tolist(), y.tolist()) if len(x) > 2 else list(range(len(x))) for x, y in zip(xs, ys)], dtype=object)
 
-    def run(batches):
-        for pdf in batches:
-            shapes = [None if v is None else [{"x": x, "y": y} for x, y in (one([(p["x"], p["y"]) for p in v]) if len(v) > 2 else [(p["x"], p["y"]) for p in v])] for v in pdf[line]]
-            yield pd.DataFrame({key: pdf[key], line: shapes})
+    return F.pandas_udf(run, "array<int>")(F.transform(line, lambda p: p.x), F.transform(line, lambda p: p.y))
 
+
+def simplified(lines: DataFrame, key: str, line: str, tolerance: float) -> DataFrame:
+    """Lines of the points that ``kept`` keeps."""
     workers_can_import(lines.sparkSession)
-    kinds = dict(lines.dtypes)
-    return lines.select(key, line).mapInPandas(run, f"{key} {kinds[key]}, {line} {POINTS}")
+    return lines.select(key, F.transform(kept(F.col(line), tolerance), lambda k: F.get(line, k)).alias(line))
 
 
 def feature(line: Column, properties: Column) -> Column:
